@@ -109,3 +109,38 @@ def pattern_signature(symbols: Column) -> Column:
     return F.array_join(
         F.transform(symbols, lambda s: F.char(64 + F.array_position(firsts, s))), ""
     )
+
+
+def rhyme_suffixes(words: Column) -> Column:
+    """C10 over an array of words, staged so that every regex runs once per
+    element (lambda bodies are interpreted and get no common-subexpression
+    elimination, so the scalar form would repeat its sub-expressions)."""
+    acc = RHYME_ACCENTED_VOWELS
+    chunks = F.transform(words, lambda w: F.element_at(F.split(F.lower(F.replace(w, F.lit("’"), F.lit("'"))), "['-]", -1), -1))
+    parts = F.transform(
+        chunks,
+        lambda c: F.struct(
+            c.alias("chunk"),
+            F.regexp_replace(c, rf"[^{WORD_CHARS}\s{acc}]", "").alias("original"),
+            normalize_word(c).alias("norm"),
+        ),
+    )
+    found = F.transform(
+        parts,
+        lambda r: F.struct(
+            r["chunk"].alias("chunk"),
+            r["norm"].alias("norm"),
+            F.regexp_extract(r["original"], f"[{acc}][^{acc}]*$", 0).alias("acc"),
+            F.regexp_extract(r["norm"], "[aeiou][^aeiou]*[aeiou][^aeiou]*$", 0).alias("two"),
+            F.regexp_extract(r["norm"], "[aeiou][^aeiou]*$", 0).alias("one"),
+            F.regexp_extract(r["norm"], ".{0,3}$", 0).alias("last3"),
+        ),
+    )
+    return F.transform(
+        found,
+        lambda r: F.when((r["chunk"] == "") | (r["norm"] == ""), F.lit(""))
+        .when(r["acc"] != "", r["acc"])
+        .when(r["two"] != "", r["two"])
+        .when(r["one"] != "", r["one"])
+        .otherwise(r["last3"]),
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from versify.functions.rhyme import last_word, pattern_signature, rhyme_suffix
+from versify.functions.rhyme import last_word, pattern_signature, rhyme_suffixes
 from versify.functions.syllable import is_valid_hendecasyllable
 
 # FIXED VALUES: allowed rhyme patterns (signatures by first occurrence).
@@ -75,7 +75,7 @@ def stanza_lengths(t: Column) -> Column:
 
 def line_suffixes(lines: Column) -> Column:
     """Evaluation rhyme key per line: raw suffix of the last word (accents matter)."""
-    return F.transform(lines, lambda l: rhyme_suffix(last_word(l)))
+    return rhyme_suffixes(F.transform(lines, last_word))
 
 
 def rhyme_scheme(suffixes: Column) -> Column:
