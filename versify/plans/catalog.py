@@ -286,3 +286,237 @@ def q_evaluate_documents(spark, sf_dir):
 @query
 def q_evaluation_report(spark, sf_dir):
     return evaluation_report(evaluate_frame(verse(spark, sf_dir), ["doc_id", "poem_no"]))
+
+
+# ---------------------------------------------------------------- 6 corpus
+from versify.operators import corpus as C  # noqa: E402
+from versify.operators import lm as LM  # noqa: E402
+from versify.operators import pack as P  # noqa: E402
+from versify.operators import vocab as V  # noqa: E402
+from versify.session import ensure_checkpoint_dir  # noqa: E402
+
+BUDGET = C.DEFAULT_BUDGET
+BATCH, BLOCK = 4, 64
+TEMPERATURE, TOP_K, TOP_P = 0.8, 20, 0.9
+
+
+def corpus(spark, sf_dir):
+    return C.pretrain_view(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
+
+
+@query
+def q_corpus_filter(spark, sf_dir):
+    kept = C.project_corpus(C.content_filter(C.year_filter(corpus(spark, sf_dir))))
+    return kept.select(
+        "identifier", "creator", "title", "publication_date", "word_count", F.md5("text").alias("text_md5")
+    )
+
+
+@query
+def q_word_budget(spark, sf_dir):
+    kept = C.word_budget(corpus(spark, sf_dir), BUDGET)
+    return kept.select(
+        "doc_id", F.col("word_count").cast("long").alias("word_count"),
+        F.col("words_before").cast("long").alias("words_before"), F.col("increment").cast("long").alias("increment"),
+    )
+
+
+@query
+def q_year_counts(spark, sf_dir):
+    return C.year_counts(C.word_budget(corpus(spark, sf_dir), BUDGET))
+
+
+@query
+def q_corpus_metadata(spark, sf_dir):
+    meta = C.corpus_metadata(C.word_budget(corpus(spark, sf_dir), BUDGET), "documents")
+    return meta.select(
+        "dataset_name", "total_words", F.size("publication_years").cast("long").alias("n_years"),
+        F.aggregate(F.map_values("publication_years"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_docs"),
+    )
+
+
+@query
+def q_corpus_stats(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text").select(F.length(X.to_special_chars(F.col("text"))).alias("n"))
+    return d.agg(
+        F.count(F.lit(1)).cast("long").alias("documents"),
+        F.round(F.avg("n"), 6).alias("mean_chars"),
+        F.sum(F.col("n") + 1).cast("long").alias("total_chars"),
+    )
+
+
+@query
+def q_word_stats(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text").select(C.word_count(F.col("text")).alias("w"))
+    return C.length_stats(d, F.col("w"), "words")
+
+
+# ---------------------------------------------------------------- 7 vocab
+def doc_char_vocab(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    return V.char_vocab(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def q_char_vocab(spark, sf_dir):
+    return doc_char_vocab(spark, sf_dir)
+
+
+@query
+def q_union_vocab(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    texts = documents(spark, sf_dir, "text").unionByName(read_table(spark, sf_dir, "benchmark", "text"))
+    return V.char_vocab(texts)
+
+
+@query
+def q_char_encode(spark, sf_dir):
+    """J1 + T3 strict encode of the held-out benchmark with the corpus vocabulary."""
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    first = b.agg(F.min("item_id").alias("_first"))
+    t = b.crossJoin(F.broadcast(first)).select(
+        "item_id", F.when(F.col("item_id") == F.col("_first"), F.col("text")).otherwise(F.concat(F.lit("\n"), "text")).alias("t")
+    )
+    ids = V.encode_chars_array(F.col("t"), stoi)
+    e = t.select("item_id", ids.alias("ids"))
+    return e.select(
+        "item_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("id_sum"),
+        F.size(F.filter("ids", lambda x: x.isNull())).cast("long").alias("n_unknown"),
+    )
+
+
+@query
+def q_decode(spark, sf_dir):
+    """J3 + J7 + C15 + U3: encode, nest in chunks, flatten, decode, drop specials but SEP."""
+    vocab = doc_char_vocab(spark, sf_dir)
+    stoi = V.vocab_dict(vocab)
+    itos = F.create_map(*[x for k, v in sorted(stoi.items()) for x in (F.lit(v), F.lit(k))])
+    d = documents(spark, sf_dir, "doc_id", "text")
+    e = d.select("doc_id", "text", V.encode_chars_array(F.col("text"), stoi).alias("ids"))
+    chunks = F.floor(F.greatest(F.size("ids") - 1, F.lit(0)) / 64).cast("int")
+    nested = e.select("doc_id", "text", F.transform(F.sequence(F.lit(0), chunks), lambda i: F.slice("ids", i * 64 + 1, 64)).alias("nested"))
+    dec = nested.select("doc_id", "text", F.array_join(F.transform(F.flatten("nested"), lambda i: F.element_at(itos, i)), "").alias("dec"))
+    specials = [v for k, v in X.SPECIAL_TOKEN_MAP.items() if k != "\n\n<STANZA>\n\n"]
+    sk = dec.select("doc_id", (F.col("dec") == F.col("text")).alias("round_trip"), X.remove_specials(X.strip_char_rhyme_prefix(F.col("dec")), specials).alias("sk"))
+    return sk.select("doc_id", "round_trip", F.length("sk").cast("long").alias("decoded_chars"), F.md5("sk").alias("decoded_md5"))
+
+
+@query
+def q_token_id_lookup(spark, sf_dir):
+    vocab = doc_char_vocab(spark, sf_dir)
+    words = read_table(spark, sf_dir, "benchmark", "text").select(
+        F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("token")
+    ).distinct()
+    return V.token_id(words, vocab).select("token", F.col("id").cast("int").alias("id"))
+
+
+def doc_split(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    return V.train_val_split(documents(spark, sf_dir, "doc_id", "text"), "doc_id")
+
+
+@query
+def q_split_tokens(spark, sf_dir):
+    s = doc_split(spark, sf_dir)
+    return s.groupBy("split").agg(
+        F.count(F.lit(1)).cast("long").alias("n_docs"),
+        (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).cast("long").alias("n_tokens"),
+    )
+
+
+# ---------------------------------------------------------------- 8 pack
+def train_stream(spark, sf_dir):
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    tr = doc_split(spark, sf_dir).where(F.col("split") == "train")
+    ids = V.encode_chars_array(F.col("text"), stoi)
+    docs = tr.select("rank", P.with_separator(ids, F.col("rank"), F.lit(stoi["\n"])).alias("ids"))
+    return P.stream_tokens(docs)
+
+
+@query
+def q_pack_blocks(spark, sf_dir):
+    tokens = train_stream(spark, sf_dir).cache()
+    n = tokens.count()
+    return P.pack_blocks(tokens, n, BATCH, BLOCK)
+
+
+def encoded_docs(spark, sf_dir):
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    d = documents(spark, sf_dir, "doc_id", "text")
+    return d.select("doc_id", V.encode_chars_array(F.col("text"), stoi).alias("ids")), len(stoi)
+
+
+@query
+def q_next_token_pairs(spark, sf_dir):
+    docs, _ = encoded_docs(spark, sf_dir)
+    return P.next_token_pairs(docs).select(
+        F.col("id").cast("int").alias("id"), F.col("next_id").cast("int").alias("next_id"), "n"
+    )
+
+
+# ---------------------------------------------------------------- 10 LM
+def bigram(spark, sf_dir):
+    docs, vsize = encoded_docs(spark, sf_dir)
+    return LM.bigram_model(P.next_token_pairs(docs), vsize), vsize
+
+
+@query
+def q_ngram_model(spark, sf_dir):
+    m, _ = bigram(spark, sf_dir)
+    return m.select(
+        F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"), "n",
+        F.col("ctx_n").cast("long").alias("ctx_n"), F.round("p", 6).alias("p"),
+    )
+
+
+@query
+def q_doc_perplexity(spark, sf_dir):
+    """L2 + L3 + A14 on the held-out benchmark (unknown characters dropped, J2)."""
+    m, vsize = bigram(spark, sf_dir)
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    ids = F.filter(V.encode_chars_array(F.col("text"), stoi), lambda x: x.isNotNull())
+    pairs = b.select(
+        "item_id", F.explode(F.arrays_zip(ids.alias("ctx"), F.slice(ids, 2, 1 << 30).alias("token"))).alias("p")
+    ).select("item_id", F.col("p.ctx").alias("ctx"), F.col("p.token").alias("token")).where(F.col("token").isNotNull())
+    nll = LM.pair_nll(pairs, m, vsize)
+    per = nll.groupBy("item_id").agg(F.count(F.lit(1)).cast("long").alias("n_pairs"), F.avg("nll").alias("loss"))
+    return per.select("item_id", "n_pairs", F.round("loss", 6).alias("loss"), F.round(F.exp("loss"), 6).alias("perplexity"))
+
+
+def logits(spark, sf_dir):
+    m, _ = bigram(spark, sf_dir)
+    return m.select("ctx", "token", F.log(F.col("n").cast("double")).alias("logit"))
+
+
+@query
+def q_softmax_t(spark, sf_dir):
+    d = LM.softmax_t(logits(spark, sf_dir), TEMPERATURE)
+    return d.select(F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"), F.round("prob", 6).alias("prob"))
+
+
+@query
+def q_top_k(spark, sf_dir):
+    d = LM.top_k(logits(spark, sf_dir), TOP_K)
+    return d.select(F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"))
+
+
+@query
+def q_top_p(spark, sf_dir):
+    d = LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P)
+    return d.select(F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"), F.round("prob", 6).alias("prob"))
+
+
+@query
+def q_draw(spark, sf_dir):
+    """K4: one draw per benchmark item from the truncated distribution of its first character."""
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    iv = LM.intervals(LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P))
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    first = F.element_at(V.encode_chars_array(F.substring("text", 1, 1), stoi), 1)
+    samples = b.select(F.col("item_id").alias("sample_id"), first.alias("ctx"), LM.uniform(F.col("item_id"), F.lit(0)).alias("u"))
+    out = LM.draw(samples.where(F.col("ctx").isNotNull()), iv)
+    return out.select(F.col("sample_id").alias("item_id"), F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"))

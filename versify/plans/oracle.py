@@ -369,3 +369,254 @@ def report_sql(src: str) -> str:
 @sql("evaluation_report")
 def _():
     return evaluate_sql() + ",\n" + report_sql("m")
+
+
+# ---------------------------------------------------------------- 6 corpus
+BUDGET = 200_000
+CORPUS_CTE = """cp AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS identifier, source AS creator,
+                  concat_ws('-', lang, CAST(doc_id AS VARCHAR)) AS title,
+                  CAST(1780 + doc_id % 60 AS INTEGER) AS publication_date, text,
+                  CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS word_count FROM documents),
+    cf AS (SELECT * FROM cp WHERE publication_date IS NOT NULL AND publication_date >= 1791
+           AND text IS NOT NULL AND text <> '' AND coalesce(word_count, 0) <> 0)"""
+BUDGET_CTE = (
+    CORPUS_CTE
+    + f""",
+    cs AS (SELECT *, coalesce(sum(word_count) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                     AS words_before FROM cf),
+    kept AS (SELECT *, least(word_count, {BUDGET} - words_before) AS increment FROM cs WHERE words_before < {BUDGET})"""
+)
+
+
+@sql("corpus_filter")
+def _():
+    return f"""WITH {CORPUS_CTE}
+    SELECT identifier, creator, title, publication_date, word_count, md5(text) AS text_md5 FROM cf"""
+
+
+@sql("word_budget")
+def _():
+    return f"""WITH {BUDGET_CTE}
+    SELECT doc_id, CAST(word_count AS BIGINT) AS word_count, CAST(words_before AS BIGINT) AS words_before,
+           CAST(increment AS BIGINT) AS increment FROM kept"""
+
+
+@sql("year_counts")
+def _():
+    return f"""WITH {BUDGET_CTE}
+    SELECT publication_date, CAST(count(*) AS BIGINT) AS n FROM kept GROUP BY publication_date"""
+
+
+@sql("corpus_metadata")
+def _():
+    return f"""WITH {BUDGET_CTE}
+    SELECT 'documents' AS dataset_name, CAST(sum(increment) AS BIGINT) AS total_words,
+           CAST(count(DISTINCT publication_date) AS BIGINT) AS n_years, CAST(count(*) AS BIGINT) AS n_docs FROM kept"""
+
+
+def special_chars(e: str) -> str:
+    for k, v in X.SPECIAL_TOKEN_MAP.items():
+        e = f"replace({e}, {q(k)}, {q(v)})"
+    return e
+
+
+@sql("corpus_stats")
+def _():
+    return f"""SELECT CAST(count(*) AS BIGINT) AS documents, round(avg(n), 6) AS mean_chars, CAST(sum(n + 1) AS BIGINT) AS total_chars
+    FROM (SELECT length({special_chars('text')}) AS n FROM documents)"""
+
+
+@sql("word_stats")
+def _():
+    return """SELECT round(avg(w), 6) AS words_mean, round(CAST(median(w) AS DOUBLE), 6) AS words_median,
+           CAST(min(w) AS BIGINT) AS words_min, CAST(max(w) AS BIGINT) AS words_max, round(stddev_pop(w), 6) AS words_std
+    FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS w FROM documents)"""
+
+
+# ---------------------------------------------------------------- 7 vocab
+def char_vocab_cte(texts_sql: str, name: str = "cv") -> str:
+    return f"""{name} AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS id FROM (
+        SELECT DISTINCT unnest(string_split({special_chars('text')}, '')) AS token FROM ({texts_sql})
+        UNION SELECT chr(10)) WHERE token <> '')"""
+
+
+DOC_VOCAB = char_vocab_cte("SELECT text FROM documents")
+
+
+@sql("char_vocab")
+def _():
+    return f"WITH {DOC_VOCAB} SELECT token, id FROM cv"
+
+
+@sql("union_vocab")
+def _():
+    return f"WITH {char_vocab_cte('SELECT text FROM documents UNION ALL SELECT text FROM benchmark')} SELECT token, id FROM cv"
+
+
+@sql("char_encode")
+def _():
+    return f"""WITH {DOC_VOCAB},
+    b AS (SELECT item_id, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN text ELSE chr(10) || text END AS t
+          FROM benchmark),
+    ch AS (SELECT item_id, unnest(list_filter(string_split(t, ''), lambda c: c <> '')) AS token FROM b),
+    e AS (SELECT item_id, count(*) AS n, sum(id) AS s, count(id) AS k FROM ch LEFT JOIN cv USING (token) GROUP BY item_id)
+    SELECT b.item_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(e.s, 0) AS BIGINT) AS id_sum,
+           CAST(coalesce(e.n - e.k, 0) AS BIGINT) AS n_unknown
+    FROM b LEFT JOIN e USING (item_id)"""
+
+
+@sql("decode")
+def _():
+    specials = [v for k, v in X.SPECIAL_TOKEN_MAP.items() if k != "\n\n<STANZA>\n\n"]
+    sk = f"regexp_replace(dec, {q(X.RHYME_MARKING_CHAR)}, '', 'g')"
+    for s_ in specials:
+        sk = f"replace({sk}, {q(s_)}, '')"
+    return f"""WITH {DOC_VOCAB},
+    ch AS (SELECT doc_id, unnest(list_filter(string_split(text, ''), lambda c: c <> '')) AS token,
+                  generate_subscripts(list_filter(string_split(text, ''), lambda c: c <> ''), 1) AS i FROM documents),
+    dd AS (SELECT doc_id, string_agg(token, '' ORDER BY i) AS dec FROM ch JOIN cv USING (token) GROUP BY doc_id),
+    d2 AS (SELECT d.doc_id, d.text, coalesce(dd.dec, '') AS dec FROM documents d LEFT JOIN dd USING (doc_id)),
+    d3 AS (SELECT doc_id, dec = text AS round_trip, {sk} AS sk FROM d2)
+    SELECT doc_id, round_trip, CAST(length(sk) AS BIGINT) AS decoded_chars, md5(sk) AS decoded_md5 FROM d3"""
+
+
+@sql("token_id_lookup")
+def _():
+    return f"""WITH {DOC_VOCAB},
+    w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\S+')) AS token FROM benchmark)
+    SELECT w.token, CAST(coalesce(cv.id, -1) AS INTEGER) AS id FROM w LEFT JOIN cv USING (token)"""
+
+
+SPLIT_CTE = """sp0 AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR))) AS rank,
+                    count(*) OVER () AS n FROM documents),
+    sp AS (SELECT *, CASE WHEN rank <= CAST(floor(0.9 * n) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM sp0)"""
+
+
+@sql("split_tokens")
+def _():
+    return f"""WITH {SPLIT_CTE}
+    SELECT split, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS n_tokens
+    FROM sp GROUP BY split"""
+
+
+# ---------------------------------------------------------------- 8 pack
+BATCH, BLOCK = 4, 64
+
+
+@sql("pack_blocks")
+def _():
+    bt = BATCH * BLOCK
+    return f"""WITH {DOC_VOCAB}, {SPLIT_CTE},
+    tr AS (SELECT rank, CASE WHEN rank > 1 THEN chr(10) || text ELSE text END AS t FROM sp WHERE split = 'train'),
+    tc AS (SELECT rank, unnest(list_filter(string_split(t, ''), lambda c: c <> '')) AS token,
+                  generate_subscripts(list_filter(string_split(t, ''), lambda c: c <> ''), 1) AS i FROM tr),
+    ln AS (SELECT rank, count(*) AS len FROM tc GROUP BY rank),
+    st AS (SELECT rank, coalesce(sum(len) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ln),
+    tk AS (SELECT st.start + tc.i - 1 AS pos, cv.id FROM tc JOIN st USING (rank) LEFT JOIN cv USING (token)),
+    nn AS (SELECT CASE WHEN count(*) >= {bt + 1} THEN (count(*) - 1) // {bt} ELSE 0 END * {bt} AS lim FROM tk),
+    cells AS (
+      SELECT pos // {bt} AS batch_no, (pos % {bt}) // {BLOCK} AS row_no, pos % {BLOCK} AS col, id, 'x' AS role
+      FROM tk WHERE pos < (SELECT lim FROM nn)
+      UNION ALL
+      SELECT (pos - 1) // {bt}, ((pos - 1) % {bt}) // {BLOCK}, (pos - 1) % {BLOCK}, id, 'y'
+      FROM tk WHERE pos - 1 >= 0 AND pos - 1 < (SELECT lim FROM nn))
+    SELECT CAST(batch_no AS BIGINT) AS batch_no, CAST(row_no AS BIGINT) AS row_no,
+           CAST(sum(id) FILTER (WHERE role = 'x') AS BIGINT) AS x_sum,
+           CAST(sum(id) FILTER (WHERE role = 'y') AS BIGINT) AS y_sum,
+           CAST(max(id) FILTER (WHERE role = 'x' AND col = 0) AS BIGINT) AS x_first,
+           CAST(max(id) FILTER (WHERE role = 'y' AND col = {BLOCK - 1}) AS BIGINT) AS y_last,
+           CAST(count(*) AS BIGINT) AS cells
+    FROM cells GROUP BY batch_no, row_no"""
+
+
+DOC_IDS_CTE = """dc AS (SELECT doc_id, unnest(list_filter(string_split(text, ''), lambda c: c <> '')) AS token,
+                   generate_subscripts(list_filter(string_split(text, ''), lambda c: c <> ''), 1) AS i FROM documents),
+    di AS (SELECT doc_id, i, id FROM dc JOIN cv USING (token)),
+    dp AS (SELECT id, lead(id) OVER (PARTITION BY doc_id ORDER BY i) AS next_id FROM di),
+    pairs AS (SELECT id, next_id, count(*) AS n FROM dp WHERE next_id IS NOT NULL GROUP BY id, next_id),
+    vs AS (SELECT count(*) AS v FROM cv),
+    model AS (SELECT id AS ctx, next_id AS token, n, sum(n) OVER (PARTITION BY id) AS ctx_n FROM pairs)"""
+
+
+@sql("next_token_pairs")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}
+    SELECT CAST(id AS INTEGER) AS id, CAST(next_id AS INTEGER) AS next_id, CAST(n AS BIGINT) AS n FROM pairs"""
+
+
+# ---------------------------------------------------------------- 10 LM
+TEMPERATURE, TOP_K, TOP_P = 0.8, 20, 0.9
+
+
+@sql("ngram_model")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}
+    SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, CAST(n AS BIGINT) AS n,
+           CAST(ctx_n AS BIGINT) AS ctx_n, round((n + 1.0) / (ctx_n + (SELECT v FROM vs)), 6) AS p FROM model"""
+
+
+@sql("doc_perplexity")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE},
+    bc AS (SELECT item_id, unnest(list_filter(string_split(text, ''), lambda c: c <> '')) AS token,
+                  generate_subscripts(list_filter(string_split(text, ''), lambda c: c <> ''), 1) AS i FROM benchmark),
+    bi AS (SELECT item_id, i, id FROM bc JOIN cv USING (token)),
+    bp AS (SELECT item_id, id AS ctx, lead(id) OVER (PARTITION BY item_id ORDER BY i) AS token FROM bi),
+    ctxn AS (SELECT DISTINCT ctx, ctx_n FROM model),
+    nl AS (SELECT bp.item_id, -ln((coalesce(m.n, 0) + 1.0) / (coalesce(c.ctx_n, 0) + (SELECT v FROM vs))) AS nll
+           FROM bp LEFT JOIN model m ON bp.ctx = m.ctx AND bp.token = m.token LEFT JOIN ctxn c ON bp.ctx = c.ctx
+           WHERE bp.token IS NOT NULL)
+    SELECT item_id, CAST(count(*) AS BIGINT) AS n_pairs, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity
+    FROM nl GROUP BY item_id"""
+
+
+LOGITS = "lg AS (SELECT ctx, token, ln(CAST(n AS DOUBLE)) AS logit FROM model)"
+
+
+def truncated_ctes() -> str:
+    return f"""{LOGITS},
+    z0 AS (SELECT ctx, token, logit / {TEMPERATURE} AS logit FROM lg),
+    z1 AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY ctx ORDER BY logit DESC) AS r FROM z0) WHERE r <= {TOP_K}),
+    z2 AS (SELECT ctx, token, logit, exp(logit - max(logit) OVER (PARTITION BY ctx)) AS e FROM z1),
+    z3 AS (SELECT ctx, token, logit, e / sum(e) OVER (PARTITION BY ctx) AS prob FROM z2),
+    z4 AS (SELECT *, prob / sum(prob) OVER (PARTITION BY ctx) AS qn FROM z3),
+    z5 AS (SELECT *, round(coalesce(sum(qn) OVER (PARTITION BY ctx ORDER BY logit DESC, token ASC
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 9) AS before FROM z4),
+    z6 AS (SELECT ctx, token, logit, exp(logit - max(logit) OVER (PARTITION BY ctx)) AS e FROM z5 WHERE before <= {TOP_P}),
+    tp AS (SELECT ctx, token, logit, e / sum(e) OVER (PARTITION BY ctx) AS prob FROM z6)"""
+
+
+@sql("softmax_t")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}, {LOGITS},
+    z AS (SELECT ctx, token, logit / {TEMPERATURE} AS z FROM lg),
+    e AS (SELECT ctx, token, exp(z - max(z) OVER (PARTITION BY ctx)) AS e FROM z)
+    SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, round(e / sum(e) OVER (PARTITION BY ctx), 6) AS prob FROM e"""
+
+
+@sql("top_k")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}, {LOGITS}
+    SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token FROM (
+      SELECT *, rank() OVER (PARTITION BY ctx ORDER BY logit DESC) AS r FROM lg) WHERE r <= {TOP_K}"""
+
+
+@sql("top_p")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}, {truncated_ctes()}
+    SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, round(prob, 6) AS prob FROM tp"""
+
+
+@sql("draw")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}, {truncated_ctes()},
+    iv AS (SELECT ctx, token, round(hi, 9) AS hi, round(hi - prob, 9) AS lo FROM (
+             SELECT *, sum(prob) OVER (PARTITION BY ctx ORDER BY logit DESC, token ASC
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM tp)),
+    lastt AS (SELECT ctx, arg_max(token, hi) AS last_token FROM iv GROUP BY ctx),
+    s AS (SELECT b.item_id, cv.id AS ctx,
+                 CAST(('0x' || substr(md5('42:' || CAST(b.item_id AS VARCHAR) || ':0'), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+          FROM benchmark b JOIN cv ON cv.token = substring(b.text, 1, 1)),
+    hit AS (SELECT s.item_id, min(iv.token) AS token FROM s JOIN iv ON s.ctx = iv.ctx AND s.u >= iv.lo AND s.u < iv.hi GROUP BY s.item_id)
+    SELECT s.item_id, CAST(s.ctx AS INTEGER) AS ctx, CAST(coalesce(hit.token, lastt.last_token) AS INTEGER) AS token
+    FROM s LEFT JOIN hit USING (item_id) LEFT JOIN lastt ON s.ctx = lastt.ctx"""
