@@ -520,3 +520,142 @@ def q_draw(spark, sf_dir):
     samples = b.select(F.col("item_id").alias("sample_id"), first.alias("ctx"), LM.uniform(F.col("item_id"), F.lit(0)).alias("u"))
     out = LM.draw(samples.where(F.col("ctx").isNotNull()), iv)
     return out.select(F.col("sample_id").alias("item_id"), F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"))
+
+
+# ---------------------------------------------------------------- 11 chat / fine-tune
+from versify.functions import html as H  # noqa: E402
+from versify.operators import runlog as RL  # noqa: E402
+
+
+def render_turn(role: F.Column, text: F.Column) -> F.Column:
+    """ChatML block of one message."""
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+
+
+def chat_texts(spark, sf_dir):
+    """C20 + V3: one ChatML string per conversation, messages in turn order."""
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    msgs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", render_turn(F.col("role"), F.col("text")).alias("r")))).alias("m"))
+    return msgs.select("conv_id", F.size("m").cast("long").alias("n_turns"), F.array_join(F.transform("m", lambda x: x["r"]), "").alias("text"))
+
+
+@query
+def q_chat_template(spark, sf_dir):
+    t = chat_texts(spark, sf_dir)
+    return t.select("conv_id", "n_turns", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def q_chat_lengths(spark, sf_dir):
+    """A4 + V4: length column (whitespace tokens) then max, int median, int mean, over-limit count."""
+    t = chat_texts(spark, sf_dir).withColumn("len", C.word_count(F.col("text")))
+    return t.agg(
+        F.max("len").cast("long").alias("max_len"),
+        F.median("len").cast("long").alias("median_len"),
+        F.avg("len").cast("long").alias("mean_len"),
+        F.sum((F.col("len") > 512).cast("long")).cast("long").alias("over_limit"),
+    )
+
+
+@query
+def q_finetune_records(spark, sf_dir):
+    """C18 + C19 (+ S7 layout): file name ``N. [lang-doc].txt`` -> title -> record."""
+    v = verse(spark, sf_dir)
+    fname = F.concat(F.col("poem_no").cast("string"), F.lit(". ["), F.col("lang"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("].txt"))
+    t = v.select("doc_id", "poem_no", "text", X.finetune_title(fname).alias("title"))
+    rec = X.finetune_record(F.col("title"), F.col("text"))
+    return t.select("doc_id", "poem_no", "title", F.md5(rec).alias("record_md5"))
+
+
+# ---------------------------------------------------------------- 12 pages
+LINK_LIMIT = 5
+
+
+def pages(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+
+
+@query
+def q_page_links(spark, sf_dir):
+    """H1 + H2 + K8: anchors in page order, the first skipped, at most LINK_LIMIT kept per page."""
+    p = pages(spark, sf_dir).select("page_id", F.posexplode(H.links(F.col("html"))).alias("pos", "href"))
+    return p.where((F.col("pos") >= 1) & (F.col("pos") <= LINK_LIMIT) & F.col("href").contains("/")).select(
+        "page_id", F.col("pos").cast("long").alias("link_no"), "href"
+    )
+
+
+@query
+def q_url_normalize(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.normalize_url(F.col("url")).alias("clean_url"))
+
+
+@query
+def q_page_titles(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return p.select("page_id", H.page_title(F.col("html"), H.normalize_url(F.col("url"))).alias("title"))
+
+
+def page_verses(p: DataFrame, style_re: str | None = None) -> DataFrame:
+    """H6 + H7 + H8: verse paragraphs -> cleaned text -> validate, else repair, flag."""
+    paras = p.select("page_id", "url", "html", F.transform(H.paragraphs(F.col("html"), style_re), H.paragraph_text).alias("_pt"))
+    verses = paras.select(
+        "page_id", "url", "html",
+        F.array_join(F.transform(F.filter("_pt", lambda t: t != ""), X.clean_verse), "\n\n").alias("_full"),
+        F.size(F.filter("_pt", lambda t: t != "")).cast("long").alias("n_paragraphs"),
+    )
+    fixed = verses.withColumn("_fixed", X.fix_merged_lines(F.col("_full")))
+    ok = S.validate_structure(F.col("_full"))
+    ok_fixed = S.validate_structure(F.col("_fixed"))
+    return fixed.select(
+        "page_id", "url", "html", "n_paragraphs",
+        F.when(ok, F.col("_full")).when(ok_fixed, F.col("_fixed")).otherwise(F.col("_full")).alias("text"),
+        (ok | ok_fixed).alias("is_valid"),
+        (~ok & ok_fixed).alias("repaired"),
+    )
+
+
+@query
+def q_page_verses(spark, sf_dir):
+    v = page_verses(pages(spark, sf_dir))
+    return v.select("page_id", "n_paragraphs", "is_valid", "repaired", F.md5("text").alias("text_md5"))
+
+
+@query
+def q_safe_names(spark, sf_dir):
+    v = page_verses(pages(spark, sf_dir))
+    title = H.page_title(F.col("html"), H.normalize_url(F.col("url")))
+    return v.select("page_id", H.safe_filename(title, F.col("is_valid")).alias("filename"))
+
+
+@query
+def q_page_status(spark, sf_dir):
+    v = page_verses(pages(spark, sf_dir))
+    st = F.when(F.col("is_valid"), F.lit("OK")).otherwise(F.lit("REVIEW"))
+    return v.groupBy(st.alias("status")).agg(F.count(F.lit(1)).cast("long").alias("pages"))
+
+
+# ---------------------------------------------------------------- 13 run log
+EVAL_EVERY, PATIENCE, LOG_EVERY = 5, 15, 10
+
+
+def run_steps(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    return RL.ordered_steps(e)
+
+
+@query
+def q_best_step(spark, sf_dir):
+    b = RL.best_step(RL.eval_rows(run_steps(spark, sf_dir), EVAL_EVERY))
+    return b.select(F.col("user_id").alias("run_id"), "best_step", F.round("best_loss", 6).alias("best_loss"), "n_evals")
+
+
+@query
+def q_early_stop(spark, sf_dir):
+    s = RL.early_stop(RL.eval_rows(run_steps(spark, sf_dir), EVAL_EVERY), EVAL_EVERY, PATIENCE)
+    return s.select(F.col("user_id").alias("run_id"), F.col("stop_step").cast("long").alias("stop_step"), F.col("best_step").cast("long").alias("best_step"))
+
+
+@query
+def q_throughput(spark, sf_dir):
+    t = RL.throughput(run_steps(spark, sf_dir), LOG_EVERY, BATCH * BLOCK)
+    return t.select(F.col("user_id").alias("run_id"), "step", "dt_ms", "tokens_per_s")

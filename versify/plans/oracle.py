@@ -620,3 +620,196 @@ def _():
     hit AS (SELECT s.item_id, min(iv.token) AS token FROM s JOIN iv ON s.ctx = iv.ctx AND s.u >= iv.lo AND s.u < iv.hi GROUP BY s.item_id)
     SELECT s.item_id, CAST(s.ctx AS INTEGER) AS ctx, CAST(coalesce(hit.token, lastt.last_token) AS INTEGER) AS token
     FROM s LEFT JOIN hit USING (item_id) LEFT JOIN lastt ON s.ctx = lastt.ctx"""
+
+
+# ---------------------------------------------------------------- 11 chat / fine-tune
+CHAT_CTE = """ch AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+                   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+            FROM conversations GROUP BY conv_id)"""
+
+
+@sql("chat_template")
+def _():
+    return f"""WITH {CHAT_CTE}
+    SELECT conv_id, n_turns, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM ch"""
+
+
+@sql("chat_lengths")
+def _():
+    return f"""WITH {CHAT_CTE}, l AS (SELECT len(regexp_extract_all(text, '\\S+')) AS len FROM ch)
+    SELECT CAST(max(len) AS BIGINT) AS max_len, CAST(trunc(median(len)) AS BIGINT) AS median_len,
+           CAST(trunc(avg(len)) AS BIGINT) AS mean_len, CAST(sum(CAST(len > 512 AS BIGINT)) AS BIGINT) AS over_limit FROM l"""
+
+
+@sql("finetune_records")
+def _():
+    pat = "'\\d{1,}\\.\\s(.*)\\.'"
+    title = (
+        f"CASE WHEN regexp_matches(fname, {pat}) THEN "
+        f"regexp_replace(regexp_extract(fname, {pat}, 1), '^[\\]\\[»]+|[\\]\\[»]+$', '', 'g') END"
+    )
+    return f"""{WITH_VERSE},
+    f AS (SELECT doc_id, poem_no, text, CAST(poem_no AS VARCHAR) || '. [' || lang || '-' || CAST(doc_id AS VARCHAR) || '].txt' AS fname FROM verse),
+    t AS (SELECT doc_id, poem_no, text, {title} AS title FROM f)
+    SELECT doc_id, poem_no, title, md5('<TITLE>' || title || {NL} || {NL} || {strip('text')}) AS record_md5 FROM t"""
+
+
+# ---------------------------------------------------------------- 12 pages
+from versify.functions import html as H  # noqa: E402
+
+WS = "[\\s\\x{a0}]"
+
+
+def unescape(e: str) -> str:
+    for k, v in H.ENTITIES:
+        e = f"replace({e}, {q(k)}, {q(v)})"
+    return e
+
+
+def visible_text(e: str, sep: str) -> str:
+    t = f"regexp_replace({e}, '(?is)<sup(?:\\s[^>]*)?>.*?</sup>', '', 'g')"
+    t = unescape(f"regexp_replace({t}, '<[^>]*>', {q(sep)}, 'g')")
+    return strip(f"regexp_replace({t}, '{WS}+', ' ', 'g')")
+
+
+def normalize_url(e: str) -> str:
+    t = f"regexp_replace({e}, '[?#].*$', '')"
+    t = f"regexp_replace({t}, '^[A-Za-z][A-Za-z0-9+.-]*://', 'https://')"
+    return f"regexp_replace({t}, '(?i)/_(\\w+).HTM$', '/__\\1.HTM')"
+
+
+def page_title(html: str, url: str) -> str:
+    paras = f"regexp_extract_all({html}, {q(H.PARA_RE)}, 1)"
+    a = f"(list_filter(list_transform({paras}, lambda p: {visible_text('p', ' ')}), lambda t: regexp_matches(t, '^\\d+\\.\\s')))[1]"
+    items = f"list_filter(regexp_extract_all({html}, {q(H.LI_RE)}, 1), lambda x: NOT regexp_matches(x, '(?i)<ul'))"
+    hit = f"(list_filter(list_transform({items}, lambda x: {visible_text('x', '')}), lambda t: contains(t, ' . ')))[1]"
+    b = f"CASE WHEN {hit} IS NOT NULL THEN substring({hit}, 1, instr({hit}, ' . ') - 1) || '. ' || substring({hit}, instr({hit}, ' . ') + 3) END"
+    return f"coalesce({a}, {b}, 'Unknown_Title_' || {normalize_url(url)})"
+
+
+def paragraph_text(p: str) -> str:
+    pieces = f"string_split_regex({p}, '(?i)</sup>')"
+    inner = f"regexp_extract(piece, '(?is)<sup(?:\\s[^>]*)?>(.*)$', 1)"
+    lifted = (
+        f"array_to_string(list_transform({pieces}, lambda piece, i: CASE WHEN i < len({pieces}) THEN "
+        f"regexp_replace(piece, '(?is)<sup(?:\\s[^>]*)?>.*$', '') || repeat('<br>', len(regexp_extract_all({inner}, '(?i)<br\\s*/?>'))) "
+        f"ELSE piece END), '')"
+    )
+    t = f"regexp_replace({lifted}, '(?i)<br\\s*/?>', ' ||BR|| ', 'g')"
+    t = unescape(f"regexp_replace({t}, '<[^>]*>', '', 'g')")
+    t = strip(f"regexp_replace({t}, '{WS}+', ' ', 'g')")
+    t = f"regexp_replace({t}, '^\\x{{a0}}+|\\x{{a0}}+$', '', 'g')"
+    return f"replace(replace({t}, ' ||BR|| ', {NL}), '||BR||', '')"
+
+
+def clean_verse(e: str) -> str:
+    t = f"replace(replace({e}, chr(13) || chr(10), ' '), chr(10) || chr(13), ' ')"
+    t = f"regexp_replace({t}, '\\n\\s{{4}}', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\(\\d{{1,2}}\\)', '', 'g')"
+    return f"array_to_string(list_transform(string_split({t}, {NL}), lambda l: {strip('l')}), {NL})"
+
+
+def fix_merged(e: str) -> str:
+    pat = "'^(.*?[:;,.?!])\\s+[A-Za-z]'"
+    head = f"regexp_extract(l, {pat}, 1)"
+    lines = f"list_transform(list_filter(string_split({e}, {NL}), lambda l: {strip('l')} <> ''), lambda l: {strip('l')})"
+    fixed = (
+        f"flatten(list_transform({lines}, lambda l: CASE WHEN length(l) > 65 AND regexp_matches(l, {pat}) "
+        f"THEN [{strip(head)}, {strip(f'substring(l, length({head}) + 1)')}] ELSE [l] END))"
+    )
+    return format_structure(fixed)
+
+
+def valid_structure(e: str) -> str:
+    return f"(array_to_string({block_counts(e)}, '-') IN {_in(S.CLOSED_STRUCTURES)})"
+
+
+PAGE_VERSES_CTE = f"""pv0 AS (SELECT page_id, url, html,
+                    list_transform(regexp_extract_all(html, {q(H.PARA_RE)}, 1), lambda p: {paragraph_text('p')}) AS pt FROM pages),
+    pv1 AS (SELECT page_id, url, html, CAST(len(list_filter(pt, lambda t: t <> '')) AS BIGINT) AS n_paragraphs,
+                   array_to_string(list_transform(list_filter(pt, lambda t: t <> ''), lambda t: {clean_verse('t')}), {NL} || {NL}) AS full_text
+            FROM pv0),
+    pv2 AS (SELECT *, {fix_merged('full_text')} AS fixed FROM pv1),
+    pv3 AS (SELECT *, {valid_structure('full_text')} AS ok, {valid_structure('fixed')} AS ok_fixed FROM pv2),
+    pv AS (SELECT page_id, url, html, n_paragraphs,
+                  CASE WHEN ok THEN full_text WHEN ok_fixed THEN fixed ELSE full_text END AS text,
+                  (ok OR ok_fixed) AS is_valid, (NOT ok AND ok_fixed) AS repaired FROM pv3)"""
+
+
+@sql("page_links")
+def _():
+    return f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, {q(H.HREF_RE)}, 1)) AS href,
+                        generate_subscripts(regexp_extract_all(html, {q(H.HREF_RE)}, 1), 1) - 1 AS pos FROM pages)
+    SELECT page_id, CAST(pos AS BIGINT) AS link_no, href FROM l WHERE pos >= 1 AND pos <= 5 AND contains(href, '/')"""
+
+
+@sql("url_normalize")
+def _():
+    return f"SELECT page_id, {normalize_url('url')} AS clean_url FROM pages"
+
+
+@sql("page_titles")
+def _():
+    return f"SELECT page_id, {page_title('html', 'url')} AS title FROM pages"
+
+
+@sql("page_verses")
+def _():
+    return f"WITH {PAGE_VERSES_CTE} SELECT page_id, n_paragraphs, is_valid, repaired, md5(text) AS text_md5 FROM pv"
+
+
+@sql("safe_names")
+def _():
+    name = strip("title")
+    name = f"replace(replace(replace({name}, '/', '-'), '\\', '-'), ':', ' - ')"
+    name = f"regexp_replace({name}, '[<>:\"|?*\\x00-\\x1F]', '', 'g')"
+    fname = f"CASE WHEN {name} = '' THEN 'untitled' ELSE {name} END || '.txt'"
+    return f"""WITH {PAGE_VERSES_CTE}, t AS (SELECT page_id, is_valid, {page_title('html', 'url')} AS title FROM pv)
+    SELECT page_id, CASE WHEN is_valid THEN {fname} ELSE '[CHECK] ' || {fname} END AS filename FROM t"""
+
+
+@sql("page_status")
+def _():
+    return f"""WITH {PAGE_VERSES_CTE}
+    SELECT CASE WHEN is_valid THEN 'OK' ELSE 'REVIEW' END AS status, CAST(count(*) AS BIGINT) AS pages FROM pv GROUP BY 1"""
+
+
+# ---------------------------------------------------------------- 13 run log
+EVAL_EVERY, PATIENCE, LOG_EVERY = 5, 15, 10
+STEPS_CTE = """st AS (SELECT user_id, event_id, ts, value,
+                   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
+                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts FROM events)"""
+
+
+@sql("best_step")
+def _():
+    return f"""WITH {STEPS_CTE}, ev AS (SELECT * FROM st WHERE step % {EVAL_EVERY} = 0),
+    m AS (SELECT user_id, min(value) AS best_loss, count(*) AS n_evals FROM ev GROUP BY user_id)
+    SELECT m.user_id AS run_id, CAST(min(ev.step) AS BIGINT) AS best_step, round(m.best_loss, 6) AS best_loss,
+           CAST(m.n_evals AS BIGINT) AS n_evals
+    FROM m JOIN ev ON ev.user_id = m.user_id AND ev.value = m.best_loss GROUP BY m.user_id, m.best_loss, m.n_evals"""
+
+
+@sql("early_stop")
+def _():
+    return f"""WITH {STEPS_CTE}, ev AS (SELECT * FROM st WHERE step % {EVAL_EVERY} = 0),
+    e1 AS (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev),
+    e2 AS (SELECT *, (before IS NULL OR value < before) AS improved FROM e1),
+    e3 AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM e2),
+    e4 AS (SELECT *, (row_number() OVER (PARTITION BY user_id, island ORDER BY step) - 1) * {EVAL_EVERY} AS since FROM e3),
+    stops AS (SELECT user_id, min(step) AS stop_step FROM e4 WHERE since >= {PATIENCE} GROUP BY user_id),
+    runs AS (SELECT DISTINCT user_id FROM e4),
+    ws AS (SELECT runs.user_id, stops.stop_step FROM runs LEFT JOIN stops USING (user_id)),
+    ba AS (SELECT e4.user_id, max(e4.step) AS best_step FROM e4 JOIN ws USING (user_id)
+           WHERE e4.improved AND (ws.stop_step IS NULL OR e4.step <= ws.stop_step) GROUP BY e4.user_id)
+    SELECT ws.user_id AS run_id, CAST(ws.stop_step AS BIGINT) AS stop_step, CAST(ba.best_step AS BIGINT) AS best_step
+    FROM ws LEFT JOIN ba USING (user_id)"""
+
+
+@sql("throughput")
+def _():
+    dt = "(epoch_us(ts) - epoch_us(prev_ts)) / 1000.0"
+    return f"""WITH {STEPS_CTE}
+    SELECT user_id AS run_id, CAST(step AS BIGINT) AS step, round({dt}, 3) AS dt_ms,
+           round({BATCH * BLOCK} * 1000.0 / nullif({dt}, 0), 6) AS tokens_per_s
+    FROM st WHERE step % {LOG_EVERY} = 0"""
