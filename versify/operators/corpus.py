@@ -99,13 +99,16 @@ def year_counts(kept: DataFrame) -> DataFrame:
 
 
 def corpus_metadata(kept: DataFrame, dataset_name: str) -> DataFrame:
-    """One row with total words, year -> count map and creation time."""
-    years = year_counts(kept)
-    total = kept.agg(F.sum("increment").cast("long").alias("total_words"))
-    ymap = years.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("publication_date", "n")))).alias("publication_years")
+    """One row with total words, year -> count map and creation time.
+    Per-year partial rows carry their word sums, so one global aggregate
+    yields both the total and the map."""
+    years = kept.groupBy("publication_date").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.sum("increment").cast("long").alias("w")
     )
-    return total.crossJoin(ymap).select(
+    return years.agg(
+        F.sum("w").cast("long").alias("total_words"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("publication_date", "n")))).alias("publication_years"),
+    ).select(
         F.lit(dataset_name).alias("dataset_name"),
         "total_words",
         "publication_years",

@@ -374,9 +374,9 @@ def q_char_encode(spark, sf_dir):
     """J1 + T3 strict encode of the held-out benchmark with the corpus vocabulary."""
     stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
     b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    first = b.agg(F.min("item_id").alias("_first"))
-    t = b.crossJoin(F.broadcast(first)).select(
-        "item_id", F.when(F.col("item_id") == F.col("_first"), F.col("text")).otherwise(F.concat(F.lit("\n"), "text")).alias("t")
+    first = b.agg(F.min("item_id")).first()[0]  # one scalar
+    t = b.select(
+        "item_id", F.when(F.col("item_id") == F.lit(first), F.col("text")).otherwise(F.concat(F.lit("\n"), "text")).alias("t")
     )
     ids = V.encode_chars_array(F.col("t"), stoi)
     e = t.select("item_id", ids.alias("ids"))
@@ -659,3 +659,64 @@ def q_early_stop(spark, sf_dir):
 def q_throughput(spark, sf_dir):
     t = RL.throughput(run_steps(spark, sf_dir), LOG_EVERY, BATCH * BLOCK)
     return t.select(F.col("user_id").alias("run_id"), "step", "dt_ms", "tokens_per_s")
+
+
+# ---------------------------------------------------------------- 9 subword
+from versify.operators import bpe as BPE  # noqa: E402
+
+N_MERGES = 8
+
+
+@query
+def q_pretokenize(spark, sf_dir):
+    """T1 + T2: pre-tokenized word frequencies of the corpus."""
+    return BPE.word_table(documents(spark, sf_dir, "text")).select("word", "freq")
+
+
+@query
+def q_bpe_pairs(spark, sf_dir):
+    return BPE.pair_counts(BPE.word_table(documents(spark, sf_dir, "text")))
+
+
+def trained_bpe(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    return BPE.train_bpe(documents(spark, sf_dir, "text"), N_MERGES)
+
+
+@query
+def q_bpe_train(spark, sf_dir):
+    _, merges = trained_bpe(spark, sf_dir)
+    return spark.createDataFrame(merges, "rank int, left string, right string, count long").select(
+        F.col("rank").cast("long").alias("rank"), "left", "right", "count"
+    )
+
+
+@query
+def q_bpe_encode(spark, sf_dir):
+    _, merges = trained_bpe(spark, sf_dir)
+    return BPE.doc_token_counts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", merges)
+
+
+@query
+def q_bpe_decode(spark, sf_dir):
+    """T6 + T10: decode the merged symbols of every word back to text; a
+    document round-trips when its decoded words equal its pre-tokenized words."""
+    _, merges = trained_bpe(spark, sf_dir)
+    vocab_size = len(BPE.SUBWORD_SPECIALS) + 256 + len(merges)
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", BPE.pretokenize(F.col("text")).alias("w"))
+    dec = F.transform(
+        "w",
+        lambda x: F.when(x.isin(*BPE.SUBWORD_SPECIALS), x).otherwise(BPE.from_symbols(BPE.apply_merges(BPE.to_symbols(x), merges))),
+    )
+    return d.select(
+        "doc_id",
+        (F.array_join(dec, "") == F.array_join("w", "")).alias("round_trip"),
+        F.lit(vocab_size).cast("long").alias("vocab_size"),
+    )
+
+
+@query
+def q_token_stats(spark, sf_dir):
+    _, merges = trained_bpe(spark, sf_dir)
+    counts = BPE.doc_token_counts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", merges)
+    return C.length_stats(counts, F.col("n_tokens"), "tokens")

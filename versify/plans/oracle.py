@@ -813,3 +813,114 @@ def _():
     SELECT user_id AS run_id, CAST(step AS BIGINT) AS step, round({dt}, 3) AS dt_ms,
            round({BATCH * BLOCK} * 1000.0 / nullif({dt}, 0), 6) AS tokens_per_s
     FROM st WHERE step % {LOG_EVERY} = 0"""
+
+
+# ---------------------------------------------------------------- 9 subword
+from versify.operators import bpe as BPE  # noqa: E402
+
+N_MERGES = 8
+_SPECIAL_ALT = "|".join(BPE.SUBWORD_SPECIALS)
+
+
+def pretokenize(e: str) -> str:
+    """GPT-2 split without look-ahead: a marker before the last blank of every
+    blank run that precedes a non-blank reproduces ``\\s+(?!\\S)``."""
+    marked = e
+    for s_ in BPE.SUBWORD_SPECIALS:
+        marked = f"replace({marked}, {q(s_)}, chr(2) || {q(s_)} || chr(2))"
+    pieces = f"list_filter(string_split({marked}, chr(2)), lambda p: p <> '')"
+    pat = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}\\x01]+|\\s+"
+    piece = (
+        f"CASE WHEN p IN {_in(BPE.SUBWORD_SPECIALS)} THEN [p] ELSE regexp_extract_all("
+        f"regexp_replace(CASE WHEN starts_with(p, ' ') THEN p ELSE ' ' || p END, '(\\s*)(\\s)(\\S)', '\\1' || chr(1) || '\\2\\3', 'g'), "
+        f"{q(pat)}) END"
+    )
+    return f"flatten(list_transform({pieces}, lambda p: {piece}))"
+
+
+def to_symbols(e: str) -> str:
+    return f"regexp_replace(lower(hex(encode({e}))), '([0-9a-f]{{2}})', '<\\1>', 'g')"
+
+
+WORDS_CTE = f"""pw AS (SELECT unnest({pretokenize('text')}) AS word FROM documents),
+    w0 AS MATERIALIZED (SELECT word, CAST(count(*) AS BIGINT) AS freq, {to_symbols('word')} AS sym
+                        FROM pw WHERE word NOT IN {_in(BPE.SUBWORD_SPECIALS)} GROUP BY word)"""
+
+
+def pairs_sql(w: str) -> str:
+    return f"""(SELECT l AS "left", r AS "right", CAST(sum(freq) AS BIGINT) AS count FROM (
+        SELECT freq, unnest(s) AS l, unnest(s[2:]) AS r FROM (SELECT freq, regexp_extract_all(sym, '<[0-9a-f]+>') AS s FROM {w}))
+        WHERE r IS NOT NULL GROUP BY l, r)"""
+
+
+@sql("pretokenize")
+def _():
+    return f"WITH {WORDS_CTE} SELECT word, freq FROM w0"
+
+
+@sql("bpe_pairs")
+def _():
+    return f"WITH {WORDS_CTE} SELECT * FROM {pairs_sql('w0')}"
+
+
+def bpe_train_ctes() -> str:
+    parts = [WORDS_CTE]
+    for k in range(N_MERGES):
+        parts.append(
+            f"""b{k} AS MATERIALIZED (SELECT {k} AS rank, "left", "right", count FROM {pairs_sql(f'w{k}')}
+                 WHERE count >= 2 ORDER BY count DESC, "left", "right" LIMIT 1),
+    w{k + 1} AS MATERIALIZED (SELECT word, freq, coalesce(replace(sym, (SELECT "left" || "right" FROM b{k}),
+                 (SELECT '<' || substr("left", 2, length("left") - 2) || substr("right", 2, length("right") - 2) || '>' FROM b{k})), sym) AS sym
+                 FROM w{k})"""
+        )
+    return ",\n    ".join(parts)
+
+
+@sql("bpe_train")
+def _():
+    union = " UNION ALL ".join(f'SELECT CAST(rank AS BIGINT) AS rank, "left", "right", count FROM b{k}' for k in range(N_MERGES))
+    return f"WITH {bpe_train_ctes()} {union}"
+
+
+def apply_merges_sql(e: str) -> str:
+    for k in range(N_MERGES):
+        left_right = f'(SELECT "left" || "right" FROM b{k})'
+        merged = f"""(SELECT '<' || substr("left", 2, length("left") - 2) || substr("right", 2, length("right") - 2) || '>' FROM b{k})"""
+        e = f"coalesce(replace({e}, {left_right}, {merged}), {e})"
+    return e
+
+
+ENCODE_CTES = f"""occ AS (SELECT doc_id, unnest({pretokenize('text')}) AS word FROM documents),
+    pd AS (SELECT doc_id, word, count(*) AS k FROM occ GROUP BY doc_id, word),
+    dw0 AS (SELECT DISTINCT word FROM pd),
+    dw1 AS (SELECT word, {to_symbols('word')} AS s0 FROM dw0),
+    dw AS MATERIALIZED (SELECT word, {apply_merges_sql('s0')} AS sym FROM dw1),
+    enc AS (SELECT word, CASE WHEN word IN {_in(BPE.SUBWORD_SPECIALS)} THEN 1 ELSE len(regexp_extract_all(sym, '<[0-9a-f]+>')) END AS n FROM dw),
+    dtc AS (SELECT doc_id, CAST(sum(n * k) AS BIGINT) AS n_tokens FROM pd JOIN enc USING (word) GROUP BY doc_id)"""
+
+
+@sql("bpe_encode")
+def _():
+    return f"WITH {bpe_train_ctes()}, {ENCODE_CTES} SELECT doc_id, n_tokens FROM dtc"
+
+
+@sql("token_stats")
+def _():
+    return f"""WITH {bpe_train_ctes()}, {ENCODE_CTES}
+    SELECT round(avg(n_tokens), 6) AS tokens_mean, round(CAST(median(n_tokens) AS DOUBLE), 6) AS tokens_median,
+           CAST(min(n_tokens) AS BIGINT) AS tokens_min, CAST(max(n_tokens) AS BIGINT) AS tokens_max,
+           round(stddev_pop(n_tokens), 6) AS tokens_std FROM dtc"""
+
+
+@sql("bpe_decode")
+def _():
+    dec = f"decode(unhex(regexp_replace({apply_merges_sql(to_symbols('x'))}, '[<>]', '', 'g')))"
+    n_merges = " UNION ALL ".join(f"SELECT 1 FROM b{k}" for k in range(N_MERGES))
+    return f"""WITH {bpe_train_ctes()},
+    d AS (SELECT doc_id, {pretokenize('text')} AS w FROM documents),
+    u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+    v AS (SELECT doc_id, i, x, CASE WHEN x IN {_in(BPE.SUBWORD_SPECIALS)} THEN x ELSE {dec} END AS y FROM u),
+    r AS (SELECT doc_id, string_agg(y, '' ORDER BY i) = string_agg(x, '' ORDER BY i) AS ok FROM v GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(r.ok, true) AS round_trip,
+           CAST({len(BPE.SUBWORD_SPECIALS) + 256} + (SELECT count(*) FROM ({n_merges})) AS BIGINT) AS vocab_size
+    FROM d LEFT JOIN r USING (doc_id)"""
