@@ -16,7 +16,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy text work enough tasks.
+
+    A scan with fewer partitions than ``factor x`` the cluster parallelism (a
+    file with one row group, say) is redistributed round-robin; a scan that is
+    already wide, as any large table is, is left alone (no shuffle added)."""
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, widen: bool = True) -> DataFrame:
     """Scan one table; naming ``columns`` prunes the parquet read schema."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if widen else df
