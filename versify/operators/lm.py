@@ -104,3 +104,45 @@ def draw(samples: DataFrame, iv: DataFrame) -> DataFrame:
         .join(F.broadcast(last), "ctx", "left")
         .select("sample_id", "ctx", "u", F.coalesce("token", "_last").alias("token"))
     )
+
+
+def generate(
+    prompts: DataFrame,
+    iv: DataFrame,
+    eos_id: int | None,
+    max_new_tokens: int,
+    checkpoint_every: int = 8,
+) -> DataFrame:
+    """L4: batch generation for every prompt row (sample_id, ids array<int>).
+
+    Context = the last token (the bigram order bounds the context window).
+    The truncated distribution is folded to one row per context holding its
+    sorted [lo, hi) intervals (bounded by top-k, size-checked before the
+    broadcast).  Each step is then a single broadcast join of the state on its
+    context and one projection that picks the token whose interval holds a
+    hash-seeded uniform, so the state is referenced once per step; a sample
+    stops right after emitting ``eos_id`` (EOS kept); lineage is cut every few
+    steps."""
+    from versify.operators.vocab import checked_broadcast
+
+    cands = iv.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "token"))).alias("cands"))
+    cands = checked_broadcast(cands.checkpoint())
+    state = prompts.select(
+        "sample_id", F.col("ids").cast("array<int>").alias("ids"), F.lit(False).alias("done"), F.lit(0).alias("n_new")
+    )
+    for step in range(max_new_tokens):
+        u = uniform(F.col("sample_id"), F.lit(step))
+        joined = state.withColumn("ctx", F.element_at("ids", -1)).join(cands, "ctx", "left")
+        hit = F.try_element_at(F.filter("cands", lambda c: (u >= c["lo"]) & (u < c["hi"])), F.lit(1))["token"]
+        tok = F.when(~F.col("done"), F.coalesce(hit, F.try_element_at("cands", F.lit(-1))["token"]))
+        state = joined.withColumn("_tok", tok).select(
+            "sample_id",
+            F.when(F.col("_tok").isNotNull(), F.concat("ids", F.array(F.col("_tok").cast("int")))).otherwise(F.col("ids")).alias("ids"),
+            (F.col("done") | F.col("_tok").isNull() | ((F.col("_tok") == eos_id) if eos_id is not None else F.lit(False))).alias("done"),
+            (F.col("n_new") + F.when(F.col("_tok").isNotNull(), 1).otherwise(0)).alias("n_new"),
+        )
+        if (step + 1) % checkpoint_every == 0:
+            state = state.checkpoint()
+            if state.where(~F.col("done")).limit(1).count() == 0:
+                break
+    return state

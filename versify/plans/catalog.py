@@ -720,3 +720,65 @@ def q_token_stats(spark, sf_dir):
     _, merges = trained_bpe(spark, sf_dir)
     counts = BPE.doc_token_counts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", merges)
     return C.length_stats(counts, F.col("n_tokens"), "tokens")
+
+
+from versify.operators import unigram as UG  # noqa: E402
+
+UNIGRAM_VOCAB = 2000
+N_TIMES, ALPHA = 10, 0.2
+
+
+def trained_unigram(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    return UG.train_unigram(documents(spark, sf_dir, "text"), UNIGRAM_VOCAB)
+
+
+@query
+def q_unigram_train(spark, sf_dir):
+    p = trained_unigram(spark, sf_dir)
+    return p.select("piece", F.round("score", 6).alias("score"))
+
+
+@query
+def q_unigram_encode(spark, sf_dir):
+    logp = UG.piece_dict(trained_unigram(spark, sf_dir))
+    return UG.doc_piece_counts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", logp)
+
+
+@query
+def q_unigram_sample(spark, sf_dir):
+    """T9 + J6: the benchmark texts augmented N_TIMES with sampled segmentations."""
+    logp = UG.piece_dict(trained_unigram(spark, sf_dir))
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return UG.sampled_piece_counts(b, "item_id", logp, N_TIMES, ALPHA)
+
+
+# ---------------------------------------------------------------- 10 LM: generation
+from versify.operators.evaluate import evaluate_frame as _eval  # noqa: E402
+
+MAX_NEW_TOKENS = 48
+
+
+def generated(spark, sf_dir):
+    """L4 + V1: one sample per benchmark item, prompt = its first character,
+    EOS = newline, truncated sampling with the corpus bigram model."""
+    ensure_checkpoint_dir(spark)
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    iv = LM.intervals(LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P)).checkpoint()
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    first = V.encode_chars_array(F.substring("text", 1, 1), stoi)
+    prompts = b.select(F.col("item_id").alias("sample_id"), first.alias("ids")).where(F.element_at("ids", 1).isNotNull())
+    out = LM.generate(prompts, iv, stoi["\n"], MAX_NEW_TOKENS)
+    itos = F.create_map(*[x for k, v in sorted(stoi.items()) for x in (F.lit(v), F.lit(k))])
+    return out.select("sample_id", "n_new", "done", F.array_join(F.transform("ids", lambda i: F.element_at(itos, i)), "").alias("text"))
+
+
+@query
+def q_generate_batch(spark, sf_dir):
+    """L4 + L5: generate, decode, evaluate every sample."""
+    g = generated(spark, sf_dir)
+    m = _eval(g, ["sample_id", "n_new", "done"])
+    return m.select(
+        F.col("sample_id").alias("item_id"), F.col("n_new").cast("long").alias("n_new"), F.col("done").alias("stopped"),
+        "line_count", "valid_hendecasyllables", "rhyme_lines",
+    )
