@@ -782,3 +782,37 @@ def q_generate_batch(spark, sf_dir):
         F.col("sample_id").alias("item_id"), F.col("n_new").cast("long").alias("n_new"), F.col("done").alias("stopped"),
         "line_count", "valid_hendecasyllables", "rhyme_lines",
     )
+
+
+# ---------------------------------------------------------------- 14 streaming
+from versify.streaming import ingest as ST  # noqa: E402
+
+
+@query
+def q_stream_ingest(spark, sf_dir):
+    s = ST.stream_ingest(spark, sf_dir)
+    return s.select("identifier", "creator", "title", "publication_date", "word_count", F.md5("text").alias("text_md5"))
+
+
+@query
+def q_stream_budget(spark, sf_dir):
+    s = ST.stream_budget(spark, sf_dir, BUDGET)
+    return s.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("word_count").cast("long").alias("word_count"),
+        F.col("words_before").cast("long").alias("words_before"), F.col("increment").cast("long").alias("increment"),
+    )
+
+
+@query
+def q_stream_encode(spark, sf_dir):
+    return ST.stream_encode(spark, sf_dir)
+
+
+@query
+def q_stream_eval(spark, sf_dir):
+    return ST.stream_eval(spark, sf_dir)
+
+
+@query
+def q_stream_years(spark, sf_dir):
+    return ST.stream_years(spark, sf_dir)

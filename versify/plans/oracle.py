@@ -924,3 +924,51 @@ def _():
     SELECT d.doc_id, coalesce(r.ok, true) AS round_trip,
            CAST({len(BPE.SUBWORD_SPECIALS) + 256} + (SELECT count(*) FROM ({n_merges})) AS BIGINT) AS vocab_size
     FROM d LEFT JOIN r USING (doc_id)"""
+
+
+# ---------------------------------------------------------------- 1 text: special tokens
+SPECIAL_CTES = f"""{D.VERSE_CTE},
+    mk AS (SELECT doc_id, poem_no, {markup('text', None)} AS m FROM verse),
+    ml AS (SELECT doc_id, poem_no, CAST(ln AS BIGINT) AS line_no, line FROM (
+             SELECT doc_id, poem_no, unnest(string_split(m, {NL})) AS line, generate_subscripts(string_split(m, {NL}), 1) AS ln FROM mk)),
+    {tag_window_ctes('ml')},
+    tt AS (SELECT doc_id, poem_no, string_agg(CASE WHEN is_tagged THEN '<RHYME_' || letter || '> ' || suffix || ' | ' || line ELSE line END,
+                                              {NL} ORDER BY line_no) AS tagged FROM tg GROUP BY doc_id, poem_no),
+    sc0 AS (SELECT doc_id, poem_no, tagged, {special_chars('tagged')} AS chars FROM tt)"""
+
+
+@sql("special_tokens")
+def _():
+    stripped = f"replace(replace(regexp_replace(chars, {q(X.RHYME_MARKING_CHAR)}, '', 'g'), '¶', ''), '§', '')"
+    compact = "regexp_replace(tagged, '(?m)^(<RHYME_[A-Z]>) (\\S+) \\| ', '\\1\\2|', 'g')"
+    syl = f"regexp_replace({compact}, {q(X.RHYME_MARKING_SYLLABLE)}, '', 'g')"
+    return f"""WITH {SPECIAL_CTES}
+    SELECT doc_id, poem_no, md5(chars) AS chars_md5, CAST(length(chars) AS BIGINT) AS chars_len,
+           md5({stripped}) AS stripped_md5, md5({syl}) AS syllable_md5 FROM sc0"""
+
+
+# ---------------------------------------------------------------- 14 streaming (batch twins)
+@sql("stream_ingest")
+def _():
+    return ORACLE["corpus_filter"]
+
+
+@sql("stream_budget")
+def _():
+    return ORACLE["word_budget"]
+
+
+@sql("stream_encode")
+def _():
+    return f"""WITH {SPECIAL_CTES}
+    SELECT doc_id, poem_no, CAST(length(chars) AS BIGINT) AS chars_len, md5(chars) AS chars_md5 FROM sc0 WHERE doc_id >= 0"""
+
+
+@sql("stream_eval")
+def _():
+    return evaluate_sql() + ",\n" + report_sql("(SELECT * FROM m WHERE doc_id >= 0)")
+
+
+@sql("stream_years")
+def _():
+    return f"WITH {CORPUS_CTE} SELECT publication_date, CAST(count(*) AS BIGINT) AS n FROM cf GROUP BY publication_date"
