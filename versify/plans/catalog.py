@@ -816,3 +816,36 @@ def q_stream_eval(spark, sf_dir):
 @query
 def q_stream_years(spark, sf_dir):
     return ST.stream_years(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- 7 vocab: syllables
+def syllable_vocabulary(spark, sf_dir):
+    """A8 + U4 over the marked-up verse (markers are whole tokens)."""
+    ensure_checkpoint_dir(spark)
+    v = verse(spark, sf_dir)
+    toks = v.select(F.explode(Y.syllabify_text(X.markup(F.col("text")))).alias("token"))
+    return V.syllable_vocab(toks)
+
+
+@query
+def q_syllable_vocab(spark, sf_dir):
+    voc = syllable_vocabulary(spark, sf_dir)
+    return voc.select("token", F.col("id").cast("int").alias("id"))
+
+
+@query
+def q_syllable_encode(spark, sf_dir):
+    """J2 + T3: held-out benchmark texts encoded with the verse syllable
+    vocabulary; unknown tokens are dropped (not mapped to <UNK>)."""
+    voc = syllable_vocabulary(spark, sf_dir)
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    first = b.agg(F.min("item_id")).first()[0]
+    t = F.when(F.col("item_id") == F.lit(first), F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
+    toks = b.select("item_id", F.explode(Y.syllabify_text(t)).alias("token"))
+    enc = V.encode_join(toks, voc, strict=False)
+    known = enc.groupBy("item_id").agg(F.count(F.lit(1)).cast("long").alias("n_tokens"), F.sum("id").cast("long").alias("id_sum"))
+    total = toks.groupBy("item_id").agg(F.count(F.lit(1)).cast("long").alias("n_all"))
+    return total.join(known, "item_id", "left").select(
+        "item_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("id_sum", F.lit(0)).alias("id_sum"),
+        (F.col("n_all") - F.coalesce("n_tokens", F.lit(0))).alias("n_dropped"),
+    )
