@@ -849,3 +849,26 @@ def q_syllable_encode(spark, sf_dir):
         "item_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("id_sum", F.lit(0)).alias("id_sum"),
         (F.col("n_all") - F.coalesce("n_tokens", F.lit(0))).alias("n_dropped"),
     )
+
+
+# ---------------------------------------------------------------- 15 metadata sinks
+from versify.sources import io as IO  # noqa: E402
+
+
+@query
+def q_dataset_metadata(spark, sf_dir):
+    """Dataset, vocabulary size and tokens per split (flattened for the twin)."""
+    vsize = doc_char_vocab(spark, sf_dir).count()
+    per_split = q_split_tokens(spark, sf_dir)
+    m = IO.dataset_metadata(per_split, "documents", vsize)
+    return m.select("dataset", F.col("vocab_size").cast("long").alias("vocab_size"), "splits.train_tokens", "splits.val_tokens")
+
+
+@query
+def q_run_summary(spark, sf_dir):
+    """Best validation loss, its step and the last step per run."""
+    s = IO.run_summary(RL.eval_rows(run_steps(spark, sf_dir), EVAL_EVERY))
+    return s.select(
+        F.col("user_id").alias("run_id"), F.round("best_val_loss", 6).alias("best_val_loss"),
+        F.col("best_step").cast("long").alias("best_step"), F.col("steps_done").cast("long").alias("steps_done"),
+    )

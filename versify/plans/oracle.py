@@ -972,3 +972,22 @@ def _():
 @sql("stream_years")
 def _():
     return f"WITH {CORPUS_CTE} SELECT publication_date, CAST(count(*) AS BIGINT) AS n FROM cf GROUP BY publication_date"
+
+
+# ---------------------------------------------------------------- 15 metadata sinks
+@sql("dataset_metadata")
+def _():
+    return f"""WITH {DOC_VOCAB}, {SPLIT_CTE},
+    t AS (SELECT split, sum(length(text)) + count(*) - 1 AS n FROM sp GROUP BY split)
+    SELECT 'documents' AS dataset, CAST((SELECT count(*) FROM cv) AS BIGINT) AS vocab_size,
+           CAST((SELECT n FROM t WHERE split = 'train') AS BIGINT) AS train_tokens,
+           CAST((SELECT n FROM t WHERE split = 'val') AS BIGINT) AS val_tokens"""
+
+
+@sql("run_summary")
+def _():
+    return f"""WITH {STEPS_CTE}, ev AS (SELECT * FROM st WHERE step % {EVAL_EVERY} = 0),
+    m AS (SELECT user_id, min(value) AS best, max(step) AS last FROM ev GROUP BY user_id)
+    SELECT m.user_id AS run_id, round(m.best, 6) AS best_val_loss, CAST(min(ev.step) AS BIGINT) AS best_step,
+           CAST(m.last AS BIGINT) AS steps_done
+    FROM m JOIN ev ON ev.user_id = m.user_id AND ev.value = m.best GROUP BY m.user_id, m.best, m.last"""
