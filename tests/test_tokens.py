@@ -64,3 +64,20 @@ def test_generate_stops_after_eos_and_respects_max(spark):
     assert out[1] == [1, 3, 4] and out[2] == [2, 3, 4]
     no_eos = {r["sample_id"]: r["ids"] for r in LM.generate(prompts, iv, None, 5).collect()}
     assert len(no_eos[1]) == 1 + 5
+
+
+def test_pack_from_docs_equals_token_form(spark):
+    docs = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6, 7]), (2, [8, 9]), (3, [10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20])],
+                                 "rank long, ids array<int>")
+    placed = P.stream_offsets(docs)
+    a = sorted(tuple(r) for r in P.pack_from_docs(placed, 20, 2, 3).collect())
+    toks = spark.createDataFrame([(i, i + 1) for i in range(20)], "pos long, id int")
+    b = sorted(tuple(r) for r in P.pack_blocks(toks, 20, 2, 3).collect())
+    assert a == b
+
+
+def test_dense_ids_large_path_equals_window(spark):
+    toks = spark.createDataFrame([(f"t{i:04d}",) for i in range(500)], "token string").repartition(7)
+    a = {r["token"]: r["id"] for r in V.dense_ids(toks, small=10).collect()}
+    b = {r["token"]: r["id"] for r in V.dense_ids(toks).collect()}
+    assert a == b and sorted(a.values()) == list(range(500))

@@ -78,3 +78,51 @@ def next_token_pairs(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
     return pairs.groupBy(F.col("p.a").alias("id"), F.col("p.b").alias("next_id")).agg(
         F.count(F.lit(1)).cast("long").alias("n")
     )
+
+
+def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids") -> DataFrame:
+    """W9 without exploding tokens: each document (with its global ``start``)
+    emits one partial row per block-row cell it overlaps (built inside the row
+    with ``transform``, so the id array is never copied per cell); partial x
+    and y sums, the first x id and the last y id are then combined per cell.
+    Rows shuffled ~ tokens / block instead of tokens."""
+    bt = batch * block
+    n_batches = (n_tokens - 1) // bt if n_tokens >= bt + 1 else 0
+    limit = n_batches * bt
+    start, ln = F.col("start"), F.size(ids_col).cast("long")
+    ids = F.col(ids_col)
+
+    def cells(shift: int) -> F.Column:
+        # shift 0: x cells cover [cT, (c+1)T); shift 1: y cells cover [cT+1, (c+1)T+1)
+        c0 = F.floor((start - shift) / block)
+        c1 = F.floor((start + ln - 1 - shift) / block)
+        seq = F.when((ln > 0) & (c1 >= F.greatest(c0, F.lit(0))), F.sequence(F.greatest(c0, F.lit(0)), c1)).otherwise(
+            F.array().cast("array<bigint>")
+        )
+        seq = F.filter(seq, lambda c: c * block < limit)
+
+        def cell(c: F.Column) -> F.Column:
+            lo = F.greatest(start, c * block + shift)
+            hi = F.least(start + ln, (c + 1) * block + shift)
+            part = F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
+            edge = (c * block + shift) if shift == 0 else ((c + 1) * block)
+            at_edge = F.when((edge >= start) & (edge < start + ln), F.element_at(ids, (edge - start + 1).cast("int")))
+            return F.struct(
+                c.alias("c"),
+                F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"),
+                at_edge.cast("long").alias("edge"),
+                (hi - lo).alias("k"),
+                F.lit(shift).alias("role"),
+            )
+
+        return F.transform(seq, cell)
+
+    parts = docs.select(F.explode(F.concat(cells(0), cells(1))).alias("p")).select("p.*")
+    isx = F.col("role") == 0
+    return parts.groupBy((F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no")).agg(
+        F.sum(F.when(isx, F.col("s"))).cast("long").alias("x_sum"),
+        F.sum(F.when(~isx, F.col("s"))).cast("long").alias("y_sum"),
+        F.max(F.when(isx, F.col("edge"))).cast("long").alias("x_first"),
+        F.max(F.when(~isx, F.col("edge"))).cast("long").alias("y_last"),
+        F.sum("k").cast("long").alias("cells"),
+    )

@@ -22,13 +22,20 @@ def checked_broadcast(vocab: DataFrame, limit: int = MAX_BROADCAST_VOCAB) -> Dat
     return F.broadcast(vocab) if vocab.count() <= limit else vocab
 
 
-def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0) -> DataFrame:
-    """id = rank in binary order, computed without a one-partition window.
+SMALL_RANK_SET = 200_000  # rows; at most this many are ranked by one window
 
-    Tokens are range-partitioned, each partition counts its rows (a table of
-    one row per partition), the exclusive prefix of those counts is broadcast
-    back and added to a row number inside each partition."""
-    ranged = tokens.select(col).repartitionByRange(col).withColumn("_pid", F.spark_partition_id())
+
+def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0, small: int = SMALL_RANK_SET) -> DataFrame:
+    """id = rank in binary order.
+
+    A set proven small by one count is ranked by a single window.  A larger
+    set is never put in one partition: it is range-partitioned, each partition
+    counts its rows (one row per partition), the exclusive prefix of those
+    counts is broadcast back and added to a row number inside each partition."""
+    keyed = tokens.select(col)
+    if keyed.count() <= small:
+        return keyed.select(col, (F.row_number().over(Window.orderBy(col)) - 1 + first_id).cast("int").alias("id"))
+    ranged = keyed.repartitionByRange(col).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint()  # pin the partition ids; cuts lineage in the shared checkpoint folder
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

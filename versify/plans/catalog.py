@@ -428,19 +428,20 @@ def q_split_tokens(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 8 pack
-def train_stream(spark, sf_dir):
+def train_docs(spark, sf_dir):
+    """Train-split documents in shuffle order with separators and global starts."""
     stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
     tr = doc_split(spark, sf_dir).where(F.col("split") == "train")
     ids = V.encode_chars_array(F.col("text"), stoi)
     docs = tr.select("rank", P.with_separator(ids, F.col("rank"), F.lit(stoi["\n"])).alias("ids"))
-    return P.stream_tokens(docs)
+    return P.stream_offsets(docs)
 
 
 @query
 def q_pack_blocks(spark, sf_dir):
-    tokens = train_stream(spark, sf_dir).cache()
-    n = tokens.count()
-    return P.pack_blocks(tokens, n, BATCH, BLOCK)
+    docs = train_docs(spark, sf_dir).checkpoint()
+    n = docs.agg(F.sum(F.size("ids"))).first()[0] or 0
+    return P.pack_from_docs(docs, n, BATCH, BLOCK)
 
 
 def encoded_docs(spark, sf_dir):
