@@ -53,18 +53,22 @@ def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0, small: i
 
 def char_set(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """A7 + U2: distinct characters; a newline is added because the texts are
-    joined with newlines before the set is taken."""
-    chars = texts.select(F.explode(F.split(F.col(text_col), "")).alias("token")).where(F.col("token") != "")
+    joined with newlines before the set is taken.  Characters are first made
+    distinct inside each row, so the shuffle carries at most one row per
+    (document, character)."""
+    per_doc = F.array_distinct(F.split(F.col(text_col), ""))
+    chars = texts.select(F.explode(per_doc).alias("token")).where(F.col("token") != "")
     nl = texts.sparkSession.createDataFrame([("\n",)], "token string")
     return chars.unionByName(nl).distinct()
 
 
 def char_vocab(texts: DataFrame, text_col: str = "text", special_chars: bool = True) -> DataFrame:
-    """A7 + W4 + K7: sorted character vocabulary (specials mapped to chars first)."""
+    """A7 + W4 + K7: sorted character vocabulary (specials mapped to chars first).
+    The distinct set is bounded by the alphabet and cached before ranking."""
     src = texts.select(to_special_chars(F.col(text_col)).alias("text")) if special_chars else texts.select(
         F.col(text_col).alias("text")
     )
-    return dense_ids(char_set(src))
+    return dense_ids(char_set(src).cache()).cache()
 
 
 def syllable_vocab(tokens: DataFrame) -> DataFrame:
@@ -86,10 +90,12 @@ def encode_chars_array(text: Column, stoi: dict[str, int]) -> Column:
 
 
 def vocab_dict(vocab: DataFrame, limit: int = 50_000) -> dict[str, int] | None:
-    """Small vocabularies become literal maps; larger ones return None (join path)."""
-    if vocab.count() > limit:
+    """Small vocabularies become literal maps; larger ones return None (join path).
+    At most ``limit + 1`` rows ever reach the driver."""
+    rows = vocab.limit(limit + 1).collect()
+    if len(rows) > limit:
         return None
-    return {r["token"]: r["id"] for r in vocab.collect()}
+    return {r["token"]: r["id"] for r in rows}
 
 
 def explode_chars(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
