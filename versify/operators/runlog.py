@@ -1,10 +1,10 @@
 """Run-log analytics over ``events`` (R2-R5): run = user_id, step = order of
 (ts, event_id) inside the run, loss = value.
 
-Step numbers and previous timestamps are computed per (run, time bucket):
-bucket row counts and last timestamps form a small table whose prefix sums
-are joined back, so a hot run (a third of all rows) is spread over many
-buckets instead of one window partition.
+Step numbers and previous timestamps are computed per (run, range
+partition): piece row counts and last timestamps form a small table whose
+prefix sums are joined back, so a hot run (a third of all rows) is spread
+over many tasks instead of one window partition.
 """
 
 from __future__ import annotations
@@ -12,33 +12,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 86_400
-
-
 def micros(col: str) -> F.Column:
     """Microseconds since 1970 for TIMESTAMP or TIMESTAMP_NTZ, independent of the session zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({col} AS TIMESTAMP_NTZ))")
 
 
-def ordered_steps(events: DataFrame, run: str = "user_id", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Adds ``step`` (0-based) and ``prev_ts`` per run in (ts, event_id) order."""
-    b = events.withColumn("_tb", F.floor(micros("ts") / (bucket_seconds * 1_000_000)))
-    buckets = b.groupBy(run, "_tb").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.struct("ts", "event_id")).alias("_last")
-    )
-    per_run = Window.partitionBy(run).orderBy("_tb")
-    buckets = buckets.select(
+def ordered_steps(events: DataFrame, run: str = "user_id") -> DataFrame:
+    """Adds ``step`` (0-based) and ``prev_ts`` per run in (ts, event_id) order.
+
+    Rows are range-partitioned on (run, ts, event_id), so a run is split over
+    as many tasks as its size needs.  Each (run, partition) piece reports its
+    row count and last row (a table of at most runs x partitions rows); the
+    prefix of those counts within the run gives the step offset and the
+    previous piece's last row gives ``prev_ts`` at the piece boundary."""
+    ranged = events.repartitionByRange(run, "ts", "event_id").withColumn("_pid", F.spark_partition_id()).checkpoint()
+    pieces = ranged.groupBy(run, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("ts", "event_id")).alias("_last"))
+    per_run = Window.partitionBy(run).orderBy("_pid")
+    pieces = pieces.select(
         run,
-        "_tb",
+        "_pid",
         F.coalesce(F.sum("_n").over(per_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.lag("_last").over(per_run)["ts"].alias("_prev_bucket_ts"),
+        F.lag("_last").over(per_run)["ts"].alias("_prev_piece_ts"),
     )
-    inside = Window.partitionBy(run, "_tb").orderBy("ts", "event_id")
+    inside = Window.partitionBy(run, "_pid").orderBy("ts", "event_id")
     return (
-        b.join(buckets, [run, "_tb"])
+        ranged.join(pieces, [run, "_pid"])
         .withColumn("step", (F.col("_off") + F.row_number().over(inside) - 1).cast("long"))
-        .withColumn("prev_ts", F.coalesce(F.lag("ts").over(inside), F.col("_prev_bucket_ts")))
-        .drop("_tb", "_off", "_prev_bucket_ts")
+        .withColumn("prev_ts", F.coalesce(F.lag("ts").over(inside), F.col("_prev_piece_ts")))
+        .drop("_pid", "_off", "_prev_piece_ts")
     )
 
 

@@ -548,8 +548,13 @@ def q_chat_template(spark, sf_dir):
 
 @query
 def q_chat_lengths(spark, sf_dir):
-    """A4 + V4: length column (whitespace tokens) then max, int median, int mean, over-limit count."""
-    t = chat_texts(spark, sf_dir).withColumn("len", C.word_count(F.col("text")))
+    """A4 + V4: length column (whitespace tokens of the template), then max, int
+    median, int mean and the over-limit count.  A rendered message ends with a
+    newline, so a conversation's length is the sum over its messages: one
+    ``groupBy`` sum, no conversation is ever collected into a row."""
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "role", "text")
+    per_msg = c.select("conv_id", C.word_count(render_turn(F.col("role"), F.col("text"))).alias("n"))
+    t = per_msg.groupBy("conv_id").agg(F.sum("n").alias("len"))
     return t.agg(
         F.max("len").cast("long").alias("max_len"),
         F.median("len").cast("long").alias("median_len"),
@@ -641,6 +646,7 @@ EVAL_EVERY, PATIENCE, LOG_EVERY = 5, 15, 10
 
 def run_steps(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    ensure_checkpoint_dir(spark)
     return RL.ordered_steps(e)
 
 
