@@ -23,6 +23,7 @@ PRETRAIN_SCHEMA = T.StructType(
 
 FIRST_YEAR = 1791  # F1 lower bound (no upper bound)
 DEFAULT_BUDGET = 200_000  # W3 word budget used by the registered queries
+MAX_BROADCAST_BUCKETS = 2_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,8 +76,10 @@ def running_total(df: DataFrame, order_col: str, value_col: str, out_col: str, b
         ).alias("_off"),
     )
     within = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.cache()
+    small = offsets.count() <= MAX_BROADCAST_BUCKETS  # one row per bucket; checked before broadcasting
     return (
-        b.join(F.broadcast(offsets), "_bucket")
+        b.join(F.broadcast(offsets) if small else offsets, "_bucket")
         .withColumn(out_col, F.col("_off") + F.coalesce(F.sum(value_col).over(within), F.lit(0)))
         .drop("_bucket", "_off")
     )

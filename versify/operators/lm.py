@@ -94,14 +94,16 @@ def uniform(*parts: Column) -> Column:
 def draw(samples: DataFrame, iv: DataFrame) -> DataFrame:
     """K4: samples(sample_id, ctx, u) -> the token whose [lo, hi) holds u;
     u above the last hi (rounding) falls to the last token of the context."""
-    last = iv.groupBy("ctx").agg(F.max_by("token", "hi").alias("_last"))
-    hit = samples.join(F.broadcast(iv.select("ctx", "token", "lo", "hi")), "ctx", "left").where(
+    from versify.operators.vocab import checked_broadcast
+
+    last = checked_broadcast(iv.groupBy("ctx").agg(F.max_by("token", "hi").alias("_last")))
+    hit = samples.join(checked_broadcast(iv.select("ctx", "token", "lo", "hi")), "ctx", "left").where(
         (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
     )
     picked = hit.groupBy("sample_id").agg(F.min("token").alias("token"))
     return (
         samples.join(picked, "sample_id", "left")
-        .join(F.broadcast(last), "ctx", "left")
+        .join(last, "ctx", "left")
         .select("sample_id", "ctx", "u", F.coalesce("token", "_last").alias("token"))
     )
 

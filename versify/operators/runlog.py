@@ -57,21 +57,41 @@ def best_step(evals: DataFrame, run: str = "user_id") -> DataFrame:
     )
 
 
+def _prefix_frame(ranged: DataFrame, key: str, order: list[str], col: str, agg, combine, inclusive: bool, out: str) -> DataFrame:
+    pieces = ranged.groupBy(key, "_pid").agg(agg(col).alias("_pa"))
+    per_key = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(key, "_pid", agg("_pa").over(per_key).alias("_before"))
+    frame = Window.partitionBy(key, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return ranged.join(pieces, [key, "_pid"]).withColumn(out, combine(F.col("_before"), agg(col).over(frame))).drop("_before")
+
+
 def early_stop(evals: DataFrame, every: int, patience: int, run: str = "user_id") -> DataFrame:
     """+``every`` for each evaluation without strict improvement, reset on
-    improvement; the run stops at the first evaluation reaching ``patience``."""
-    w = Window.partitionBy(run).orderBy("step")
-    before = F.min("value").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    e = evals.withColumn("improved", before.isNull() | (F.col("value") < before))
-    e = e.withColumn("island", F.sum(F.col("improved").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("since", (F.row_number().over(Window.partitionBy(run, "island").orderBy("step")) - 1) * every)
-    stops = e.where(F.col("since") >= patience).groupBy(run).agg(F.min("step").alias("stop_step"))
-    best = e.where("improved").select(run, "step", "value")
-    runs = e.select(run).distinct()
+    improvement; the run stops at the first evaluation reaching ``patience``.
+
+    Evaluations are range-partitioned on (run, step); the running minimum
+    before each evaluation and the step of the last improvement are prefix
+    aggregates over pieces, so no run is ever one window partition."""
+    ranged = evals.select(run, "step", "value").repartitionByRange(run, "step").withColumn(
+        "_pid", F.spark_partition_id()
+    ).checkpoint()
+    least = lambda a, b: F.least(a, b)  # noqa: E731  (least skips nulls)
+    greatest = lambda a, b: F.greatest(a, b)
+    m = _prefix_frame(ranged, run, ["step"], "value", F.min, least, False, "before")
+    m = m.withColumn("improved", F.col("before").isNull() | (F.col("value") < F.col("before")))
+    m = m.withColumn("_imp_step", F.when(F.col("improved"), F.col("step")))
+    m = _prefix_frame(m, run, ["step"], "_imp_step", F.max, greatest, True, "last_improvement").cache()
+    stops = m.where(F.col("step") - F.col("last_improvement") >= patience).groupBy(run).agg(F.min("step").alias("stop_step"))
+    runs = m.select(run).distinct()
     with_stop = runs.join(stops, run, "left")
-    cand = best.join(with_stop, run).where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
-    best_at = cand.groupBy(run).agg(F.max("step").alias("best_step"))
-    return with_stop.join(best_at, run, "left")
+    best = (
+        m.where("improved")
+        .join(with_stop, run)
+        .where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
+        .groupBy(run)
+        .agg(F.max("step").alias("best_step"))
+    )
+    return with_stop.join(best, run, "left")
 
 
 def throughput(steps: DataFrame, every: int, tokens_per_step: int) -> DataFrame:

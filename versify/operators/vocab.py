@@ -46,7 +46,7 @@ def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0, small: i
     )
     inside = Window.partitionBy("_pid").orderBy(col)
     return (
-        ranged.join(F.broadcast(offsets), "_pid")
+        ranged.join(F.broadcast(offsets), "_pid")  # one row per range partition: bounded by the partition count
         .select(col, (F.col("_off") + F.row_number().over(inside) - 1 + first_id).cast("int").alias("id"))
     )
 
