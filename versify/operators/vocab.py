@@ -73,13 +73,14 @@ def char_vocab(texts: DataFrame, text_col: str = "text", special_chars: bool = T
 
 def syllable_vocab(tokens: DataFrame) -> DataFrame:
     """A8 + U4: distinct syllable tokens in binary order, ``<UNK>`` at id 0 when absent."""
-    distinct = tokens.select("token").distinct()
+    distinct = tokens.select("token").distinct().cache()  # the vocabulary set, computed once
     unk = tokens.sparkSession.createDataFrame([("<UNK>",)], "token string")
     missing = unk.join(distinct, "token", "left_anti")  # insert-if-missing
     has_unk = distinct.where(F.col("token") == "<UNK>").limit(1).count() > 0
     if has_unk:
-        return dense_ids(distinct)
-    return dense_ids(distinct).withColumn("id", F.col("id") + 1).unionByName(missing.select("token", F.lit(0).alias("id")))
+        return dense_ids(distinct).cache()
+    ranked = dense_ids(distinct).withColumn("id", F.col("id") + 1)
+    return ranked.unionByName(missing.select("token", F.lit(0).alias("id"))).cache()
 
 
 def encode_chars_array(text: Column, stoi: dict[str, int]) -> Column:

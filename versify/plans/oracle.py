@@ -991,3 +991,97 @@ def _():
     SELECT m.user_id AS run_id, round(m.best, 6) AS best_val_loss, CAST(min(ev.step) AS BIGINT) AS best_step,
            CAST(m.last AS BIGINT) AS steps_done
     FROM m JOIN ev ON ev.user_id = m.user_id AND ev.value = m.best GROUP BY m.user_id, m.best, m.last"""
+
+
+# ---------------------------------------------------------------- 4 metre: syllable tokens
+def syllable_token_ctes(src: str) -> str:
+    """Tokens of ``src(doc_id, poem_no, text)`` as rows (doc_id, poem_no, li, t, tok),
+    relationally: blocks -> merge flags (lag) -> groups -> parts -> blank moving
+    (each token = previous token's trailing blanks + blank parts it owns + its head)."""
+    meta = D.RHYME_LINE
+    L = D._L
+    return f"""
+    yl AS (SELECT doc_id, poem_no, CAST(li AS BIGINT) AS li, line, {strip('line')} AS st FROM (
+             SELECT doc_id, poem_no, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS li FROM {src})),
+    yk AS (SELECT *, CASE WHEN st IN ('<SONNET>', '<STANZA>', '<END>') THEN 'special' WHEN st = '' THEN 'blank'
+                          WHEN regexp_matches(st, '{meta}') THEN 'meta' ELSE 'verse' END AS kind FROM yl),
+    yv AS (SELECT doc_id, poem_no, li, CASE WHEN kind = 'meta' THEN regexp_extract(st, '{meta}', 3) ELSE line END AS v
+           FROM yk WHERE kind IN ('meta', 'verse')),
+    yb0 AS (SELECT doc_id, poem_no, li, {D.syllable_blocks('v')} AS blocks FROM yv),
+    yb AS (SELECT doc_id, poem_no, li, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS bi FROM yb0),
+    ym AS (SELECT *, lag(b) OVER (PARTITION BY doc_id, poem_no, li ORDER BY bi) AS prev FROM yb),
+    yg0 AS (SELECT *, CASE WHEN prev IS NOT NULL AND {D.should_merge('prev', 'b')} THEN 0 ELSE 1 END AS starts FROM ym),
+    yg1 AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, poem_no, li ORDER BY bi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM yg0),
+    yg AS (SELECT doc_id, poem_no, li, g, string_agg(b, '' ORDER BY bi) AS gs FROM yg1 GROUP BY doc_id, poem_no, li, g),
+    yp0 AS (SELECT doc_id, poem_no, li, g, CASE WHEN {D.kept_whole('gs')} THEN [gs]
+                   ELSE regexp_extract_all(gs, '\\s+|[^{L}\\s]|[{L}]+') END AS parts FROM yg),
+    yp AS (SELECT doc_id, poem_no, li, g, unnest(parts) AS p, generate_subscripts(parts, 1) AS pi FROM yp0),
+    yq AS (SELECT *, regexp_matches(p, '^\\s+$') AS ws FROM yp),
+    yr AS (SELECT *, sum(CASE WHEN ws THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, poem_no, li ORDER BY g, pi
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM yq),
+    ytok AS (SELECT doc_id, poem_no, li, k AS t, regexp_extract(p, '^(.*?)[ \\t]*$', 1) AS head,
+                    regexp_extract(p, '([ \\t]*)$', 1) AS tail FROM yr WHERE NOT ws),
+    yws AS (SELECT doc_id, poem_no, li, k + 1 AS t, string_agg(p, '' ORDER BY g, pi) AS blanks FROM yr WHERE ws GROUP BY doc_id, poem_no, li, k),
+    ylast AS (SELECT doc_id, poem_no, li, coalesce(max(t), 0) AS kmax FROM ytok GROUP BY doc_id, poem_no, li),
+    yt AS (
+      SELECT x.doc_id, x.poem_no, x.li, x.t,
+             coalesce(lag(x.tail) OVER (PARTITION BY x.doc_id, x.poem_no, x.li ORDER BY x.t), '') || coalesce(w.blanks, '') || x.head AS tok
+      FROM ytok x LEFT JOIN yws w ON x.doc_id = w.doc_id AND x.poem_no = w.poem_no AND x.li = w.li AND x.t = w.t),
+    yend AS (
+      SELECT l.doc_id, l.poem_no, l.li, l.kmax + 1 AS t,
+             coalesce((SELECT tail FROM ytok z WHERE z.doc_id = l.doc_id AND z.poem_no = l.poem_no AND z.li = l.li AND z.t = l.kmax), '')
+             || coalesce(w.blanks, '') AS tok
+      FROM (SELECT DISTINCT doc_id, poem_no, li FROM yr) r0
+      JOIN ylast l ON r0.doc_id = l.doc_id AND r0.poem_no = l.poem_no AND r0.li = l.li
+      LEFT JOIN yws w ON w.doc_id = l.doc_id AND w.poem_no = l.poem_no AND w.li = l.li AND w.t = l.kmax + 1),
+    yline AS (
+      SELECT doc_id, poem_no, li, t + 10 AS t, tok FROM yt
+      UNION ALL SELECT doc_id, poem_no, li, t + 10, tok FROM yend WHERE tok <> ''
+      UNION ALL SELECT doc_id, poem_no, li, 1, regexp_extract(st, '{meta}', 1) FROM yk WHERE kind = 'meta'
+      UNION ALL SELECT doc_id, poem_no, li, 2, {strip(f"regexp_extract(st, '{meta}', 2)")} FROM yk WHERE kind = 'meta'
+      UNION ALL SELECT doc_id, poem_no, li, 3, '|' FROM yk WHERE kind = 'meta'
+      UNION ALL SELECT doc_id, poem_no, li, 1, st FROM yk WHERE kind = 'special'
+      UNION ALL SELECT doc_id, poem_no, li, 1000000000, {NL} FROM yk),
+    ylist AS (SELECT doc_id, poem_no, list(tok ORDER BY li, t) AS toks FROM yline GROUP BY doc_id, poem_no),
+    ytoks AS (SELECT doc_id, poem_no, CASE WHEN len(toks) > 0 AND toks[-1] = {NL} THEN toks[1:len(toks) - 1] ELSE toks END AS toks FROM ylist)"""
+
+
+@sql("syllable_tokens")
+def _():
+    return f"""{WITH_VERSE}, {syllable_token_ctes('verse')}
+    SELECT doc_id, poem_no, CAST(len(toks) AS BIGINT) AS n_tokens, md5(array_to_string(toks, chr(31))) AS tokens_md5 FROM ytoks"""
+
+
+SYL_VOCAB_CTES = f"""{D.VERSE_CTE},
+    mkv AS (SELECT doc_id, poem_no, {markup('text', None)} AS text FROM verse),
+    {syllable_token_ctes('mkv')},
+    sd AS (SELECT DISTINCT unnest(toks) AS token FROM ytoks),
+    sv AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - CASE WHEN (SELECT count(*) FROM sd WHERE token = '<UNK>') > 0 THEN 1 ELSE 0 END AS INTEGER) AS id FROM sd
+           UNION ALL SELECT '<UNK>', 0 WHERE (SELECT count(*) FROM sd WHERE token = '<UNK>') = 0)"""
+
+
+@sql("syllable_vocab")
+def _():
+    return f"WITH {SYL_VOCAB_CTES} SELECT token, id FROM sv"
+
+
+@sql("syllable_encode")
+def _():
+    bsrc = (
+        "(SELECT item_id AS doc_id, 0 AS poem_no, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) "
+        f"THEN text ELSE {NL} || text END AS text FROM benchmark)"
+    )
+    yb = syllable_token_ctes(bsrc)
+    # second token pipeline: rename its CTEs so both can live in one WITH
+    import re as _re
+
+    names = _re.findall(r"\b(y[a-z0-9]*) AS \(", yb)
+    for n in sorted(set(names), key=len, reverse=True):
+        yb = _re.sub(rf"\b{n}\b", "b_" + n, yb)
+    return f"""WITH {SYL_VOCAB_CTES}, {yb},
+    bt AS (SELECT doc_id AS item_id, unnest(toks) AS token FROM b_ytoks),
+    tot AS (SELECT item_id, count(*) AS n_all FROM bt GROUP BY item_id),
+    kn AS (SELECT item_id, count(*) AS n, sum(id) AS s FROM bt JOIN sv USING (token) GROUP BY item_id)
+    SELECT tot.item_id, CAST(coalesce(kn.n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(kn.s, 0) AS BIGINT) AS id_sum,
+           CAST(tot.n_all - coalesce(kn.n, 0) AS BIGINT) AS n_dropped
+    FROM tot LEFT JOIN kn USING (item_id)"""
