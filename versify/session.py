@@ -43,14 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder of our own.
     """
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Connect session: the server owns the checkpoint folder)
+        return conf_dir or ""
     if conf_dir:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if current:
         return current
     local_dir = tempfile.mkdtemp(prefix="versify-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local_dir)
-    spark.sparkContext.setCheckpointDir(local_dir)
+    sc.setCheckpointDir(local_dir)
     return local_dir

@@ -22,8 +22,12 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     A scan with fewer partitions than ``factor x`` the cluster parallelism (a
     file with one row group, say) is redistributed round-robin; a scan that is
     already wide, as any large table is, is left alone (no shuffle added)."""
-    target = factor * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = factor * df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD view, e.g. a Connect session): keep the scan as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, widen: bool = True) -> DataFrame:
