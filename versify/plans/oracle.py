@@ -310,7 +310,10 @@ def _():
 
 
 # ---------------------------------------------------------------- 5 eval
-def evaluate_sql() -> str:
+def evaluate_sql(prefix: str | None = None) -> str:
+    """A12 twin; ``prefix`` is a WITH clause that defines ``verse`` (default: the verse view)."""
+    prefix = WITH_VERSE if prefix is None else prefix
+
     def sig(x):
         return signature(x)
 
@@ -321,7 +324,7 @@ def evaluate_sql() -> str:
         f"list_sum(list_transform(lens, lambda L, i: CASE WHEN (i <= 2 AND L = 4 AND {sig(part)} IN {_in(S.ALLOWED_QUATRAIN_PATTERNS)}) "
         f"OR (i >= 3 AND L = 3 AND {sig(part)} IN {_in(S.ALLOWED_TERCET_PATTERNS)}) THEN 1 ELSE 0 END))"
     )
-    return f"""{WITH_VERSE}, {eval_line_ctes()}, {syllable_count_ctes('el')},
+    return f"""{prefix}, {eval_line_ctes()}, {syllable_count_ctes('el')},
     hv AS (SELECT doc_id, poem_no, count(*) FILTER (WHERE syllables BETWEEN 10 AND 12) AS vh FROM sc GROUP BY doc_id, poem_no),
     m0 AS (SELECT es.doc_id, es.poem_no, es.lang, es.s, {lengths} AS lens, coalesce(hv.vh, 0) AS vh
            FROM es LEFT JOIN hv ON es.doc_id = hv.doc_id AND es.poem_no = hv.poem_no),
@@ -1085,3 +1088,39 @@ def _():
     SELECT tot.item_id, CAST(coalesce(kn.n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(kn.s, 0) AS BIGINT) AS id_sum,
            CAST(tot.n_all - coalesce(kn.n, 0) AS BIGINT) AS n_dropped
     FROM tot LEFT JOIN kn USING (item_id)"""
+
+
+# ---------------------------------------------------------------- 10 LM: generation
+MAX_NEW_TOKENS = 48
+
+
+@sql("generate_batch")
+def _():
+    u = "CAST(('0x' || substr(md5('42:' || CAST(g.sample_id AS VARCHAR) || ':' || CAST(g.step AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
+    prefix = f"""WITH RECURSIVE {DOC_VOCAB}, {DOC_IDS_CTE}, {truncated_ctes()},
+    iv AS (SELECT ctx, token, round(hi, 9) AS hi, round(hi - prob, 9) AS lo FROM (
+             SELECT *, sum(prob) OVER (PARTITION BY ctx ORDER BY logit DESC, token ASC
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM tp)),
+    lastt AS (SELECT ctx, arg_max(token, hi) AS last_token FROM iv GROUP BY ctx),
+    pr AS (SELECT b.item_id AS sample_id, cv.id AS first_id FROM benchmark b JOIN cv ON cv.token = substring(b.text, 1, 1)),
+    gen AS (
+      SELECT sample_id, 0 AS step, [first_id] AS ids, false AS done, 0 AS n_new FROM pr
+      UNION ALL
+      SELECT g.sample_id, g.step + 1,
+             CASE WHEN c.tok IS NULL THEN g.ids ELSE list_append(g.ids, c.tok) END,
+             c.tok IS NULL OR c.tok = (SELECT id FROM cv WHERE token = {NL}),
+             g.n_new + CASE WHEN c.tok IS NULL THEN 0 ELSE 1 END
+      FROM gen g, LATERAL (SELECT coalesce(
+          (SELECT min(iv.token) FROM iv WHERE iv.ctx = g.ids[-1] AND {u} >= iv.lo AND {u} < iv.hi),
+          (SELECT lastt.last_token FROM lastt WHERE lastt.ctx = g.ids[-1])) AS tok) c
+      WHERE NOT g.done AND g.step < {MAX_NEW_TOKENS}),
+    fin AS (SELECT sample_id, arg_max(ids, step) AS ids, arg_max(done, step) AS done, arg_max(n_new, step) AS n_new
+            FROM gen GROUP BY sample_id),
+    fu AS (SELECT sample_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM fin),
+    dec AS (SELECT sample_id, string_agg(cv.token, '' ORDER BY i) AS text FROM fu JOIN cv USING (id) GROUP BY sample_id),
+    verse AS (SELECT CAST(fin.sample_id AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS poem_no, 'gen' AS lang, dec.text,
+                     fin.n_new, fin.done FROM fin JOIN dec USING (sample_id))"""
+    return evaluate_sql(prefix) + """
+    SELECT m.doc_id AS item_id, CAST(v.n_new AS BIGINT) AS n_new, v.done AS stopped, m.line_count,
+           m.valid_hendecasyllables, m.rhyme_lines
+    FROM m JOIN verse v ON m.doc_id = v.doc_id"""
