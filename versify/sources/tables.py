@@ -16,7 +16,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
     """Give CPU-heavy text work enough tasks.
 
     A scan with fewer partitions than ``factor x`` the cluster parallelism (a
