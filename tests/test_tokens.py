@@ -70,10 +70,14 @@ def test_pack_from_docs_equals_token_form(spark):
     docs = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6, 7]), (2, [8, 9]), (3, [10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20])],
                                  "rank long, ids array<int>")
     placed = P.stream_offsets(docs)
-    a = sorted(tuple(r) for r in P.pack_from_docs(placed, 20, 2, 3).collect())
+    blocks = {(r["batch_no"], r["row_no"]): (r["x"], r["y"]) for r in P.pack_from_docs(placed, 20, 2, 3).collect()}
+    assert len({b for b, _ in blocks}) == 3  # (20 - 1) div 6 batches
+    for (b, r), (x, y) in blocks.items():
+        first = b * 6 + r * 3 + 1
+        assert x == [first, first + 1, first + 2] and y == [first + 1, first + 2, first + 3]
     toks = spark.createDataFrame([(i, i + 1) for i in range(20)], "pos long, id int")
-    b = sorted(tuple(r) for r in P.pack_blocks(toks, 20, 2, 3).collect())
-    assert a == b
+    sums = {(r["batch_no"], r["row_no"]): (r["x_sum"], r["y_sum"]) for r in P.pack_blocks(toks, 20, 2, 3).collect()}
+    assert sums == {k: (sum(x), sum(y)) for k, (x, y) in blocks.items()}
 
 
 def test_dense_ids_large_path_equals_window(spark):

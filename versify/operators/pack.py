@@ -81,11 +81,12 @@ def next_token_pairs(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
 
 
 def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids") -> DataFrame:
-    """W9 without exploding tokens: each document (with its global ``start``)
-    emits one partial row per block-row cell it overlaps (built inside the row
-    with ``transform``, so the id array is never copied per cell); partial x
-    and y sums, the first x id and the last y id are then combined per cell.
-    Rows shuffled ~ tokens / block instead of tokens."""
+    """W9 without exploding tokens: (batch_no, row_no, x array<int>, y array<int>).
+
+    Each document (with its global ``start``) emits, built inside its row with
+    ``transform``, the slice of its ids that falls in every block-row cell it
+    overlaps; a cell gathers at most ``block`` ids from its pieces (a bounded
+    group), ordered by position.  Rows shuffled ~ tokens / block."""
     bt = batch * block
     n_batches = (n_tokens - 1) // bt if n_tokens >= bt + 1 else 0
     limit = n_batches * bt
@@ -104,25 +105,34 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
         def cell(c: F.Column) -> F.Column:
             lo = F.greatest(start, c * block + shift)
             hi = F.least(start + ln, (c + 1) * block + shift)
-            part = F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
-            edge = (c * block + shift) if shift == 0 else ((c + 1) * block)
-            at_edge = F.when((edge >= start) & (edge < start + ln), F.element_at(ids, (edge - start + 1).cast("int")))
             return F.struct(
                 c.alias("c"),
-                F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"),
-                at_edge.cast("long").alias("edge"),
-                (hi - lo).alias("k"),
                 F.lit(shift).alias("role"),
+                lo.alias("lo"),
+                F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("part"),
             )
 
         return F.transform(seq, cell)
 
     parts = docs.select(F.explode(F.concat(cells(0), cells(1))).alias("p")).select("p.*")
-    isx = F.col("role") == 0
-    return parts.groupBy((F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no")).agg(
-        F.sum(F.when(isx, F.col("s"))).cast("long").alias("x_sum"),
-        F.sum(F.when(~isx, F.col("s"))).cast("long").alias("y_sum"),
-        F.max(F.when(isx, F.col("edge"))).cast("long").alias("x_first"),
-        F.max(F.when(~isx, F.col("edge"))).cast("long").alias("y_last"),
-        F.sum("k").cast("long").alias("cells"),
+    per_cell = parts.groupBy("c", "role").agg(F.array_sort(F.collect_list(F.struct("lo", "part"))).alias("ps"))
+    seqs = per_cell.select("c", "role", F.flatten(F.transform("ps", lambda x: x["part"])).alias("ids"))
+    return seqs.groupBy(
+        (F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no")
+    ).agg(
+        F.max(F.when(F.col("role") == 0, F.col("ids"))).alias("x"),
+        F.max(F.when(F.col("role") == 1, F.col("ids"))).alias("y"),
+    )
+
+
+def block_digest(blocks: DataFrame) -> DataFrame:
+    """Blocks as comparable scalars: md5 of the id lists, first x id, last y id, length."""
+    return blocks.select(
+        "batch_no",
+        "row_no",
+        F.md5(F.array_join("x", ",")).alias("x_md5"),
+        F.md5(F.array_join("y", ",")).alias("y_md5"),
+        F.element_at("x", 1).cast("long").alias("x_first"),
+        F.element_at("y", -1).cast("long").alias("y_last"),
+        F.size("x").cast("long").alias("block_len"),
     )

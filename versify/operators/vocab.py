@@ -126,9 +126,12 @@ def shuffle_key(key: Column, seed: int = SEED) -> Column:
 def train_val_split(docs: DataFrame, key: str, ratio: float = 0.9, seed: int = SEED) -> DataFrame:
     """K6 exact: rank in md5 order; the first floor(ratio * n) are train."""
     ordered = docs.withColumn("_shuf", shuffle_key(F.col(key), seed))
-    ranks = dense_ids(ordered.select(F.col("_shuf").alias("token")), "token", first_id=1).withColumnRenamed(
-        "token", "_shuf"
-    ).withColumnRenamed("id", "rank")
+    ranks = (
+        dense_ids(ordered.select(F.col("_shuf").alias("token")), "token", first_id=1)
+        .withColumnRenamed("token", "_shuf")
+        .withColumnRenamed("id", "rank")
+        .cache()  # one (hash, rank) row per document, reused by every consumer of the split
+    )
     n = docs.count()
     n_train = int(n * ratio)
     return ordered.join(ranks, "_shuf").withColumn(

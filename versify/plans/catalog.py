@@ -439,9 +439,12 @@ def train_docs(spark, sf_dir):
 
 @query
 def q_pack_blocks(spark, sf_dir):
-    docs = train_docs(spark, sf_dir).checkpoint()
-    n = docs.agg(F.sum(F.size("ids"))).first()[0] or 0
-    return P.pack_from_docs(docs, n, BATCH, BLOCK)
+    """The stream length comes from text lengths (one character = one
+    token, plus one separator per document after the first), so the encoded
+    arrays are built only once, inside the packing plan."""
+    tr = doc_split(spark, sf_dir).where(F.col("split") == "train")
+    n = tr.agg(F.sum(F.length("text")) + F.count(F.lit(1)) - 1).first()[0] or 0
+    return P.block_digest(P.pack_from_docs(train_docs(spark, sf_dir), n, BATCH, BLOCK))
 
 
 def encoded_docs(spark, sf_dir):

@@ -517,19 +517,12 @@ def _():
     st AS (SELECT rank, coalesce(sum(len) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ln),
     tk AS (SELECT st.start + tc.i - 1 AS pos, cv.id FROM tc JOIN st USING (rank) LEFT JOIN cv USING (token)),
     nn AS (SELECT CASE WHEN count(*) >= {bt + 1} THEN (count(*) - 1) // {bt} ELSE 0 END * {bt} AS lim FROM tk),
-    cells AS (
-      SELECT pos // {bt} AS batch_no, (pos % {bt}) // {BLOCK} AS row_no, pos % {BLOCK} AS col, id, 'x' AS role
-      FROM tk WHERE pos < (SELECT lim FROM nn)
-      UNION ALL
-      SELECT (pos - 1) // {bt}, ((pos - 1) % {bt}) // {BLOCK}, (pos - 1) % {BLOCK}, id, 'y'
-      FROM tk WHERE pos - 1 >= 0 AND pos - 1 < (SELECT lim FROM nn))
-    SELECT CAST(batch_no AS BIGINT) AS batch_no, CAST(row_no AS BIGINT) AS row_no,
-           CAST(sum(id) FILTER (WHERE role = 'x') AS BIGINT) AS x_sum,
-           CAST(sum(id) FILTER (WHERE role = 'y') AS BIGINT) AS y_sum,
-           CAST(max(id) FILTER (WHERE role = 'x' AND col = 0) AS BIGINT) AS x_first,
-           CAST(max(id) FILTER (WHERE role = 'y' AND col = {BLOCK - 1}) AS BIGINT) AS y_last,
-           CAST(count(*) AS BIGINT) AS cells
-    FROM cells GROUP BY batch_no, row_no"""
+    xs AS (SELECT pos // {BLOCK} AS c, list(id ORDER BY pos) AS x FROM tk WHERE pos < (SELECT lim FROM nn) GROUP BY 1),
+    ys AS (SELECT (pos - 1) // {BLOCK} AS c, list(id ORDER BY pos) AS y FROM tk WHERE pos >= 1 AND pos - 1 < (SELECT lim FROM nn) GROUP BY 1)
+    SELECT CAST(c // {BATCH} AS BIGINT) AS batch_no, CAST(c % {BATCH} AS BIGINT) AS row_no,
+           md5(array_to_string(x, ',')) AS x_md5, md5(array_to_string(y, ',')) AS y_md5,
+           CAST(x[1] AS BIGINT) AS x_first, CAST(y[-1] AS BIGINT) AS y_last, CAST(len(x) AS BIGINT) AS block_len
+    FROM xs JOIN ys USING (c)"""
 
 
 DOC_IDS_CTE = """dc AS (SELECT doc_id, unnest(list_filter(string_split(text, ''), lambda c: c <> '')) AS token,
