@@ -114,15 +114,43 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
 
         return F.transform(seq, cell)
 
-    parts = docs.select(F.explode(F.concat(cells(0), cells(1))).alias("p")).select("p.*")
+    def inside(c: F.Column) -> F.Column:
+        # both the x range [cT, cT+T) and the y range [cT+1, cT+T+1) lie in this document
+        return (c * block >= start) & ((c + 1) * block + 1 <= start + ln)
+
+    # Interior cells: x and y are two slices of one document's ids, no shuffle.
+    c_lo, c_hi = F.ceil(start / block), F.floor((start + ln - 1 - block) / block)
+    own = F.when((ln > 0) & (c_hi >= c_lo), F.sequence(c_lo.cast("long"), c_hi.cast("long"))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    own = F.filter(own, lambda c: (c * block < limit) & inside(c))
+    interior = docs.select(
+        F.explode(
+            F.transform(
+                own,
+                lambda c: F.struct(
+                    c.alias("c"),
+                    F.slice(ids, (c * block - start + 1).cast("int"), block).alias("x"),
+                    F.slice(ids, (c * block - start + 2).cast("int"), block).alias("y"),
+                ),
+            )
+        ).alias("p")
+    ).select("p.c", "p.x", "p.y")
+
+    # Boundary cells (spanning documents): gather the pieces of every overlapping document.
+    def boundary(shift: int) -> F.Column:
+        return F.filter(cells(shift), lambda p: ~inside(p["c"]))
+
+    parts = docs.select(F.explode(F.concat(boundary(0), boundary(1))).alias("p")).select("p.*")
     per_cell = parts.groupBy("c", "role").agg(F.array_sort(F.collect_list(F.struct("lo", "part"))).alias("ps"))
     seqs = per_cell.select("c", "role", F.flatten(F.transform("ps", lambda x: x["part"])).alias("ids"))
-    return seqs.groupBy(
-        (F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no")
-    ).agg(
+    gathered = seqs.groupBy("c").agg(
         F.max(F.when(F.col("role") == 0, F.col("ids"))).alias("x"),
         F.max(F.when(F.col("role") == 1, F.col("ids"))).alias("y"),
     )
+    return interior.unionByName(gathered).select(
+        (F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no"), "x", "y"
+    )
 
 
 def block_digest(blocks: DataFrame) -> DataFrame:
