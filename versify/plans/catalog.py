@@ -833,7 +833,7 @@ def syllable_vocabulary(spark, sf_dir):
     """A8 + U4 over the marked-up verse (markers are whole tokens)."""
     ensure_checkpoint_dir(spark)
     v = verse(spark, sf_dir)
-    toks = v.select(F.explode(Y.syllabify_text(X.markup(F.col("text")))).alias("token"))
+    toks = v.select(F.explode(F.array_distinct(Y.syllabify_text(X.markup(F.col("text"))))).alias("token"))
     return V.syllable_vocab(toks)
 
 
