@@ -428,10 +428,11 @@ def q_split_tokens(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 8 pack
-def train_docs(spark, sf_dir):
+def train_docs(spark, sf_dir, split=None):
     """Train-split documents in shuffle order with separators and global starts."""
     stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
-    tr = doc_split(spark, sf_dir).where(F.col("split") == "train")
+    split = doc_split(spark, sf_dir) if split is None else split
+    tr = split.where(F.col("split") == "train")
     ids = V.encode_chars_array(F.col("text"), stoi)
     docs = tr.select("rank", P.with_separator(ids, F.col("rank"), F.lit(stoi["\n"])).alias("ids"))
     return P.stream_offsets(docs)
@@ -442,9 +443,10 @@ def q_pack_blocks(spark, sf_dir):
     """The stream length comes from text lengths (one character = one
     token, plus one separator per document after the first), so the encoded
     arrays are built only once, inside the packing plan."""
-    tr = doc_split(spark, sf_dir).where(F.col("split") == "train")
+    split = doc_split(spark, sf_dir)
+    tr = split.where(F.col("split") == "train")
     n = tr.agg(F.sum(F.length("text")) + F.count(F.lit(1)) - 1).first()[0] or 0
-    return P.block_digest(P.pack_from_docs(train_docs(spark, sf_dir), n, BATCH, BLOCK))
+    return P.block_digest(P.pack_from_docs(train_docs(spark, sf_dir, split), n, BATCH, BLOCK))
 
 
 def encoded_docs(spark, sf_dir):
