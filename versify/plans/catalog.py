@@ -884,3 +884,13 @@ def q_run_summary(spark, sf_dir):
         F.col("user_id").alias("run_id"), F.round("best_val_loss", 6).alias("best_val_loss"),
         F.col("best_step").cast("long").alias("best_step"), F.col("steps_done").cast("long").alias("steps_done"),
     )
+
+
+@query
+def q_unigram_seed(spark, sf_dir):
+    """T7 seeding: every substring (up to 8 characters) of the distinct marked
+    words weighted by frequency; all single characters plus the most frequent
+    longer pieces (ties by piece)."""
+    words = UG.word_freqs(documents(spark, sf_dir, "text")).where(~F.col("word").isin(*UG.USER_SYMBOLS))
+    seeds = UG.seed_pieces(words, 4 * UNIGRAM_VOCAB)
+    return seeds.select("piece", F.col("count").cast("long").alias("count"))

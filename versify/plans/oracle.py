@@ -1117,3 +1117,20 @@ def _():
     SELECT m.doc_id AS item_id, CAST(v.n_new AS BIGINT) AS n_new, v.done AS stopped, m.line_count,
            m.valid_hendecasyllables, m.rhyme_lines
     FROM m JOIN verse v ON m.doc_id = v.doc_id"""
+
+
+# ---------------------------------------------------------------- 9 subword: Unigram seeds
+@sql("unigram_seed")
+def _():
+    from versify.operators import unigram as UG
+
+    alt = "|".join(s.replace("[", "\\[").replace("]", "\\]") for s in UG.USER_SYMBOLS)
+    safe = f"replace(replace(text, chr(13) || chr(10), {NL}), {NL}, ' <NEWLINE> ')"
+    return f"""WITH uw0 AS (SELECT unnest(regexp_extract_all({safe}, {q(alt + '|' + chr(92) + 'S+')})) AS tok FROM documents),
+    uw AS (SELECT '{UG.WORD_MARK}' || tok AS word, count(*) AS freq FROM uw0 WHERE tok NOT IN {_in(UG.USER_SYMBOLS)} GROUP BY tok),
+    us0 AS (SELECT word, freq, unnest(range(1, length(word) + 1)) AS i FROM uw),
+    us1 AS (SELECT word, freq, i, unnest(range(1, least({UG.MAX_PIECE_LEN}, length(word) - i + 1) + 1)) AS k FROM us0),
+    cnt AS (SELECT substring(word, i, k) AS piece, sum(freq) AS count FROM us1 GROUP BY 1),
+    multi AS (SELECT * FROM cnt WHERE length(piece) > 1 ORDER BY count DESC, piece LIMIT {4 * 2000})
+    SELECT piece, CAST(count AS BIGINT) AS count FROM cnt WHERE length(piece) = 1
+    UNION ALL SELECT piece, CAST(count AS BIGINT) FROM multi"""
