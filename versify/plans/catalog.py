@@ -12,14 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versify.functions import html as H
 from versify.functions import rhyme as R
 from versify.functions import structure as S
 from versify.functions import syllable as Y
 from versify.functions import text as X
+from versify.operators import bpe as BPE
+from versify.operators import corpus as C
+from versify.operators import lm as LM
+from versify.operators import pack as P
+from versify.operators import runlog as RL
+from versify.operators import unigram as UG
+from versify.operators import vocab as V
 from versify.operators.evaluate import evaluate_frame, evaluation_report
 from versify.operators.rhyme_tags import tag_rhymes
 from versify.operators.verse import verse_lines, verse_view
+from versify.session import ensure_checkpoint_dir
+from versify.sources import io as IO
 from versify.sources.tables import read_table
+from versify.streaming import ingest as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -289,11 +300,6 @@ def q_evaluation_report(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 6 corpus
-from versify.operators import corpus as C  # noqa: E402
-from versify.operators import lm as LM  # noqa: E402
-from versify.operators import pack as P  # noqa: E402
-from versify.operators import vocab as V  # noqa: E402
-from versify.session import ensure_checkpoint_dir  # noqa: E402
 
 BUDGET = C.DEFAULT_BUDGET
 BATCH, BLOCK = 4, 64
@@ -529,8 +535,6 @@ def q_draw(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 11 chat / fine-tune
-from versify.functions import html as H  # noqa: E402
-from versify.operators import runlog as RL  # noqa: E402
 
 
 def render_turn(role: F.Column, text: F.Column) -> F.Column:
@@ -674,7 +678,6 @@ def q_throughput(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 9 subword
-from versify.operators import bpe as BPE  # noqa: E402
 
 N_MERGES = 8
 
@@ -734,8 +737,6 @@ def q_token_stats(spark, sf_dir):
     return C.length_stats(counts, F.col("n_tokens"), "tokens")
 
 
-from versify.operators import unigram as UG  # noqa: E402
-
 UNIGRAM_VOCAB = 2000
 N_TIMES, ALPHA = 10, 0.2
 
@@ -766,7 +767,6 @@ def q_unigram_sample(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 10 LM: generation
-from versify.operators.evaluate import evaluate_frame as _eval  # noqa: E402
 
 MAX_NEW_TOKENS = 48
 
@@ -789,7 +789,7 @@ def generated(spark, sf_dir):
 def q_generate_batch(spark, sf_dir):
     """L4 + L5: generate, decode, evaluate every sample."""
     g = generated(spark, sf_dir)
-    m = _eval(g, ["sample_id", "n_new", "done"])
+    m = evaluate_frame(g, ["sample_id", "n_new", "done"])
     return m.select(
         F.col("sample_id").alias("item_id"), F.col("n_new").cast("long").alias("n_new"), F.col("done").alias("stopped"),
         "line_count", "valid_hendecasyllables", "rhyme_lines",
@@ -797,7 +797,6 @@ def q_generate_batch(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 14 streaming
-from versify.streaming import ingest as ST  # noqa: E402
 
 
 @query
@@ -864,7 +863,6 @@ def q_syllable_encode(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 15 metadata sinks
-from versify.sources import io as IO  # noqa: E402
 
 
 @query
