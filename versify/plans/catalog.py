@@ -688,6 +688,16 @@ def q_pretokenize(spark, sf_dir):
     return BPE.word_table(documents(spark, sf_dir, "text")).select("word", "freq")
 
 
+@query
+def q_word_counts(spark, sf_dir):
+    """Distributed word counts (whitespace words of every document): one
+    aggregate with map-side combining, so a very frequent word costs one row
+    per partition before the shuffle."""
+    d = documents(spark, sf_dir, "text")
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 @query
 def q_bpe_pairs(spark, sf_dir):
     return BPE.pair_counts(BPE.word_table(documents(spark, sf_dir, "text")))

@@ -1134,3 +1134,9 @@ def _():
     multi AS (SELECT * FROM cnt WHERE length(piece) > 1 ORDER BY count DESC, piece LIMIT {4 * 2000})
     SELECT piece, CAST(count AS BIGINT) AS count FROM cnt WHERE length(piece) = 1
     UNION ALL SELECT piece, CAST(count AS BIGINT) FROM multi"""
+
+
+@sql("word_counts")
+def _():
+    return """SELECT word, CAST(count(*) AS BIGINT) AS n FROM (
+      SELECT unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents) GROUP BY word"""
