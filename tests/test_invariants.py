@@ -28,3 +28,16 @@ def test_bpe_round_trip_and_budget(spark):
 def test_pack_blocks_are_full(spark):
     rows = QUERIES["pack_blocks"](spark, SF).collect()
     assert rows and all(r["block_len"] == 64 for r in rows)
+
+
+def test_running_total_across_buckets(spark):
+    from versify.operators.corpus import running_total
+
+    rows = [(i, (i * 7) % 5 + 1) for i in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, w long")
+    got = {r["doc_id"]: r["before"] for r in running_total(df, "doc_id", "w", "before", bucket_width=4).collect()}
+    acc, want = 0, {}
+    for i, w in rows:
+        want[i] = acc
+        acc += w
+    assert got == want
