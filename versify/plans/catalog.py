@@ -251,25 +251,34 @@ def q_syllabify_words(spark, sf_dir):
 
 
 def _eval_line_rows(spark, sf_dir):
-    v = verse(spark, sf_dir)
-    return v.select(
-        "doc_id", "poem_no", "lang", F.posexplode(S.eval_lines(S.eval_text(F.col("text")))).alias("pos", "line")
-    ).select("doc_id", "poem_no", "lang", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    """Evaluation lines as rows, each with its marked form (the poem text is
+    marked once; the syllable rules never cross a newline)."""
+    v = verse(spark, sf_dir).withColumn("_t", S.eval_text(F.col("text")))
+    pairs = F.arrays_zip(S.eval_lines(F.col("_t")).alias("line"), S.eval_lines(Y.mark_syllables(F.col("_t"))).alias("mline"))
+    return v.select("doc_id", "poem_no", "lang", F.posexplode(pairs).alias("pos", "p")).select(
+        "doc_id", "poem_no", "lang", (F.col("pos") + 1).cast("long").alias("line_no"), F.col("p.line").alias("line"),
+        F.col("p.mline").alias("mline"),
+    )
+
+
+def _line_count(rows: DataFrame) -> F.Column:
+    meta = F.col("line").rlike(r"^[a-z].+\|\s+(.*)$")
+    return F.when(meta, Y.hendecasyllable_count(F.col("line"))).otherwise(Y.marked_line_syllable_count(F.col("mline")))
 
 
 @query
 def q_syllable_count(spark, sf_dir):
     rows = _eval_line_rows(spark, sf_dir)
-    n = Y.hendecasyllable_count(F.col("line"))
-    return rows.select(
-        "doc_id", "poem_no", "line_no", n.cast("long").alias("syllables"),
-        n.between(10, 12).alias("valid"), (n == 11).alias("valid_strict"),
+    return rows.withColumn("n", _line_count(rows)).select(
+        "doc_id", "poem_no", "line_no", F.col("n").cast("long").alias("syllables"),
+        F.col("n").between(10, 12).alias("valid"), (F.col("n") == 11).alias("valid_strict"),
     )
 
 
 @query
 def q_hendecasyllable_rate(spark, sf_dir):
-    rows = _eval_line_rows(spark, sf_dir).withColumn("n", Y.hendecasyllable_count(F.col("line")))
+    rows = _eval_line_rows(spark, sf_dir)
+    rows = rows.withColumn("n", _line_count(rows))
     return rows.groupBy("lang").agg(
         F.count(F.lit(1)).cast("long").alias("lines"),
         F.sum(F.col("n").between(10, 12).cast("long")).cast("long").alias("valid_lines"),
