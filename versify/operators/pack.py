@@ -80,41 +80,24 @@ def next_token_pairs(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
     )
 
 
-def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids") -> DataFrame:
+def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids",
+                   edges: DataFrame | None = None) -> DataFrame:
     """W9 without exploding tokens: (batch_no, row_no, x array<int>, y array<int>).
 
-    Each document (with its global ``start``) emits, built inside its row with
-    ``transform``, the slice of its ids that falls in every block-row cell it
-    overlaps; a cell gathers at most ``block`` ids from its pieces (a bounded
-    group), ordered by position.  Rows shuffled ~ tokens / block."""
+    Interior cells (x and y inside one document) are two slices of that
+    document's ids, emitted in place with no shuffle.  Cells spanning documents
+    are gathered from pieces: a cell holds at most ``block`` ids from its pieces
+    (a bounded group), ordered by position.  Every boundary piece lies in the
+    first or last ``block + 1`` ids of its document, so ``edges`` may carry only
+    (start, ln, head, tail) id arrays; without it they are sliced from ``docs``.
+    Rows shuffled ~ documents, not tokens."""
     bt = batch * block
     n_batches = (n_tokens - 1) // bt if n_tokens >= bt + 1 else 0
     limit = n_batches * bt
-    start, ln = F.col("start"), F.size(ids_col).cast("long")
-    ids = F.col(ids_col)
+    start, ids = F.col("start"), F.col(ids_col)
+    ln = F.size(ids_col).cast("long")
 
-    def cells(shift: int) -> F.Column:
-        # shift 0: x cells cover [cT, (c+1)T); shift 1: y cells cover [cT+1, (c+1)T+1)
-        c0 = F.floor((start - shift) / block)
-        c1 = F.floor((start + ln - 1 - shift) / block)
-        seq = F.when((ln > 0) & (c1 >= F.greatest(c0, F.lit(0))), F.sequence(F.greatest(c0, F.lit(0)), c1)).otherwise(
-            F.array().cast("array<bigint>")
-        )
-        seq = F.filter(seq, lambda c: c * block < limit)
-
-        def cell(c: F.Column) -> F.Column:
-            lo = F.greatest(start, c * block + shift)
-            hi = F.least(start + ln, (c + 1) * block + shift)
-            return F.struct(
-                c.alias("c"),
-                F.lit(shift).alias("role"),
-                lo.alias("lo"),
-                F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("part"),
-            )
-
-        return F.transform(seq, cell)
-
-    def inside(c: F.Column) -> F.Column:
+    def inside(c: F.Column, ln: F.Column) -> F.Column:
         # both the x range [cT, cT+T) and the y range [cT+1, cT+T+1) lie in this document
         return (c * block >= start) & ((c + 1) * block + 1 <= start + ln)
 
@@ -123,7 +106,7 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
     own = F.when((ln > 0) & (c_hi >= c_lo), F.sequence(c_lo.cast("long"), c_hi.cast("long"))).otherwise(
         F.array().cast("array<bigint>")
     )
-    own = F.filter(own, lambda c: (c * block < limit) & inside(c))
+    own = F.filter(own, lambda c: (c * block < limit) & inside(c, ln))
     interior = docs.select(
         F.explode(
             F.transform(
@@ -137,11 +120,41 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
         ).alias("p")
     ).select("p.c", "p.x", "p.y")
 
-    # Boundary cells (spanning documents): gather the pieces of every overlapping document.
-    def boundary(shift: int) -> F.Column:
-        return F.filter(cells(shift), lambda p: ~inside(p["c"]))
+    # Boundary cells: pieces from the head or the tail of each document.
+    if edges is None:
+        edges = docs.select(
+            "start",
+            ln.alias("ln"),
+            F.slice(ids_col, 1, block + 1).alias("head"),
+            F.slice(ids_col, F.greatest(F.size(ids_col) - block, F.lit(1)), block + 1).alias("tail"),
+        )
+    e_ln = F.col("ln").cast("long")
+    head, tail = F.col("head"), F.col("tail")
+    tail_start = start + e_ln - F.size(tail)
+
+    def pieces(shift: int) -> F.Column:
+        c0 = F.floor((start - shift) / block)
+        c1 = F.floor((start + e_ln - 1 - shift) / block)
+        seq = F.when((e_ln > 0) & (c1 >= F.greatest(c0, F.lit(0))), F.sequence(F.greatest(c0, F.lit(0)), c1)).otherwise(
+            F.array().cast("array<bigint>")
+        )
+        seq = F.filter(seq, lambda c: (c * block < limit) & ~inside(c, e_ln))
+
+        def piece(c: F.Column) -> F.Column:
+            lo = F.greatest(start, c * block + shift)
+            hi = F.least(start + e_ln, (c + 1) * block + shift)
+            from_head = F.slice(head, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
+            from_tail = F.slice(tail, (lo - tail_start + 1).cast("int"), (hi - lo).cast("int"))
+            return F.struct(
+                c.alias("c"),
+                F.lit(shift).alias("role"),
+                lo.alias("lo"),
+                F.when(hi <= start + F.size(head), from_head).otherwise(from_tail).alias("part"),
+            )
+
+        return F.transform(seq, piece)
 
-    parts = docs.select(F.explode(F.concat(boundary(0), boundary(1))).alias("p")).select("p.*")
+    parts = edges.select(F.explode(F.concat(pieces(0), pieces(1))).alias("p")).select("p.*")
     per_cell = parts.groupBy("c", "role").agg(F.array_sort(F.collect_list(F.struct("lo", "part"))).alias("ps"))
     seqs = per_cell.select("c", "role", F.flatten(F.transform("ps", lambda x: x["part"])).alias("ids"))
     gathered = seqs.groupBy("c").agg(

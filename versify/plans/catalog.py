@@ -443,25 +443,44 @@ def q_split_tokens(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 8 pack
-def train_docs(spark, sf_dir, split=None):
-    """Train-split documents in shuffle order with separators and global starts."""
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+def train_placed(spark, sf_dir, split=None):
+    """Train-split texts in shuffle order with the separator prefixed and the
+    global start of each document, from text lengths (one character = one
+    token), so the prefix-sum shuffle carries text, not id arrays."""
     split = doc_split(spark, sf_dir) if split is None else split
     tr = split.where(F.col("split") == "train")
-    ids = V.encode_chars_array(F.col("text"), stoi)
-    docs = tr.select("rank", P.with_separator(ids, F.col("rank"), F.lit(stoi["\n"])).alias("ids"))
-    return P.stream_offsets(docs)
+    t = F.when(F.col("rank") > 1, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    rows = tr.select("rank", t.alias("t")).withColumn("ln", F.length("t").cast("long"))
+    # prefix sums on the narrow (rank, ln) table only; texts are joined back and
+    # encoded afterwards in parallel tasks
+    starts = C.running_total(rows.select("rank", "ln"), "rank", "ln", "start").select("rank", "start")
+    return rows.join(V.checked_broadcast(starts), "rank")
+
+
+def train_docs(spark, sf_dir, split=None):
+    """(start, ids): encoded train documents at their global positions."""
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    return train_placed(spark, sf_dir, split).select("start", V.encode_chars_array(F.col("t"), stoi).alias("ids"))
 
 
 @query
 def q_pack_blocks(spark, sf_dir):
-    """The stream length comes from text lengths (one character = one
-    token, plus one separator per document after the first), so the encoded
-    arrays are built only once, inside the packing plan."""
-    split = doc_split(spark, sf_dir)
-    tr = split.where(F.col("split") == "train")
-    n = tr.agg(F.sum(F.length("text")) + F.count(F.lit(1)) - 1).first()[0] or 0
-    return P.block_digest(P.pack_from_docs(train_docs(spark, sf_dir, split), n, BATCH, BLOCK))
+    """The stream length comes from text lengths; interior cells slice the
+    fully encoded documents in place, boundary cells only need each
+    document's first and last block + 1 characters encoded."""
+    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    placed = train_placed(spark, sf_dir)
+    n = placed.agg(F.sum("ln")).first()[0] or 0
+    docs = placed.select("start", V.encode_chars_array(F.col("t"), stoi).alias("ids"))
+    w = BLOCK + 1
+    tail_text = F.substring(F.col("t"), F.greatest(F.col("ln") - (w - 1), F.lit(1)).cast("int"), F.lit(w))
+    edges = placed.select(
+        "start",
+        "ln",
+        V.encode_chars_array(F.substring("t", 1, w), stoi).alias("head"),
+        V.encode_chars_array(tail_text, stoi).alias("tail"),
+    )
+    return P.block_digest(P.pack_from_docs(docs, n, BATCH, BLOCK, edges=edges))
 
 
 def encoded_docs(spark, sf_dir):
