@@ -25,7 +25,7 @@ from versify.operators import runlog as RL
 from versify.operators import unigram as UG
 from versify.operators import vocab as V
 from versify.operators.evaluate import evaluate_frame, evaluation_report
-from versify.operators.rhyme_tags import tag_rhymes
+from versify.operators.rhyme_tags import tag_rhymes, tag_rhymes_frame
 from versify.operators.verse import verse_lines, verse_view
 from versify.session import ensure_checkpoint_dir
 from versify.sources import io as IO
@@ -160,7 +160,7 @@ def q_rhyme_suffix(spark, sf_dir):
 @query
 def q_rhyme_tags(spark, sf_dir):
     v = verse(spark, sf_dir)
-    tagged = v.select("doc_id", "poem_no", tag_rhymes(F.col("text"), with_suffix=True).alias("t"))
+    tagged = tag_rhymes_frame(v.select("doc_id", "poem_no", "text"), "text", "t", with_suffix=True)
     return tagged.select(
         "doc_id", "poem_no", F.posexplode(F.split("t", "\n", -1)).alias("pos", "tagged_line")
     ).select("doc_id", "poem_no", (F.col("pos") + 1).cast("long").alias("line_no"), "tagged_line")
