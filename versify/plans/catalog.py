@@ -112,17 +112,16 @@ def q_special_tokens(spark, sf_dir):
     """Tag rhymes with suffixes, map specials to chars (C12), strip the char
     rhyme prefix (C13) and the specials but SEP (C15); the syllable-stream
     prefix (C14) runs on the de-spaced tag form."""
-    v = verse(spark, sf_dir)
-    tagged = tag_rhymes(X.markup(F.col("text")), with_suffix=True)
-    chars = X.to_special_chars(tagged)
-    stripped = X.remove_specials(X.strip_char_rhyme_prefix(chars), ["¶", "§"])
-    compact = F.regexp_replace(tagged, r"(?m)^(<RHYME_[A-Z]>) (\S+) \| ", "$1$2|")
+    v = verse(spark, sf_dir).select("doc_id", "poem_no", X.markup(F.col("text")).alias("m"))
+    t = tag_rhymes_frame(v, "m", "tagged", with_suffix=True).withColumn("chars", X.to_special_chars(F.col("tagged")))
+    stripped = X.remove_specials(X.strip_char_rhyme_prefix(F.col("chars")), ["¶", "§"])
+    compact = F.regexp_replace(F.col("tagged"), r"(?m)^(<RHYME_[A-Z]>) (\S+) \| ", "$1$2|")
     syl = X.strip_syllable_rhyme_prefix(compact)
-    return v.select(
+    return t.select(
         "doc_id",
         "poem_no",
-        F.md5(chars).alias("chars_md5"),
-        F.length(chars).cast("long").alias("chars_len"),
+        F.md5("chars").alias("chars_md5"),
+        F.length("chars").cast("long").alias("chars_len"),
         F.md5(stripped).alias("stripped_md5"),
         F.md5(syl).alias("syllable_md5"),
     )
