@@ -21,9 +21,25 @@ DEFAULT = ["evaluate_documents", "rhyme_rate_by_lang", "word_budget", "pack_bloc
 KEEP = re.compile(r"(FileScan|Exchange|BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|Window|HashAggregate|Generate|InMemoryTableScan|Scan ExistingRDD)")
 
 
+def _indent(line: str) -> int:
+    m = re.search(r"[A-Za-z*(]", line)
+    return m.start() if m else len(line)
+
+
 def skeleton(plan: str) -> list[str]:
+    """Keep the interesting operators; drop the bodies of cached relations
+    (Spark prints a cached plan again under every scan of the cache)."""
     out = []
+    cached_at = None
     for line in plan.split("\n"):
+        ind = _indent(line)
+        if cached_at is not None:
+            if ind > cached_at:
+                continue
+            cached_at = None
+        if "InMemoryRelation" in line:
+            cached_at = ind
+            continue
         if KEEP.search(line):
             line = re.sub(r"#\d+L?", "", line)
             line = re.sub(r"Location: InMemoryFileIndex\([^)]*\)\[[^\]]*\]", "Location: ...", line)
@@ -36,12 +52,13 @@ def main() -> None:
     names = sys.argv[2:] or DEFAULT
     spark = local_session()
     parts = ["# Physical plan skeletons", "", f"Generated by `tools/explain_plans.py` on `{sf_dir}` (local session, AQE on).",
-             "Only scans, exchanges (shuffles), joins, windows, aggregates and generators are kept.", ""]
+             "Only scans, exchanges (shuffles), joins, windows, aggregates and generators are kept; bodies of cached",
+             "relations are dropped (they were computed once, by an earlier job).", ""]
     for name in names:
         df = QUERIES[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         lines = skeleton(plan)
-        shuffles = sum(1 for l in lines if "Exchange" in l and "Broadcast" not in l)
+        shuffles = len({l.strip(" :+-|") for l in lines if "Exchange" in l and "Broadcast" not in l})
         parts += [f"## {name}", "", f"shuffle exchanges: {shuffles}", "", "```", *lines, "```", ""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "PLANS.md"), "w") as f:
         f.write("\n".join(parts))
