@@ -53,7 +53,10 @@ def main() -> None:
     spark = local_session()
     parts = ["# Physical plan skeletons", "", f"Generated by `tools/explain_plans.py` on `{sf_dir}` (local session, AQE on).",
              "Only scans, exchanges (shuffles), joins, windows, aggregates and generators are kept; bodies of cached",
-             "relations are dropped (they were computed once, by an earlier job).", ""]
+             "relations are dropped (they were computed once, by an earlier job).",
+             "`shuffle exchanges` counts distinct exchange nodes. Branches of a union re-plan identical subplans",
+             "(Spark reuses identical exchanges at run time). `SinglePartition` exchanges feed windows over",
+             "small tables only: bucket or partition totals and bounded rank sets.", ""]
     for name in names:
         df = QUERIES[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
