@@ -26,7 +26,15 @@ SPECIAL_TOKEN_MAP = {
     "<RHYME_P>": "Ⓟ", "<RHYME_Q>": "Ⓠ", "<RHYME_R>": "Ⓡ", "<RHYME_S>": "Ⓢ",
 }
 
-# Patterns of the rhyme-prefix strippers (pipe is literal here).
+# FIXED VALUES: text patterns of the cleaning and marking rules (the pipe is literal in
+# the two rhyme-prefix patterns; the syllable one spells out word characters).
+FOOTNOTE_RE = r"\(\d+\)"
+VERSE_FOOTNOTE_RE = r"\(\d{1,2}\)"
+CONTINUATION_RE = r"\n\s{4}"
+MERGED_LINE_LIMIT = 65
+MERGED_SPLIT_RE = r"^(.*?[:;,.?!])\s+[A-Za-z]"  # first [:;,.?!] followed by blanks and a letter
+FINETUNE_TITLE_RE = r"\d{1,}\.\s(.*)\."
+FINETUNE_TITLE_TRIM_RE = r"^[\]\[»]+|[\]\[»]+$"
 RHYME_MARKING_CHAR = r"(?m)^[Ⓐ-Ⓩ][ \t]+[^|\n]*\|[ \t]*"
 RHYME_MARKING_SYLLABLE = r"(?m)^<RHYME_[A-Z]>[\p{L}\p{N}_]+\|\s*"
 
@@ -56,7 +64,7 @@ def clean_text(text: Column) -> Column:
     out = F.translate(text, TRANSLATE_SRC, TRANSLATE_DST)
     for k, v in MULTI_REPLACE:
         out = F.replace(out, F.lit(k), F.lit(v))
-    return F.regexp_replace(out, r"\(\d+\)", "")
+    return F.regexp_replace(out, FOOTNOTE_RE, "")
 
 
 def per_line(text: Column, fn) -> Column:
@@ -66,8 +74,8 @@ def per_line(text: Column, fn) -> Column:
 def clean_verse(text: Column) -> Column:
     """CRLF/LFCR to blanks, newline+4 blanks to one blank, (n)/(nn) off, lines stripped."""
     t = F.replace(F.replace(text, F.lit("\r\n"), F.lit(" ")), F.lit("\n\r"), F.lit(" "))
-    t = F.regexp_replace(t, r"\n\s{4}", " ")
-    t = F.regexp_replace(t, r"\(\d{1,2}\)", "")
+    t = F.regexp_replace(t, CONTINUATION_RE, " ")
+    t = F.regexp_replace(t, VERSE_FOOTNOTE_RE, "")
     return per_line(t, strip_ws)
 
 
@@ -90,12 +98,12 @@ def fix_merged_lines(text: Column) -> Column:
     """Non-blank stripped lines; a line over 65 chars is split once after the
     first ``[:;,.?!]`` followed by blanks and an ASCII letter; then C4."""
     lines = F.transform(F.filter(F.split(text, "\n", -1), lambda l: strip_ws(l) != ""), strip_ws)
-    head_re = r"^(.*?[:;,.?!])\s+[A-Za-z]"
+    head_re = MERGED_SPLIT_RE
 
     def fix(line: Column) -> Column:
         head = F.regexp_extract(line, head_re, 1)
         tail = strip_ws(F.substring(line, F.length(head) + 1, 1 << 30))
-        split = (F.length(line) > 65) & line.rlike(head_re)
+        split = (F.length(line) > MERGED_LINE_LIMIT) & line.rlike(head_re)
         return F.when(split, F.array(strip_ws(head), tail)).otherwise(F.array(line))
 
     return format_structure(F.flatten(F.transform(lines, fix)))
@@ -160,9 +168,9 @@ def decode_newlines(text: Column) -> Column:
 
 def finetune_title(filename: Column) -> Column:
     """Title from ``N. title.ext`` (greedy), brackets and » trimmed; null when no match."""
-    pat = r"\d{1,}\.\s(.*)\."
+    pat = FINETUNE_TITLE_RE
     raw = F.regexp_extract(filename, pat, 1)
-    trimmed = F.regexp_replace(raw, r"^[\]\[»]+|[\]\[»]+$", "")
+    trimmed = F.regexp_replace(raw, FINETUNE_TITLE_TRIM_RE, "")
     return F.when(filename.rlike(pat), trimmed)
 
 
