@@ -60,3 +60,20 @@ def test_html_paragraph_and_names(spark):
     assert r["p"] == "Primo verso\nsecondo & verso\nterzo"
     assert r["u"] == "https://x.org/a/__ABC.HTM"
     assert r["f"] == "[CHECK] a-b -  c.txt"
+
+
+def test_page_titles_and_style_filter(spark):
+    from versify.functions.html import VERSE_STYLE_RE, page_title, paragraphs
+
+    pages = [
+        ("<html><p>Intro</p><p>12. Titolo<sup>1</sup> del  sonetto</p></html>", "http://x/a"),
+        ("<ul><li>Sonetto . Primo</li><li><ul><li>x</li></ul></li></ul>", "http://x/b"),
+        ("<p>niente</p>", "http://x/c"),
+    ]
+    df = spark.createDataFrame(pages, "html string, url string")
+    got = [r[0] for r in df.select(page_title(F.col("html"), F.col("url"))).collect()]
+    assert got == ["12. Titolo del sonetto", "Sonetto. Primo", "Unknown_Title_http://x/c"]
+    styled = '<p style="margin-left:1.50cm;text-indent:0.25cm">verso uno<br>verso due</p><p>nota</p>'
+    one = spark.createDataFrame([(styled,)], "html string")
+    assert one.select(F.size(paragraphs(F.col("html"), VERSE_STYLE_RE))).first()[0] == 1
+    assert one.select(F.size(paragraphs(F.col("html")))).first()[0] == 2
