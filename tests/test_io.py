@@ -37,3 +37,17 @@ def test_parquet_batches(spark, tmp_path):
     io.write_parquet_batches(df.coalesce(1), str(tmp_path / "p"), rows_per_file=10)
     files = [p for p in (tmp_path / "p").iterdir() if p.name.endswith(".parquet")]
     assert len(files) == 3 and spark.read.parquet(str(tmp_path / "p")).count() == 25
+
+
+def test_read_pretrain_declared_schema(spark, tmp_path):
+    from versify.operators import corpus as C
+
+    bad = spark.createDataFrame(
+        [("a", "x", "t", "1800", "uno due", "2"), ("b", "y", "u", "17x0", "tre", "1"), ("c", "z", "v", "1850", "", "0")],
+        "identifier string, creator string, title string, publication_date string, text string, word_count string",
+    )
+    bad.write.parquet(str(tmp_path / "pt"))
+    df = io.read_pretrain(spark, str(tmp_path / "pt"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "string", "string", "int", "string", "int"]
+    kept = C.content_filter(C.year_filter(df)).select("identifier").collect()
+    assert [r[0] for r in kept] == ["a"]  # bad year -> null -> dropped; empty text dropped

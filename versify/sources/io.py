@@ -36,11 +36,17 @@ def _regex_escape(s: str) -> str:
     return re.escape(s)
 
 
-def read_pretrain(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """S3: the pretraining corpus with its declared schema (no inference);
-    rows that do not fit are dropped by the reader instead of stopping the job."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(PRETRAIN_SCHEMA).option("mode", "DROPMALFORMED").parquet(path)
+def read_pretrain(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the pretraining corpus in its declared schema.  Every declared column
+    is read with ``try_cast``: a value that does not fit becomes null (and the
+    F1/F2 filters then drop the row) instead of stopping the job; a missing
+    column is all null."""
+    raw = spark.read.parquet(path)
+    cols = []
+    for f in PRETRAIN_SCHEMA.fields:
+        col = F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)
+        cols.append(col.alias(f.name))
+    return raw.select(*cols)
 
 
 def read_texts_only(spark: SparkSession, path: str) -> DataFrame:
