@@ -77,3 +77,11 @@ def test_page_titles_and_style_filter(spark):
     one = spark.createDataFrame([(styled,)], "html string")
     assert one.select(F.size(paragraphs(F.col("html"), VERSE_STYLE_RE))).first()[0] == 1
     assert one.select(F.size(paragraphs(F.col("html")))).first()[0] == 2
+
+
+def test_safe_filename_is_nfc(spark):
+    from versify.functions.html import safe_filename
+
+    decomposed = "Pieta\u0300: e/o"  # 'a' + combining grave accent
+    df = spark.createDataFrame([(decomposed,)], "t string")
+    assert df.select(safe_filename(F.col("t"), F.lit(True))).first()[0] == "Piet\u00e0 -  e-o.txt"

@@ -8,6 +8,7 @@ same in Spark and in the SQL twin.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,9 +105,25 @@ def normalize_url(url: Column) -> Column:
     return F.regexp_replace(https, r"(?i)/_(\w+).HTM$", "/__$1.HTM")
 
 
+def _nfc_series(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFC")
+
+
+_NFC = None
+
+
+def nfc(col: Column) -> Column:
+    """NFC normalisation (no native Spark function); an Arrow-batched pandas UDF,
+    created on first use so importing the package needs no session."""
+    global _NFC
+    if _NFC is None:
+        _NFC = F.pandas_udf(_nfc_series, "string")
+    return _NFC(col)
+
+
 def safe_filename(title: Column, is_valid: Column) -> Column:
-    """H9: path separators and colons rewritten, reserved and control chars dropped."""
-    name = strip_ws(title)
+    """H9: NFC, path separators and colons rewritten, reserved and control chars dropped."""
+    name = nfc(strip_ws(title))
     name = F.replace(F.replace(F.replace(name, F.lit("/"), F.lit("-")), F.lit("\\"), F.lit("-")), F.lit(":"), F.lit(" - "))
     name = F.regexp_replace(name, r'[<>:"|?*\x00-\x1F]', "")
     fname = F.concat(F.when(name == "", F.lit("untitled")).otherwise(name), F.lit(".txt"))

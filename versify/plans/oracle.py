@@ -756,7 +756,7 @@ def _():
 
 @sql("safe_names")
 def _():
-    name = strip("title")
+    name = f"nfc_normalize({strip('title')})"
     name = f"replace(replace(replace({name}, '/', '-'), '\\', '-'), ':', ' - ')"
     name = f"regexp_replace({name}, '[<>:\"|?*\\x00-\\x1F]', '', 'g')"
     fname = f"CASE WHEN {name} = '' THEN 'untitled' ELSE {name} END || '.txt'"
