@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "mixing")
+MODULES = ("packing", "mixing", "quality", "secret_scan", "cdc_fingerprint")
 
 
 def _gathered(name: str) -> dict:
