@@ -38,7 +38,7 @@ from versify.llm.common import doc_bytes, fold_ascii, keep, span_hashes, table,
 STATES = 6
 CLASSES = 1 << 12
 END, UNKNOWN = CLASSES, CLASSES + 1
-ROUNDS = 3
+ROUNDS = 4
 #: Characters of a block of documents, tokens that a task gathers, texts whose recursions run side by side.
 BLOCK_CHARS = 12_000_000
 GATHER = 2_000_000
@@ -139,12 +139,13 @@ def class_weights(counts: DataFrame) -> np.ndarray:
 
 
 def first_states(share: np.ndarray, seed: int = 11) -> States:
-    """A start that tells the states apart: emissions of the corpus, tilted at random."""
+    """A start that tells the states apart: emissions of the corpus, tilted at random, in states that
+    last, so that the first rounds sort the texts before they sort the words."""
     rng = np.random.default_rng(seed)
-    emit = share[:, None] * rng.uniform(0.5, 1.5, (len(share), STATES))
+    emit = share[:, None] * np.exp(rng.normal(0, 1, (len(share), STATES)))
     emit[END] = share[END]
     emit[UNKNOWN] = share[UNKNOWN]
-    step = np.full((STATES, STATES), 1.0) + np.eye(STATES) * STATES
+    step = np.full((STATES, STATES), 1.0) + np.eye(STATES) * 50 * STATES
     return States(np.full(STATES, 1 / STATES), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 

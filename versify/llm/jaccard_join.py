@@ -99,6 +99,14 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, n * 4).astype(np.uint64) << np.uint64(32)
 
 
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of every run of equal keys."""
+    if not len(keys):
+        return []
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+
 def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """(set, ids): of each point the shingles that occur in another point too, in several rows."""
 
@@ -123,8 +131,7 @@ def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             for part, who in ((ids[~several], owner[~several]), (np.unique(ids[several]), None)):
                 bucket = (part * np.uint64(buckets) >> np.uint64(ID_BITS)).astype(np.int64) if buckets < 1 << 16 else (part >> np.uint64(16)).astype(np.int64) * buckets >> 32
                 by = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(bucket[by]) > 0]) if len(by) else []
-                for s, e in zip(cut, [*cut[1:], len(by)], strict=True):
+                for s, e in runs(bucket[by]):
                     at = by[s:e]
                     if who is None:
                         rows.append((int(bucket[at[0]]), b"", b"", _packed(part[at])))
@@ -152,7 +159,7 @@ def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             yield from flush()
 
     def counted(group: pa.Table) -> pa.Table:
-        rows = [r.as_py() for r in group.combine_chunks().column("owners")], [r.as_py() for r in group.column("counts")], [r.as_py() for r in group.column("ids")]
+        rows = [group.column(c).to_pylist() for c in ("owners", "counts", "ids")]
         if group.column("bucket")[0].as_py() < 0:
             return pa.table({"set": pa.array(rows[0], pa.binary()), "ids": pa.array(rows[2], pa.binary())})
         ids = np.concatenate([_unpacked(x) for x in rows[2]])
@@ -174,8 +181,7 @@ def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         ids, who = ids[chosen], who[chosen]
         by = np.argsort(who, kind="stable")
         ids, who = ids[by], who[by]
-        cut = np.flatnonzero(np.r_[True, np.diff(who) > 0]) if len(who) else np.zeros(0, int)
-        spans = list(zip(cut, [*cut[1:], len(who)], strict=True))
+        spans = runs(who)
         return pa.table({"set": pa.array([owners[16 * who[s] : 16 * who[s] + 16] for s, _ in spans], pa.binary()), "ids": pa.array([ids[s:e].tobytes() for s, e in spans], pa.binary())})
 
     out = docs.select("text").mapInArrow(sent, "bucket long, owners binary, counts binary, ids binary")
@@ -260,9 +266,8 @@ def small_clusters(members: DataFrame, total: int, percent: int) -> DataFrame:
         cluster, uid, n = (group.column(c).to_numpy() for c in ("cluster", "uid", "n"))
         blobs = group.column("ids").to_pylist()
         order = np.lexsort((uid, cluster))
-        cut = np.flatnonzero(np.r_[True, np.diff(cluster[order]) != 0])
         a, b = [], []
-        for s, e in zip(cut, [*cut[1:], len(order)], strict=True):
+        for s, e in runs(cluster[order]):
             at = order[s:e]
             label = join_cluster(Points([blobs[k] for k in at], n[at]), percent)
             joined = np.flatnonzero(label != np.arange(len(at)))
@@ -356,7 +361,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     single = source.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("body") == F.col("cbody")), "left_anti")
     shared = shared_shingles(single, words, max(12, int(total // COUNT) + 1))
     lists = shared.groupBy("set").agg(F.collect_list("ids").alias("parts"))  # as long as the document at most
-    able = lists.join(points.select("set", "uid", "n", "low"), "set").withColumn("size", F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p) / 8))
+    able = lists.join(points.select("set", "uid", "n", "low"), "set").withColumn("size", F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + (F.octet_length(p) / 8).cast("long")))
     able = able.where(F.col("size") * 100 >= F.col("n") * percent).select("uid", "n", "parts")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
