@@ -1,39 +1,39 @@
+import poems
 from pyspark.sql import functions as F
 
-from versify.fixtures import GOLDEN_TEXTS
 from versify.functions.structure import check_structure, evaluate_structure, validate_structure
 from versify.operators.evaluate import evaluate_frame, evaluation_report
 
 
 def _metrics(spark):
-    rows = [(i, n, t) for i, n, t in GOLDEN_TEXTS]
+    rows = [(i, n, t) for i, (n, t) in enumerate(poems.ALL.items())]
     df = spark.createDataFrame(rows, "doc_id long, name string, text string")
     return {r["name"]: r for r in evaluate_frame(df, ["name"]).collect()}
 
 
-def test_real_sonnets_are_valid(spark):
+def test_regular_sonnets_are_valid(spark):
     m = _metrics(spark)
-    for name in ["sonnet_one", "sonnet_two"]:
+    for name in ["field", "inn"]:
         r = m[name]
         assert r["is_14_lines"] and r["is_correct_structure"] and r["is_valid_sonnet"]
         assert r["valid_stanzas"] == 4 and r["total_stanzas"] == 4
         assert r["line_count"] == 14 and r["rhyme_lines"] == 14 and r["valid_hendecasyllables"] == 14
 
 
-def test_fragment_is_invalid(spark):
-    r = _metrics(spark)["fragment"]
+def test_scrap_is_invalid(spark):
+    r = _metrics(spark)["scrap"]
     assert not r["is_14_lines"] and not r["is_correct_structure"] and not r["is_valid_sonnet"]
     assert r["valid_stanzas"] == 0 and r["total_stanzas"] == 1 and r["line_count"] == 3
 
 
 def test_valid_octave_invalid_sestet(spark):
-    r = _metrics(spark)["scheme_abba_e"]
+    r = _metrics(spark)["one_rhyme"]
     assert r["is_14_lines"] and r["is_correct_structure"]
     assert r["valid_stanzas"] == 2 and r["total_stanzas"] == 4 and not r["is_valid_sonnet"]
 
 
 def test_scalar_form_equals_staged_form(spark):
-    rows = [(i, t) for i, _, t in GOLDEN_TEXTS]
+    rows = list(enumerate(poems.ALL.values()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     a = {r["doc_id"]: tuple(r)[1:] for r in evaluate_frame(df, ["doc_id"]).collect()}
     b = {r["doc_id"]: tuple(r)[1:] for r in df.select("doc_id", evaluate_structure(F.col("text")).alias("m")).select("doc_id", "m.*").collect()}
@@ -41,8 +41,7 @@ def test_scalar_form_equals_staged_form(spark):
 
 
 def test_check_structure(spark):
-    texts = dict((n, t) for _, n, t in GOLDEN_TEXTS)
-    df = spark.createDataFrame([(texts["stanzas_valid"],), (texts["stanzas_invalid"],)], "text string")
+    df = spark.createDataFrame([(poems.REGULAR,), (poems.SHORT_FIRST,)], "text string")
     got = [r[0] for r in df.select(check_structure(F.col("text"))).collect()]
     assert got == [True, False]
     got = [r[0] for r in df.select(validate_structure(F.col("text"))).collect()]
@@ -50,7 +49,7 @@ def test_check_structure(spark):
 
 
 def test_report_denominators(spark):
-    rows = [(i, t) for i, _, t in GOLDEN_TEXTS] + [(99, "<SONNET>\n<END>")]
+    rows = list(enumerate(poems.ALL.values())) + [(99, "<SONNET>\n<END>")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     r = evaluation_report(evaluate_frame(df, ["doc_id"])).first()
     assert r["samples"] == len(rows)  # a zero-line sample still counts in the denominator

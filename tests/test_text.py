@@ -1,6 +1,6 @@
+import poems
 from pyspark.sql import functions as F
 
-from versify.fixtures import GOLDEN_TEXTS
 from versify.functions import text as X
 from versify.functions.html import normalize_url, paragraph_text, safe_filename
 from versify.operators.rhyme_tags import tag_rhymes
@@ -8,10 +8,9 @@ from versify.sources.io import read_text_corpus
 
 
 def test_clean_text(spark):
-    t = dict((n, x) for _, n, x in GOLDEN_TEXTS)["dirty"]
-    out = spark.createDataFrame([(t,)], "text string").select(X.clean_text(F.col("text"))).first()[0]
-    assert "ä" not in out and "[" not in out and "]" not in out and "(12)" not in out
-    assert "..." in out and "«ciao»" in out and "\xa0" not in out
+    out = spark.createDataFrame([(poems.DIRTY,)], "text string").select(X.clean_text(F.col("text"))).first()[0]
+    assert "ä" not in out and "[" not in out and "]" not in out and "(34)" not in out
+    assert "..." in out and "«sera»" in out and "\xa0" not in out
 
 
 def test_layout_and_merged_lines(spark):
@@ -25,31 +24,24 @@ def test_layout_and_merged_lines(spark):
     assert out.split("\n") == ["Questa riga è molto lunga e contiene una virgola,", "Poi continua ancora per molte parole"]
 
 
-def test_raw_file_end_to_end(spark, tmp_path):
-    text = "\n\n".join([
-        "uno casa\ndue sole\ntre sole\nquattro casa",
-        "cinque casa\nsei sole\nsette sole\notto casa",
-        "nove luna\ndieci mare\nundici luna",
-        "dodici luna\ntredici mare\nquattordici luna",
-    ])
-    (tmp_path / "raw").mkdir()
-    (tmp_path / "raw" / "01. test.txt").write_text(text, encoding="utf-8")
-    df = read_text_corpus(spark, str(tmp_path / "raw"))
-    out = df.select(tag_rhymes(X.markup(F.col("text"), F.col("stem")))).first()[0]
-    assert out.startswith("<SONNET>")
-    assert "<TITLE>01. test</TITLE>" in out
-    assert "<STANZA>" in out
-    assert out.rstrip().endswith("<END>")
-    assert out.count("<RHYME_") == 14
+def test_file_to_tagged_markup(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "07. la riva.txt").write_text(poems.UNTAGGED, encoding="utf-8")
+    files = read_text_corpus(spark, str(tmp_path / "in"))
+    lines = files.select(tag_rhymes(X.markup(F.col("text"), F.col("stem")))).first()[0].strip().split("\n")
+    assert (lines[0], lines[-1]) == ("<SONNET>", "<END>")
+    assert "<TITLE>07. la riva</TITLE>" in lines
+    assert lines.count("<STANZA>") == 3
+    assert [line[7] for line in lines if line.startswith("<RHYME_")] == list("ABBAABBACDCDCD")
 
 
 def test_special_chars_and_prefix_strip(spark):
-    t = "<SONNET>\n<RHYME_A> asa | Primo verso casa\n<END>"
+    t = "<SONNET>\n<RHYME_A> iva | Apre la riva\n<END>"
     df = spark.createDataFrame([(t,)], "t string")
     chars = df.select(X.to_special_chars(F.col("t"))).first()[0]
-    assert chars == "¶\nⒶ asa | Primo verso casa\n§"
+    assert chars == "¶\nⒶ iva | Apre la riva\n§"
     stripped = spark.createDataFrame([(chars,)], "t string").select(X.strip_char_rhyme_prefix(F.col("t"))).first()[0]
-    assert stripped == "¶\nPrimo verso casa\n§"
+    assert stripped == "¶\nApre la riva\n§"
 
 
 def test_html_paragraph_and_names(spark):

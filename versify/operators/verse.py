@@ -4,8 +4,7 @@ All words of every document are used (no prefix): word w (1-based) goes to
 poem ``(w - 1) div 84 + 1`` and, inside it, to line ``((w - 1) mod 84) div 6 + 1``.
 Inside a poem, blank lines separate stanzas after lines 4, 8 and 11 except
 when ``doc_id % 5 = 0`` (those poems have no stanza breaks, so both branches
-of the structure rules are exercised).  The golden texts are unioned in with
-negative ids and poem 1.
+of the structure rules are exercised).
 
 Everything is a per-row projection plus one ``explode`` (a narrow Generate),
 so building the view never shuffles.
@@ -13,31 +12,14 @@ so building the view never shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from versify.fixtures import GOLDEN_TEXTS
 
 WORDS_PER_LINE = 6
 LINES_PER_POEM = 14
 WORDS_PER_POEM = WORDS_PER_LINE * LINES_PER_POEM
 STANZA_STARTS = (4, 8, 11)  # 0-based indexes of lines that open a new stanza
 
-VERSE_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("poem_no", T.IntegerType()),
-        T.StructField("lang", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-
-def golden_frame(spark: SparkSession) -> DataFrame:
-    rows = [(i, 1, "it", text) for i, _, text in GOLDEN_TEXTS]
-    return spark.createDataFrame(rows, VERSE_SCHEMA)
-
 
 def layout_poems(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang) -> (doc_id, poem_no, lang, text)."""
@@ -78,9 +60,8 @@ def layout_poems(documents: DataFrame) -> DataFrame:
     )
 
 
-def verse_view(spark: SparkSession, documents: DataFrame, with_goldens: bool = True) -> DataFrame:
-    poems = layout_poems(documents.select("doc_id", "lang", "text"))
-    return poems.unionByName(golden_frame(spark)) if with_goldens else poems
+def verse_view(documents: DataFrame) -> DataFrame:
+    return layout_poems(documents.select("doc_id", "lang", "text"))
 
 
 def verse_lines(verse: DataFrame) -> DataFrame:

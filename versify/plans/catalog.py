@@ -45,7 +45,7 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def verse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verse_view(spark, documents(spark, sf_dir, "doc_id", "lang", "text"))
+    return verse_view(documents(spark, sf_dir, "doc_id", "lang", "text"))
 
 
 def poem_stem(df: DataFrame) -> F.Column:

@@ -8,7 +8,6 @@ two sides check each other.
 
 from __future__ import annotations
 
-from versify.fixtures import golden_values_sql
 from versify.functions.rhyme import RHYME_ACCENTED_VOWELS
 from versify.functions.syllable import ALPHA, CONSONANTS, LETTERS, MARK, STRONG_VOWELS, VOWELS
 
@@ -37,8 +36,6 @@ verse AS (
          array_to_string(list_transform(ls, lambda l, i:
              CASE WHEN i - 1 IN (4, 8, 11) AND doc_id % 5 <> 0 THEN {NL} || l ELSE l END), {NL}) AS text
   FROM vl
-  UNION ALL
-  SELECT CAST(doc_id AS BIGINT), CAST(1 AS INTEGER), 'it', text FROM {golden_values_sql()}
 )"""
 
 VERSE_LINES_CTE = (
