@@ -5,17 +5,24 @@ from versify.operators import pack as P
 from versify.operators import vocab as V
 
 
-def test_char_encode_decode_small_vocab(spark):
-    stoi = {"<SONNET>": 0, "a": 1, "b": 2, "<END>": 3}
-    df = spark.createDataFrame([("ab",)], "t string")
-    assert df.select(V.encode_chars_array(F.col("t"), {"a": 1, "b": 2})).first()[0] == [1, 2]
-    itos = F.create_map(*[x for k, v in stoi.items() for x in (F.lit(v), F.lit(k))])
-    ids = spark.createDataFrame([([0, 1, 2, 3],)], "ids array<int>")
-    text = ids.select(F.array_join(F.transform("ids", lambda i: F.element_at(itos, i)), "").alias("t"))
-    assert text.first()[0] == "<SONNET>ab<END>"
-    from versify.functions.text import remove_specials
-
-    assert text.select(remove_specials(F.col("t"), ["<SONNET>", "<END>"])).first()[0] == "ab"
+def test_char_codec_small_vocab(spark):
+    codec = V.CharCodec(["\n", "a", "b"])
+    df = spark.createDataFrame([("ab\n",), ("b?aé",), ("",)], "t string")
+    rows = df.select(codec.encode(codec.known(F.col("t"))).alias("ids"), F.length(codec.unknown(F.col("t"))).alias("u")).collect()
+    assert [(r["ids"], r["u"]) for r in rows] == [([1, 2, 0], 0), ([2, 1], 2), ([], 0)]
+    back = spark.createDataFrame([([1, 2, 0, 0],)], "ids array<int>").select(codec.decode(F.col("ids"))).first()[0]
+    assert back == "ab\n\n"
+
+
+def test_char_codec_past_every_limit(spark):
+    tokens = [chr(c) for c in range(0x20, 0x12000) if not 0xD800 <= c < 0xE000]
+    assert len(tokens) > 70_000
+    codec = V.CharCodec(tokens)
+    picked = [0, 1, 54_999, 55_295, 55_296, 60_000, 63_455, 63_456, 69_999]
+    text = "".join(tokens[i] for i in picked)
+    df = spark.createDataFrame([(text,)], "t string").select(codec.encode(F.col("t")).alias("ids"))
+    assert df.first()["ids"] == picked
+    assert df.select(codec.decode(F.col("ids"))).first()[0] == text
 
 
 def test_flatten_nested_ids(spark):
@@ -80,8 +87,7 @@ def test_pack_from_docs_equals_token_form(spark):
     assert sums == {k: (sum(x), sum(y)) for k, (x, y) in blocks.items()}
 
 
-def test_dense_ids_large_path_equals_window(spark):
-    toks = spark.createDataFrame([(f"t{i:04d}",) for i in range(500)], "token string").repartition(7)
-    a = {r["token"]: r["id"] for r in V.dense_ids(toks, small=10).collect()}
-    b = {r["token"]: r["id"] for r in V.dense_ids(toks).collect()}
-    assert a == b and sorted(a.values()) == list(range(500))
+def test_dense_ids_over_many_ranges(spark):
+    toks = spark.createDataFrame([(f"{i * 7919 % 5000:05d}",) for i in range(5000)], "token string")
+    got = {r["token"]: r["id"] for r in V.dense_ids(toks).collect()}
+    assert got == {f"{i:05d}": i for i in range(5000)}

@@ -94,10 +94,8 @@ def uniform(*parts: Column) -> Column:
 def draw(samples: DataFrame, iv: DataFrame) -> DataFrame:
     """K4: samples(sample_id, ctx, u) -> the token whose [lo, hi) holds u;
     u above the last hi (rounding) falls to the last token of the context."""
-    from versify.operators.vocab import checked_broadcast
-
-    last = checked_broadcast(iv.groupBy("ctx").agg(F.max_by("token", "hi").alias("_last")))
-    hit = samples.join(checked_broadcast(iv.select("ctx", "token", "lo", "hi")), "ctx", "left").where(
+    last = iv.groupBy("ctx").agg(F.max_by("token", "hi").alias("_last"))
+    hit = samples.join(iv.select("ctx", "token", "lo", "hi"), "ctx", "left").where(
         (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
     )
     picked = hit.groupBy("sample_id").agg(F.min("token").alias("token"))
@@ -119,16 +117,13 @@ def generate(
 
     Context = the last token (the bigram order bounds the context window).
     The truncated distribution is folded to one row per context holding its
-    sorted [lo, hi) intervals (bounded by top-k, size-checked before the
-    broadcast).  Each step is then a single broadcast join of the state on its
-    context and one projection that picks the token whose interval holds a
+    sorted [lo, hi) intervals (bounded by top-k).  Each step is then a single
+    join of the state on its context and one projection that picks the token whose interval holds a
     hash-seeded uniform, so the state is referenced once per step; a sample
     stops right after emitting ``eos_id`` (EOS kept); lineage is cut every few
     steps."""
-    from versify.operators.vocab import checked_broadcast
-
     cands = iv.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "token"))).alias("cands"))
-    cands = checked_broadcast(cands.checkpoint())
+    cands = cands.checkpoint()
     state = prompts.select(
         "sample_id", F.col("ids").cast("array<int>").alias("ids"), F.lit(False).alias("done"), F.lit(0).alias("n_new")
     )

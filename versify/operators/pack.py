@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 from versify.operators.corpus import running_total
 
 
-def with_separator(ids: F.Column, rank: F.Column, sep_id: F.Column) -> F.Column:
-    """The separator is prefixed to every document but the first of its split."""
-    return F.when(rank > 1, F.concat(F.array(sep_id), ids)).otherwise(ids)
-
-
 def stream_offsets(docs: DataFrame, rank_col: str = "rank", ids_col: str = "ids") -> DataFrame:
     """Adds ``start``: global position of each document's first token."""
     counted = docs.withColumn("_len", F.size(ids_col).cast("long"))
@@ -68,16 +63,19 @@ def pack_blocks(tokens: DataFrame, n_tokens: int, batch: int, block: int) -> Dat
     )
 
 
-def next_token_pairs(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """W8 / L1 counts: (id, next_id, n) over adjacent tokens of each document.
-    Pairs are built inside each row and pre-aggregated map-side before the
-    shuffle on the pair key."""
-    pairs = docs.select(
-        F.explode(F.arrays_zip(F.col(ids_col).alias("a"), F.slice(ids_col, 2, 1 << 30).alias("b"))).alias("p")
-    ).where(F.col("p.b").isNotNull())
-    return pairs.groupBy(F.col("p.a").alias("id"), F.col("p.b").alias("next_id")).agg(
-        F.count(F.lit(1)).cast("long").alias("n")
-    )
+def char_pairs(docs: DataFrame, keys: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
+    """(keys, a, b, n): adjacent characters of each text, counted before anything is looked up."""
+    at = F.explode(F.sequence(F.lit(1), F.length(text_col) - 1))
+    pairs = docs.where(F.length(text_col) > 1).select(*keys, text_col, at.alias("i")).select(*keys, F.substring(F.col(text_col), F.col("i"), F.lit(2)).alias("p"))
+    counted = pairs.groupBy(*keys, "p").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    return counted.select(*keys, F.substring("p", 1, 1).alias("a"), F.substring("p", 2, 1).alias("b"), "n")
+
+
+def next_token_pairs(pairs: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """W8 / L1 counts: (keys, id, next_id, n) from counted character pairs."""
+    first = vocab.select(F.col("token").alias("a"), "id")
+    second = vocab.select(F.col("token").alias("b"), F.col("id").alias("next_id"))
+    return pairs.join(first, "a").join(second, "b").select(*keys, "id", "next_id", "n")
 
 
 def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids",

@@ -2,8 +2,11 @@
 
 A vocabulary is a table ``vocab(token string, id int)``.  Ids are dense ranks
 in binary (code-point) order.  Lookups are joins; the vocabulary side is
-broadcast only after its row count is checked against a bound, otherwise the
-join stays a shuffle join.
+left to the planner, which broadcasts it only where its size allows.
+
+A character vocabulary has at most one token for each Unicode code point, so it may
+go to the driver whatever the corpus; it becomes two literal strings for ``translate``,
+which looks every character up in a hash table inside generated code.
 """
 
 from __future__ import annotations
@@ -13,29 +16,16 @@ from pyspark.sql import functions as F
 
 from versify.functions.text import to_special_chars
 
-MAX_BROADCAST_VOCAB = 1_000_000  # rows; a vocab above this is joined by shuffle
 SEED = 42
 
 
-def checked_broadcast(vocab: DataFrame, limit: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """Broadcast hint only when the table is proven small (one count action)."""
-    return F.broadcast(vocab) if vocab.count() <= limit else vocab
-
-
-SMALL_RANK_SET = 200_000  # rows; at most this many are ranked by one window
-
-
-def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0, small: int = SMALL_RANK_SET) -> DataFrame:
+def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0) -> DataFrame:
     """id = rank in binary order.
 
-    A set proven small by one count is ranked by a single window.  A larger
-    set is never put in one partition: it is range-partitioned, each partition
+    The set is never put in one partition: it is range-partitioned, each partition
     counts its rows (one row per partition), the exclusive prefix of those
-    counts is broadcast back and added to a row number inside each partition."""
-    keyed = tokens.select(col)
-    if keyed.count() <= small:
-        return keyed.select(col, (F.row_number().over(Window.orderBy(col)) - 1 + first_id).cast("int").alias("id"))
-    ranged = keyed.repartitionByRange(col).withColumn("_pid", F.spark_partition_id())
+    counts is joined back and added to a row number inside each partition."""
+    ranged = tokens.select(col).repartitionByRange(col).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint()  # pin the partition ids; cuts lineage in the shared checkpoint folder
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
@@ -46,7 +36,7 @@ def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0, small: i
     )
     inside = Window.partitionBy("_pid").orderBy(col)
     return (
-        ranged.join(F.broadcast(offsets), "_pid")  # one row per range partition: bounded by the partition count
+        ranged.join(offsets, "_pid")
         .select(col, (F.col("_off") + F.row_number().over(inside) - 1 + first_id).cast("int").alias("id"))
     )
 
@@ -64,39 +54,64 @@ def char_set(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def char_vocab(texts: DataFrame, text_col: str = "text", special_chars: bool = True) -> DataFrame:
     """A7 + W4 + K7: sorted character vocabulary (specials mapped to chars first).
-    The distinct set is bounded by the alphabet and cached before ranking."""
+    The result is a checkpoint of the ranked set, so consumers don't read the texts again."""
     src = texts.select(to_special_chars(F.col(text_col)).alias("text")) if special_chars else texts.select(
         F.col(text_col).alias("text")
     )
-    return dense_ids(char_set(src).cache()).cache()
+    return dense_ids(char_set(src))
 
 
 def syllable_vocab(tokens: DataFrame) -> DataFrame:
     """A8 + U4: distinct syllable tokens in binary order, ``<UNK>`` at id 0 when absent."""
-    distinct = tokens.select("token").distinct().cache()  # the vocabulary set, computed once
+    distinct = tokens.select("token").distinct().checkpoint()  # the vocabulary set, computed once
     unk = tokens.sparkSession.createDataFrame([("<UNK>",)], "token string")
     missing = unk.join(distinct, "token", "left_anti")  # insert-if-missing
     has_unk = distinct.where(F.col("token") == "<UNK>").limit(1).count() > 0
     if has_unk:
-        return dense_ids(distinct).cache()
+        return dense_ids(distinct)
     ranked = dense_ids(distinct).withColumn("id", F.col("id") + 1)
-    return ranked.unionByName(missing.select("token", F.lit(0).alias("id"))).cache()
+    return ranked.unionByName(missing.select("token", F.lit(0).alias("id")))
+
+
+_SURROGATES, _SURROGATE_COUNT = 0xD800, 0x800
+
+
+class CharCodec:
+    """A character vocabulary on the driver: the tokens in order of their ids, and for each
+    the character whose code point stands for the id (id + 1, past the surrogates)."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens = tokens
+        points = ((i + 1) + (_SURROGATE_COUNT if i + 1 >= _SURROGATES else 0) for i in range(len(tokens)))
+        self.plain, self.coded = "".join(tokens), "".join(map(chr, points))
+        self.ids = {t: i for i, t in enumerate(tokens)}
+
+    def __len__(self) -> int:
+        return len(self.tokens)
+
+    def unknown(self, text: Column) -> Column:
+        """The characters that the vocabulary lacks."""
+        return F.translate(text, self.plain, "")
+
+    def known(self, text: Column) -> Column:
+        """The text without its unknown characters."""
+        rest = self.unknown(text)
+        return F.when(rest == "", text).otherwise(F.call_function("translate", text, rest, F.lit("")))
 
+    def encode(self, text: Column) -> Column:
+        """Ids of the characters of a text that holds known ones only."""
+        point = lambda c: F.ascii(c) - 1 - F.when(F.ascii(c) > _SURROGATES, _SURROGATE_COUNT).otherwise(0)
+        return F.transform(F.filter(F.split(F.translate(text, self.plain, self.coded), ""), lambda c: c != ""), point)
 
-def encode_chars_array(text: Column, stoi: dict[str, int]) -> Column:
-    """J1 map-side: ids of every character via a literal map (vocab size bounded).
-    Unknown characters give null (the strict encoder reports them)."""
-    m = F.create_map(*[x for k, v in sorted(stoi.items()) for x in (F.lit(k), F.lit(v))])
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.element_at(m, c))
+    def decode(self, ids: Column) -> Column:
+        """The text of an id array."""
+        tokens = F.filter(F.split(F.lit(self.plain), ""), lambda c: c != "")  # folded to one literal array
+        return F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
 
 
-def vocab_dict(vocab: DataFrame, limit: int = 50_000) -> dict[str, int] | None:
-    """Small vocabularies become literal maps; larger ones return None (join path).
-    At most ``limit + 1`` rows ever reach the driver."""
-    rows = vocab.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return {r["token"]: r["id"] for r in rows}
+def char_codec(vocab: DataFrame) -> CharCodec:
+    """The codec of a character vocabulary (at most one row for each code point)."""
+    return CharCodec([r["token"] for r in vocab.orderBy("id").select("token").collect()])
 
 
 def explode_chars(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -107,14 +122,14 @@ def explode_chars(docs: DataFrame, keys: list[str], text_col: str = "text") -> D
 
 def encode_join(tokens: DataFrame, vocab: DataFrame, strict: bool = True) -> DataFrame:
     """J1 (strict: LEFT join, unknown -> null id to be counted) or J2 (INNER: drop unknowns)."""
-    return tokens.join(checked_broadcast(vocab), "token", "left" if strict else "inner")
+    return tokens.join(vocab, "token", "left" if strict else "inner")
 
 
 def token_id(tokens: DataFrame, vocab: DataFrame, unk_token: str = "<UNK>") -> DataFrame:
     """Id of each token, else the UNK id, else -1."""
     unk_rows = vocab.where(F.col("token") == unk_token).select("id").limit(1).collect()
     unk_id = unk_rows[0][0] if unk_rows else None
-    looked = tokens.join(checked_broadcast(vocab), "token", "left")
+    looked = tokens.join(vocab, "token", "left")
     return looked.select(*tokens.columns, F.coalesce(F.col("id"), F.lit(unk_id).cast("int"), F.lit(-1)).alias("id"))
 
 

@@ -386,33 +386,30 @@ def q_union_vocab(spark, sf_dir):
 @query
 def q_char_encode(spark, sf_dir):
     """J1 + T3 strict encode of the held-out benchmark with the corpus vocabulary."""
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    codec = V.char_codec(doc_char_vocab(spark, sf_dir))
     b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     first = b.agg(F.min("item_id")).first()[0]  # one scalar
     t = b.select(
         "item_id", F.when(F.col("item_id") == F.lit(first), F.col("text")).otherwise(F.concat(F.lit("\n"), "text")).alias("t")
     )
-    ids = V.encode_chars_array(F.col("t"), stoi)
-    e = t.select("item_id", ids.alias("ids"))
+    e = t.select("item_id", F.length("t").alias("n"), F.length(codec.unknown(F.col("t"))).alias("u"), codec.encode(codec.known(F.col("t"))).alias("ids"))
     return e.select(
         "item_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("id_sum"),
-        F.size(F.filter("ids", lambda x: x.isNull())).cast("long").alias("n_unknown"),
+        F.col("n").cast("long").alias("n_tokens"),
+        F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+        F.col("u").cast("long").alias("n_unknown"),
     )
 
 
 @query
 def q_decode(spark, sf_dir):
     """J3 + J7 + C15 + U3: encode, nest in chunks, flatten, decode, drop specials but SEP."""
-    vocab = doc_char_vocab(spark, sf_dir)
-    stoi = V.vocab_dict(vocab)
-    itos = F.create_map(*[x for k, v in sorted(stoi.items()) for x in (F.lit(v), F.lit(k))])
+    codec = V.char_codec(doc_char_vocab(spark, sf_dir))
     d = documents(spark, sf_dir, "doc_id", "text")
-    e = d.select("doc_id", "text", V.encode_chars_array(F.col("text"), stoi).alias("ids"))
+    e = d.select("doc_id", "text", codec.encode(F.col("text")).alias("ids"))
     chunks = F.floor(F.greatest(F.size("ids") - 1, F.lit(0)) / 64).cast("int")
     nested = e.select("doc_id", "text", F.transform(F.sequence(F.lit(0), chunks), lambda i: F.slice("ids", i * 64 + 1, 64)).alias("nested"))
-    dec = nested.select("doc_id", "text", F.array_join(F.transform(F.flatten("nested"), lambda i: F.element_at(itos, i)), "").alias("dec"))
+    dec = nested.select("doc_id", "text", codec.decode(F.flatten("nested")).alias("dec"))
     specials = [v for k, v in X.SPECIAL_TOKEN_MAP.items() if k != "\n\n<STANZA>\n\n"]
     sk = dec.select("doc_id", (F.col("dec") == F.col("text")).alias("round_trip"), X.remove_specials(X.strip_char_rhyme_prefix(F.col("dec")), specials).alias("sk"))
     return sk.select("doc_id", "round_trip", F.length("sk").cast("long").alias("decoded_chars"), F.md5("sk").alias("decoded_md5"))
@@ -453,13 +450,13 @@ def train_placed(spark, sf_dir, split=None):
     # prefix sums on the narrow (rank, ln) table only; texts are joined back and
     # encoded afterwards in parallel tasks
     starts = C.running_total(rows.select("rank", "ln"), "rank", "ln", "start").select("rank", "start")
-    return rows.join(V.checked_broadcast(starts), "rank")
+    return rows.join(starts, "rank")
 
 
 def train_docs(spark, sf_dir, split=None):
     """(start, ids): encoded train documents at their global positions."""
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
-    return train_placed(spark, sf_dir, split).select("start", V.encode_chars_array(F.col("t"), stoi).alias("ids"))
+    codec = V.char_codec(doc_char_vocab(spark, sf_dir))
+    return train_placed(spark, sf_dir, split).select("start", codec.encode(F.col("t")).alias("ids"))
 
 
 @query
@@ -467,39 +464,39 @@ def q_pack_blocks(spark, sf_dir):
     """The stream length comes from text lengths; interior cells slice the
     fully encoded documents in place, boundary cells only need each
     document's first and last block + 1 characters encoded."""
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    codec = V.char_codec(doc_char_vocab(spark, sf_dir))
     placed = train_placed(spark, sf_dir)
     n = placed.agg(F.sum("ln")).first()[0] or 0
-    docs = placed.select("start", V.encode_chars_array(F.col("t"), stoi).alias("ids"))
+    docs = placed.select("start", codec.encode(F.col("t")).alias("ids"))
     w = BLOCK + 1
     tail_text = F.substring(F.col("t"), F.greatest(F.col("ln") - (w - 1), F.lit(1)).cast("int"), F.lit(w))
     edges = placed.select(
         "start",
         "ln",
-        V.encode_chars_array(F.substring("t", 1, w), stoi).alias("head"),
-        V.encode_chars_array(tail_text, stoi).alias("tail"),
+        codec.encode(F.substring("t", 1, w)).alias("head"),
+        codec.encode(tail_text).alias("tail"),
     )
     return P.block_digest(P.pack_from_docs(docs, n, BATCH, BLOCK, edges=edges))
 
 
-def encoded_docs(spark, sf_dir):
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
-    d = documents(spark, sf_dir, "doc_id", "text")
-    return d.select("doc_id", V.encode_chars_array(F.col("text"), stoi).alias("ids")), len(stoi)
+def counted_pairs(spark, sf_dir):
+    """(id, next_id, n) of the corpus, and the vocabulary it is counted with."""
+    vocab = doc_char_vocab(spark, sf_dir)
+    return P.next_token_pairs(P.char_pairs(documents(spark, sf_dir, "text")), vocab), vocab
 
 
 @query
 def q_next_token_pairs(spark, sf_dir):
-    docs, _ = encoded_docs(spark, sf_dir)
-    return P.next_token_pairs(docs).select(
+    pairs, _ = counted_pairs(spark, sf_dir)
+    return pairs.select(
         F.col("id").cast("int").alias("id"), F.col("next_id").cast("int").alias("next_id"), "n"
     )
 
 
 # ---------------------------------------------------------------- 10 LM
 def bigram(spark, sf_dir):
-    docs, vsize = encoded_docs(spark, sf_dir)
-    return LM.bigram_model(P.next_token_pairs(docs), vsize), vsize
+    pairs, vocab = counted_pairs(spark, sf_dir)
+    return LM.bigram_model(pairs, vocab.count()), vocab
 
 
 @query
@@ -514,15 +511,12 @@ def q_ngram_model(spark, sf_dir):
 @query
 def q_doc_perplexity(spark, sf_dir):
     """L2 + L3 + A14 on the held-out benchmark (unknown characters dropped, J2)."""
-    m, vsize = bigram(spark, sf_dir)
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
-    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    ids = F.filter(V.encode_chars_array(F.col("text"), stoi), lambda x: x.isNotNull())
-    pairs = b.select(
-        "item_id", F.explode(F.arrays_zip(ids.alias("ctx"), F.slice(ids, 2, 1 << 30).alias("token"))).alias("p")
-    ).select("item_id", F.col("p.ctx").alias("ctx"), F.col("p.token").alias("token")).where(F.col("token").isNotNull())
-    nll = LM.pair_nll(pairs, m, vsize)
-    per = nll.groupBy("item_id").agg(F.count(F.lit(1)).cast("long").alias("n_pairs"), F.avg("nll").alias("loss"))
+    m, vocab = bigram(spark, sf_dir)
+    codec = V.char_codec(vocab)
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", codec.known(F.col("text")).alias("text"))
+    pairs = P.next_token_pairs(P.char_pairs(b, ("item_id",)), vocab, ("item_id",))
+    nll = LM.pair_nll(pairs.select("item_id", F.col("id").alias("ctx"), F.col("next_id").alias("token"), F.col("n").alias("times")), m, len(codec))
+    per = nll.groupBy("item_id").agg(F.sum("times").cast("long").alias("n_pairs"), (F.sum(F.col("nll") * F.col("times")) / F.sum("times")).alias("loss"))
     return per.select("item_id", "n_pairs", F.round("loss", 6).alias("loss"), F.round(F.exp("loss"), 6).alias("perplexity"))
 
 
@@ -552,12 +546,11 @@ def q_top_p(spark, sf_dir):
 @query
 def q_draw(spark, sf_dir):
     """K4: one draw per benchmark item from the truncated distribution of its first character."""
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
     iv = LM.intervals(LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P))
-    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    first = F.element_at(V.encode_chars_array(F.substring("text", 1, 1), stoi), 1)
-    samples = b.select(F.col("item_id").alias("sample_id"), first.alias("ctx"), LM.uniform(F.col("item_id"), F.lit(0)).alias("u"))
-    out = LM.draw(samples.where(F.col("ctx").isNotNull()), iv)
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text").withColumn("token", F.substring("text", 1, 1))
+    ctx = b.join(doc_char_vocab(spark, sf_dir), "token")
+    samples = ctx.select(F.col("item_id").alias("sample_id"), F.col("id").alias("ctx"), LM.uniform(F.col("item_id"), F.lit(0)).alias("u"))
+    out = LM.draw(samples, iv)
     return out.select(F.col("sample_id").alias("item_id"), F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"))
 
 
@@ -812,14 +805,13 @@ def generated(spark, sf_dir):
     """L4 + V1: one sample per benchmark item, prompt = its first character,
     EOS = newline, truncated sampling with the corpus bigram model."""
     ensure_checkpoint_dir(spark)
-    stoi = V.vocab_dict(doc_char_vocab(spark, sf_dir))
+    codec = V.char_codec(doc_char_vocab(spark, sf_dir))
     iv = LM.intervals(LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P)).checkpoint()
     b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    first = V.encode_chars_array(F.substring("text", 1, 1), stoi)
-    prompts = b.select(F.col("item_id").alias("sample_id"), first.alias("ids")).where(F.element_at("ids", 1).isNotNull())
-    out = LM.generate(prompts, iv, stoi["\n"], MAX_NEW_TOKENS)
-    itos = F.create_map(*[x for k, v in sorted(stoi.items()) for x in (F.lit(v), F.lit(k))])
-    return out.select("sample_id", "n_new", "done", F.array_join(F.transform("ids", lambda i: F.element_at(itos, i)), "").alias("text"))
+    first = codec.encode(codec.known(F.substring("text", 1, 1)))
+    prompts = b.select(F.col("item_id").alias("sample_id"), first.alias("ids")).where(F.size("ids") > 0)
+    out = LM.generate(prompts, iv, codec.ids["\n"], MAX_NEW_TOKENS)
+    return out.select("sample_id", "n_new", "done", codec.decode(F.col("ids")).alias("text"))
 
 
 @query

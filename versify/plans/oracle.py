@@ -461,9 +461,10 @@ def _():
     return f"""WITH {DOC_VOCAB},
     b AS (SELECT item_id, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN text ELSE chr(10) || text END AS t
           FROM benchmark),
-    ch AS (SELECT item_id, unnest(list_filter(string_split(t, ''), lambda c: c <> '')) AS token FROM b),
-    e AS (SELECT item_id, count(*) AS n, sum(id) AS s, count(id) AS k FROM ch LEFT JOIN cv USING (token) GROUP BY item_id)
-    SELECT b.item_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(e.s, 0) AS BIGINT) AS id_sum,
+    ch AS (SELECT item_id, unnest(list_filter(string_split(t, ''), lambda c: c <> '')) AS token,
+                  generate_subscripts(list_filter(string_split(t, ''), lambda c: c <> ''), 1) AS i FROM b),
+    e AS (SELECT item_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS s, count(id) AS k FROM ch LEFT JOIN cv USING (token) GROUP BY item_id)
+    SELECT b.item_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_tokens, md5(coalesce(e.s, '')) AS ids_md5,
            CAST(coalesce(e.n - e.k, 0) AS BIGINT) AS n_unknown
     FROM b LEFT JOIN e USING (item_id)"""
 
