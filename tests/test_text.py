@@ -2,7 +2,7 @@ import poems
 from pyspark.sql import functions as F
 
 from versify.functions import text as X
-from versify.functions.html import normalize_url, paragraph_text, safe_filename
+from versify.functions.html import normalize_url, paragraph_texts, safe_filename
 from versify.operators.rhyme_tags import tag_rhymes
 from versify.sources.io import read_text_corpus
 
@@ -47,7 +47,7 @@ def test_special_chars_and_prefix_strip(spark):
 def test_html_paragraph_and_names(spark):
     p = 'Primo verso<sup>1<br></sup> secondo &amp; verso<br>terzo'
     df = spark.createDataFrame([(p, "http://x.org/a/_ABC.htm?q=1#f", "a/b: c?")], "p string, u string, t string")
-    r = df.select(paragraph_text(F.col("p")).alias("p"), normalize_url(F.col("u")).alias("u"),
+    r = df.select(paragraph_texts(F.array("p"))[0].alias("p"), normalize_url(F.col("u")).alias("u"),
                   safe_filename(F.col("t"), F.lit(False)).alias("f")).first()
     assert r["p"] == "Primo verso\nsecondo & verso\nterzo"
     assert r["u"] == "https://x.org/a/__ABC.HTM"

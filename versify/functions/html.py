@@ -1,50 +1,72 @@
 """HTML extraction scalars over the ``pages`` table (H1-H9), regex based.
 
-Paragraph rule: a paragraph is the content between an opening ``<p ...>`` and
-the next ``</p>`` (dot matches newlines).  Leaf list items are ``<li>``
-contents without a nested ``<ul``.  These are plain regex rules (no DOM), the
-same in Spark and in the SQL twin.
+Scripts, styles and comments are dropped first.  Paragraph rule: a paragraph is the
+content between an opening ``<p ...>`` and the next ``</p>`` (dot matches newlines); its
+style is read from its own tag alone.  Leaf list items are ``<li>`` contents up to the
+next ``<li``, ``</li>`` or ``<ul``, of which the innermost counts.  Character references
+are all decoded, named, decimal and hexadecimal.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from versify.functions.structure import strip_ws
 
-HREF_RE = r'<a[^>]*href="([^"]*)"'
+HREF_RE = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)"""
+HIDDEN_RE = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script>|<style(?:\s[^>]*)?>.*?</style>"
 PARA_RE = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
-LI_RE = r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"
+LI_RE = r"(?is)<li(?:\s[^>]*)?>((?:(?!<li|<ul|</ul).)*?)</li>"
+STYLED_RE = r"""(?is)<p\s(?:[^>]*?\s)?style\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</p>"""
+STYLE_RE = r"""(?is)^<p\s(?:[^>]*?\s)?style\s*=\s*("[^"]*"|'[^']*')"""
 BR_RE = r"(?i)<br\s*/?>"
 TITLE_NUMBER_RE = r"^\d+\.\s"
 # FIXED VALUE: style of verse paragraphs on the original site.
 VERSE_STYLE_RE = r"margin-left:\d+\.\d+\w{1,}.+text-indent\:\d{1,}\.\d{1,}\w{1,}"
 
-# FIXED VALUES: named entities decoded by the text extractor (&amp; last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")]
 WS = r"[\s\x{a0}]"
 
 
 def links(html: Column) -> Column:
-    """H1: every anchor href, in page order."""
+    """H1: every anchor href, quoted either way or not at all, in page order."""
     return F.regexp_extract_all(html, F.lit(HREF_RE), 1)
 
 
 def paragraphs(html: Column, style_re: str | None = None) -> Column:
-    """H6: paragraph bodies; with ``style_re`` only ``<p style="...">`` whose
-    style matches (the synthetic pages have plain ``<p>``, so it is optional)."""
+    """H6: paragraph bodies; with ``style_re`` only those whose own style matches it
+    (the synthetic pages have plain ``<p>``, so it is optional)."""
+    shown = F.regexp_replace(html, HIDDEN_RE, "")
     if style_re is None:
-        return F.regexp_extract_all(html, F.lit(PARA_RE), 1)
-    pat = rf'(?is)<p\s[^>]*style="[^"]*{style_re}[^"]*"[^>]*>(.*?)</p>'
-    return F.regexp_extract_all(html, F.lit(pat), 1)
+        return F.regexp_extract_all(shown, F.lit(PARA_RE), 1)
+    styled = F.regexp_extract_all(shown, F.lit(STYLED_RE), 0)
+    fitting = F.filter(styled, lambda p: F.regexp_extract(p, STYLE_RE, 1).rlike(style_re))
+    return F.transform(fitting, lambda p: F.regexp_extract(p, PARA_RE, 1))
+
+
+# The named references of HTML, from the standard library; one literal map once the plan is folded.
+_NAMES = "\x02".join(f"{name[:-1]}\x01{char}" for name, char in html5.items() if name.endswith(";"))
+_REFERENCE = r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def unescape(text: Column) -> Column:
-    for k, v in ENTITIES:
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return text
+    """Every character reference decoded: named, decimal and hexadecimal."""
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+        point = F.when(name.startswith("#"), digits.cast("int"))
+        wrong = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+        char = F.when(wrong, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        names = F.str_to_map(F.lit(_NAMES), F.lit("\x02"), F.lit("\x01"))
+        shown = F.when(name.startswith("#"), char).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(shown, F.substring(piece, F.length(name) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
+
+    pieces = F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+    return F.when(F.instr(text, "&") > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def lift_breaks_out_of_sup(p: Column) -> Column:
@@ -62,33 +84,32 @@ def lift_breaks_out_of_sup(p: Column) -> Column:
     return F.array_join(F.transform(pieces, fix), "")
 
 
-def paragraph_text(p: Column) -> Column:
-    """H7: breaks become newlines, tags go, entities decode, blanks collapse."""
-    t = lift_breaks_out_of_sup(p)
-    t = F.regexp_replace(t, BR_RE, " ||BR|| ")
-    t = unescape(F.regexp_replace(t, r"<[^>]*>", ""))
-    t = strip_ws(F.regexp_replace(t, rf"{WS}+", " "))
-    t = F.regexp_replace(t, r"^\x{a0}+|\x{a0}+$", "")
-    return F.replace(F.replace(t, F.lit(" ||BR|| "), F.lit("\n")), F.lit("||BR||"), F.lit(""))
+def paragraph_texts(ps: Column) -> Column:
+    """H7: breaks become newlines, tags go, references decode, blanks collapse; per paragraph."""
+
+    def marked(p: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(lift_breaks_out_of_sup(p), BR_RE, " ||BR|| "), r"<[^>]*>", "")
 
+    def laid_out(t: Column) -> Column:
+        t = strip_ws(F.regexp_replace(t, rf"{WS}+", " "))
+        return F.replace(F.replace(t, F.lit(" ||BR|| "), F.lit("\n")), F.lit("||BR||"), F.lit(""))
 
-def visible_text(fragment: Column, sep: str) -> Column:
-    """Text of a fragment: sups dropped, tags -> ``sep``, entities, blanks collapsed."""
-    t = F.regexp_replace(fragment, r"(?is)<sup(?:\s[^>]*)?>.*?</sup>", "")
-    t = unescape(F.regexp_replace(t, r"<[^>]*>", sep))
-    return strip_ws(F.regexp_replace(t, rf"{WS}+", " "))
+    return F.transform(ps, lambda p: laid_out(unescape(marked(p))))
 
 
 def title_from_paragraphs(html: Column) -> Column:
-    """H4: first paragraph whose text starts with ``N. ``."""
-    texts = F.transform(paragraphs(html), lambda p: visible_text(p, " "))
+    """H4: first paragraph whose text, without its footnotes, starts with ``N. ``."""
+    bare = F.transform(paragraphs(html), lambda p: F.regexp_replace(F.regexp_replace(p, r"(?is)<sup(?:\s[^>]*)?>.*?</sup>", ""), r"<[^>]*>", " "))
+    texts = F.transform(bare, lambda t: strip_ws(F.regexp_replace(unescape(t), rf"{WS}+", " ")))
     return F.try_element_at(F.filter(texts, lambda t: t.rlike(TITLE_NUMBER_RE)), F.lit(1))
 
 
 def title_from_list(html: Column) -> Column:
-    """H5: first leaf list item whose text has `` . ``; rebuilt as ``head. rest``."""
-    items = F.filter(F.regexp_extract_all(html, F.lit(LI_RE), 1), lambda x: ~x.rlike("(?i)<ul"))
-    texts = F.transform(items, lambda x: visible_text(x, ""))
+    """H5: first leaf list item whose text has `` . ``; rebuilt as ``head. rest``.  Every piece of text
+    between tags is stripped before the pieces are joined, footnotes included."""
+    items = F.regexp_extract_all(F.regexp_replace(html, HIDDEN_RE, ""), F.lit(LI_RE), 1)
+    joined = F.transform(items, lambda x: F.array_join(F.transform(F.split(x, r"<[^>]*>", -1), strip_ws), ""))
+    texts = F.transform(joined, lambda t: strip_ws(F.regexp_replace(unescape(t), rf"{WS}+", " ")))
     hit = F.try_element_at(F.filter(texts, lambda t: F.instr(t, " . ") > 0), F.lit(1))
     pos = F.instr(hit, " . ")
     return F.when(hit.isNotNull(), F.concat(F.substring(hit, 1, pos - 1), F.lit(". "), F.substring(hit, pos + 3, 1 << 30)))

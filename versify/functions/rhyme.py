@@ -104,11 +104,15 @@ def letter_from_c(n: Column) -> Column:
 
 
 def pattern_signature(symbols: Column) -> Column:
-    """Relabel an array of symbols by first occurrence (A, B, C, ...)."""
+    """Relabel an array of symbols by first occurrence (A, B, C, ...; code points from 65 on, without an end)."""
     firsts = F.array_distinct(symbols)
-    return F.array_join(
-        F.transform(symbols, lambda s: F.char(64 + F.array_position(firsts, s))), ""
-    )
+
+    def label(symbol: Column) -> Column:
+        point = F.lit(64) + F.array_position(firsts, symbol)
+        wide = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")  # ``char`` wraps at 256
+        return F.when(point < 256, F.char(point)).otherwise(wide)
+
+    return F.array_join(F.transform(symbols, label), "")
 
 
 def rhyme_suffixes(words: Column) -> Column:

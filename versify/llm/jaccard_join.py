@@ -3,7 +3,8 @@
 The distance of two documents is one minus the Jaccard similarity of their sets of five-word
 shingles, which is a metric; documents within the radius r = 1 - threshold link.
 
-1. Copies.  Documents with one and the same set are one point; the join runs on points.
+1. Copies.  Documents with one and the same set are one point; the join runs on points.  Of a set
+   with more than ``COPIES`` rows only one row is read again; fewer are folded where they meet.
 2. Points that can link.  Of a point within r of another at least the share ``threshold`` of the
    shingles occur in a second point too.  Shingles are counted in buckets of their hash
    (a task first folds what its own points share, so a common shingle is sent once
@@ -12,13 +13,14 @@ shingles, which is a metric; documents within the radius r = 1 - threshold link.
    pivot of its rarest shingle.  A point that misses more than r of its own set before it
    reaches a pivot is further than r from all points at home there, so its window of
    boundary regions ends there.  The distance to the empty set gives a second window: only
-   sizes within the threshold share a region.  Regions that share points are one cluster.
+   sizes within the threshold share a region.  The regions in which one and the same
+   point has the smallest number are joined together, as one cluster of that point.
 4. Recursion.  In a cluster documents are the pivots.  Everything within r of a pivot is its core
    (linked through the pivot, so pairs in a core need no look), everything within 2r its
    boundary.  If x lies in the core of p and y links to x, then d(y, p) <= 2r, so each link
    meets in a region; a region is joined only for boundary points of another component,
-   and only inside the window |d(x, p) - d(y, p)| <= r.  Clusters of up to ``LEAF`` points are
-   solved by one task each; larger ones take the same steps as Spark jobs over chunks,
+   and only inside the window |d(x, p) - d(y, p)| <= r.  Clusters of up to ``LEAF`` points and
+   ``LEAF_IDS`` shingles are solved by one task each; larger ones take the same steps as Spark jobs over chunks,
    round by round until every point is in a core.
 
 Identity of a shingle is a 48-bit hash: two given documents disagree with the exact count with a
@@ -43,12 +45,16 @@ from versify.llm.common import doc_bytes, fold_ascii, keep, mix, span_hashes, ta
 
 WORDS = 5
 PERCENT = 80
-#: Points that one task may join on its own, and pivots of a round in a larger cluster.
-LEAF = 1_024
+#: Points, and shingles of theirs, that one task may join on its own; points of a chunk and pivots of a round in a larger cluster.
+LEAF = 4_096
+LEAF_IDS = 4_000_000
+CHUNK = 1_024
 PIVOTS = 96
 #: Shingles that a task gathers before it sends them, and that a counting task gets on average.
 SEND = 1_000_000
-COUNT = 2_000_000
+COUNT = 5_000_000
+#: Rows with one and the same set that are folded on the way; of more, one is chosen before.
+COPIES = 64
 ID_BITS = 48
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -107,8 +113,10 @@ def runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
 
 
-def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """(set, ids): of each point the shingles that occur in another point too, in several rows."""
+def shared_shingles(docs: DataFrame, words: int, buckets: int, percent: int) -> DataFrame:
+    """(set, ids): of each point the shingles that occur in another point too, if they are at least the share
+    ``percent`` of its set.  Counting tasks get the shingles of a range of ids, and answer in one row
+    for each of as many bins of points."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "owners", "counts", "ids"]
@@ -142,7 +150,10 @@ def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             edge = np.searchsorted(owner[mine], np.arange(len(owners) + 1))
             for k in range(len(owners)):  # known to be shared already: passed on as they are
                 if edge[k] < edge[k + 1]:
-                    rows.append((-1 - int.from_bytes(owners[k][:6]) % buckets, owners[k], b"", ids[mine[edge[k] : edge[k + 1]]].tobytes()))
+                    told = ids[mine[edge[k] : edge[k + 1]]]
+                    rows.append((-1 - bin_of(owners[k]), owners[k], np.uint32([len(told)]).tobytes(), _packed(told)))
+            for k in range(len(owners)):  # and the size of its set
+                rows.append((-1 - bin_of(owners[k]), owners[k], np.uint32([len(lists[k])]).tobytes(), b""))
             for s in range(0, len(rows), 2000):
                 columns = zip(*rows[s : s + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
@@ -158,10 +169,18 @@ def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         if sets:
             yield from flush()
 
+    def answer(bins: list[int], owners: list[bytes], counts: list[bytes], ids: list[bytes]) -> pa.Table:
+        return pa.table({"bin": pa.array(bins, pa.int64()), "owners": pa.array(owners, pa.binary()), "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
     def counted(group: pa.Table) -> pa.Table:
         rows = [group.column(c).to_pylist() for c in ("owners", "counts", "ids")]
-        if group.column("bucket")[0].as_py() < 0:
-            return pa.table({"set": pa.array(rows[0], pa.binary()), "ids": pa.array(rows[2], pa.binary())})
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:  # what the points' own tasks knew passes through
+            told = [i for i, blob in enumerate(rows[2]) if blob]
+            size = [i for i, blob in enumerate(rows[2]) if not blob]
+            joined = [[b"".join(row[i] for i in at) for row in rows] for at in (told, size)]
+            ids = np.concatenate([_unpacked(rows[2][i]) for i in told]) if told else np.zeros(0, np.uint64)
+            return answer([-1 - bucket] * 2, [j[0] for j in joined], [j[1] for j in joined], [ids.tobytes(), b""])
         ids = np.concatenate([_unpacked(x) for x in rows[2]])
         owners = b"".join(rows[0])
         entry: list[np.ndarray] = []
@@ -181,11 +200,36 @@ def shared_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         ids, who = ids[chosen], who[chosen]
         by = np.argsort(who, kind="stable")
         ids, who = ids[by], who[by]
-        spans = runs(who)
-        return pa.table({"set": pa.array([owners[16 * who[s] : 16 * who[s] + 16] for s, _ in spans], pa.binary()), "ids": pa.array([ids[s:e].tobytes() for s, e in spans], pa.binary())})
-
-    out = docs.select("text").mapInArrow(sent, "bucket long, owners binary, counts binary, ids binary")
-    return out.groupBy("bucket").applyInArrow(counted, "set binary, ids binary")
+        bins: dict[int, list[tuple[bytes, int, bytes]]] = {}
+        for s, e in runs(who):
+            own = owners[16 * who[s] : 16 * who[s] + 16]
+            bins.setdefault(bin_of(own), []).append((own, e - s, ids[s:e].tobytes()))
+        columns = [[b"".join(x[0] for x in b), np.uint32([x[1] for x in b]).tobytes(), b"".join(x[2] for x in b)] for b in bins.values()]
+        return answer(list(bins), *([c[i] for c in columns] for i in range(3)))
+
+    def merged(group: pa.Table) -> pa.Table:
+        size: dict[bytes, int] = {}
+        found: dict[bytes, list[np.ndarray]] = {}
+        for owners, counts, blob in zip(*(group.column(c).to_pylist() for c in ("owners", "counts", "ids")), strict=True):
+            ids, at = np.frombuffer(blob, np.uint64), 0
+            for k, count in enumerate(np.frombuffer(counts, np.uint32).tolist()):
+                own = owners[16 * k : 16 * k + 16]
+                if blob:
+                    found.setdefault(own, []).append(ids[at : at + count])
+                    at += count
+                else:
+                    size[own] = count
+        lists = {own: np.unique(np.concatenate(parts)) for own, parts in found.items()}
+        able = [own for own, x in lists.items() if len(x) * 100 >= size[own] * percent]
+        return pa.table({"set": pa.array(able, pa.binary()), "ids": pa.array([lists[own].tobytes() for own in able], pa.binary())})
+
+    def bin_of(own: bytes) -> int:
+        return int.from_bytes(own[:6]) % buckets
+
+    kind = "owners binary, counts binary, ids binary"
+    out = docs.select("text").mapInArrow(sent, f"bucket long, {kind}")
+    answers = out.groupBy("bucket").applyInArrow(counted, f"bin long, {kind}")
+    return answers.groupBy("bin").applyInArrow(merged, "set binary, ids binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,17 +319,18 @@ def small_clusters(members: DataFrame, total: int, percent: int) -> DataFrame:
             b += uid[at[label[joined]]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // (2 * LEAF))))
+    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // LEAF)))
     return members.select(bin_.alias("bin"), "cluster", "uid", "n", "ids").groupBy("bin").applyInArrow(solved, "a long, b long")
 
 
 def large_clusters(members: DataFrame, percent: int) -> DataFrame:
     """The same for clusters of any size: (cluster, size, uid, n, ids)."""
     r = 1 - percent / 100 + 1e-9
-    chunks = F.ceil(F.col("size") / LEAF)
+    chunks = F.ceil(F.col("size") / CHUNK)
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("uid"), chunks))
 
     def measured(own: pa.Table, pivots: pa.Table) -> pa.Table:
+        cluster = (own if own.num_rows else pivots).column("cluster")[0].as_py()
         uid = own.column("uid").to_numpy()
         points = Points(own.column("ids").to_pylist(), own.column("n").to_numpy())
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -296,7 +341,8 @@ def large_clusters(members: DataFrame, percent: int) -> DataFrame:
             at = np.flatnonzero(d <= 2 * r)
             out.append((np.full(len(at), p), uid[at], d[at], links[at]))
         joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(joined, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["pivot", "uid", "d", "links"])
+        columns = [pa.array(x, t) for x, t in zip(joined, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)]
+        return pa.table([pa.array(np.full(len(joined[0]), cluster), pa.int64()), *columns], ["cluster", "pivot", "uid", "d", "links"])
 
     left, near, turn = dealt, None, 0
     while not left.isEmpty():
@@ -306,24 +352,25 @@ def large_clusters(members: DataFrame, percent: int) -> DataFrame:
         chosen = (F.col("h") == F.col("first")) | (F.pmod(F.col("h"), F.col("open")) < PIVOTS)
         pivots = keep(marked.join(most, "cluster").where(chosen).select("cluster", "size", "uid", "n", "ids"), "pivots")
         copies = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), (chunks - 1).cast("long"))))
-        own = keep(dealt.groupBy("cluster", "chunk").cogroup(copies.groupBy("cluster", "chunk")).applyInArrow(measured, "pivot long, uid long, d double, links boolean"), "near")
+        own = keep(dealt.groupBy("cluster", "chunk").cogroup(copies.groupBy("cluster", "chunk")).applyInArrow(measured, "cluster long, pivot long, uid long, d double, links boolean"), "near")
         near = own if near is None else near.unionByName(own)
-        left = keep(left.join(own.where("links").select("uid").distinct(), "uid", "left_anti"), "left")
+        left = keep(left.join(own.where("links").select("cluster", "uid").distinct(), ["cluster", "uid"], "left_anti"), "left")
     stars = near.where("links and uid <> pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
     label = components(stars)
-    home = near.where("links").groupBy("uid").agg(F.min(F.struct("d", "pivot")).alias("home"))
-    home = home.select("uid", F.col("home.pivot").alias("pivot"), F.col("home.d").alias("d"))
+    home = near.where("links").groupBy("cluster", "uid").agg(F.min(F.struct("d", "pivot")).alias("home"))
+    home = home.select("cluster", "uid", F.col("home.pivot").alias("pivot"), F.col("home.d").alias("d"))
     named = near.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     named = named.join(label.select(F.col("node").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
-    foreign = keep(named.where("label <> own").select("pivot", "uid", "d"), "foreign")
-    least = foreign.groupBy("pivot").agg(F.min("d").alias("least"), F.count("*").alias("f"))
-    cores = home.join(least, "pivot").where(F.col("d") >= F.col("least") - r).select("pivot", "uid", "d", "f")
-    sizes = keep(cores.groupBy("pivot").agg(F.count("*").alias("c"), F.max("f").alias("f")), "regions")
-    i, j = F.ceil(F.col("c") / LEAF).cast("long"), F.ceil(F.col("f") / LEAF).cast("long")
-    sets = members.select("uid", "n", "ids")
+    region = ["cluster", "pivot"]
+    foreign = keep(named.where("label <> own").select(*region, "uid", "d"), "foreign")
+    least = foreign.groupBy(*region).agg(F.min("d").alias("least"), F.count("*").alias("f"))
+    cores = home.join(least, region).where(F.col("d") >= F.col("least") - r).select(*region, "uid", "d", "f")
+    sizes = keep(cores.groupBy(*region).agg(F.count("*").alias("c"), F.max("f").alias("f")), "regions")
+    i, j = F.ceil(F.col("c") / CHUNK).cast("long"), F.ceil(F.col("f") / CHUNK).cast("long")
+    sets = members.select("cluster", "uid", "n", "ids")
     side = F.lit(0).cast("long")
-    core = cores.drop("f").join(sizes, "pivot").withColumn("i", F.pmod(F.xxhash64("uid"), i)).withColumn("j", F.explode(F.sequence(side, j - 1))).join(sets, "uid")
-    edge = foreign.join(sizes, "pivot").withColumn("j", F.pmod(F.xxhash64("uid"), j)).withColumn("i", F.explode(F.sequence(side, i - 1))).join(sets, "uid")
+    core = cores.drop("f").join(sizes, region).withColumn("i", F.pmod(F.xxhash64("uid"), i)).withColumn("j", F.explode(F.sequence(side, j - 1))).join(sets, ["cluster", "uid"])
+    edge = foreign.join(sizes, region).withColumn("j", F.pmod(F.xxhash64("uid"), j)).withColumn("i", F.explode(F.sequence(side, i - 1))).join(sets, ["cluster", "uid"])
 
     def crossed(inner: pa.Table, outer: pa.Table) -> pa.Table:
         a, b = [], []
@@ -338,7 +385,7 @@ def large_clusters(members: DataFrame, percent: int) -> DataFrame:
                         b.append(int(uid[found].min()))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = ["pivot", "i", "j"]
+    keys = [*region, "i", "j"]
     links = core.select(*keys, "uid", "d", "n", "ids").groupBy(*keys).cogroup(edge.select(*keys, "uid", "d", "n", "ids").groupBy(*keys)).applyInArrow(crossed, "a long, b long")
     return stars.unionByName(links)
 
@@ -355,20 +402,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not most:
         return result
     # copies of a point say nothing new: only the row that stands for it is read again
-    several = points.where("rows > 1").select("set", "own")
+    several = points.where(F.col("rows") > COPIES).select("set", "own")
     copies = rows.join(several, "set").where(~(F.col("id").eqNullSafe(F.col("own.id")) & (F.col("body") == F.col("own.body"))))
     copies = keep(copies.select(F.col("id").alias("cid"), F.col("body").alias("cbody")).distinct(), "copies")
     single = source.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("body") == F.col("cbody")), "left_anti")
-    shared = shared_shingles(single, words, max(12, int(total // COUNT) + 1))
-    lists = shared.groupBy("set").agg(F.collect_list("ids").alias("parts"))  # as long as the document at most
-    able = lists.join(points.select("set", "uid", "n", "low"), "set").withColumn("size", F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + (F.octet_length(p) / 8).cast("long")))
-    able = able.where(F.col("size") * 100 >= F.col("n") * percent).select("uid", "n", "parts")
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.unique(np.frombuffer(b"".join(parts.as_py()), np.uint64)) for parts in batch.column(2)]
-            held = pa.array([len(x) * 100 >= n.as_py() * percent for x, n in zip(lists, batch.column(1), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], ["uid", "n", "ids"]).filter(held)
+    shared = shared_shingles(single, words, int(total // COUNT) + 4, percent)
+    able = keep(shared.join(points.select("set", "uid", "n"), "set").select("uid", "n", "ids"), "able")
 
     def unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +416,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [np.repeat(batch.column(0).to_numpy(), count), np.repeat(batch.column(1).to_numpy(), count), np.concatenate([*lists, np.zeros(0, np.int64)])]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["uid", "n", "id"])
 
-    able = keep(able.mapInArrow(merged, "uid long, n long, ids binary"), "able")
     each = able.mapInArrow(unfolded, "uid long, n long, id long")
     ranked = each.join(each.groupBy("id").agg(F.count("*").alias("df")).where("df > 1"), "id")
     order = Window.partitionBy("uid").orderBy(F.desc("df"), F.desc("id"))  # a document's shingles, the most common first
@@ -387,12 +425,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     regions = homes.select("uid", "id", F.explode(F.array(band, band + 1)).alias("band"))
     regions = keep(regions, "regions")
     pivot = regions.groupBy("id", "band").agg(F.min("uid").alias("b"))
-    pairs = regions.join(pivot, ["id", "band"]).where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
-    cluster = components(pairs).select(F.col("node").alias("uid"), F.col("label").alias("cluster"))
-    sizes = keep(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-    members = keep(able.join(cluster, "uid").join(sizes, "cluster").select("cluster", "size", "uid", "n", "ids"), "members")
-    links = small_clusters(members.where(F.col("size") <= LEAF), members.count(), percent)
-    large = members.where(F.col("size") > LEAF)
+    pairs = keep(regions.join(pivot, ["id", "band"]).select(F.col("b").alias("cluster"), "uid").distinct(), "pairs")
+    clusters = pairs.join(able, "uid").select("cluster", "uid", "n", "ids")
+    sizes = pairs.join(able.select("uid", F.octet_length("ids").alias("bytes")), "uid").groupBy("cluster").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    members = keep(clusters.join(sizes.where("size > 1"), "cluster"), "members")
+    alone = (F.col("size") <= LEAF) & (F.col("bytes") <= 8 * LEAF_IDS)
+    links = small_clusters(members.where(alone), members.count(), percent)
+    large = members.where(~alone).drop("bytes")
     if not large.isEmpty():
         links = links.unionByName(large_clusters(large, percent))
     label = components(links)

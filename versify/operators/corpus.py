@@ -22,8 +22,7 @@ PRETRAIN_SCHEMA = T.StructType(
 )
 
 FIRST_YEAR = 1791  # F1 lower bound (no upper bound)
-DEFAULT_BUDGET = 200_000  # W3 word budget used by the registered queries
-MAX_BROADCAST_BUCKETS = 2_000_000
+DEFAULT_BUDGET = 200_000_000  # W3 word budget
 
 
 def word_count(text: Column) -> Column:
@@ -59,15 +58,16 @@ def project_corpus(df: DataFrame) -> DataFrame:
     return df.select("identifier", "creator", "title", "publication_date", "word_count", "text")
 
 
-def running_total(df: DataFrame, order_col: str, value_col: str, out_col: str, bucket_width: int = 1 << 16) -> DataFrame:
+def running_total(df: DataFrame, order_col: str, value_col: str, out_col: str) -> DataFrame:
     """Exclusive prefix sum of ``value_col`` in ``order_col`` order, without an
     unpartitioned window over the table.
 
-    Rows are grouped in buckets of ``order_col div bucket_width``; bucket totals
-    (one row per bucket, a table that is small by construction) get their
-    exclusive prefix sum, are broadcast back, and a window inside each bucket
-    (at most ``bucket_width`` ids) finishes the sum."""
-    b = df.withColumn("_bucket", F.floor(F.col(order_col) / bucket_width))
+    Rows are dealt to ranges of ``order_col`` whose bounds Spark samples from the
+    data, so sparse or hashed keys make no more ranges than dense ones; the
+    ranges' totals (one row each) get their exclusive prefix sum, are joined
+    back, and a window inside each range finishes the sum.  The ranges are pinned by
+    a checkpoint, as a second sampling need not give the same bounds."""
+    b = df.repartitionByRange(order_col).withColumn("_bucket", F.spark_partition_id()).checkpoint()
     totals = b.groupBy("_bucket").agg(F.sum(value_col).alias("_bt"))
     offsets = totals.select(
         "_bucket",
@@ -76,19 +76,18 @@ def running_total(df: DataFrame, order_col: str, value_col: str, out_col: str, b
         ).alias("_off"),
     )
     within = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.cache()
-    small = offsets.count() <= MAX_BROADCAST_BUCKETS  # one row per bucket; checked before broadcasting
     return (
-        b.join(F.broadcast(offsets) if small else offsets, "_bucket")
+        b.join(offsets, "_bucket")
         .withColumn(out_col, F.col("_off") + F.coalesce(F.sum(value_col).over(within), F.lit(0)))
         .drop("_bucket", "_off")
     )
 
 
-def word_budget(corpus: DataFrame, target_words: int) -> DataFrame:
+def word_budget(corpus: DataFrame, target_words: int = DEFAULT_BUDGET, *carried: str) -> DataFrame:
     """W3 + A6: keep rows while the words *before* the row are under the
-    target (the crossing row is kept whole); ``increment`` clips the last one."""
-    eligible = content_filter(year_filter(corpus))
+    target (the crossing row is kept whole); ``increment`` clips the last one.
+    Only ids, years and word counts are summed up; ``carried`` names further columns."""
+    eligible = content_filter(year_filter(corpus)).select("doc_id", "publication_date", "word_count", *carried)
     summed = running_total(eligible, "doc_id", "word_count", "words_before")
     kept = summed.where(F.col("words_before") < target_words)
     return kept.withColumn(

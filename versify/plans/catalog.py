@@ -309,7 +309,6 @@ def q_evaluation_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- 6 corpus
 
-BUDGET = C.DEFAULT_BUDGET
 BATCH, BLOCK = 4, 64
 TEMPERATURE, TOP_K, TOP_P = 0.8, 20, 0.9
 
@@ -318,6 +317,12 @@ def corpus(spark, sf_dir):
     return C.pretrain_view(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
 
 
+def half_of_words(spark, sf_dir) -> int:
+    """A budget that is crossed in the middle of the corpus, whatever its size."""
+    ensure_checkpoint_dir(spark)
+    return C.content_filter(C.year_filter(corpus(spark, sf_dir))).agg(F.coalesce(F.sum("word_count"), F.lit(0))).first()[0] // 2
+
+
 @query
 def q_corpus_filter(spark, sf_dir):
     kept = C.project_corpus(C.content_filter(C.year_filter(corpus(spark, sf_dir))))
@@ -328,7 +333,7 @@ def q_corpus_filter(spark, sf_dir):
 
 @query
 def q_word_budget(spark, sf_dir):
-    kept = C.word_budget(corpus(spark, sf_dir), BUDGET)
+    kept = C.word_budget(corpus(spark, sf_dir), half_of_words(spark, sf_dir))
     return kept.select(
         "doc_id", F.col("word_count").cast("long").alias("word_count"),
         F.col("words_before").cast("long").alias("words_before"), F.col("increment").cast("long").alias("increment"),
@@ -337,12 +342,12 @@ def q_word_budget(spark, sf_dir):
 
 @query
 def q_year_counts(spark, sf_dir):
-    return C.year_counts(C.word_budget(corpus(spark, sf_dir), BUDGET))
+    return C.year_counts(C.word_budget(corpus(spark, sf_dir), half_of_words(spark, sf_dir)))
 
 
 @query
 def q_corpus_metadata(spark, sf_dir):
-    meta = C.corpus_metadata(C.word_budget(corpus(spark, sf_dir), BUDGET), "documents")
+    meta = C.corpus_metadata(C.word_budget(corpus(spark, sf_dir), half_of_words(spark, sf_dir)), "documents")
     return meta.select(
         "dataset_name", "total_words", F.size("publication_years").cast("long").alias("n_years"),
         F.aggregate(F.map_values("publication_years"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_docs"),
@@ -603,20 +608,20 @@ def q_finetune_records(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 12 pages
-LINK_LIMIT = 5
-
-
 def pages(spark, sf_dir):
     return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
 
 
+def page_links(p: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """H1 + H2 + K8: anchors with a slash in page order; of those, ``skip`` left out, then at most ``limit`` kept (None: all)."""
+    fitting = F.filter(H.links(F.col("html")), lambda h: h.contains("/"))
+    chosen = F.slice(fitting, skip + 1, F.lit(limit) if limit is not None else F.greatest(F.size(fitting), F.lit(1)))
+    return p.select("page_id", F.posexplode(chosen).alias("pos", "href")).select("page_id", (F.col("pos") + skip).cast("long").alias("link_no"), "href")
+
+
 @query
 def q_page_links(spark, sf_dir):
-    """H1 + H2 + K8: anchors in page order, the first skipped, at most LINK_LIMIT kept per page."""
-    p = pages(spark, sf_dir).select("page_id", F.posexplode(H.links(F.col("html"))).alias("pos", "href"))
-    return p.where((F.col("pos") >= 1) & (F.col("pos") <= LINK_LIMIT) & F.col("href").contains("/")).select(
-        "page_id", F.col("pos").cast("long").alias("link_no"), "href"
-    )
+    return page_links(pages(spark, sf_dir), skip=1)
 
 
 @query
@@ -632,7 +637,7 @@ def q_page_titles(spark, sf_dir):
 
 def page_verses(p: DataFrame, style_re: str | None = None) -> DataFrame:
     """H6 + H7 + H8: verse paragraphs -> cleaned text -> validate, else repair, flag."""
-    paras = p.select("page_id", "url", "html", F.transform(H.paragraphs(F.col("html"), style_re), H.paragraph_text).alias("_pt"))
+    paras = p.select("page_id", "url", "html", H.paragraph_texts(H.paragraphs(F.col("html"), style_re)).alias("_pt"))
     verses = paras.select(
         "page_id", "url", "html",
         F.array_join(F.transform(F.filter("_pt", lambda t: t != ""), X.clean_verse), "\n\n").alias("_full"),
@@ -836,7 +841,7 @@ def q_stream_ingest(spark, sf_dir):
 
 @query
 def q_stream_budget(spark, sf_dir):
-    s = ST.stream_budget(spark, sf_dir, BUDGET)
+    s = ST.stream_budget(spark, sf_dir, half_of_words(spark, sf_dir))
     return s.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("word_count").cast("long").alias("word_count"),
         F.col("words_before").cast("long").alias("words_before"), F.col("increment").cast("long").alias("increment"),

@@ -375,7 +375,7 @@ def _():
 
 
 # ---------------------------------------------------------------- 6 corpus
-BUDGET = 200_000
+BUDGET = "(SELECT sum(word_count) // 2 FROM cf)"
 CORPUS_CTE = """cp AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS identifier, source AS creator,
                   concat_ws('-', lang, CAST(doc_id AS VARCHAR)) AS title,
                   CAST(1780 + doc_id % 60 AS INTEGER) AS publication_date, text,
@@ -657,8 +657,12 @@ from versify.functions import html as H  # noqa: E402
 WS = "[\\s\\x{a0}]"
 
 
+#: The character references that the pages hold; &amp; last.
+REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\xa0"), ("&amp;", "&")]
+
+
 def unescape(e: str) -> str:
-    for k, v in H.ENTITIES:
+    for k, v in REFERENCES:
         e = f"replace({e}, {q(k)}, {q(v)})"
     return e
 
@@ -675,11 +679,19 @@ def normalize_url(e: str) -> str:
     return f"regexp_replace({t}, '(?i)/_(\\w+).HTM$', '/__\\1.HTM')"
 
 
+def shown(html: str) -> str:
+    return f"regexp_replace({html}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
+
+
 def page_title(html: str, url: str) -> str:
+    html = shown(html)
     paras = f"regexp_extract_all({html}, {q(H.PARA_RE)}, 1)"
     a = f"(list_filter(list_transform({paras}, lambda p: {visible_text('p', ' ')}), lambda t: regexp_matches(t, '^\\d+\\.\\s')))[1]"
-    items = f"list_filter(regexp_extract_all({html}, {q(H.LI_RE)}, 1), lambda x: NOT regexp_matches(x, '(?i)<ul'))"
-    hit = f"(list_filter(list_transform({items}, lambda x: {visible_text('x', '')}), lambda t: contains(t, ' . ')))[1]"
+    # leaf items: what stands between the last <li> and its </li>
+    ends = f"list_slice(string_split({html}, '</li>'), 1, -2)"
+    items = f"list_transform({ends}, lambda x: regexp_replace(string_split(x, '<li')[-1], '^[^>]*>', ''))"
+    text = unescape(f"array_to_string(list_transform(string_split_regex(x, '<[^>]*>'), lambda y: {strip('y')}), '')")
+    hit = f"(list_filter(list_transform({items}, lambda x: {text}), lambda t: contains(t, ' . ')))[1]"
     b = f"CASE WHEN {hit} IS NOT NULL THEN substring({hit}, 1, instr({hit}, ' . ') - 1) || '. ' || substring({hit}, instr({hit}, ' . ') + 3) END"
     return f"coalesce({a}, {b}, 'Unknown_Title_' || {normalize_url(url)})"
 
@@ -722,7 +734,7 @@ def valid_structure(e: str) -> str:
 
 
 PAGE_VERSES_CTE = f"""pv0 AS (SELECT page_id, url, html,
-                    list_transform(regexp_extract_all(html, {q(H.PARA_RE)}, 1), lambda p: {paragraph_text('p')}) AS pt FROM pages),
+                    list_transform(regexp_extract_all({shown('html')}, {q(H.PARA_RE)}, 1), lambda p: {paragraph_text('p')}) AS pt FROM pages),
     pv1 AS (SELECT page_id, url, html, CAST(len(list_filter(pt, lambda t: t <> '')) AS BIGINT) AS n_paragraphs,
                    array_to_string(list_transform(list_filter(pt, lambda t: t <> ''), lambda t: {clean_verse('t')}), {NL} || {NL}) AS full_text
             FROM pv0),
@@ -735,9 +747,12 @@ PAGE_VERSES_CTE = f"""pv0 AS (SELECT page_id, url, html,
 
 @sql("page_links")
 def _():
-    return f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, {q(H.HREF_RE)}, 1)) AS href,
-                        generate_subscripts(regexp_extract_all(html, {q(H.HREF_RE)}, 1), 1) - 1 AS pos FROM pages)
-    SELECT page_id, CAST(pos AS BIGINT) AS link_no, href FROM l WHERE pos >= 1 AND pos <= 5 AND contains(href, '/')"""
+    # from the rule, not from the Spark pattern: cut at each anchor, take its href value, number those with a slash
+    return """WITH a AS (SELECT page_id, unnest(list_slice(string_split(html, '<a '), 2, NULL)) AS rest,
+                     generate_subscripts(list_slice(string_split(html, '<a '), 2, NULL), 1) AS i FROM pages),
+    h AS (SELECT page_id, i, split_part(split_part(split_part(rest, '>', 1), 'href="', 2), '"', 1) AS href FROM a),
+    s AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS link_no, href FROM h WHERE contains(href, '/'))
+    SELECT page_id, CAST(link_no AS BIGINT) AS link_no, href FROM s WHERE link_no >= 1"""
 
 
 @sql("url_normalize")
@@ -958,12 +973,12 @@ def _():
 @sql("stream_encode")
 def _():
     return f"""WITH {SPECIAL_CTES}
-    SELECT doc_id, poem_no, CAST(length(chars) AS BIGINT) AS chars_len, md5(chars) AS chars_md5 FROM sc0 WHERE doc_id >= 0"""
+    SELECT doc_id, poem_no, CAST(length(chars) AS BIGINT) AS chars_len, md5(chars) AS chars_md5 FROM sc0"""
 
 
 @sql("stream_eval")
 def _():
-    return evaluate_sql() + ",\n" + report_sql("(SELECT * FROM m WHERE doc_id >= 0)")
+    return evaluate_sql() + ",\n" + report_sql("m")
 
 
 @sql("stream_years")

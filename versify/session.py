@@ -39,8 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to a shared folder and we
-    only read it.  Only when it is unset (local tests) do we pick a scratch
-    folder of our own.
+    only read it; unset there, it is an error, as no folder of one machine is seen by
+    the others.  Only a local master gets a scratch folder of its own.
     """
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None)
     try:
@@ -54,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="versify-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local_dir)
     sc.setCheckpointDir(local_dir)
