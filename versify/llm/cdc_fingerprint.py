@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versify.llm.common import mix, table
+from versify.llm.common import keep, mix, table
 
 LEAST, NORMAL, LARGEST = 32, 96, 384
 #: Bits that must be zero to cut before and after the normal size.
@@ -139,7 +139,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     follow = [(r["part"], heads[k - 1]["part"]) for k, r in enumerate(heads)]  # its head closes the range before
     id_type = docs.schema[id_col].dataType
     kind = T.StructType([T.StructField("hid", id_type), T.StructField("body", T.StringType()), T.StructField("to", T.LongType())])
-    closing = docs.sparkSession.createDataFrame([(r["h"]["id"], r["h"]["body"], to) for r, (_, to) in zip(heads, follow, strict=True)], kind)
+    found = [(r["h"]["id"], r["h"]["body"], to) for r, (_, to) in zip(heads, follow, strict=True)]
+    # as a file, whose size the planner knows before it would move the texts for the join
+    closing = keep(docs.sparkSession.createDataFrame(found, kind), "closing")
     ends = ranged.join(closing, F.col("id").eqNullSafe(F.col("hid"))).where(F.md5("text") == F.col("body")).select("id", "text", F.col("to").alias("part"))
     ends = ends.dropDuplicates(["part"])
     both = ranged.select("part", F.lit(0).alias("late"), "id", "text").unionByName(ends.select("part", F.lit(1).alias("late"), "id", "text"))

@@ -86,7 +86,8 @@ def best_cut(scored: DataFrame) -> float | None:
     bins = scored.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.sum("yes").alias("yes"), F.sum(1 - F.col("yes")).alias("no"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ever = Window.partitionBy()
-    gain = F.coalesce(F.sum("no").over(below), F.lit(0)) / F.sum("no").over(ever) - F.coalesce(F.sum("yes").over(below), F.lit(0)) / F.sum("yes").over(ever)
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(ever))
+    gain = share("no") - share("yes")  # null without a class
     ranked = bins.select("bin", gain.alias("gain")).where("gain is not null")
     row = ranked.groupBy("gain").agg(F.min("bin").alias("low"), F.max("bin").alias("high")).orderBy(F.desc("gain")).first()
     return None if row is None or row["gain"] <= 0 else (row["low"] + row["high"]) / 2 * BIN
