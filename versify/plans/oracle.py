@@ -748,8 +748,8 @@ PAGE_VERSES_CTE = f"""pv0 AS (SELECT page_id, url, html,
 @sql("page_links")
 def _():
     # from the rule, not from the Spark pattern: cut at each anchor, take its href value, number those with a slash
-    return """WITH a AS (SELECT page_id, unnest(list_slice(string_split(html, '<a '), 2, NULL)) AS rest,
-                     generate_subscripts(list_slice(string_split(html, '<a '), 2, NULL), 1) AS i FROM pages),
+    return """WITH a AS (SELECT page_id, unnest((string_split(html, '<a '))[2:]) AS rest,
+                     generate_subscripts((string_split(html, '<a '))[2:], 1) AS i FROM pages),
     h AS (SELECT page_id, i, split_part(split_part(split_part(rest, '>', 1), 'href="', 2), '"', 1) AS href FROM a),
     s AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS link_no, href FROM h WHERE contains(href, '/'))
     SELECT page_id, CAST(link_no AS BIGINT) AS link_no, href FROM s WHERE link_no >= 1"""
