@@ -250,10 +250,10 @@ def q_syllabify_words(spark, sf_dir):
 
 
 def _eval_line_rows(spark, sf_dir):
-    """Evaluation lines as rows, each with its marked form (the poem text is
-    marked once; the syllable rules never cross a newline)."""
+    """Evaluation lines as rows, each with its dotted form (the poem text is
+    dotted once; the syllable rules never cross a newline)."""
     v = verse(spark, sf_dir).withColumn("_t", S.eval_text(F.col("text")))
-    pairs = F.arrays_zip(S.eval_lines(F.col("_t")).alias("line"), S.eval_lines(Y.mark_syllables(F.col("_t"))).alias("mline"))
+    pairs = F.arrays_zip(S.eval_lines(F.col("_t")).alias("line"), S.eval_lines(Y.dot_syllables(F.col("_t"))).alias("mline"))
     return v.select("doc_id", "poem_no", "lang", F.posexplode(pairs).alias("pos", "p")).select(
         "doc_id", "poem_no", "lang", (F.col("pos") + 1).cast("long").alias("line_no"), F.col("p.line").alias("line"),
         F.col("p.mline").alias("mline"),
@@ -262,7 +262,7 @@ def _eval_line_rows(spark, sf_dir):
 
 def _line_count(rows: DataFrame) -> F.Column:
     meta = F.col("line").rlike(r"^[a-z].+\|\s+(.*)$")
-    return F.when(meta, Y.hendecasyllable_count(F.col("line"))).otherwise(Y.marked_line_syllable_count(F.col("mline")))
+    return F.when(meta, Y.hendecasyllable_count(F.col("line"))).otherwise(Y.dots(F.col("mline")))
 
 
 @query
