@@ -27,12 +27,13 @@ from versify.operators import vocab as V
 from versify.operators.evaluate import evaluate_frame, evaluation_report
 from versify.operators.rhyme_tags import tag_rhymes, tag_rhymes_frame
 from versify.operators.verse import verse_lines, verse_view
+from versify.plans import files
 from versify.session import ensure_checkpoint_dir
 from versify.sources import io as IO
 from versify.sources.tables import read_table
 from versify.streaming import ingest as ST
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(files.QUERIES)
 
 
 def query(fn):

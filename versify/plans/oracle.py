@@ -10,9 +10,10 @@ from __future__ import annotations
 from versify.functions import structure as S
 from versify.functions import text as X
 from versify.plans import duck as D
+from versify.plans import files
 from versify.plans.duck import NL, q, strip
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(files.ORACLE)
 
 
 def sql(name: str):

@@ -27,6 +27,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.versify.read.partitions", str(4 * (os.cpu_count() or 1) if cpus == "*" else 4 * int(cpus)))
         .config("spark.driver.memory", os.environ.get("VERSIFY_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()

@@ -16,22 +16,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, factor: int = 4) -> DataFrame:
-    """Give CPU-heavy text work enough tasks.
-
-    A scan with fewer partitions than ``factor x`` the cluster parallelism (a
-    file with one row group, say) is redistributed round-robin; a scan that is
-    already wide, as any large table is, is left alone (no shuffle added)."""
-    try:
-        target = factor * df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD view, e.g. a Connect session): keep the scan as is
-        return df
-    return df.repartition(target) if current < target else df
+#: Session setting: deal every scan out to so many partitions.  For small tables of one row group
+#: each, as in tests; unset, as it should be on a cluster, no scan is shuffled.
+READ_PARTITIONS = "spark.versify.read.partitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, widen: bool = True) -> DataFrame:
     """Scan one table; naming ``columns`` prunes the parquet read schema."""
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
-    return spread(df) if widen else df
+    dealt = spark.conf.get(READ_PARTITIONS, None) if widen else None
+    return df.repartition(int(dealt)) if dealt else df
