@@ -86,7 +86,6 @@ def train_bpe(texts: DataFrame, n_merges: int, min_frequency: int = 2) -> tuple[
     """T4: returns the final word table and the merges (rank, left, right, count).
     Best pair = highest count, ties by (left, right) ascending; stops early when
     no pair reaches ``min_frequency``."""
-    spark = texts.sparkSession
     words = word_table(texts).checkpoint()
     merges: list[tuple[int, str, str, int]] = []
     for rank in range(n_merges):
@@ -104,7 +103,6 @@ def train_bpe(texts: DataFrame, n_merges: int, min_frequency: int = 2) -> tuple[
         words = words.withColumn("sym", F.replace(F.col("sym"), F.lit(left + right), F.lit(merged_symbol(left, right))))
         if (rank + 1) % CHECKPOINT_EVERY == 0:
             words = words.checkpoint()
-    del spark
     return words, merges
 
 
@@ -115,13 +113,31 @@ def apply_merges(sym: Column, merges: list[tuple[int, str, str, int]]) -> Column
     return sym
 
 
-def bpe_vocab(spark, words: DataFrame, merges) -> DataFrame:
-    """Specials (ids 0..13), then the 256 byte symbols, then merges in rank order."""
-    rows = [(s, i) for i, s in enumerate(SUBWORD_SPECIALS)]
-    base = len(rows)
-    rows += [(f"<{b:02x}>", base + b) for b in range(256)]
-    rows += [(merged_symbol(l, r), base + 256 + k) for k, l, r, _ in merges]
-    return spark.createDataFrame(rows, "token string, id int")
+def bpe_tokens(merges) -> list[str]:
+    """The tokens in order of their ids: specials (0..13), the 256 byte symbols, merges in rank order."""
+    return [*SUBWORD_SPECIALS, *(f"<{b:02x}>" for b in range(256)), *(merged_symbol(l, r) for _, l, r, _ in merges)]
+
+
+def encode_ids(text: Column, merges) -> Column:
+    """T5: the ids of a text in order, specials atomic; a projection, no shuffle."""
+    tokens = bpe_tokens(merges)
+    known = F.str_to_map(F.lit("|".join(f"{t}={i}" for i, t in enumerate(tokens))), F.lit("\\|"), F.lit("="))
+
+    def split(word: Column) -> Column:
+        merged = F.regexp_extract_all(apply_merges(to_symbols(word), merges), F.lit(SYMBOL_RE), 0)
+        return F.when(word.isin(*SUBWORD_SPECIALS), F.array(word)).otherwise(merged)
+
+    return F.transform(F.flatten(F.transform(pretokenize(text), split)), lambda t: F.try_element_at(known, t).cast("int"))
+
+
+def decode_ids(ids: Column, merges, skip_special: bool = False) -> Column:
+    """The text of an id array, with or without its specials.  Bytes are joined before they are
+    read as UTF-8, as a character may be spread over tokens."""
+    special = len(SUBWORD_SPECIALS)
+    chosen = F.filter(ids, lambda i: i >= special) if skip_special else ids
+    hexes = [t.encode().hex() if i < special else t[1:-1] for i, t in enumerate(bpe_tokens(merges))]
+    table = F.split(F.lit(",".join(hexes)), ",")
+    return F.decode(F.unhex(F.array_join(F.transform(chosen, lambda i: F.get(table, i)), "")), "UTF-8")
 
 
 def encode_words(words: DataFrame, merges) -> DataFrame:

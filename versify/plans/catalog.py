@@ -766,6 +766,17 @@ def q_bpe_decode(spark, sf_dir):
     )
 
 
+@query
+def q_bpe_ids(spark, sf_dir):
+    """T5 + T6 + T10: every document as ordered ids, and the texts that the ids give back with and without specials."""
+    _, merges = trained_bpe(spark, sf_dir)
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", BPE.encode_ids(F.col("text"), merges).alias("ids"))
+    return d.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+        F.md5(BPE.decode_ids(F.col("ids"), merges)).alias("text_md5"), F.md5(BPE.decode_ids(F.col("ids"), merges, True)).alias("plain_md5"),
+    )
+
+
 @query
 def q_token_stats(spark, sf_dir):
     _, merges = trained_bpe(spark, sf_dir)

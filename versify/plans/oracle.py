@@ -917,6 +917,25 @@ def _():
     return f"WITH {bpe_train_ctes()}, {ENCODE_CTES} SELECT doc_id, n_tokens FROM dtc"
 
 
+@sql("bpe_ids")
+def _():
+    merged = " UNION ALL ".join(f'SELECT rank, "left", "right" FROM b{k}' for k in range(N_MERGES))
+    specials = ", ".join(q(s) for s in BPE.SUBWORD_SPECIALS)
+    n = len(BPE.SUBWORD_SPECIALS)
+    return f"""WITH {bpe_train_ctes()},
+    voc AS (SELECT unnest([{specials}]) AS token, unnest(range(0, {n})) AS id
+            UNION ALL SELECT '<' || printf('%02x', b) || '>', {n} + b FROM range(256) AS r(b)
+            UNION ALL SELECT '<' || substr("left", 2, length("left") - 2) || substr("right", 2, length("right") - 2) || '>', {n + 256} + rank FROM ({merged})),
+    dw AS (SELECT doc_id, {pretokenize('text')} AS ws FROM documents),
+    occ AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM dw),
+    sy AS (SELECT doc_id, i, CASE WHEN sym IS NULL THEN [word] ELSE regexp_extract_all(sym, '<[0-9a-f]+>') END AS s FROM occ LEFT JOIN w{N_MERGES} USING (word)),
+    tk AS (SELECT doc_id, i, unnest(s) AS token, generate_subscripts(s, 1) AS j FROM sy),
+    e AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids FROM tk JOIN voc USING (token) GROUP BY doc_id)
+    SELECT dw.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_ids, md5(coalesce(ids, '')) AS ids_md5, md5(array_to_string(ws, '')) AS text_md5,
+           md5(array_to_string(list_filter(ws, lambda w: w NOT IN ({specials})), '')) AS plain_md5
+    FROM dw LEFT JOIN e USING (doc_id)"""
+
+
 @sql("token_stats")
 def _():
     return f"""WITH {bpe_train_ctes()}, {ENCODE_CTES}
