@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
 Every word and every run of three or four bytes inside a word (with the blanks at its ends) is
-hashed to one of 2**17 learned vectors; a document is the mean of the vectors of all its
+hashed to one of 2**17 learned vectors, as is every word that repeats the one up to eight words before; a document is the mean of the vectors of all its
 features, and a softmax over two classes reads that mean.  Vectors and softmax are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows.  As
 the output is linear in the mean, a trained model is one number for each bucket, and a
@@ -29,7 +29,9 @@ from versify.llm.common import doc_bytes, span_hashes, table, word_spans
 BITS = 17
 DIM = 12
 EPOCHS = 8
-RATE = 0.5
+RATE = 0.02
+#: Distances at which a repeated word counts as a feature of its own.
+REPEATS = tuple(range(1, 9))
 #: At most so many labelled rows of each class are learned from (those with the smallest hashed id).
 SAMPLE_PER_CLASS = 2_000
 CUT = 0.7
@@ -48,8 +50,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     starts, ends, _ = word_spans(data, offsets)
-    found = [(span_hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.uint32)]
-    owner = [doc[starts]]
+    word, of_word = span_hashes(data, starts, ends), doc[starts]
+    found, owner = [(word >> np.uint64(64 - BITS)).astype(np.uint32)], [of_word]
+    for back in REPEATS:  # the same word again: one feature for all words, as no single pair would tell
+        at = np.flatnonzero((word[back:] == word[:-back]) & (of_word[back:] == of_word[:-back])) + back
+        found.append(np.full(len(at), back, np.uint32))
+        owner.append(of_word[at])
     padded = np.full(len(data) + n + 1, 32, np.uint32)  # a blank before, between and after the texts
     padded[np.arange(len(data)) + doc + 1] = np.where((data >= 9) & (data <= 13), 32, data)
     of = np.full(len(padded), -1, np.int32)
@@ -103,6 +109,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, seed: in
             out -= rate * error[:, None] * mean
             bias -= rate * error
     weight = (vectors @ (out[1] - out[0])).astype(np.float32)
+    if not np.isfinite(weight).all():
+        raise FloatingPointError("the training diverged; lower RATE")
     sampled = sum(y for _, _, y in rows) / len(rows)
     return Model(weight, float(bias[1] - bias[0]) + prior - float(np.log(sampled / (1 - sampled))))
 
