@@ -52,7 +52,7 @@ CHUNK = 1_024
 PIVOTS = 96
 #: Shingles that a task gathers before it sends them, and that a counting task gets on average.
 SEND = 1_000_000
-COUNT = 5_000_000
+COUNT = 2_500_000
 #: Rows with one and the same set that are folded on the way; of more, one is chosen before.
 COPIES = 64
 ID_BITS = 48
@@ -338,6 +338,7 @@ def large_clusters(members: DataFrame, percent: int) -> DataFrame:
             if not len(uid):
                 break
             d, links = points.compare(np.frombuffer(ids, np.uint64), n, percent)
+            d[uid == p], links[uid == p] = 0, True  # its lists hold shared shingles only, so it seems far from itself
             at = np.flatnonzero(d <= 2 * r)
             out.append((np.full(len(at), p), uid[at], d[at], links[at]))
         joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
