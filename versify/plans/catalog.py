@@ -549,6 +549,17 @@ def q_top_p(spark, sf_dir):
     return d.select(F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"), F.round("prob", 6).alias("prob"))
 
 
+@query
+def q_top_p_hook(spark, sf_dir):
+    """V1: a hook between temperature and truncation; here every fifth token is held back."""
+
+    def held_back(d: DataFrame) -> DataFrame:
+        return d.withColumn("logit", F.when(F.col("token") % 5 == 0, F.col("logit") - 2.0).otherwise(F.col("logit")))
+
+    d = LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P, held_back)
+    return d.select(F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"), F.round("prob", 6).alias("prob"))
+
+
 @query
 def q_draw(spark, sf_dir):
     """K4: one draw per benchmark item from the truncated distribution of its first character."""
@@ -908,6 +919,29 @@ def q_syllable_encode(spark, sf_dir):
     )
 
 
+@query
+def q_syllable_tokens_tagged(spark, sf_dir):
+    """Y7 + Y8 on tagged text: markers whole, the rhyme suffix a token of its own."""
+    v = verse(spark, sf_dir).select("doc_id", "poem_no", X.markup(F.col("text")).alias("m"))
+    t = tag_rhymes_frame(v, "m", "tagged", with_suffix=True).withColumn("toks", Y.syllabify_text(F.col("tagged")))
+    return t.select("doc_id", "poem_no", F.size("toks").cast("long").alias("n_tokens"), F.md5(F.array_join("toks", "\u001f")).alias("tokens_md5"))
+
+
+@query
+def q_syllable_id_lookup(spark, sf_dir):
+    """J4 with a vocabulary that holds <UNK>: every syllable token of the benchmark, unknown ones at its id."""
+    toks = read_table(spark, sf_dir, "benchmark", "text").select(F.explode(F.array_distinct(Y.syllabify_text(F.col("text")))).alias("token")).distinct()
+    return V.token_id(toks, syllable_vocabulary(spark, sf_dir)).select("token", F.col("id").cast("int").alias("id"))
+
+
+@query
+def q_finetune_titles(spark, sf_dir):
+    """C18 with file names that have no number, and so no title, for every third document."""
+    d = documents(spark, sf_dir, "doc_id", "lang")
+    name = F.concat(F.lit("["), F.col("lang"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("].txt"))
+    return d.select("doc_id", X.finetune_title(F.when(F.col("doc_id") % 3 == 0, name).otherwise(F.concat(F.lit("7. "), name))).alias("title"))
+
+
 # ---------------------------------------------------------------- 15 metadata sinks
 
 

@@ -571,9 +571,10 @@ def _():
 LOGITS = "lg AS (SELECT ctx, token, ln(CAST(n AS DOUBLE)) AS logit FROM model)"
 
 
-def truncated_ctes() -> str:
+def truncated_ctes(hook: str = "logit") -> str:
     return f"""{LOGITS},
-    z0 AS (SELECT ctx, token, logit / {TEMPERATURE} AS logit FROM lg),
+    zh AS (SELECT ctx, token, logit / {TEMPERATURE} AS logit FROM lg),
+    z0 AS (SELECT ctx, token, {hook} AS logit FROM zh),
     z1 AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY ctx ORDER BY logit DESC) AS r FROM z0) WHERE r <= {TOP_K}),
     z2 AS (SELECT ctx, token, logit, exp(logit - max(logit) OVER (PARTITION BY ctx)) AS e FROM z1),
     z3 AS (SELECT ctx, token, logit, e / sum(e) OVER (PARTITION BY ctx) AS prob FROM z2),
@@ -605,6 +606,12 @@ def _():
     SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, round(prob, 6) AS prob FROM tp"""
 
 
+@sql("top_p_hook")
+def _():
+    return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}, {truncated_ctes('CASE WHEN token % 5 = 0 THEN logit - 2.0 ELSE logit END')}
+    SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, round(prob, 6) AS prob FROM tp"""
+
+
 @sql("draw")
 def _():
     return f"""WITH {DOC_VOCAB}, {DOC_IDS_CTE}, {truncated_ctes()},
@@ -1119,6 +1126,28 @@ def _():
     FROM tot LEFT JOIN kn USING (item_id)"""
 
 
+@sql("syllable_tokens_tagged")
+def _():
+    return f"""WITH {SPECIAL_CTES}, tx AS (SELECT doc_id, poem_no, tagged AS text FROM tt), {syllable_token_ctes('tx')}
+    SELECT doc_id, poem_no, CAST(len(toks) AS BIGINT) AS n_tokens, md5(array_to_string(toks, chr(31))) AS tokens_md5 FROM ytoks"""
+
+
+@sql("syllable_id_lookup")
+def _():
+    import re as _re
+
+    yb = syllable_token_ctes("(SELECT item_id AS doc_id, 0 AS poem_no, text FROM benchmark)")
+    for n in sorted(set(_re.findall(r"\b(y[a-z0-9]*) AS \(", yb)), key=len, reverse=True):
+        yb = _re.sub(rf"\b{n}\b", "b_" + n, yb)
+    return f"""WITH {SYL_VOCAB_CTES}, {yb}, bt AS (SELECT DISTINCT unnest(toks) AS token FROM b_ytoks)
+    SELECT token, CAST(coalesce(sv.id, (SELECT id FROM sv WHERE token = '<UNK>'), -1) AS INTEGER) AS id FROM bt LEFT JOIN sv USING (token)"""
+
+
+@sql("finetune_titles")
+def _():
+    return "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang || '-' || doc_id END AS title FROM documents"
+
+
 # ---------------------------------------------------------------- 10 LM: generation
 MAX_NEW_TOKENS = 48
 
