@@ -48,13 +48,13 @@ def test_poisson_counts(spark, docs):
 def test_mix_hits_its_weights(spark, docs):
     rows = [(i, f"text {i}" + " y" * 40, "big" if i % 10 else "small") for i in range(4000)]
     df = docs(rows, ("mix_rate", "_u"))
-    got = mixing.poisson_mix(df.drop("_u"), {"big": 1.0, "small": 1.0})
+    got = mixing.poisson_mix(df, {"big": 1.0, "small": 1.0})
     sums = {r["source"]: r["c"] for r in got.groupBy("source").agg(F.sum(F.length("text")).alias("c")).collect()}
     assert 0.85 < sums["big"] / sums["small"] < 1.18
     assert 0.9 < sum(sums.values()) / sum(len(t) for _, t, _ in rows) < 1.1
     keys = [r["mix_key"] for r in got.select("mix_key").collect()]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
-    again = mixing.poisson_mix(df.drop("_u").repartition(7), {"big": 1.0, "small": 1.0})
+    again = mixing.poisson_mix(df.repartition(7), {"big": 1.0, "small": 1.0})
     assert sorted(r["mix_key"] for r in again.select("mix_key").collect()) == keys
 
 

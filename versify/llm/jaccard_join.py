@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versify.llm.common import doc_bytes, fold_ascii, keep, mix, span_hashes, table, word_spans
+from versify.llm.common import doc_bytes, fold_ascii, keep, mix, span_hashes, table, unused, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -387,7 +387,8 @@ def large_clusters(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     keys = [*region, "i", "j"]
-    links = core.select(*keys, "uid", "d", "n", "ids").groupBy(*keys).cogroup(edge.select(*keys, "uid", "d", "n", "ids").groupBy(*keys)).applyInArrow(crossed, "a long, b long")
+    own = [F.col(c).alias(c) for c in (*keys, "uid", "d", "n", "ids")]  # columns of their own: both sides come from ``members``
+    links = core.select(*keys, "uid", "d", "n", "ids").groupBy(*keys).cogroup(edge.select(*own).groupBy(*keys)).applyInArrow(crossed, "a long, b long")
     return stars.unionByName(links)
 
 
@@ -445,8 +446,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all columns; rows without an id stay."""
-    kept = jaccard_components(docs, id_col, text_col, **params).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep(kept, "kept"), (F.col(id_col) == F.col("_kept")), "left").where(F.col("_kept").isNotNull() | F.col(id_col).isNull()).drop("_kept")
+    (name,) = unused(docs, "_kept")
+    kept = jaccard_components(docs, id_col, text_col, **params).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep(kept, "kept"), (F.col(id_col) == F.col(name)), "left").where(F.col(name).isNotNull() | F.col(id_col).isNull()).drop(name)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

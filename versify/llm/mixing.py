@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versify.llm.common import keep, table, uniform
+from versify.llm.common import keep, table, uniform, unused
 
 POWER = 0.5
 SEED = "mix"
@@ -74,20 +74,21 @@ def poisson_mix(
     and mix_key, in ascending order of mix_key."""
     cdf = F.udf(poisson_cdf, "array<double>")  # once for each source
     rates = keep(source_rates(docs, weights, power, source_col, text_col), "rates").withColumn("cdf", cdf("rate"))
-    rates = rates.select(F.col("src").alias("_src"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
+    src, rate, tail, draw, times = unused(docs, "_src", "_rate", "_cdf", "_u", "_n")
+    rates = rates.select(F.col("src").alias(src), F.col("rate").alias(rate), F.col("cdf").alias(tail))
     own = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_key")]
     body = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     u = uniform(F.lit(seed), F.col(id_col), body)
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    count = F.size(F.filter(tail, lambda c: c <= F.col(draw)))
     mixed = (
-        docs.withColumn("_u", u)
-        .join(rates, F.col(source_col).eqNullSafe(F.col("_src")))
-        .withColumn("_n", count)
-        .where("_n > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        docs.withColumn(draw, u)
+        .join(rates, F.col(source_col).eqNullSafe(F.col(src)))
+        .withColumn(times, count)
+        .where(F.col(times) > 0)
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(times))))
     )
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string"), body))
-    return mixed.withColumn("mix_key", key).select(*own, F.col("_rate").alias("mix_rate"), F.col("mix_copy").cast("long"), "mix_key").orderBy("mix_key")
+    return mixed.withColumn("mix_key", key).select(*own, F.col(rate).alias("mix_rate"), F.col("mix_copy").cast("long"), "mix_key").orderBy("mix_key")
 
 
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
