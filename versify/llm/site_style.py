@@ -70,14 +70,8 @@ class Page:
         self.article = False
         self.path, self.open = "", [("", "", [])]  # tag, path, children of the open elements
         text: list[str] = []
-        at, until = 0, None
-        for m in TAG.finditer(source):
-            if until is not None:
-                if not (m[1] and m[2].lower() == until):
-                    continue
-                until = None
-                at = m.end()
-                continue
+        at = 0
+        while m := TAG.search(source, at):
             if m.start() > at:
                 text.append(source[at : m.start()])
             at = m.end()
@@ -85,14 +79,14 @@ class Page:
                 continue
             tag = m[2].lower()
             if not m[1] and tag in RAW and not m[3].endswith("/"):
-                until = tag
+                end = re.compile(f"</{tag}(?![A-Za-z0-9:-])[^>]*>", re.I).search(source, at)  # what it holds is no markup
+                at = end.end() if end else len(source)
             elif tag in ("br", "hr", "wbr"):
                 text.append(" " if tag == "br" else "")
             elif tag not in INLINE and tag not in VOID:
                 self._end_block(text)
                 self._close(tag) if m[1] else self._start(tag, m[3])
-        if until is None:
-            text.append(source[at:])
+        text.append(source[at:])
         self._end_block(text)
         while len(self.open) > 1:
             self._pop()
