@@ -446,9 +446,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all columns; rows without an id stay."""
-    (name,) = unused(docs, "_kept")
-    kept = jaccard_components(docs, id_col, text_col, **params).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(keep(kept, "kept"), (F.col(id_col) == F.col(name)), "left").where(F.col(name).isNotNull() | F.col(id_col).isNull()).drop(name)
+    (name,) = unused(docs, "_gone")
+    found = jaccard_components(docs, id_col, text_col, **params)
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
+    # the ids that go are few where the ids that stay are many: a short list travels to the texts
+    return docs.join(keep(gone.select(F.col("doc_id").alias(name)), "gone"), F.col(id_col) == F.col(name), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
