@@ -65,10 +65,10 @@ def pack_blocks(tokens: DataFrame, n_tokens: int, batch: int, block: int) -> Dat
 
 def char_pairs(docs: DataFrame, keys: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
     """(keys, a, b, n): adjacent characters of each text, counted before anything is looked up."""
-    at = F.explode(F.sequence(F.lit(1), F.length(text_col) - 1))
-    pairs = docs.where(F.length(text_col) > 1).select(*keys, text_col, at.alias("i")).select(*keys, F.substring(F.col(text_col), F.col("i"), F.lit(2)).alias("p"))
-    counted = pairs.groupBy(*keys, "p").agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return counted.select(*keys, F.substring("p", 1, 1).alias("a"), F.substring("p", 2, 1).alias("b"), "n")
+    chars = docs.select(*keys, F.filter(F.split(F.col(text_col), ""), lambda c: c != "").alias("_c"))
+    zipped = F.arrays_zip(F.col("_c").alias("a"), F.slice("_c", 2, 1 << 30).alias("b"))
+    pairs = chars.select(*keys, F.explode(zipped).alias("p")).where(F.col("p.b").isNotNull())
+    return pairs.groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 def next_token_pairs(pairs: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
