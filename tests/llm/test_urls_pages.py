@@ -63,3 +63,14 @@ def test_style_tree_finds_unnamed_boilerplate(spark):
     assert got[99][0] == "Hot deals today\nalone"  # one page tells nothing about its site
     assert got[100] == ("", 0) and got[101] == got[0]
     assert site_style.extract_text(df.limit(0)).count() == 0
+
+
+def test_copies_count_as_one_page(spark):
+    same = "<div class='top'>Hot deals today</div><div class='body'><p>the one article</p></div>"
+    other = "<div class='top'>Hot deals today</div><div class='body'><p>article %d</p></div>"
+    rows = [(i, f"http://copies.org/{i}", same) for i in range(6)]  # six rows, one page: the tree says nothing
+    rows += [(10 + i, f"http://mixed.org/{i}", other % min(i, 5)) for i in range(40)]  # 35 rows of one page and five others
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in site_style.extract_text(df).collect()}
+    assert {got[i] for i in range(6)} == {"Hot deals today\nthe one article"}
+    assert all(got[10 + i] == f"article {min(i, 5)}" for i in range(40))

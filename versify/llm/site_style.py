@@ -16,8 +16,9 @@ elements inside it (paragraphs, headings, lists, tables, quotes) are never unimp
 
 Page text: blocks in page order joined by one newline; character references decoded; white space in a
 block, line breaks included, is one blank.  Edge cases: null or empty html has no text; null URLs
-form one host of their own; broken or cut markup is read as far as it goes; repeated rows are
-pages of their own; an empty table gives no rows; other columns are not read.
+form one host of their own; broken or cut markup is read as far as it goes; copies of a page on a
+host (equal html) count as one page in the tree and in MIN_PAGES, and each has its own row of the result; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -156,22 +157,26 @@ def main_text(source: str, low: frozenset[str]) -> str:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, key): one row for a page's every node (n), its sequence of children (s), and block of text (t)."""
+    """(host, path, kind, key): one row for every node (n), its sequence of children (s), and block of text (t) of every
+    different page of a host."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, str, int]] = []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts: list[list[dict]] = []
+            for source in batch.column(1):
                 page = Page(source.as_py() or "")
                 seen = set()
                 for path, children in page.nodes:
                     key = "s", hashlib.blake2b(">".join(dict.fromkeys(children)).encode(), digest_size=7).digest()
                     seen |= {(path, "n", 0), (path, key[0], int.from_bytes(key[1]))}
                 seen |= {(path, "t", int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest())) for path, t in page.blocks if path}
-                rows += [(host, *x) for x in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "path", "kind", "key"])
+                parts.append([dict(zip(("path", "kind", "key"), x, strict=True)) for x in sorted(seen)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(parts, part)], ["host", "page", "parts"])
 
-    return pages.select("host", "html").mapInArrow(read, "host string, path string, kind string, key long")
+    part = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("key", pa.int64())]))
+    read_pages = pages.select("host", "html", F.md5("html").alias("page")).mapInArrow(read, "host string, page string, parts array<struct<path string, kind string, key long>>")
+    # what was read of a page moves to its copies, not the page
+    return read_pages.groupBy("host", "page").agg(F.first("parts").alias("parts")).select("host", F.inline("parts"))
 
 
 def node_importance(rows: DataFrame) -> DataFrame:
