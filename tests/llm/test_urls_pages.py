@@ -74,3 +74,20 @@ def test_copies_count_as_one_page(spark):
     got = {r["page_id"]: r["text"] for r in site_style.extract_text(df).collect()}
     assert {got[i] for i in range(6)} == {"Hot deals today\nthe one article"}
     assert all(got[10 + i] == f"article {min(i, 5)}" for i in range(40))
+
+
+def test_names_do_not_decide_alone():
+    text = lambda html, low=(): site_style.main_text(html, frozenset(low))
+    body = "<nav>menu</nav><article><h1>T</h1><p>long text of the article</p></article><div class='comments'><p>me too</p></div>"
+    for wrapper in ("<div class='page has-sidebar'>", "<div class='content no-comments'>", "<form id='search-form' action='/'>", "<div class='widget'>", "<div class='widget'><form id=f>"):
+        assert text(wrapper + body) == "T\nlong text of the article", wrapper
+    assert text("<form id=f><nav>menu</nav><h1>T</h1><div class=entry><p>long text of the page</p></div></form>") == "T\nlong text of the page"
+    main = "<div class='entry-content'><p>long text of the page, without a mark</p></div>"
+    assert text(main + "<article class='comment-body'><p>me too</p></article>") == "long text of the page, without a mark"
+    assert text(main + "<section class='related'><article class='card'><p>other</p></article></section>") == "long text of the page, without a mark"
+    assert text(main + "<section class='related'>" + "<article class='card'><p>other</p></article>" * 3 + "</section>") == "long text of the page, without a mark"
+    assert "long text" in text(main + "<div class='more'><article><p>one</p></article><article><p>two</p></article></div>")
+    assert text("<article class='post category-legal'><p>text</p></article><div>aside</div>") == "text"
+    assert text("<div class='sidebar'><nav>menu</nav>x</div><article><p>text</p></article>") == "text"
+    assert text("<div class='comments'><p>a comment longer than the text</p><form>reply</form></div><p>text</p>") == "text"
+    assert text("<div class='q'>Hot deals of today</div><form id=f><h1>T</h1><p>text</p></form>", ["div.q"]) == "T\ntext"

@@ -10,7 +10,9 @@ therefore unimportant; a text of its own on every page is important.
 
 A page loses the branches whose importance is below the threshold, and those whose names and place
 promise no article text: menus, footers, adverts, forms, comments and the like anywhere, and
-what stands outside the article of a page that marks one.  On a host of less than MIN_PAGES
+what stands outside the article of a page that marks one.  Names are overruled where a branch so named holds the
+page itself: most of the text that the tree calls important, with the article or heading in it.  An element that is
+boilerplate by its own names (a comment, a teaser) or place marks no article.  On a host of less than MIN_PAGES
 pages entropies say little, so names decide alone there; an article itself and plain text
 elements inside it (paragraphs, headings, lists, tables, quotes) are never unimportant.
 
@@ -23,6 +25,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -59,16 +62,22 @@ BOILER_WORDS = frozenset(
     " related recommended share sharing social widget toolbar pagination pager search copyright legal disclaimer skip tags complementary contentinfo".split()
 )
 ARTICLE_WORDS = frozenset("articlebody".split())
+#: What comes before a word that names a part or topic of the page and not the element itself; tags that are
+#: boilerplate even if large; tags that a page as a whole holds.
+MODIFIERS = frozenset("has have with without no not show hide enable disable category tag topic".split())
+SURE_TAGS = BOILER_TAGS - {"form", "fieldset", "dialog"}
+FRAMED = frozenset("h1 nav header footer main".split())
 
 
 class Page:
     """Style nodes and text blocks of one page."""
 
     def __init__(self, source: str):
-        #: (path, children's labels) of each node; (path, text) of each block; paths of the article's nodes.
+        #: (path, children's labels) of each node; (path, text) of each block.
         self.nodes: list[tuple[str, list[str]]] = []
         self.blocks: list[tuple[str, str]] = []
-        self.article = False
+        #: Paths of the elements in page order, one for each element.
+        self.opened: list[str] = []
         self.path, self.open = "", [("", "", [])]  # tag, path, children of the open elements
         text: list[str] = []
         at = 0
@@ -110,9 +119,9 @@ class Page:
         for name, *value in ATTRIBUTE.findall(attributes):
             if words := "".join(value).split():
                 label += {"class": ".", "id": "#", "role": "@"}[name.lower()] + ".".join(re.sub(r"\d+", "0", w) for w in sorted(words)).replace(">", "")
-        self.article = self.article or tag in ("article", "main")
         self.open[-1][2].append(label)
         path = f"{self.open[-1][1]}>{label}" if self.open[-1][1] else label
+        self.opened.append(path)
         self.open.append((tag, path, []))
 
     def _close(self, tag: str) -> None:
@@ -126,32 +135,106 @@ class Page:
         self.nodes.append((path, children))
 
 
-def promise(path: str, has_article: bool) -> float:
+@functools.lru_cache(1 << 14)
+def words_of(label: str) -> frozenset[str]:
+    """Words of a label's names; what a modifier introduces (has-sidebar, no-comments, category-legal) says nothing of the element."""
+    out: set[str] = set()
+    for name in re.split(r"[.#@]", label.lower())[1:]:
+        words = SPLIT.split(name)
+        out.update(words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))])
+    return frozenset(out)
+
+
+def tag_of(label: str) -> str:
+    return re.split(r"[.#@]", label, maxsplit=1)[0].lower()
+
+
+def is_marked(label: str) -> bool:
+    """Whether an element is marked as an article and its own names don't say otherwise."""
+    words = words_of(label)
+    return (tag_of(label) in ("article", "main") or bool(words & ARTICLE_WORDS)) and not words & BOILER_WORDS
+
+
+def is_boiler(label: str, inside: bool) -> bool:
+    """Whether tag or names promise no article text; ``inside`` an article a plain header belongs to it."""
+    words = words_of(label)
+    return bool(words & BOILER_WORDS) or tag_of(label) in BOILER_TAGS and not (tag_of(label) == "header" and inside and not words)
+
+
+def branches(path: str) -> list[str]:
+    labels = path.split(">") if path else []
+    return [">".join(labels[: k + 1]) for k in range(len(labels))]
+
+
+def outermost(paths: list[str]) -> list[str]:
+    """The paths that lie in no other of them."""
+    known = frozenset(paths)
+    return [x for x in paths if not any(b in known for b in branches(x)[:-1])]
+
+
+def frames(page: Page, low: frozenset[str]) -> frozenset[str]:
+    """Branches that are the page itself whatever their names say, as a form around all of it: they hold over half of the
+    text the tree calls important, and in it the heading, the navigation or the one article of the page."""
+    held: dict[str, int] = {}
+    total = 0
+    for path, text in page.blocks:
+        own = branches(path)
+        if not any(b in low for b in own) and not any(tag_of(x) in SURE_TAGS for x in path.split(">")):
+            total += len(text)
+            for b in own:
+                held[b] = held.get(b, 0) + len(text)
+    large = {b for b, n in held.items() if 2 * n > total and is_boiler(b.rsplit(">", 1)[-1], False)}
+    out = set()
+    for frame in large:
+        below = [x for x in page.opened if x.startswith(frame + ">")]
+        if len(outermost([x for x in below if is_marked(x.rsplit(">", 1)[-1])])) == 1 or any(tag_of(x.rsplit(">", 1)[-1]) in FRAMED for x in below):
+            out.add(frame)
+    return frozenset(out)
+
+
+def promise(path: str, has_article: bool, framed: frozenset[str] = frozenset()) -> float:
     """What the names on the path say: 0 for a branch that never is article text, 2 for plain text of an article, 1 for
-    nothing, less outside an article."""
-    inside = False
+    nothing, less outside an article.  The names of ``framed`` branches say nothing."""
+    inside, at = False, ""
     for label in path.split(">"):
-        tag, *rest = re.split(r"[.#@]", label.lower())
-        words = {w for r in rest for w in SPLIT.split(r)}
-        if tag in ("article", "main") or words & ARTICLE_WORDS:
-            inside = True
+        at = f"{at}>{label}" if at else label
+        if at in framed:
             continue
-        if words & BOILER_WORDS or tag in BOILER_TAGS and not (tag == "header" and inside and not words):
+        if is_boiler(label, inside):
             return 0.0
+        inside = inside or is_marked(label)
     if not inside:
         return OUTSIDE if has_article else 1.0
-    last = re.split(r"[.#@]", path.rsplit(">", 1)[-1].lower())
-    return 2.0 if last[0] in ("article", "main") or last[0] in PLAIN and len(last) == 1 else 1.0
+    last = path.rsplit(">", 1)[-1]
+    return 2.0 if is_marked(last) or tag_of(last) in PLAIN and not re.search("[.#@]", last) else 1.0
+
+
+def marks_article(page: Page, low: frozenset[str], framed: frozenset[str]) -> bool:
+    """Whether the page marks its article: by one element, or by several that hold at least half of its important text
+    (teasers of other pages hold less)."""
+    marked = [b for b in page.opened if is_marked(b.rsplit(">", 1)[-1]) and promise(b, False, framed) > 0]
+    outer = outermost(marked)
+    if len(outer) < 2:
+        return bool(outer)
+    total, held, within = 0, 0, frozenset(outer)
+    for path, text in page.blocks:
+        if promise(path, False, framed) > 0 and not any(b in low and promise(b, False, framed) < 2 for b in branches(path)):
+            total += len(text)
+            held += len(text) * any(b in within for b in branches(path))
+    return 2 * held >= total
 
 
 def main_text(source: str, low: frozenset[str]) -> str:
     """Text of a page without the branches that ``low`` names."""
     page = Page(source)
+    framed = frames(page, low)
+    article = marks_article(page, low, framed)
+    verdicts: dict[str, bool] = {}
     out = []
     for path, text in page.blocks:
-        labels = path.split(">") if path else []
-        branches = [">".join(labels[: k + 1]) for k in range(len(labels))]
-        if promise(path, page.article) >= THRESHOLD and not any(b in low and promise(b, page.article) < 2 for b in branches):
+        if path not in verdicts:
+            verdicts[path] = promise(path, article, framed) >= THRESHOLD and not any(b in low and promise(b, article, framed) < 2 for b in branches(path))
+        if verdicts[path]:
             out.append(text)
     return "\n".join(out)
 
