@@ -91,3 +91,15 @@ def test_names_do_not_decide_alone():
     assert text("<div class='sidebar'><nav>menu</nav>x</div><article><p>text</p></article>") == "text"
     assert text("<div class='comments'><p>a comment longer than the text</p><form>reply</form></div><p>text</p>") == "text"
     assert text("<div class='q'>Hot deals of today</div><form id=f><h1>T</h1><p>text</p></form>", ["div.q"]) == "T\ntext"
+
+
+def test_missing_end_tags_lose_no_text():
+    text = lambda html: site_style.main_text(html, frozenset())
+    assert text("<html><head><title>t</title><body><p>text") == "text"
+    assert text("<html><head><title>t</title><meta charset=utf-8><script>x</script><link rel=a href=b><p>text") == "text"
+    assert text("<head><title>t</title><style>p{}</style></head><p>text") == "text"
+    for cut in ("<select><option>", "<svg viewBox='0 0 1 1'><path d='M0 0'>", "<object data=x>", "<math><mi>", "<iframe src=x>", "<noscript>", "<template>"):
+        assert text(f"<p>one{cut}<p>two") == "one\ntwo", cut
+    assert text("<p>one<svg><path d=x><p>two<svg><path></svg><p>three") == "one\ntwo\nthree"
+    assert text("<p>a<select><option>x<option>y</select>b<svg><title>t</title><foreignObject><p>in</p></foreignObject></svg>c<object><p>old</p></object>d") == "abcd"
+    assert text("<p>one</p><script>if (a) { '<p>' }<p>two") == "one"

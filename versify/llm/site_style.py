@@ -18,7 +18,8 @@ elements inside it (paragraphs, headings, lists, tables, quotes) are never unimp
 
 Page text: blocks in page order joined by one newline; character references decoded; white space in a
 block, line breaks included, is one blank.  Edge cases: null or empty html has no text; null URLs
-form one host of their own; broken or cut markup is read as far as it goes; copies of a page on a
+form one host of their own; broken or cut markup is read as far as it goes, and an end tag that is missing (of
+a head, a select, a drawing) costs no text after it, but for script, style, textarea and title; copies of a page on a
 host (equal html) count as one page in the tree and in MIN_PAGES, and each has its own row of the result; an
 empty table gives no rows; other columns are not read.
 """
@@ -49,10 +50,14 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: HTML's own lists.
-RAW = frozenset("script style noscript template textarea iframe svg math object select title head".split())
+RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
+#: What runs to the end of the source if it isn't closed, as in browsers; what ends at an element of the page's text.
+TEXT_ONLY = frozenset("script style textarea title".split())
+ENDED = frozenset("svg math select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr article main section div center body html details summary address".split())
+FLOW = re.compile(r"<(?:foreignobject|annotation-xml|desc|" + "|".join(sorted(PLAIN | {"nav", "aside", "header", "footer", "form"})) + r")(?![A-Za-z0-9:-])", re.I)
 ENDS_P = PLAIN - {"body", "html"} | {"nav", "aside", "header", "footer", "form", "fieldset"}
 BOILER_TAGS = frozenset("nav footer aside form header menu dialog button fieldset".split())
 #: Words of a class, id or role that promise no article text.
@@ -78,6 +83,8 @@ class Page:
         self.blocks: list[tuple[str, str]] = []
         #: Paths of the elements in page order, one for each element.
         self.opened: list[str] = []
+        #: Raw elements that have no end tag from here on.
+        self.unended: set[str] = set()
         self.path, self.open = "", [("", "", [])]  # tag, path, children of the open elements
         text: list[str] = []
         at = 0
@@ -89,8 +96,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if not m[1] and tag in RAW and not m[3].endswith("/"):
-                end = re.compile(f"</{tag}(?![A-Za-z0-9:-])[^>]*>", re.I).search(source, at)  # what it holds is no markup
-                at = end.end() if end else len(source)
+                at = self._raw_end(source, tag, at)
             elif tag in ("br", "hr", "wbr"):
                 text.append(" " if tag == "br" else "")
             elif tag not in INLINE and tag not in VOID:
@@ -101,6 +107,16 @@ class Page:
         while len(self.open) > 1:
             self._pop()
 
+    def _raw_end(self, source: str, tag: str, at: int) -> int:
+        """Where the page goes on after a raw element's start tag; without an end tag only TEXT_ONLY takes all the rest."""
+        end = None if tag in self.unended else re.compile(f"</{tag}(?![A-Za-z0-9:-])[^>]*>", re.I).search(source, at)
+        if not end:
+            self.unended.add(tag)
+        if tag in ENDED and (flow := FLOW.search(source, at, end.start() if end else len(source))):
+            if not end or flow[0][1:].lower() not in ("foreignobject", "annotation-xml", "desc"):
+                return flow.start()
+        return end.end() if end else len(source) if tag in TEXT_ONLY else at
+
     def _end_block(self, text: list[str]) -> None:
         joined = " ".join(html.unescape("".join(text)).split()) if text else ""
         text.clear()
@@ -108,7 +124,7 @@ class Page:
             self.blocks.append((self.open[-1][1], joined))
 
     def _start(self, tag: str, attributes: str) -> None:
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             return
         if tag in ENDS_P and self.open[-1][0] == "p":
             self._pop()
