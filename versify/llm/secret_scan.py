@@ -4,7 +4,8 @@ Three plain patterns give the base spans (kinds assign, access, hex).  On top of
 lexer reads source and configuration syntax into pairs of a name and a value, follows
 constants (``KEY = "..."``, then ``password = KEY``; also joined by + or .), and scores every
 literal by the most sensitive name it reaches and by its own look.  A literal that scores
-enough and is in no base span becomes a span of the kind ``literal``.
+enough and is not wholly in one base span becomes a span of the kind ``literal``; where a base span
+ends inside a literal, both are reported, and redaction replaces them as one.
 
 Offsets count code points, ends are exclusive.  Edge cases: null text is empty; empty texts have no
 spans; equal rows give equal rows; texts of any length are read whole; an empty table gives no
@@ -129,7 +130,7 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans; both (start, kind, end) in order."""
     base = base_spans(text)
-    more = [(s, 3, e) for s, e, _ in literal_spans(text) if not any(b[0] < e and s < b[2] for b in base)]
+    more = [(s, 3, e) for s, e, _ in literal_spans(text) if not any(b[0] <= s and e <= b[2] for b in base)]
     return base, sorted(base + more)
 
 
