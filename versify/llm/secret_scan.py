@@ -44,7 +44,18 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.8, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8}
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("account", "key"): 0.9}
 HARMLESS = {"count", "length", "len", "type", "name", "field", "label", "url", "uri", "path", "file", "prompt", "min", "max", "limit", "expiry", "expires", "policy", "hint", "title", "size"}
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|example.*|your.*|my.*|test|dummy|placeholder|redacted|<.*>|\$\{?.*|\{\{.*|%.*%)$")
+#: Whole forms that stand for a secret; variables and templates of one name.
+STANDS_FOR = r"(?:(?:api|access|private|secret|db|user|auth|super|new|own)[_\- ]?)*(?:password|passwd|passphrase|pwd|pass|secret|key|token|credentials?|value)"
+PLACEHOLDER = re.compile(
+    r"(?i)(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|example|test|dummy|placeholder|redacted|example\.(?:com|org|net)"
+    rf"|(?:my|your|example|(?:enter|insert|put|use|type)[_\- ](?:your|the|a))[_\- ]?{STANDS_FOR}(?:[_\- ]?(?:here|goes[_\- ]here))?"
+    r"|<[^<>]*>|\$\{[^{}]*\}|\$\([^()]*\)|(?-i:\$[A-Z_][A-Z0-9_]*)|\{\{[^{}]*\}\}|%[A-Za-z_][A-Za-z0-9_]*%|%\([A-Za-z_]\w*\)s)"
+)
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE KEY|SECRET|CREDENTIAL)[A-Z ]*-----")
+#: A key over several lines, which names itself; to its end line, or without one as far as its code goes.
+PEM_BLOCK = re.compile(PEM.pattern + r"(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z0-9 ]*-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+)")
+#: The least weight of a name whose value can be of several words.
+STRONG = 0.9
 THRESHOLD = 0.5
 
 
@@ -67,9 +78,12 @@ def name_score(name: str) -> float:
     return max([alone, *(SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
-    """0 for short values, placeholders and prose; rises to 1 with length, kinds of characters and entropy."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
+def literal_score(value: str, weight: float = 0.0) -> float:
+    """0 for short values, placeholders, and several words unless the name's weight is STRONG; rises to 1 with length, kinds of
+    characters and entropy; 1 for the head of a private key."""
+    if PEM.search(value):
+        return 1.0
+    if len(value) < 6 or PLACEHOLDER.fullmatch(value.strip()) or weight < STRONG and re.search(r"\s", value):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
@@ -101,7 +115,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name, at once or through constants."""
-    if not ("=" in text or ":" in text or "</" in text):
+    if not ("=" in text or ":" in text or "</" in text or "-----BEGIN" in text):
         return []
     own: dict[str, list[tuple[str, int, int]]] = {}
     uses: dict[str, set[str]] = {}
@@ -118,12 +132,17 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
             for value, start, end in own[name]:
                 if value in own and value != name:  # a constant's name, not a literal
                     continue
-                score = weight * literal_score(value)
+                score = weight * literal_score(value, weight)
                 if score >= threshold:
                     best[start, end] = max(score, best.get((start, end), 0.0))
             for other in uses[name] & own.keys() - seen:
                 seen.add(other)
                 todo.append(other)
+    if "-----BEGIN" in text:
+        known = list(best)
+        for m in PEM_BLOCK.finditer(text):
+            if not any(s <= m.start() and m.end() <= e for s, e in known):
+                best[m.span()] = 1.0
     return [(s, e, x) for (s, e), x in sorted(best.items())]
 
 
