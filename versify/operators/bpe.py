@@ -5,9 +5,9 @@ with a leading blank).  A word is kept as one string of byte symbols
 ``<hh><hh>...``; a merge of (a, b) is the native ``replace('<a><b>', '<ab>')``
 so merging stays a codegen'd projection.  Training works on the table of
 *distinct* words with their frequencies: each round is one aggregate of
-adjacent pairs (partial aggregation before the shuffle) and a one-row
-``collect`` of the best pair; the word table is checkpointed every few rounds
-into the shared checkpoint folder to cut lineage.
+adjacent pairs (partial aggregation before the shuffle) and a ``collect`` of
+the best pairs, of which all are merged that don't affect each other; the word table is
+checkpointed every few merges into the shared checkpoint folder to cut lineage.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ SUBWORD_SPECIALS = [
 ]
 SYMBOL_RE = r"<[0-9a-f]+>"
 CHECKPOINT_EVERY = 5
+# The most merges in one projection of the word table (the depth of the expression).
+MERGES_AT_ONCE = 50
+# Pairs that one job of the training sends to the driver.
+TOP_PAIRS = 1000
 
 
 SPLIT_MARK = "\u0002"
@@ -82,27 +86,63 @@ def merged_symbol(left: str, right: str) -> str:
     return "<" + left[1:-1] + right[1:-1] + ">"
 
 
+def batch_of_merges(top: list[tuple[str, str, int]], known: set[str], complete: bool) -> list[tuple[str, str, int]]:
+    """The first pairs of ``top`` (in order of choice) that one-by-one training would choose in the same order.
+    A merge of (a, b) changes only pairs that end in a or begin with b, and a pair it makes counts no more than
+    such a pair did; so choice goes on while no such pair of an accepted merge counts as much as the next one.  A
+    merge of equal symbols, or one that makes a symbol already ``known``, is the last.  Unless ``top`` is
+    ``complete``, pairs that count as little as its last one are left for later, as others may tie with them."""
+    out: list[tuple[str, str, int]] = []
+    lefts: set[str] = set()
+    rights: set[str] = set()
+    made: set[str] = set()
+    at = 0
+    while at < len(top):
+        tied = [p for p in top[at:] if p[2] == top[at][2]] if at == 0 or top[at][2] != top[at - 1][2] else tied
+        if out and not complete and top[at][2] == top[-1][2]:
+            break
+        if out and any(r in lefts or l in rights for l, r, _ in tied if (l, r) not in {x[:2] for x in out}):
+            break
+        left, right, count = top[at]
+        symbol = merged_symbol(left, right)
+        out.append((left, right, count))
+        if left == right or symbol in known or symbol in made:
+            break
+        lefts.add(left)
+        rights.add(right)
+        made.add(symbol)
+        at += 1
+    return out
+
+
 def train_bpe(texts: DataFrame, n_merges: int, min_frequency: int = 2) -> tuple[DataFrame, list[tuple[int, str, str, int]]]:
     """T4: returns the final word table and the merges (rank, left, right, count).
     Best pair = highest count, ties by (left, right) ascending; stops early when
-    no pair reaches ``min_frequency``."""
+    no pair reaches ``min_frequency``.  One job finds all merges that don't affect each other."""
     words = word_table(texts).checkpoint()
     merges: list[tuple[int, str, str, int]] = []
-    for rank in range(n_merges):
-        best = (
+    known: set[str] = set()
+    pending = 0
+    while len(merges) < n_merges:
+        rows = (
             pair_counts(words)
             .where(F.col("count") >= min_frequency)
             .orderBy(F.desc("count"), "left", "right")
-            .limit(1)
+            .limit(TOP_PAIRS)
             .collect()
         )
-        if not best:
+        if not rows:
             break
-        left, right, count = best[0]["left"], best[0]["right"], best[0]["count"]
-        merges.append((rank, left, right, count))
-        words = words.withColumn("sym", F.replace(F.col("sym"), F.lit(left + right), F.lit(merged_symbol(left, right))))
-        if (rank + 1) % CHECKPOINT_EVERY == 0:
-            words = words.checkpoint()
+        top = [(r["left"], r["right"], r["count"]) for r in rows]
+        for left, right, count in batch_of_merges(top, known, len(top) < TOP_PAIRS)[: n_merges - len(merges)]:
+            merges.append((len(merges), left, right, count))
+            known.add(merged_symbol(left, right))
+            words = words.withColumn("sym", F.replace(F.col("sym"), F.lit(left + right), F.lit(merged_symbol(left, right))))
+            pending += 1
+            if pending >= MERGES_AT_ONCE:
+                words, pending = words.checkpoint(), 0
+        if pending >= CHECKPOINT_EVERY:
+            words, pending = words.checkpoint(), 0
     return words, merges
 
 
