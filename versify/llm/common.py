@@ -58,8 +58,8 @@ def lower_ascii(text) -> F.Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-def doc_bytes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a string column: first row, row after the last, UTF-8 bytes, offsets of the
+def doc_bytes(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of about ``size`` bytes of a string column: first row, row after the last, UTF-8 bytes, offsets of the
     rows in them (one more than rows).  Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -71,12 +71,18 @@ def doc_bytes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         own = offsets[first : last + 1]
         yield first, last, raw[own[0] : own[-1]], own - own[0]
         first = last
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all stretches in a row: from each start on as many as its size."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "url_filter", "mixing", "ann_forest", "quality", "secret_scan", "hmm_lm", "site_style", "jaccard_join", "cdc_fingerprint")
+MODULES = ("packing", "url_filter", "mixing", "ann_forest", "quality", "secret_scan", "hmm_lm", "site_style", "jaccard_join", "cdc_fingerprint", "periodic_runs", "hard_negatives", "piece_bpe")
 
 
 def _gathered(name: str) -> dict:
