@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ REPEATS = tuple(range(1, 9))
 #: At most so many labelled rows of each class are learned from (those with the smallest hashed id).
 SAMPLE_PER_CLASS = 2_000
 CUT = 0.7
+#: Bytes of text whose features are held at once (or one longer text).
+SLICE = 1 << 18
 
 
 @dataclass
@@ -75,10 +76,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
     """Probability of label 1 for each text."""
     out = np.zeros(len(texts))
-    for first, last, data, offsets in doc_bytes(texts):
+    for first, last, data, offsets in doc_bytes(texts, SLICE):
         bucket, doc = features(data, offsets)
         total = np.bincount(doc, weights=model.weight[bucket], minlength=last - first)
         out[first:last] = total / np.maximum(np.bincount(doc, minlength=last - first), 1)
+        del bucket, doc
     return 1 / (1 + np.exp(-(out + model.bias)))
 
 
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_pylist()
-            for first, last, data, offsets in doc_bytes(batch.column(0)):
+            for first, last, data, offsets in doc_bytes(batch.column(0), SLICE):
                 bucket, doc = features(data, offsets)
                 key, count = np.unique(doc.astype(np.int64) << BITS | bucket, return_counts=True)
                 edge = np.searchsorted(key >> BITS, np.arange(last - first + 1))
@@ -151,16 +153,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     return train(rows, share)
 
 
-def score_column(model: Model, text: Column) -> Column:
-    """The score as a column, for use in any projection or filter."""
-
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(model, pa.array(texts, pa.large_string(), from_pandas=True)))
-
-    return scored(text)
-
-
 def score_documents(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
@@ -175,7 +167,13 @@ def score_documents(docs: DataFrame, model: Model, cut: float = CUT, id_col: str
 
 def keep_quality(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
     """The rows that the classifier accepts, with all their columns."""
-    return docs.where(score_column(model, F.col(text_col)) >= cut)
+    at = docs.columns.index(text_col)
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(model, batch.column(at)) >= cut))
+
+    return docs.mapInArrow(accepted, docs.schema)
 
 
 def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
