@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -165,3 +166,72 @@ def test_scan_and_redaction(spark, docs):
     assert texts[1][0] is None and texts[3] == ("[secret]' [secret] [secret]", 27)
     assert texts[5][0] == 'k = "[secret]"; auth_token = k' and texts[None][0].endswith("x [secret]")
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def spans_by_hand(text):
+    """The base spans, character by character."""
+    out = []
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    at = 0
+    while at < len(text):
+        ends = []
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(name, at):
+                continue
+            p = at + len(name)
+            p += text[p : p + 1] in ('"', "'") and p < len(text)
+            while text[p : p + 1] == " ":
+                p += 1
+            if text[p : p + 1] not in (":", "=") or p >= len(text):
+                continue
+            p += 1
+            while text[p : p + 1] == " ":
+                p += 1
+            p += text[p : p + 1] in ('"', "'") and p < len(text)
+            q = p
+            while q < len(text) and text[q] in word:
+                q += 1
+            if q > p:
+                ends.append((q, q - p >= 6))
+        if ends:
+            if ends[0][1]:
+                out.append((at, 0, ends[0][0]))
+            at = ends[0][0]
+        else:
+            at += 1
+    for kind, head, chars, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = at + len(head)
+            while end < len(text) and text[end] in chars:
+                end += 1
+            if text.startswith(head, at) and end > at + len(head):
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_spans_equal_a_plain_reading(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text or "" for r in rows] + ['api_key = "abcdef" token=abcde token==abcdef', "PASSWORD'   :  'a.b-c=", "secretsecret: 123456", "AKIA" * 6 + "x", "passwd=\"\"abcdef", "apikey:   abc/+9"]
+    assert sum(len(secret_scan.base_spans(t)) for t in texts) > 5
+    for t in texts:
+        base, spans = secret_scan.all_spans(t)
+        assert base == spans_by_hand(t) and set(base) <= set(spans)
+        assert all(0 <= s < e <= len(t) for s, _, e in spans)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "k = " + "Ab9/" * 250_000 + "=", "a=" * 100_000, "<a" * 500_000, "password=" * 50_000, "a='" * 50_000, "token=token2=s" * 20_000, "x.y-" * 250_000 + "=1", "-----BEGIN SECRET" + "SECRET" * 150_000, "".join(f"v{i} = v{i + 1}\npassword{i} = v{i}\n" for i in range(10_000))])
+def test_long_words_are_scanned_in_one_pass(text):
+    start = time.process_time()
+    secret_scan.all_spans(text)
+    assert time.process_time() - start < 5
+
+
+def test_names_in_one_run():
+    assert secret_scan.all_spans("a=db_pwd=hunter1=Zx9kkQ")[1] == [(9, 3, 23)]  # the whole value, = included
+    assert secret_scan.all_spans("url=x&db_pwd=Zx9kkQ12&u=1")[1] == [(13, 3, 25)]

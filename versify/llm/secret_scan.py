@@ -20,7 +20,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +34,8 @@ KINDS = ("assign", "access", "hex", "literal")
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`\n]*`'
-PAIR = re.compile(rf"""(?P<name>{NAME})["'`]?\]?[ \t]*(?:=>|:=|=(?![=~])|:(?![/:]))[ \t]*(?={QUOTED}|[A-Za-z0-9_$+/-])""")
+#: A name is the whole run of its characters, less what can't begin one, so that no long word is tried again from each letter.
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>{NAME}+)["'`]?\]?[ \t]*+(?:=>|:=|=(?![=~])|:(?![/:]))[ \t]*(?={QUOTED}|[A-Za-z0-9_$+/-])""")
 TERM = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[^\s\"'`,;(){{}}\[\]<>]+)")
 JOIN = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
 ELEMENT = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\n]+)</(?P=name)>")
@@ -51,12 +51,14 @@ PLACEHOLDER = re.compile(
     rf"|(?:my|your|example|(?:enter|insert|put|use|type)[_\- ](?:your|the|a))[_\- ]?{STANDS_FOR}(?:[_\- ]?(?:here|goes[_\- ]here))?"
     r"|<[^<>]*>|\$\{[^{}]*\}|\$\([^()]*\)|(?-i:\$[A-Z_][A-Z0-9_]*)|\{\{[^{}]*\}\}|%[A-Za-z_][A-Za-z0-9_]*%|%\([A-Za-z_]\w*\)s)"
 )
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE KEY|SECRET|CREDENTIAL)[A-Z ]*-----")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}(?:PRIVATE KEY|SECRET|CREDENTIAL)[A-Z ]{0,40}-----")
 #: A key over several lines, which names itself; to its end line, or without one as far as its code goes.
 PEM_BLOCK = re.compile(PEM.pattern + r"(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z0-9 ]*-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+)")
 #: The least weight of a name whose value can be of several words.
 STRONG = 0.9
 THRESHOLD = 0.5
+#: Rows whose new texts are held at once.
+ROWS = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -91,10 +93,30 @@ def literal_score(value: str, weight: float = 0.0) -> float:
 
 
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """(name, literals, names of constants) of every assignment; a literal is (value, start, end)."""
-    for m in PAIR.finditer(text):
+    """(name, literals, names of constants) of every assignment; a literal is (value, start, end).  A literal without quotes
+    goes on to the end of its run, other assignments included (``a=b=c``); once a sensitive name has such a literal, those
+    of the names inside it end where the next name begins, so that a run is read twice, not once for each name."""
+    weights: dict[str, float] = {}
+    first = whole = -1  # ends of the runs that a name, and a sensitive name, hold to the end
+    found = PAIR.finditer(text)
+    m = next(found, None)
+    while m:
         at, literals, names = m.end(), [], []
+        following = next(found, None)
+        if m["name"] not in weights:
+            weights[m["name"]] = name_score(m["name"])
+        if at < whole or at < first and not weights[m["name"]]:
+            cut = following.start() if following and following.start() < max(whole, first) else max(whole, first)
+            t = TERM.match(text, at, max(at, cut))
+            value = t["bare"] if t else ""
+            yield m["name"], [(value, t.start(), t.end())] if value else [], [value] if re.fullmatch(NAME, value) else []
+            m = following
+            continue
         while t := TERM.match(text, at):
+            if t["bare"]:
+                first = max(first, t.end())
+                if weights[m["name"]]:
+                    whole = max(whole, t.end())
             if t["quoted"] is not None:
                 literals.append((t["quoted"][1:-1], t.start() + 1, t.end() - 1))
             elif not literals and not names and not re.fullmatch(NAME, t["bare"]):
@@ -108,6 +130,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str
                 break
             at = j.end()
         yield m["name"], literals, names
+        m = following
     if "</" in text:
         for m in ELEMENT.finditer(text):
             yield m["name"], [(m["value"], m.start("value"), m.end("value"))], []
@@ -123,10 +146,11 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
         own.setdefault(name, []).extend(literals)
         uses.setdefault(name, set()).update(names)
     best: dict[tuple[int, int], float] = {}
-    for target in own:
-        if not (weight := name_score(target)):
-            continue
-        todo, seen = [target], {target}
+    # each name once, with the weight of the most sensitive target that it reaches: the heaviest first
+    seen: set[str] = set()
+    for weight, target in sorted(((w, x) for x in own if (w := name_score(x))), reverse=True):
+        todo = [target] if target not in seen else []
+        seen.add(target)
         while todo:
             name = todo.pop()
             for value, start, end in own[name]:
@@ -135,9 +159,10 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
                 score = weight * literal_score(value, weight)
                 if score >= threshold:
                     best[start, end] = max(score, best.get((start, end), 0.0))
-            for other in uses[name] & own.keys() - seen:
-                seen.add(other)
-                todo.append(other)
+            for other in uses[name]:
+                if other in own and other not in seen:
+                    seen.add(other)
+                    todo.append(other)
     if "-----BEGIN" in text:
         known = list(best)
         for m in PEM_BLOCK.finditer(text):
@@ -192,11 +217,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """The same rows with every span replaced by ``mark`` and the length counted again."""
 
-    @F.pandas_udf(T.StringType())
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else redacted(t, mark))
+    at = docs.columns.index(text_col)
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                texts = (t.as_py() for t in rows.column(at))
+                yield rows.set_column(at, rows.schema.field(at), pa.array([None if t is None else redacted(t, mark) for t in texts], rows.schema.field(at).type))
 
-    out = docs.withColumn(text_col, cleaned(F.col(text_col)))
+    out = docs.mapInArrow(cleaned, docs.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)
