@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from versify.llm import site_style, url_filter
 
 RULED = [
@@ -103,3 +107,10 @@ def test_missing_end_tags_lose_no_text():
     assert text("<p>one<svg><path d=x><p>two<svg><path></svg><p>three") == "one\ntwo\nthree"
     assert text("<p>a<select><option>x<option>y</select>b<svg><title>t</title><foreignObject><p>in</p></foreignObject></svg>c<object><p>old</p></object>d") == "abcd"
     assert text("<p>one</p><script>if (a) { '<p>' }<p>two") == "one"
+
+
+@pytest.mark.parametrize("source", ["<a x " * 100_000, "<svg x>" * 50_000, '<a x="' * 100_000 + ">", "</script " * 50_000, "<script>" * 50_000, "<div>" * 1_000 + "</p>" * 50_000, "<p a='\">" * 50_000])
+def test_broken_pages_are_read_in_one_pass(source):
+    start = time.process_time()
+    site_style.Page(source)
+    assert time.process_time() - start < 5

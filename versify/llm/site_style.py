@@ -26,7 +26,6 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import html
 import re
@@ -46,7 +45,8 @@ MIN_PAGES = 5
 #: What lies outside the article of a page that marks one.
 OUTSIDE = 0.4
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:/?[A-Za-z!][^<>]*)?\Z", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+MARKS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: HTML's own lists.
@@ -86,36 +86,92 @@ class Page:
         #: Raw elements that have no end tag from here on.
         self.unended: set[str] = set()
         self.path, self.open = "", [("", "", [])]  # tag, path, children of the open elements
+        #: How often each tag is open.
+        self.depth: dict[str, int] = {}
+        #: Where a tag ends that goes on outside quotes at a mark (see ``_tag_end``); whether there is no > or flow element from here on.
+        self.ends: dict[int, int] = {}
+        self.no_end = self.no_flow = False
         text: list[str] = []
         at = 0
-        while m := TAG.search(source, at):
-            if m.start() > at:
-                text.append(source[at : m.start()])
-            at = m.end()
-            if not m[2]:
+        while (start := source.find("<", at)) >= 0:
+            text.append(source[at:start])
+            at = start + 1
+            if source.startswith("!--", at):
+                at = source.find("-->", at + 3) + 3
+                if at < 3:
+                    at = len(source)
                 continue
-            tag = m[2].lower()
-            if not m[1] and tag in RAW and not m[3].endswith("/"):
+            m = NAME.match(source, at)
+            if not m and not source.startswith(("!", "?"), at):
+                if at == len(source):  # a lone < at the end
+                    continue
+                text.append("<")
+                continue
+            end = self._tag_end(source, m.end()) if m else self._find_end(source, at)
+            if end < 0:
+                if not m and source[at] == "?" or source.find("<", at) >= 0 or source.find(">", at) >= 0:
+                    text.append("<")  # not a tag, as it has no end
+                    continue
+                at = len(source)  # cut off inside a tag
+                continue
+            at = end + 1
+            if not m:
+                continue
+            tag, attributes = m[2].lower(), source[m.end() : end]
+            if not m[1] and tag in RAW and not attributes.endswith("/"):
                 at = self._raw_end(source, tag, at)
             elif tag in ("br", "hr", "wbr"):
                 text.append(" " if tag == "br" else "")
             elif tag not in INLINE and tag not in VOID:
                 self._end_block(text)
-                self._close(tag) if m[1] else self._start(tag, m[3])
+                self._close(tag) if m[1] else self._start(tag, attributes)
         text.append(source[at:])
         self._end_block(text)
         while len(self.open) > 1:
             self._pop()
 
+    def _find_end(self, source: str, at: int) -> int:
+        """The next >, or -1."""
+        end = -1 if self.no_end else source.find(">", at)
+        self.no_end = end < 0
+        return end
+
+    def _tag_end(self, source: str, at: int) -> int:
+        """The > that ends a tag, outside quotes, or -1.  What was found from a mark on outside quotes is kept, so that tags
+        without an end are read once and not once for each."""
+        seen: list[int] = []
+        end = -1
+        while not self.no_end and (m := MARKS.search(source, at)):
+            mark = m.start()
+            if mark in self.ends:
+                end = self.ends[mark]
+                break
+            seen.append(mark)
+            if m[0] == ">":
+                end = mark
+                break
+            close = source.find(m[0], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        else:
+            self.no_end = self.no_end or not seen
+        for mark in seen:
+            self.ends[mark] = end
+        return end
+
     def _raw_end(self, source: str, tag: str, at: int) -> int:
         """Where the page goes on after a raw element's start tag; without an end tag only TEXT_ONLY takes all the rest."""
-        end = None if tag in self.unended else re.compile(f"</{tag}(?![A-Za-z0-9:-])[^>]*>", re.I).search(source, at)
-        if not end:
+        begin = None if tag in self.unended else re.compile(f"</{tag}(?![A-Za-z0-9:-])", re.I).search(source, at)
+        end = self._find_end(source, begin.end()) if begin else -1
+        if end < 0:
             self.unended.add(tag)
-        if tag in ENDED and (flow := FLOW.search(source, at, end.start() if end else len(source))):
-            if not end or flow[0][1:].lower() not in ("foreignobject", "annotation-xml", "desc"):
+        if tag in ENDED and not (self.no_flow and end < 0):
+            flow = FLOW.search(source, at, begin.start() if end >= 0 else len(source))
+            self.no_flow = not flow and end < 0
+            if flow and (end < 0 or flow[0][1:].lower() not in ("foreignobject", "annotation-xml", "desc")):
                 return flow.start()
-        return end.end() if end else len(source) if tag in TEXT_ONLY else at
+        return end + 1 if end >= 0 else len(source) if tag in TEXT_ONLY else at
 
     def _end_block(self, text: list[str]) -> None:
         joined = " ".join(html.unescape("".join(text)).split()) if text else ""
@@ -139,26 +195,35 @@ class Page:
         path = f"{self.open[-1][1]}>{label}" if self.open[-1][1] else label
         self.opened.append(path)
         self.open.append((tag, path, []))
+        self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def _close(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open[1:]):
+        if self.depth.get(tag):
             while self.open[-1][0] != tag:
                 self._pop()
             self._pop()
 
     def _pop(self) -> None:
-        _, path, children = self.open.pop()
+        tag, path, children = self.open.pop()
+        self.depth[tag] -= 1
         self.nodes.append((path, children))
 
 
-@functools.lru_cache(1 << 14)
+#: Words of labels seen before, emptied at 16,384: a plain dictionary, which travels to the workers with the functions.
+_WORDS: dict[str, frozenset[str]] = {}
+
+
 def words_of(label: str) -> frozenset[str]:
     """Words of a label's names; what a modifier introduces (has-sidebar, no-comments, category-legal) says nothing of the element."""
+    if label in _WORDS:
+        return _WORDS[label]
     out: set[str] = set()
     for name in re.split(r"[.#@]", label.lower())[1:]:
         words = SPLIT.split(name)
         out.update(words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))])
-    return frozenset(out)
+    if len(_WORDS) >= 1 << 14:
+        _WORDS.clear()
+    return _WORDS.setdefault(label, frozenset(out))
 
 
 def tag_of(label: str) -> str:
