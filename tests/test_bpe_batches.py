@@ -57,8 +57,8 @@ def test_batches_choose_as_one_by_one():
 
 
 def test_training_needs_fewer_jobs_than_merges(spark, monkeypatch):
-    jobs, count = [], BPE.pair_counts
-    monkeypatch.setattr(BPE, "pair_counts", lambda w: jobs.append(1) or count(w))
+    jobs, count = [], BPE.count_changes
+    monkeypatch.setattr(BPE, "count_changes", lambda *a: jobs.append(1) or count(*a))
     from versify.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)

@@ -1,10 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from versify.operators import bpe as BPE
 from versify.operators import runlog as RL
-from versify.operators import unigram as UG
 from versify.session import ensure_checkpoint_dir
 
 
@@ -22,21 +22,46 @@ def test_bpe_merges_most_frequent_pair_first(spark):
     _, merges = BPE.train_bpe(texts, 3)
     # words: " aa" x3, " ab" x1 -> pairs (<20><61>) 4, (<61><61>) 3, (<61><62>) 1
     assert merges[0][1:] == ("<20>", "<61>", 4)
-    words = BPE.encode_words(spark.createDataFrame([(" aa",)], "word string"), merges).first()["sym"]
-    assert BPE.from_symbols(F.lit(words)) is not None
-    back = spark.range(1).select(BPE.from_symbols(F.lit(words)).alias("w")).first()["w"]
-    assert back == " aa"
-
-
-def test_unigram_viterbi_and_sampling():
-    logp = {"▁": -3.0, "c": -3.0, "i": -3.0, "a": -3.0, "o": -3.0, "▁ci": -1.0, "ao": -1.0, "▁ciao": -0.5}
-    assert UG.viterbi("▁ciao", logp) == ["▁ciao"]
-    assert UG.viterbi("▁ciaox", logp)[-1] == UG.UNK
-    counts = UG.expected_counts("▁ciao", logp)
-    assert abs(sum(len(p) * c for p, c in counts.items()) - len("▁ciao")) < 1e-9
-    seg = UG.sample_segmentation("▁ciao", logp, 0.1, "s:0")
-    assert "".join(seg) == "▁ciao"
-    assert seg == UG.sample_segmentation("▁ciao", logp, 0.1, "s:0")  # hash-seeded: deterministic
+    ids = BPE.encode_ids(spark.createDataFrame([(1, "aa <END>é"), (2, ""), (3, None)], "doc_id long, text string"), merges)
+    got = {r.doc_id: (r.ids, r.t, r.p) for r in ids.withColumn("t", BPE.decode_ids(F.col("ids"), merges)).withColumn("p", BPE.decode_ids(F.col("ids"), merges, True)).collect()}
+    assert got[2] == ([], "", "") and got[3] == ([], "", "")
+    assert got[1][1:] == (" aa <END> é", " aa  é") and 3 in got[1][0]
+
+
+def test_bpe_ids_equal_merges_in_rank_order(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(300)] + ["a" * 40, "ab" * 30, "é" * 9]
+    texts = spark.createDataFrame([(i, " ".join(rng.sample(words, 60))) for i in range(20)], "doc_id long, text string")
+    table, merges = BPE.train_bpe(texts, 80)
+    tokens = {t: i for i, t in reversed(list(enumerate(BPE.bpe_tokens(merges))))}
+
+    def by_replacing(word):
+        text = "".join(f"<{b:02x}>" for b in word.encode())
+        for _, l, r, _ in merges:
+            text = text.replace(l + r, BPE.merged_symbol(l, r))
+        return text
+
+    assert len(merges) == 80 and all(r.sym == by_replacing(r.word) for r in table.collect())
+    got = {r.doc_id: r.ids for r in BPE.encode_ids(texts, merges).collect()}
+    for r in texts.select("doc_id", BPE.pretokenize(F.col("text")).alias("w")).collect():
+        assert got[r.doc_id] == [tokens[t + ">"] for w in r.w for t in by_replacing(w).split(">")[:-1]]
+
+
+def test_bpe_encodes_with_many_merges(spark):
+    """30,000 merges, which no chain of replacements would bear."""
+    merges, names = [], [f"<{b:02x}>" for b in range(256)]
+    rng = random.Random(1)
+    seen = set(names)
+    while len(merges) < 30_000:
+        l, r = rng.choice(names), rng.choice(names)
+        if len(l + r) < 40 and BPE.merged_symbol(l, r) not in seen:
+            merges.append((len(merges), l, r, 2))
+            names.append(BPE.merged_symbol(l, r))
+            seen.add(names[-1])
+    docs = spark.createDataFrame([(i, "il mare della sera " * 20) for i in range(50)], "doc_id long, text string")
+    ids = BPE.encode_ids(docs, merges)
+    back = ids.select(BPE.decode_ids(F.col("ids"), merges).alias("t")).distinct().collect()
+    assert [r.t for r in back] == [" " + "il mare della sera " * 20]
 
 
 def _events(spark, losses):

@@ -1,19 +1,28 @@
 """Byte-level BPE on Spark.
 
 Words come from the byte-level pre-tokenizer (GPT-2 split pattern on the text
-with a leading blank).  A word is kept as one string of byte symbols
-``<hh><hh>...``; a merge of (a, b) is the native ``replace('<a><b>', '<ab>')``
-so merging stays a codegen'd projection.  Training works on the table of
-*distinct* words with their frequencies: each round is one aggregate of
-adjacent pairs (partial aggregation before the shuffle) and a ``collect`` of
-the best pairs, of which all are merged that don't affect each other; the word table is
+with a leading blank).  Training works on the table of *distinct* words with
+their frequencies: pairs are counted once, and each batch of merges that don't
+affect each other recounts only the words that hold one of them.  The word table is
 checkpointed every few merges into the shared checkpoint folder to cut lineage.
+Encoding looks up the rank of every pair of a word and merges the lowest
+until none is left, for all distinct words of a batch of texts at once.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # FIXED VALUE: the GPT-2 pre-tokenizer split pattern (byte-level BPE).
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -23,11 +32,14 @@ SUBWORD_SPECIALS = [
     "<RHYME_E>", "<RHYME_F>", "<RHYME_G>", "<RHYME_H>", "<RHYME_I>", "<RHYME_J>",
 ]
 SYMBOL_RE = r"<[0-9a-f]+>"
-CHECKPOINT_EVERY = 5
-# The most merges in one projection of the word table (the depth of the expression).
+# Merges after which the word table is written anew.
 MERGES_AT_ONCE = 50
-# Pairs that one job of the training sends to the driver.
+# The pairs among which a batch of merges is chosen.
 TOP_PAIRS = 1000
+# Rank of a pair without a merge.
+NEVER = np.iinfo(np.int64).max
+# Texts whose words are merged at once.
+ROWS = 256
 
 
 SPLIT_MARK = "\u0002"
@@ -115,42 +127,99 @@ def batch_of_merges(top: list[tuple[str, str, int]], known: set[str], complete:
     return out
 
 
+def symbol_char(code: int) -> str:
+    """The character that stands for a symbol while training: 0 to 255 bytes, then merges (surrogates are passed over)."""
+    return chr(code if code < 0xD800 else code + 0x800)
+
+
+def merged_column(sym: pa.Array, steps: list[tuple[str, str]]) -> pa.Array:
+    """Words of one character per symbol after some merges."""
+    for pair, made in steps:
+        sym = pc.replace_substring(sym, pair, made)
+    return sym
+
+
+def merged_words(words: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), merged_column(batch.column(2), steps)], ["word", "freq", "sym"])
+
+    return words.select("word", "freq", "sym").mapInArrow(merged, "word string, freq long, sym string")
+
+
+def count_changes(words: DataFrame, done: list[tuple[str, str]], steps: list[tuple[str, str]]) -> DataFrame:
+    """(pair, change) of the pair counts by ``steps``, from the words that hold one of their pairs once the merges ``done``
+    are made; other words are only searched.  Without steps: all counts."""
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            freq, sym = batch.column(0), merged_column(batch.column(1), done)
+            total: Counter = Counter()
+            if steps:
+                holds = functools.reduce(pc.or_, [pc.match_substring(sym, pair) for pair, _ in steps])
+                freq, sym = freq.filter(holds), sym.filter(holds)
+                for n, w in zip(freq.to_pylist(), sym.to_pylist(), strict=True):
+                    for pair in map("".join, pairwise(w)):
+                        total[pair] -= n
+                sym = merged_column(sym, steps)
+            for n, w in zip(freq.to_pylist(), sym.to_pylist(), strict=True):
+                for pair in map("".join, pairwise(w)):
+                    total[pair] += n
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(total.keys(), pa.string()), "change": pa.array(total.values(), pa.int64())})
+
+    found = words.select("freq", "sym").mapInArrow(changes, "pair string, change long")
+    return found.groupBy("pair").agg(F.sum("change").alias("change")).where(F.col("change") != 0)
+
+
 def train_bpe(texts: DataFrame, n_merges: int, min_frequency: int = 2) -> tuple[DataFrame, list[tuple[int, str, str, int]]]:
-    """T4: returns the final word table and the merges (rank, left, right, count).
-    Best pair = highest count, ties by (left, right) ascending; stops early when
-    no pair reaches ``min_frequency``.  One job finds all merges that don't affect each other."""
-    words = word_table(texts).checkpoint()
+    """T4: returns the final word table (word, freq, sym: symbols ``<hh..>``) and the merges (rank, left, right, count).
+    Best pair = highest count, ties by (left, right) ascending; stops early when no pair reaches ``min_frequency``.
+
+    The counts of all pairs are held on the driver: at most the square of the vocabulary, whatever the corpus.  They
+    are counted once; then each job counts, for a batch of merges that don't affect each other, the pairs that go
+    and come in the words that hold one of them.  Words are strings of one character per symbol, so that a merge
+    is one replaced substring; they are written anew every ``MERGES_AT_ONCE`` merges."""
+    decoded = F.decode(F.encode(F.col("word"), "UTF-8"), "ISO-8859-1")
+    words = word_table(texts).select("word", "freq", decoded.alias("sym")).checkpoint()
+    names = [f"<{b:02x}>" for b in range(256)]
+    char_of = {name: symbol_char(b) for b, name in enumerate(names)}
+    counts: dict[tuple[str, str], int] = {}
     merges: list[tuple[int, str, str, int]] = []
-    known: set[str] = set()
-    pending = 0
-    while len(merges) < n_merges:
-        rows = (
-            pair_counts(words)
-            .where(F.col("count") >= min_frequency)
-            .orderBy(F.desc("count"), "left", "right")
-            .limit(TOP_PAIRS)
-            .collect()
-        )
-        if not rows:
+    name_of = {c: name for name, c in char_of.items()}
+    step: list[tuple[str, str]] = []
+    done: list[tuple[str, str]] = []  # merges already in ``words`` as a projection, not yet written
+    while True:
+        for r in count_changes(words, done, step).collect():
+            pair = (name_of[r["pair"][0]], name_of[r["pair"][1]])
+            counts[pair] = counts.get(pair, 0) + r["change"]
+            if not counts[pair]:
+                del counts[pair]
+        done += step
+        if len(done) >= MERGES_AT_ONCE:
+            words, done = merged_words(words, done).checkpoint(), []
+        if len(merges) >= n_merges:
             break
-        top = [(r["left"], r["right"], r["count"]) for r in rows]
-        for left, right, count in batch_of_merges(top, known, len(top) < TOP_PAIRS)[: n_merges - len(merges)]:
+        top = heapq.nsmallest(TOP_PAIRS, ((-n, l, r) for (l, r), n in counts.items() if n >= min_frequency))
+        if not top:
+            break
+        batch = batch_of_merges([(l, r, -n) for n, l, r in top], set(char_of), len(top) < TOP_PAIRS)
+        step = []
+        for left, right, count in batch[: min(n_merges - len(merges), MERGES_AT_ONCE)]:
             merges.append((len(merges), left, right, count))
-            known.add(merged_symbol(left, right))
-            words = words.withColumn("sym", F.replace(F.col("sym"), F.lit(left + right), F.lit(merged_symbol(left, right))))
-            pending += 1
-            if pending >= MERGES_AT_ONCE:
-                words, pending = words.checkpoint(), 0
-        if pending >= CHECKPOINT_EVERY:
-            words, pending = words.checkpoint(), 0
-    return words, merges
-
-
-def apply_merges(sym: Column, merges: list[tuple[int, str, str, int]]) -> Column:
-    """T5 per word: merges in rank order, each over all occurrences left to right."""
-    for _, left, right, _ in merges:
-        sym = F.replace(sym, F.lit(left + right), F.lit(merged_symbol(left, right)))
-    return sym
+            made = merged_symbol(left, right)
+            if made not in char_of:
+                char_of[made] = symbol_char(len(char_of))
+                name_of[char_of[made]] = made
+            step.append((char_of[left] + char_of[right], char_of[made]))
+        if len(merges) >= n_merges:
+            done += step
+            break
+    # back to names: bytes of each symbol by the table of names
+    table = F.split(F.lit(",".join([*names, *(n for n in char_of if n not in set(names))])), ",")
+    code = lambda c: F.ascii(c)
+    words = merged_words(words, done) if done else words
+    spelled = F.array_join(F.transform(F.split("sym", ""), lambda c: F.get(table, F.when(code(c) < 0xD800, code(c)).otherwise(code(c) - 0x800))), "")
+    return words.select("word", "freq", spelled.alias("sym")), merges
 
 
 def bpe_tokens(merges) -> list[str]:
@@ -158,16 +227,94 @@ def bpe_tokens(merges) -> list[str]:
     return [*SUBWORD_SPECIALS, *(f"<{b:02x}>" for b in range(256)), *(merged_symbol(l, r) for _, l, r, _ in merges)]
 
 
-def encode_ids(text: Column, merges) -> Column:
-    """T5: the ids of a text in order, specials atomic; a projection, no shuffle."""
-    tokens = bpe_tokens(merges)
-    known = F.str_to_map(F.lit("|".join(f"{t}={i}" for i, t in enumerate(tokens))), F.lit("\\|"), F.lit("="))
-
-    def split(word: Column) -> Column:
-        merged = F.regexp_extract_all(apply_merges(to_symbols(word), merges), F.lit(SYMBOL_RE), 0)
-        return F.when(word.isin(*SUBWORD_SPECIALS), F.array(word)).otherwise(merged)
-
-    return F.transform(F.flatten(F.transform(pretokenize(text), split)), lambda t: F.try_element_at(known, t).cast("int"))
+class Ranks:
+    """Merges as arrays: sorted pair keys, their rank, and the id that they make; ids are places in ``bpe_tokens``."""
+
+    def __init__(self, merges):
+        tokens = bpe_tokens(merges)
+        ids = {t: i for i, t in reversed(list(enumerate(tokens)))}
+        self.size = len(tokens)
+        known: dict[int, tuple[int, int]] = {}
+        for rank, left, right, _ in merges:
+            known.setdefault(ids[left] * self.size + ids[right], (rank, ids[merged_symbol(left, right)]))
+        self.key = np.array(sorted(known), np.int64)
+        self.rank = np.array([known[k][0] for k in self.key.tolist()], np.int64)
+        self.made = np.array([known[k][1] for k in self.key.tolist()], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (``NEVER`` without a merge) and its place."""
+        if not len(self.key):
+            return np.full(len(left), NEVER), np.zeros(len(left), np.int64)
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], NEVER), at
+
+
+def merge_words(ranks: Ranks, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words laid end to end after all merges, and their number for each word.  In each round every word merges
+    all its pairs of its own lowest rank, from the left; words without a pair are done."""
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    out_ids, out_word, out_at = [], [], []
+    at = np.arange(len(ids))
+    while len(ids):
+        same = np.r_[word[1:] == word[:-1], False]
+        rank = np.full(len(ids), NEVER)
+        rank[same] = ranks.of(ids[same], ids[1:][same[:-1]])[0]
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        length = np.diff(np.r_[first, len(ids)])
+        least = np.repeat(np.minimum.reduceat(rank, first), length)
+        done = least == NEVER
+        for held, x in ((out_ids, ids), (out_word, word), (out_at, at)):
+            held.append(x[done])
+        pair = np.flatnonzero((rank == least) & ~done)
+        begin = np.r_[True, np.diff(pair) != 1] if len(pair) else np.zeros(0, bool)  # overlapping pairs: every other one
+        pair = pair[(np.arange(len(pair)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]) % 2 == 0]
+        ids = ids.copy()
+        ids[pair] = ranks.made[ranks.of(ids[pair], ids[pair + 1])[1]]
+        stay = ~done
+        stay[pair + 1] = False
+        ids, word, at = ids[stay], word[stay], at[stay]
+    if not out_ids:
+        return ids, np.zeros(len(sizes), np.int64)
+    ids, word, at = (np.concatenate(x) for x in (out_ids, out_word, out_at))
+    return ids[np.argsort(at)], np.bincount(word, minlength=len(sizes))
+
+
+def ids_of_words(ranks: Ranks, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in a row, and their number for each; equal words are merged once."""
+    held = words.cast(pa.large_string()).dictionary_encode()
+    special = {s: i for i, s in enumerate(SUBWORD_SPECIALS)}
+    distinct = held.dictionary.to_pylist()
+    raw = [w.encode() if w not in special else b"" for w in distinct]
+    sizes = np.array([len(w) for w in raw], np.int64)
+    ids, counts = merge_words(ranks, np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + len(SUBWORD_SPECIALS), sizes)
+    atomic = np.array([special.get(w, -1) for w in distinct], np.int64)
+    if (atomic >= 0).any():
+        into = np.flatnonzero(atomic >= 0)
+        ids = np.insert(ids, (np.cumsum(counts) - counts)[into], atomic[into])
+        counts[into] = 1
+    which = held.indices.to_numpy().astype(np.int64)
+    begin, own = (np.cumsum(counts) - counts)[which], counts[which]
+    before = np.cumsum(own) - own
+    return ids[np.repeat(begin - before, own) + np.arange(int(own.sum()))] if len(which) else ids[:0], own
+
+
+def encode_ids(docs: DataFrame, merges, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """T5: (key, ids): the ids of every text in order, specials atomic; no shuffle.  A null text has no ids."""
+    ranks = Ranks(merges)
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType)]).add("ids", T.ArrayType(T.IntegerType()))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                words = rows.column(1)
+                ids, counts = ids_of_words(ranks, words.flatten())
+                edges = np.r_[0, np.cumsum(words.value_lengths().fill_null(0).to_numpy())]
+                offsets = np.r_[0, np.cumsum(counts)][edges].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], schema.names)
+
+    return docs.select(key, pretokenize(F.col(text_col)).alias("words")).mapInArrow(encoded, schema)
 
 
 def decode_ids(ids: Column, merges, skip_special: bool = False) -> Column:
@@ -180,22 +327,6 @@ def decode_ids(ids: Column, merges, skip_special: bool = False) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(chosen, lambda i: F.get(table, i)), "")), "UTF-8")
 
 
-def encode_words(words: DataFrame, merges) -> DataFrame:
-    """Distinct words -> final symbols (each distinct word is encoded once)."""
-    return words.select("word", apply_merges(to_symbols(F.col("word")), merges).alias("sym"))
-
-
 def doc_token_counts(docs: DataFrame, key: str, merges) -> DataFrame:
-    """A3 input: tokens per document = specials + merged symbols of its words.
-    Distinct words are encoded once and joined back to their occurrences."""
-    occ = docs.select(key, F.explode(pretokenize(F.col("text"))).alias("word"))
-    # pre-aggregate per (document, word): a hot word is one row per document
-    per_doc = occ.groupBy(key, "word").agg(F.count(F.lit(1)).alias("k"))
-    distinct = per_doc.select("word").distinct()
-    enc = encode_words(distinct, merges).select(
-        "word",
-        F.when(F.col("word").isin(*SUBWORD_SPECIALS), F.lit(1))
-        .otherwise(F.size(F.regexp_extract_all("sym", F.lit(SYMBOL_RE), 0)))
-        .alias("n"),
-    )
-    return per_doc.join(enc, "word").groupBy(key).agg(F.sum(F.col("n") * F.col("k")).cast("long").alias("n_tokens"))
+    """A3 input: tokens per document."""
+    return encode_ids(docs, merges, key).select(key, F.size("ids").cast("long").alias("n_tokens"))

@@ -1,28 +1,24 @@
 """Unigram language-model tokenizer on Spark.
 
 Words are whitespace pieces of the newline-encoded text with a ``▁`` word
-mark (user symbols such as ``<NEWLINE>`` and the specials stay atomic).
-Training works on the table of *distinct* words:
-
-* seed pieces: every substring up to ``max_len`` weighted by word frequency
-  (one ``groupBy``), the most frequent kept plus every single character;
-* E-step: forward-backward over each word's lattice in ``mapInPandas`` with
-  the current piece log-probabilities (a dict bounded by the seed size);
-* M-step: ``groupBy(piece).sum(expected)``; then prune to the target size.
-
-Encoding is Viterbi per distinct word, joined back to the occurrences;
-sampling (subword regularisation) draws a segmentation with weights
-``p ** alpha`` using hash-seeded uniforms, after replicating each document
-``n_times`` with ``explode(sequence)``.
+mark (user symbols such as ``<NEWLINE>`` and the specials stay atomic).  All
+work is on the table of *distinct* words, in Column expressions:
+
+* a word's lattice is the join of its substrings with the piece table, kept as
+  one array of edges in order of their ends;
+* the E-step is a fold over the positions forwards and one backwards (sums of
+  logarithms), the M-step one aggregate of the expected counts per piece;
+* between the rounds the table shrinks by ``SHRINK``: pieces go whose loss of
+  likelihood is least when their best other segmentation takes their counts;
+* encoding is the same fold with the best instead of the sum, and back-pointers;
+* n-best lists are merged position by position, and a draw takes one of a
+  word's ``N_BEST`` with weight ``p ** alpha`` by a hash-seeded number.
+
+Pieces have at most ``MAX_LEN`` characters, a parameter of the model; words of any length are used whole.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +27,14 @@ from versify.operators.bpe import SUBWORD_SPECIALS
 WORD_MARK = "▁"
 USER_SYMBOLS = [*SUBWORD_SPECIALS[1:], "<NEWLINE>"]
 UNK = "<unk>"
-MAX_PIECE_LEN = 8
-MAX_SEED_PIECES = 200_000
+# FIXED VALUES: the surveyed trainer's parameters (longest piece, seeds, share kept by a round, rounds of EM between two prunings, n-best).
+MAX_LEN = 16
+SEEDS = 1_000_000
+SHRINK = 0.75
+SUB_ITERATIONS = 2
+N_BEST = 64
+# An unknown character scores so much below the least piece.
+UNKNOWN_PENALTY = 10.0
 
 
 def unigram_words(text: Column) -> Column:
@@ -48,216 +50,203 @@ def word_freqs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("freq"))
 
 
-def seed_pieces(words: DataFrame, size: int) -> DataFrame:
-    """Frequent substrings (weighted) plus all single characters."""
-    plain = words.where(~F.col("word").isin(*USER_SYMBOLS))
+def substrings(words: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """(word, freq, n, s, e, piece): every substring of up to ``max_len`` characters, from position s to e."""
     n = F.length("word")
-    subs = plain.select(
-        "freq",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), n),
-                    lambda i: F.transform(
-                        F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE_LEN), n - i + 1)),
-                        lambda k: F.substring("word", i, k),
-                    ),
-                )
-            )
-        ).alias("piece"),
+    spans = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda s: F.transform(F.sequence(s + 1, F.least(s + F.lit(max_len), n)), lambda e: F.struct(s.alias("s"), e.alias("e"))),
+        )
     )
-    counts = subs.groupBy("piece").agg(F.sum("freq").cast("double").alias("count"))
+    cut = words.where(n > 0).select("word", "freq", n.alias("n"), F.inline(spans))
+    return cut.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
+
+
+def seed_pieces(words: DataFrame, size: int = SEEDS, max_len: int = MAX_LEN) -> DataFrame:
+    """(piece, count): all single characters and the substrings that occur twice or more; beyond ``size`` those with the largest
+    product of count and length."""
+    plain = words.where(~F.col("word").isin(*USER_SYMBOLS))
+    counts = substrings(plain, max_len).groupBy("piece").agg(F.sum("freq").cast("double").alias("count"))
     chars = counts.where(F.length("piece") == 1)
-    multi = counts.where(F.length("piece") > 1).orderBy(F.desc("count"), "piece").limit(size)
+    several = counts.where((F.length("piece") > 1) & (F.col("count") >= 2))
+    multi = several.orderBy(F.desc(F.col("count") * F.length("piece")), "piece").limit(size)
     return chars.unionByName(multi)
 
 
-def _lattice(word: str, logp: dict[str, float]) -> list[list[tuple[int, str, float]]]:
-    """ends[j] = [(i, piece, logp)] for pieces word[i:j] in the model."""
-    ends: list[list[tuple[int, str, float]]] = [[] for _ in range(len(word) + 1)]
-    for i in range(len(word)):
-        for k in range(1, min(MAX_PIECE_LEN, len(word) - i) + 1):
-            p = word[i : i + k]
-            if p in logp:
-                ends[i + k].append((i, p, logp[p]))
-    return ends
-
-
-def _logsumexp(xs: list[float]) -> float:
-    m = max(xs)
-    return m + math.log(sum(math.exp(x - m) for x in xs))
-
-
-def expected_counts(word: str, logp: dict[str, float]) -> dict[str, float]:
-    """Forward-backward: expected piece counts of one word (empty if unreachable)."""
-    ends = _lattice(word, logp)
-    n = len(word)
-    alpha = [-math.inf] * (n + 1)
-    alpha[0] = 0.0
-    for j in range(1, n + 1):
-        cands = [alpha[i] + lp for i, _, lp in ends[j] if alpha[i] > -math.inf]
-        if cands:
-            alpha[j] = _logsumexp(cands)
-    if alpha[n] == -math.inf:
-        return {}
-    beta = [-math.inf] * (n + 1)
-    beta[n] = 0.0
-    for j in range(n, 0, -1):
-        if beta[j] == -math.inf:
-            continue
-        for i, _, lp in ends[j]:
-            v = beta[j] + lp
-            beta[i] = v if beta[i] == -math.inf else _logsumexp([beta[i], v])
-    out: dict[str, float] = {}
-    for j in range(1, n + 1):
-        for i, p, lp in ends[j]:
-            if alpha[i] > -math.inf and beta[j] > -math.inf:
-                out[p] = out.get(p, 0.0) + math.exp(alpha[i] + lp + beta[j] - alpha[n])
-    return out
-
-
-def viterbi(word: str, logp: dict[str, float]) -> list[str]:
-    """Best segmentation; characters outside the model become ``<unk>``."""
-    ends = _lattice(word, logp)
-    n = len(word)
-    best = [-math.inf] * (n + 1)
-    back: list[tuple[int, str] | None] = [None] * (n + 1)
-    best[0] = 0.0
-    unk_lp = min(logp.values(), default=0.0) - 10.0
-    for j in range(1, n + 1):
-        for i, p, lp in ends[j]:
-            if best[i] + lp > best[j] or (best[i] + lp == best[j] and back[j] is not None and p < back[j][1]):
-                best[j], back[j] = best[i] + lp, (i, p)
-        if back[j] is None:  # unreachable character
-            best[j], back[j] = best[j - 1] + unk_lp, (j - 1, UNK)
-    pieces, j = [], n
-    while j > 0:
-        i, p = back[j]  # type: ignore[misc]
-        pieces.append(p)
-        j = i
-    return pieces[::-1]
-
-
-def _uniform(*parts: object) -> float:
-    h = hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()
-    return int(h[:8], 16) / 2**32
-
-
-def sample_segmentation(word: str, logp: dict[str, float], alpha: float, seed: str) -> list[str]:
-    """Forward filtering, backward sampling with weights p ** alpha."""
-    scaled = {p: alpha * lp for p, lp in logp.items()}
-    ends = _lattice(word, scaled)
-    n = len(word)
-    fwd = [-math.inf] * (n + 1)
-    fwd[0] = 0.0
-    for j in range(1, n + 1):
-        cands = [fwd[i] + lp for i, _, lp in ends[j] if fwd[i] > -math.inf]
-        if cands:
-            fwd[j] = _logsumexp(cands)
-    if fwd[n] == -math.inf:
-        return viterbi(word, logp)
-    pieces, j, step = [], n, 0
-    while j > 0:
-        cands = [(i, p, fwd[i] + lp) for i, p, lp in ends[j] if fwd[i] > -math.inf]
-        total = _logsumexp([c[2] for c in cands])
-        u, acc = _uniform(seed, step), 0.0
-        chosen = cands[-1]
-        for c in sorted(cands, key=lambda c: c[1]):
-            acc += math.exp(c[2] - total)
-            if u < acc:
-                chosen = c
-                break
-        pieces.append(chosen[1])
-        j, step = chosen[0], step + 1
-    return pieces[::-1]
-
-
-def _check_size(pieces: DataFrame) -> None:
-    n = pieces.count()
-    if n > MAX_SEED_PIECES:
-        raise ValueError(f"piece table of {n} rows exceeds the broadcast bound {MAX_SEED_PIECES}")
-
-
-def _logp_dict(pieces: DataFrame) -> dict[str, float]:
-    _check_size(pieces)
-    rows = pieces.select("piece", "count").collect()
-    total = sum(r["count"] for r in rows)
-    return {r["piece"]: math.log(r["count"] / total) for r in rows if r["count"] > 0}
-
-
-def train_unigram(docs: DataFrame, vocab_size: int, iterations: int = 2, text_col: str = "text") -> DataFrame:
-    """Returns pieces(piece, score) — user symbols first, then pieces by score."""
-    spark = docs.sparkSession
+def lattices(words: DataFrame, pieces: DataFrame, max_len: int = MAX_LEN, but_whole: bool = False) -> DataFrame:
+    """(word, freq, n, edges) of words with the pieces (piece, lp, id): edges (e, s, lp, piece, id) from position s to e, in
+    order of e.  A character without a piece gets an edge with id 0.  ``but_whole``: without the edge that is the word itself."""
+    least = pieces.agg((F.coalesce(F.min("lp"), F.lit(0.0)) - UNKNOWN_PENALTY).alias("unknown"))
+    spans = substrings(words, max_len)
+    if but_whole:
+        spans = spans.where(F.col("e") - F.col("s") < F.col("n"))
+    found = spans.join(pieces.select("piece", "lp", "id"), "piece", "left").where(F.col("lp").isNotNull() | (F.col("e") - F.col("s") == 1)).join(F.broadcast(least))  # one row of one number
+    edge = F.struct("e", "s", F.coalesce("lp", "unknown").alias("lp"), F.when(F.col("lp").isNull(), UNK).otherwise(F.col("piece")).alias("piece"), F.coalesce("id", F.lit(0)).alias("id"))
+    return found.groupBy("word").agg(F.first("freq").alias("freq"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def forward(edges: Column) -> Column:
+    """Logarithm of the sum over all segmentations up to each position, from 0.  ``edges`` in order of e; one pass: the sum
+    for the position at hand is kept as its largest term and the rest in proportion."""
+    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0).alias("at"), F.lit(0.0).alias("top"), F.lit(1.0).alias("rest"))
+    closed = lambda a: F.array_append(a["done"], a["top"] + F.log(a["rest"]))
+
+    def step(a: Column, x: Column) -> Column:
+        done = closed(a)
+        new = F.struct(done.alias("done"), x["e"].alias("at"), (F.get(done, x["s"]) + x["lp"]).alias("top"), F.lit(1.0).alias("rest"))
+        v = F.get(a["done"], x["s"]) + x["lp"]
+        top = F.greatest(a["top"], v)
+        same = F.struct(a["done"].alias("done"), a["at"].alias("at"), top.alias("top"), (a["rest"] * F.exp(a["top"] - top) + F.exp(v - top)).alias("rest"))
+        return F.when(x["e"] == a["at"], same).otherwise(new)
+
+    return F.aggregate(edges, start, step, closed)
+
+
+def expected_counts(lattice: DataFrame) -> DataFrame:
+    """(piece, count): expected number of each piece, summed over all words by their frequency."""
+    n = F.col("n")
+    turned = F.sort_array(F.transform("edges", lambda x: F.struct((n - x["s"]).alias("e"), (n - x["e"]).alias("s"), x["lp"].alias("lp"))))
+    both = lattice.withColumn("turned", turned).withColumn("alpha", forward(F.col("edges"))).withColumn("beta", forward(F.col("turned")))
+    share = lambda x: F.col("freq") * F.exp(F.get("alpha", x["s"]) + x["lp"] + F.get("beta", n - x["e"]) - F.get("alpha", n))
+    shares = both.select(F.inline(F.transform("edges", lambda x: F.struct(x["piece"].alias("piece"), share(x).alias("share")))))
+    return shares.where(F.col("piece") != UNK).groupBy("piece").agg(F.sum("share").alias("count"))
+
+
+def _scored(counts: DataFrame) -> DataFrame:
+    """(piece, count, lp, id): logarithms of the shares; ids are not given yet."""
+    total = counts.agg(F.sum("count").alias("total"))
+    return counts.join(F.broadcast(total)).select("piece", "count", F.log(F.col("count") / F.col("total")).alias("lp"), F.lit(1).alias("id"))  # one row of one number
+
+
+def best_path(edges: Column) -> Column:
+    """Per position from 0: (score, back, piece, id) of the best segmentation up to it; ties go to the longer last piece."""
+    first = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit("").alias("piece"), F.lit(0).alias("id"))
+    start = F.struct(F.array().cast("array<struct<score:double,back:int,piece:string,id:int>>").alias("done"), F.lit(0).alias("at"), first.alias("best"))
+    closed = lambda a: F.array_append(a["done"], a["best"])
+    reached = lambda done, x: F.struct((F.get(done, x["s"])["score"] + x["lp"]).alias("score"), (-x["s"]).alias("back"), x["piece"].alias("piece"), x["id"].alias("id"))
+
+    def step(a: Column, x: Column) -> Column:
+        done = closed(a)
+        new = F.struct(done.alias("done"), x["e"].alias("at"), reached(done, x).alias("best"))
+        same = F.struct(a["done"].alias("done"), a["at"].alias("at"), F.greatest(a["best"], reached(a["done"], x)).alias("best"))
+        return F.when(x["e"] == a["at"], same).otherwise(new)
+
+    return F.aggregate(edges, start, step, closed)
+
+
+def segmentation(path: Column, n: Column) -> Column:
+    """The (piece, id) of a best path in order."""
+    start = F.struct(n.alias("at"), F.array().cast("array<struct<piece:string,id:int>>").alias("parts"))
+
+    def step(acc: Column, _: Column) -> Column:
+        here = F.get(path, acc["at"])
+        more = F.concat(F.array(F.struct(here["piece"].alias("piece"), here["id"].alias("id"))), acc["parts"])
+        return F.when(acc["at"] <= 0, acc).otherwise(F.struct((-here["back"]).alias("at"), more.alias("parts")))
+
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["parts"])
+
+
+def losses(scored: DataFrame) -> DataFrame:
+    """(piece, count, loss) of the pieces of several characters: how much likelihood goes if its best other segmentation
+    takes a piece's counts.  Null for a piece that is not its own best segmentation, which is dropped first."""
+    several = scored.where(F.length("piece") > 1).select(F.col("piece").alias("word"), F.lit(1).alias("freq"))
+    other = lattices(several, scored, but_whole=True).withColumn("path", best_path(F.col("edges")))
+    parts = other.select("word", F.get("path", F.col("n"))["score"].alias("other_lp"), segmentation(F.col("path"), F.col("n")).alias("parts"))
+    total = scored.agg(F.sum("count").alias("total"))
+    counts = scored.select(F.col("piece").alias("part"), F.col("count").alias("part_count"))
+    own = scored.select(F.col("piece").alias("word"), "count", "lp").join(F.broadcast(total))  # one row of one number
+    grown = parts.select("word", "other_lp", F.size("parts").alias("k"), F.explode(F.col("parts")["piece"]).alias("part")).join(counts, "part").join(own, "word")
+    added = F.log(F.col("part_count") + F.col("count")) - F.log(F.col("total") + F.col("count") * (F.col("k") - 1))
+    summed = grown.groupBy("word").agg(F.first("count").alias("count"), F.first("lp").alias("lp"), F.first("other_lp").alias("other_lp"), F.sum(added).alias("after"))
+    loss = F.when(F.col("lp") >= F.col("other_lp"), F.col("count") * (F.col("lp") - F.col("after")))
+    return summed.select(F.col("word").alias("piece"), "count", loss.alias("loss"))
+
+
+def train_unigram(docs: DataFrame, vocab_size: int, text_col: str = "text", seeds: int = SEEDS, shrink: float = SHRINK, sub_iterations: int = SUB_ITERATIONS) -> DataFrame:
+    """(id, piece, score): the unknown piece and the user symbols first, then pieces by score.  Single characters are never
+    dropped, so a vocabulary may be larger than ``vocab_size`` only by them."""
     words = word_freqs(docs, text_col).where(~F.col("word").isin(*USER_SYMBOLS)).checkpoint()
-    pieces = seed_pieces(words, 4 * vocab_size)
-    for _ in range(iterations):
-        bc = spark.sparkContext.broadcast(_logp_dict(pieces))
-
-        def e_step(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            logp = bc.value
-            for pdf in batches:
-                rows = []
-                for w, f in zip(pdf["word"], pdf["freq"]):
-                    for p, c in expected_counts(w, logp).items():
-                        rows.append((p, c * f))
-                yield pd.DataFrame(rows, columns=["piece", "count"])
-
-        counts = words.mapInPandas(e_step, "piece string, count double").groupBy("piece").agg(
-            F.sum("count").alias("count")
-        )
-        chars = counts.where(F.length("piece") == 1)
-        keep = max(vocab_size - len(USER_SYMBOLS) - 1 - chars.count(), 0)
-        top = counts.where(F.length("piece") > 1).orderBy(F.desc("count"), "piece").limit(keep)
-        pieces = chars.unionByName(top).checkpoint()
-    total = pieces.agg(F.sum("count")).first()[0]
-    scored = pieces.select("piece", F.log(F.col("count") / F.lit(total)).alias("score"))
-    users = spark.createDataFrame([(UNK, 0.0), *[(s, 0.0) for s in USER_SYMBOLS]], "piece string, score double")
-    return users.unionByName(scored)
-
-
-def piece_dict(pieces: DataFrame) -> dict[str, float]:
-    _check_size(pieces)
-    return {r["piece"]: r["score"] for r in pieces.collect() if r["piece"] not in USER_SYMBOLS and r["piece"] != UNK}
-
-
-def encode_words(words: DataFrame, logp: dict[str, float], spark) -> DataFrame:
-    """Viterbi once per distinct word -> (word, pieces array)."""
-    bc = spark.sparkContext.broadcast(logp)
-
-    def enc(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-        lp = bc.value
-        for pdf in batches:
-            yield pd.DataFrame(
-                {"word": pdf["word"], "pieces": [[w] if w in USER_SYMBOLS else viterbi(w, lp) for w in pdf["word"]]}
-            )
-
-    return words.mapInPandas(enc, "word string, pieces array<string>")
-
-
-def doc_piece_counts(docs: DataFrame, key: str, logp: dict[str, float]) -> DataFrame:
-    """T8 per document: pieces per document via distinct words joined back."""
-    occ = docs.select(key, F.explode(unigram_words(F.col("text"))).alias("word"))
-    per_doc = occ.groupBy(key, "word").agg(F.count(F.lit(1)).alias("k"))
-    enc = encode_words(per_doc.select("word").distinct(), logp, docs.sparkSession)
-    return per_doc.join(enc, "word").groupBy(key).agg(F.sum(F.size("pieces") * F.col("k")).cast("long").alias("n_tokens"))
-
-
-def sampled_piece_counts(docs: DataFrame, key: str, logp: dict[str, float], n_times: int, alpha: float) -> DataFrame:
-    """J6 + T9: every document replicated ``n_times`` (explode, no cross join);
-    each occurrence sampled with its own hash seed (doc, rep, position)."""
-    spark = docs.sparkSession
-    bc = spark.sparkContext.broadcast(logp)
-    reps = docs.select(key, "text", F.explode(F.sequence(F.lit(0), F.lit(n_times - 1))).alias("rep"))
-    occ = reps.select(key, "rep", F.posexplode(unigram_words(F.col("text"))).alias("pos", "word"))
-
-    def samp(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-        lp = bc.value
-        for pdf in batches:
-            n = [
-                1 if w in USER_SYMBOLS else len(sample_segmentation(w, lp, alpha, f"{d}:{r}:{p}"))
-                for d, r, p, w in zip(pdf[key], pdf["rep"], pdf["pos"], pdf["word"])
-            ]
-            yield pd.DataFrame({key: pdf[key], "rep": pdf["rep"], "n": n})
-
-    sampled = occ.mapInPandas(samp, f"{key} long, rep int, n long")
-    return sampled.groupBy("rep").agg(F.sum("n").cast("long").alias("n_tokens"), F.countDistinct(key).cast("long").alias("docs"))
+    scored = _scored(seed_pieces(words, seeds)).checkpoint()
+    chars, several = scored.agg(F.count(F.when(F.length("piece") == 1, 1)), F.count(F.when(F.length("piece") > 1, 1))).first()
+    target = max(vocab_size - 1 - len(USER_SYMBOLS) - chars, 0)
+    while True:
+        for _ in range(sub_iterations):
+            counts = expected_counts(lattices(words, scored))
+            # a piece that no segmentation needs has gone; characters stay with a small count
+            scored = _scored(counts.withColumn("count", F.greatest("count", F.lit(1e-6)))).checkpoint()
+        several = scored.where(F.length("piece") > 1).count()
+        if several <= target:
+            break
+        room = max(target, int(several * shrink))
+        kept = losses(scored).orderBy(F.desc_nulls_last("loss"), "piece").limit(room).select("piece", "count")
+        scored = _scored(kept.unionByName(scored.where(F.length("piece") == 1).select("piece", "count"))).checkpoint()
+    ordered = scored.select("piece", F.col("lp").alias("score")).orderBy(F.desc("score"), "piece")
+    # the vocabulary, of the size asked for, gets its ids in one pass
+    rows = [(UNK, 0.0), *((s, 0.0) for s in USER_SYMBOLS), *((r["piece"], r["score"]) for r in ordered.collect())]
+    return docs.sparkSession.createDataFrame([(i, p, x) for i, (p, x) in enumerate(rows)], "id int, piece string, score double")
+
+
+def plain_pieces(model: DataFrame) -> DataFrame:
+    """(piece, lp, id) of a model's pieces without the unknown one and the user symbols."""
+    return model.where(~F.col("piece").isin(UNK, *USER_SYMBOLS)).select("piece", F.col("score").alias("lp"), "id")
+
+
+def _word_ids(words: DataFrame, model: DataFrame) -> DataFrame:
+    """(word, ids, pieces) of distinct words: best segmentation, user symbols whole."""
+    lattice = lattices(words.where(~F.col("word").isin(*USER_SYMBOLS)).withColumn("freq", F.lit(1)), plain_pieces(model))
+    best = lattice.withColumn("path", best_path(F.col("edges"))).select("word", segmentation(F.col("path"), F.col("n")).alias("parts"))
+    users = model.where(F.col("piece").isin(*USER_SYMBOLS)).select(F.col("piece").alias("word"), F.array("id").alias("ids"), F.array("piece").alias("pieces"))
+    return best.select("word", F.col("parts")["id"].alias("ids"), F.col("parts")["piece"].alias("pieces")).unionByName(users)
+
+
+def _occurrences(docs: DataFrame, *key: str) -> DataFrame:
+    """(key, word, at): the places of each word of a document, so that a frequent word is one row per document."""
+    return docs.select(*key, F.posexplode(unigram_words(F.col("text"))).alias("at", "word")).groupBy(*key, "word").agg(F.collect_list("at").alias("at"))
+
+
+def encode_ids(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ids) of every document in order; a text without words has no ids.  Unknown characters have id 0."""
+    held = _occurrences(docs, key).checkpoint()
+    found = held.join(_word_ids(held.select("word").distinct(), model), "word")
+    placed = found.select(key, F.explode("at").alias("at"), "ids").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    ids = F.coalesce(F.flatten(F.col("parts")["ids"]), F.array().cast("array<int>"))
+    return docs.select(key).join(placed, key, "left").select(key, ids.alias("ids"))
+
+
+def n_best(words: DataFrame, model: DataFrame, n: int = N_BEST) -> DataFrame:
+    """(word, paths): up to ``n`` best segmentations (score, ids) of distinct words, best first, merged position by position."""
+    lattice = lattices(words.withColumn("freq", F.lit(1)), plain_pieces(model))
+    kind = "array<struct<score:double,ids:array<int>>>"
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(0).alias("at"), first.alias("held"))
+    closed = lambda a: F.array_append(a["done"], F.slice(F.sort_array(a["held"], asc=False), 1, n))
+    longer = lambda done, x: F.transform(F.get(done, x["s"]), lambda y: F.struct((y["score"] + x["lp"]).alias("score"), F.array_append(y["ids"], x["id"]).alias("ids")))
+
+    def step(a: Column, x: Column) -> Column:
+        done = closed(a)
+        new = F.struct(done.alias("done"), x["e"].alias("at"), longer(done, x).alias("held"))
+        same = F.struct(a["done"].alias("done"), a["at"].alias("at"), F.concat(a["held"], longer(a["done"], x)).alias("held"))
+        return F.when(x["e"] == a["at"], same).otherwise(new)
+
+    return lattice.select("word", F.aggregate("edges", start, step, lambda a: F.element_at(closed(a), -1)).alias("paths"))
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(2**32)
+
+
+def sample_ids(docs: DataFrame, model: DataFrame, n_times: int, alpha: float, key: str = "doc_id", n: int = N_BEST, seed: str = "sample") -> DataFrame:
+    """T9 + J6: (key, rep, ids): every document ``n_times``, each word drawn from its ``n`` best segmentations with weight p ** alpha."""
+    held = _occurrences(docs, key).checkpoint()
+    plain = n_best(held.select("word").distinct().where(~F.col("word").isin(*USER_SYMBOLS)), model, n)
+    top = F.get("paths", 0)["score"]
+    weight = F.transform("paths", lambda p: F.exp(F.lit(float(alpha)) * (p["score"] - top)))
+    below = F.aggregate("weight", F.array(F.lit(0.0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + w))
+    plain = plain.withColumn("weight", weight).select("word", F.col("paths")["ids"].alias("choices"), below.alias("below"))
+    users = model.where(F.col("piece").isin(*USER_SYMBOLS)).select(F.col("piece").alias("word"), F.array(F.array("id")).alias("choices"), F.array(F.lit(0.0), F.lit(1.0)).alias("below"))
+    reps = held.join(plain.unionByName(users), "word").select(key, "choices", "below", F.explode("at").alias("at")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_times - 1))))
+    mark = uniform(F.lit(seed), F.col(key), F.col("rep"), F.col("at")) * F.element_at("below", -1)
+    drawn = reps.withColumn("mark", mark).select(key, "rep", "at", F.get("choices", F.size(F.filter("below", lambda b: b <= F.col("mark"))) - 1).alias("ids"))
+    return drawn.groupBy(key, "rep").agg(F.flatten(F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"]).alias("ids"))

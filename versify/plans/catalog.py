@@ -7,6 +7,7 @@ Counts are ``bigint``, ratios ``double`` rounded to 6 places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from versify.functions import structure as S
 from versify.functions import syllable as Y
 from versify.functions import text as X
 from versify.operators import bpe as BPE
+from versify.operators import context_lm as CL
 from versify.operators import corpus as C
 from versify.operators import lm as LM
 from versify.operators import pack as P
@@ -716,7 +718,8 @@ def q_throughput(spark, sf_dir):
 
 # ---------------------------------------------------------------- 9 subword
 
-N_MERGES = 8
+#: The surveyed vocabulary of 2,000: 14 specials, 256 bytes and the merges.
+N_MERGES = 1730
 
 
 @query
@@ -740,9 +743,20 @@ def q_bpe_pairs(spark, sf_dir):
     return BPE.pair_counts(BPE.word_table(documents(spark, sf_dir, "text")))
 
 
+#: Tokenizers trained in this session, by application, corpus and kind: one training serves all queries that encode.
+_TRAINED: dict = {}
+
+
+def trained_once(spark, sf_dir, kind, train):
+    key = spark.sparkContext.applicationId, sf_dir, kind
+    if key not in _TRAINED:
+        ensure_checkpoint_dir(spark)
+        _TRAINED[key] = train()
+    return _TRAINED[key]
+
+
 def trained_bpe(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    return BPE.train_bpe(documents(spark, sf_dir, "text"), N_MERGES)
+    return trained_once(spark, sf_dir, "bpe", lambda: BPE.train_bpe(documents(spark, sf_dir, "text"), N_MERGES))
 
 
 @query
@@ -761,19 +775,14 @@ def q_bpe_encode(spark, sf_dir):
 
 @query
 def q_bpe_decode(spark, sf_dir):
-    """T6 + T10: decode the merged symbols of every word back to text; a
-    document round-trips when its decoded words equal its pre-tokenized words."""
+    """T6 + T10: decode the ids of every document; it round-trips when that gives its pre-tokenized words."""
     _, merges = trained_bpe(spark, sf_dir)
     vocab_size = len(BPE.SUBWORD_SPECIALS) + 256 + len(merges)
-    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", BPE.pretokenize(F.col("text")).alias("w"))
-    dec = F.transform(
-        "w",
-        lambda x: F.when(x.isin(*BPE.SUBWORD_SPECIALS), x).otherwise(BPE.from_symbols(BPE.apply_merges(BPE.to_symbols(x), merges))),
-    )
-    return d.select(
-        "doc_id",
-        (F.array_join(dec, "") == F.array_join("w", "")).alias("round_trip"),
-        F.lit(vocab_size).cast("long").alias("vocab_size"),
+    d = documents(spark, sf_dir, "doc_id", "text")
+    ids = BPE.encode_ids(d, merges).select("doc_id", F.md5(BPE.decode_ids(F.col("ids"), merges)).alias("decoded"))
+    words = d.select("doc_id", F.md5(F.array_join(BPE.pretokenize(F.col("text")), "")).alias("joined"))
+    return ids.join(words, "doc_id").select(
+        "doc_id", (F.col("decoded") == F.col("joined")).alias("round_trip"), F.lit(vocab_size).cast("long").alias("vocab_size")
     )
 
 
@@ -781,7 +790,7 @@ def q_bpe_decode(spark, sf_dir):
 def q_bpe_ids(spark, sf_dir):
     """T5 + T6 + T10: every document as ordered ids, and the texts that the ids give back with and without specials."""
     _, merges = trained_bpe(spark, sf_dir)
-    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", BPE.encode_ids(F.col("text"), merges).alias("ids"))
+    d = BPE.encode_ids(documents(spark, sf_dir, "doc_id", "text"), merges)
     return d.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
         F.md5(BPE.decode_ids(F.col("ids"), merges)).alias("text_md5"), F.md5(BPE.decode_ids(F.col("ids"), merges, True)).alias("plain_md5"),
@@ -797,62 +806,93 @@ def q_token_stats(spark, sf_dir):
 
 UNIGRAM_VOCAB = 2000
 N_TIMES, ALPHA = 10, 0.2
+#: The share of pieces that a round of the registered training keeps: fewer, larger steps than the surveyed trainer's.
+UNIGRAM_SHRINK = 0.2
 
 
 def trained_unigram(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    return UG.train_unigram(documents(spark, sf_dir, "text"), UNIGRAM_VOCAB)
+    train = lambda: UG.train_unigram(documents(spark, sf_dir, "text"), UNIGRAM_VOCAB, shrink=UNIGRAM_SHRINK, sub_iterations=1)
+    return trained_once(spark, sf_dir, "unigram", train)
 
 
 @query
 def q_unigram_train(spark, sf_dir):
-    p = trained_unigram(spark, sf_dir)
-    return p.select("piece", F.round("score", 6).alias("score"))
+    """The vocabulary with ids and scores."""
+    return trained_unigram(spark, sf_dir).select("id", "piece", F.round("score", 6).alias("score"))
 
 
 @query
 def q_unigram_encode(spark, sf_dir):
-    logp = UG.piece_dict(trained_unigram(spark, sf_dir))
-    return UG.doc_piece_counts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", logp)
+    """Every document as ordered ids, of which their number and digest."""
+    ids = UG.encode_ids(documents(spark, sf_dir, "doc_id", "text"), trained_unigram(spark, sf_dir))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 @query
 def q_unigram_sample(spark, sf_dir):
-    """T9 + J6: the benchmark texts augmented N_TIMES with sampled segmentations."""
-    logp = UG.piece_dict(trained_unigram(spark, sf_dir))
-    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    return UG.sampled_piece_counts(b, "item_id", logp, N_TIMES, ALPHA)
+    """T9 + J6: every document N_TIMES, its words drawn from their n-best segmentations."""
+    drawn = UG.sample_ids(documents(spark, sf_dir, "doc_id", "text"), trained_unigram(spark, sf_dir), N_TIMES, ALPHA)
+    return drawn.select("doc_id", "rep", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 # ---------------------------------------------------------------- 10 LM: generation
 
-MAX_NEW_TOKENS = 48
+MAX_NEW_TOKENS = 512
 
 
-def generated(spark, sf_dir):
-    """L4 + V1: one sample per benchmark item, prompt = its first character,
-    EOS = newline, truncated sampling with the corpus bigram model."""
+def context_model(spark, sf_dir):
+    """L1 of the corpus, and its character codec."""
     ensure_checkpoint_dir(spark)
     codec = V.char_codec(doc_char_vocab(spark, sf_dir))
-    iv = LM.intervals(LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P)).checkpoint()
+    return CL.context_model(CL.grams(documents(spark, sf_dir, "text")), len(codec)).checkpoint(), codec
+
+
+@query
+def q_context_model(spark, sf_dir):
+    """L1: the variable-order model, all contexts of up to three characters."""
+    m, _ = context_model(spark, sf_dir)
+    return m.select("ctx", "token", F.col("n").cast("long").alias("n"), F.round("p", 6).alias("p"), F.round("backoff", 6).alias("backoff"))
+
+
+@query
+def q_context_perplexity(spark, sf_dir):
+    """L2 + L3 + A14 with the variable-order model on the held-out benchmark (unknown characters dropped, J2)."""
+    m, codec = context_model(spark, sf_dir)
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", codec.known(F.col("text")).alias("text"))
+    held = CL.grams(b, "item_id").checkpoint()
+    scored = held.join(CL.log_probability(held, m, len(codec)), ["history", "token"])
+    per = scored.groupBy("item_id").agg(F.sum("n").cast("long").alias("n_chars"), (-F.sum(F.col("logp") * F.col("n")) / F.sum("n")).alias("loss"))
+    return per.select("item_id", "n_chars", F.round("loss", 6).alias("loss"), F.round(F.exp("loss"), 6).alias("perplexity"))
+
+
+def generated(spark, sf_dir):
+    """L4 + V1: one sample per benchmark item that goes on from its text, EOS = newline, truncated sampling with the corpus's
+    variable-order model."""
+    m, codec = context_model(spark, sf_dir)
     b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    first = codec.encode(codec.known(F.substring("text", 1, 1)))
-    prompts = b.select(F.col("item_id").alias("sample_id"), first.alias("ids")).where(F.size("ids") > 0)
-    out = LM.generate(prompts, iv, codec.ids["\n"], MAX_NEW_TOKENS)
-    return out.select("sample_id", "n_new", "done", codec.decode(F.col("ids")).alias("text"))
+    prompts = b.select(F.col("item_id").alias("sample_id"), F.right(codec.known(F.col("text")), F.lit(CL.ORDER)).alias("tail"))
+    table = CL.candidates(m, prompts, TEMPERATURE, TOP_K, TOP_P)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/contexts-{uuid.uuid4().hex}"
+    table.write.parquet(path)  # a file, so that the planner knows its size and broadcasts it only if it is small
+    return CL.generate(prompts, spark.read.schema(table.schema).parquet(path), "\n", MAX_NEW_TOKENS)
 
 
 @query
 def q_generate_batch(spark, sf_dir):
-    """L4 + L5: generate, decode, evaluate every sample."""
-    g = generated(spark, sf_dir)
-    m = evaluate_frame(g, ["sample_id", "n_new", "done"])
+    """L4 + L5: generate, evaluate every sample."""
+    m = evaluate_frame(generated(spark, sf_dir), ["sample_id", "n_new", "done"])
     return m.select(
         F.col("sample_id").alias("item_id"), F.col("n_new").cast("long").alias("n_new"), F.col("done").alias("stopped"),
         "line_count", "valid_hendecasyllables", "rhyme_lines",
     )
 
 
+@query
+def q_generation_report(spark, sf_dir):
+    """L5 + A13: the evaluation report over the generated samples."""
+    return evaluation_report(evaluate_frame(generated(spark, sf_dir), ["sample_id"]))
+
+
 # ---------------------------------------------------------------- 14 streaming
 
 
@@ -966,9 +1006,8 @@ def q_run_summary(spark, sf_dir):
 
 @query
 def q_unigram_seed(spark, sf_dir):
-    """T7 seeding: every substring (up to 8 characters) of the distinct marked
-    words weighted by frequency; all single characters plus the most frequent
-    longer pieces (ties by piece)."""
+    """T7 seeding: the substrings of the distinct marked words that occur twice or more, weighted by frequency, and all
+    single characters (of more than SEEDS those with the largest product of count and length, ties by piece)."""
     words = UG.word_freqs(documents(spark, sf_dir, "text")).where(~F.col("word").isin(*UG.USER_SYMBOLS))
-    seeds = UG.seed_pieces(words, 4 * UNIGRAM_VOCAB)
+    seeds = UG.seed_pieces(words)
     return seeds.select("piece", F.col("count").cast("long").alias("count"))
