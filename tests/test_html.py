@@ -45,3 +45,19 @@ def test_scheme_of_many_rhymes(spark):
     df = spark.createDataFrame([(symbols,)], "s array<string>")
     want = "".join(chr(65 + i) for i in range(300)) + "A" + chr(65 + 299)
     assert df.select(pattern_signature(F.col("s"))).first()[0] == want
+
+
+def test_container_ends_at_its_own_end_tag(spark):
+    page = '<div id="other"><a href="/no"></a></div><p><DIV class=x id=\'post\'>a<div id="post">b<div></div></div><a href="/yes">c</a></DIV>d<div id="post">e</div>'
+    body = H.container(F.col("html"), "post")
+    assert _one(spark, page, body) == "<DIV class=x id='post'>a<div id=\"post\">b<div></div></div><a href=\"/yes\">c</a>"
+    assert _one(spark, page, H.links(body)) == ["/yes"]
+    assert _one(spark, '<div id="post">a<div>b</div>', body) == '<div id="post">a<div>b</div>'  # not closed
+    assert _one(spark, '<div id="posted">a</div><divider id="post"></divider>', body) is None and _one(spark, "", body) is None
+    assert _one(spark, '<!-- <div id="post"> --><div id=post>a</div>', body) == "<div id=post>a"
+
+
+def test_urls_without_a_scheme_and_in_any_script(spark):
+    want = {"//host/x?q": "https://host/x", "/x#a": "https:///x", "http://a.it/_à.HTM": "https://a.it/__à.HTM", "HTTP://a/_P1.htm?x=1": "https://a/__P1.HTM", "": "https://", "ftp:x": "https:x"}
+    rows = spark.createDataFrame([(u,) for u in want], "url string").select("url", H.normalize_url(F.col("url")).alias("u")).collect()
+    assert {r.url: r.u for r in rows} == want

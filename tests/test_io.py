@@ -51,3 +51,13 @@ def test_read_pretrain_declared_schema(spark, tmp_path):
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "string", "string", "int", "string", "int"]
     kept = C.content_filter(C.year_filter(df)).select("identifier").collect()
     assert [r[0] for r in kept] == ["a"]  # bad year -> null -> dropped; empty text dropped
+
+
+def test_quarantine_parts_rows_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "12"), (2, "x"), (3, None), (4, "7")], "id long, year string")
+    good, rejected, counts = io.write_quarantined(rows, F.when(F.col("year").try_cast("int").isNull(), "year"), str(tmp_path / "q"))
+    assert sorted(r.id for r in good.collect()) == [1, 4] and good.columns == ["id", "year"]
+    assert sorted((r.id, r.reason) for r in rejected.collect()) == [(2, "year"), (3, "year")]
+    assert counts == {"good": 2, "rejected": 2}
+    none, _, counts = io.write_quarantined(rows.limit(0), F.lit("x"), str(tmp_path / "e"))
+    assert none.count() == 0 and counts == {"good": 0, "rejected": 0}

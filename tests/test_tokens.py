@@ -1,5 +1,9 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
+from versify.operators import context_lm as CL
 from versify.operators import lm as LM
 from versify.operators import pack as P
 from versify.operators import vocab as V
@@ -91,3 +95,58 @@ def test_dense_ids_over_many_ranges(spark):
     toks = spark.createDataFrame([(f"{i * 7919 % 5000:05d}",) for i in range(5000)], "token string")
     got = {r["token"]: r["id"] for r in V.dense_ids(toks).collect()}
     assert got == {f"{i:05d}": i for i in range(5000)}
+
+
+def test_strict_encoding_names_unknown_characters(spark):
+    codec = V.CharCodec(["a", "b"])
+    rows = spark.createDataFrame([("abba",), (None,)], "t string")
+    assert [r[0] for r in rows.select(codec.encode_strict(F.col("t"))).collect()] == [[0, 1, 1, 0], None]
+    with pytest.raises(Exception, match="not in the vocabulary: xy"):
+        spark.createDataFrame([("axby",)], "t string").select(codec.encode_strict(F.col("t"))).collect()
+
+
+def test_context_model_sums_to_one_and_scores_by_its_longest_context(spark):
+    from versify.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    texts = ["abracadabra", "abra cadabra", "", "b"]
+    counts = CL.grams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    vocab = sorted(set("".join(texts)))
+    model = CL.context_model(counts, len(vocab))
+    p = {(r.ctx, r.token): r.p for r in model.collect()}
+    backoff = {r.ctx: r.backoff for r in model.collect()}
+
+    def prob(history, token):
+        if (history, token) in p:
+            return p[history, token]
+        return backoff.get(history, 1.0) * (prob(history[1:], token) if history else 1 / len(vocab))
+
+    for ctx in [*backoff, "zzz", "bzr"]:
+        assert abs(sum(prob(ctx, t) for t in vocab) - 1) < 1e-12
+    asked = [("abr", "a"), ("zab", "c"), ("", "q"), ("rac", " "), ("zzz", "b"), ("ra", "b")]
+    got = CL.log_probability(spark.createDataFrame(asked, "history string, token string"), model, len(vocab)).collect()
+    assert {(r.history, r.token) for r in got} == set(asked)
+    assert all(abs(r.logp - math.log(prob(r.history, r.token))) < 1e-12 for r in got)
+
+
+def test_generation_over_contexts_ends_and_goes_on(spark):
+    from versify.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    text = "abcabcabc\n"
+    model = CL.context_model(CL.grams(spark.createDataFrame([(text,)] * 3, "text string")), 4)
+    prompts = spark.createDataFrame([(1, "abc"), (2, "zzb"), (3, ""), (4, "c\n")], "sample_id long, tail string")
+    out = {r.sample_id: r for r in CL.generate(prompts, CL.candidates(model, prompts, 1.0, None, None), "\n", 40, cut_every=3).collect()}
+    assert len(out) == 4
+    for r in out.values():
+        assert r.n_new == len(r.text) <= 40 and r.done == r.text.endswith("\n") and "\n" not in r.text[:-1]
+    assert out[1].text[0] in "a\n" and out[2].text[0] == "c"
+    assert {r.n_new for r in CL.generate(prompts, CL.candidates(model, prompts, 1.0, None, None), None, 7).collect()} == {7}
+
+
+def test_hash_split_is_of_the_document_alone(spark):
+    docs = spark.range(2000).withColumnRenamed("id", "doc_id")
+    whole = {r.doc_id: r.split for r in V.hash_split(docs, "doc_id").collect()}
+    part = {r.doc_id: r.split for r in V.hash_split(docs.where("doc_id % 3 = 0"), "doc_id").collect()}
+    assert all(whole[d] == s for d, s in part.items())
+    assert abs(sum(s == "train" for s in whole.values()) / 2000 - 0.9) < 0.03

@@ -9,6 +9,8 @@ are all decoded, named, decimal and hexadecimal.
 
 from __future__ import annotations
 
+import re
+
 from html.entities import html5
 
 import pandas as pd
@@ -120,10 +122,37 @@ def page_title(html: Column, url: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """H3: https scheme, no query or fragment, ``/_X.HTM`` -> ``/__X.HTM``."""
-    base = F.regexp_replace(url, r"[?#].*$", "")
-    https = F.regexp_replace(base, r"^[A-Za-z][A-Za-z0-9+.-]*://", "https://")
-    return F.regexp_replace(https, r"(?i)/_(\w+).HTM$", "/__$1.HTM")
+    """H3: https scheme (also where there was none), no query or fragment, ``/_X.HTM`` -> ``/__X.HTM`` for letters of any script."""
+    base = F.regexp_replace(url, r"(?s)[?#].*$", "")
+    rest = F.regexp_replace(base, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    https = F.concat(F.when(rest.startswith("//"), "https:").when((rest == "") | rest.startswith("/"), "https://").otherwise("https:"), rest)
+    return F.regexp_replace(https, r"(?iu)/_([\p{L}\p{N}_]+).HTM$", "/__$1.HTM")
+
+
+def container(html: Column, element_id: str, tag: str = "div") -> Column:
+    """H1: the first ``tag`` element with this id, from its own start tag up to its own end tag, however deep elements of the
+    same kind nest inside; open to the end if it isn't closed; null if there is none."""
+    quoted = re.escape(element_id)
+    wanted = rf"""(?is)^<{tag}\s(?:[^>]*?\s)?id\s*=\s*(?:"{quoted}"|'{quoted}'|{quoted}(?=[\s>]))"""
+    # every part but the first begins with a start or end tag of that kind
+    parts = F.split(F.regexp_replace(html, HIDDEN_RE, ""), rf"(?i)(?=<{tag}[\s>])|(?=</{tag}[\s>])", -1)
+    start = F.struct(*[F.lit(v).alias(n) for n, v in (("at", 0), ("first", -1), ("depth", 0), ("end", -1))])
+
+    def step(a: Column, part: Column) -> Column:
+        begins, ends = part.rlike(rf"(?i)^<{tag}[\s>]"), part.rlike(rf"(?i)^</{tag}")
+        inside = (a["first"] >= 0) & (a["end"] < 0)
+        opens = (a["first"] < 0) & part.rlike(wanted)
+        depth = F.when(opens, 1).when(inside & begins, a["depth"] + 1).when(inside & ends, a["depth"] - 1).otherwise(a["depth"])
+        end = F.when(inside & ends & (a["depth"] == 1), a["at"]).otherwise(a["end"])
+        return F.struct((a["at"] + 1).alias("at"), F.when(opens, a["at"]).otherwise(a["first"]).alias("first"), depth.alias("depth"), end.alias("end"))
+
+    def cut(both: Column) -> Column:
+        found, own = both["found"], both["parts"]
+        size = F.when(found["end"] < 0, F.size(own)).otherwise(found["end"]) - found["first"]
+        return F.when(found["first"] >= 0, F.array_join(F.slice(own, F.greatest(found["first"], F.lit(0)) + 1, F.greatest(size, F.lit(0))), ""))
+
+    bound = F.transform(F.array(parts), lambda own: F.struct(F.aggregate(own, start, step).alias("found"), own.alias("parts")))
+    return F.get(F.transform(bound, cut), F.lit(0))
 
 
 def _nfc_series(s: pd.Series) -> pd.Series:

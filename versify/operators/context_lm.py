@@ -82,7 +82,7 @@ def candidates(model: DataFrame, prompts: DataFrame, temperature: float, k: int
     return longest.join(cands, "ctx").select("tail", "ctx", "cands")
 
 
-def generate(prompts: DataFrame, table: DataFrame, eos: str | None, max_new: int, order: int = ORDER, cut_every: int = 16) -> DataFrame:
+def generate(prompts: DataFrame, table: DataFrame, eos: str | None, max_new: int, order: int = ORDER, cut_every: int = 6) -> DataFrame:
     """L4: (sample_id, text, n_new, done) from prompts (sample_id, tail): one character a step for all samples that have not
     ended, drawn by a hash-seeded number; EOS ends a sample and is kept.  Ended samples leave the loop, and lineage is
     cut every few steps."""
@@ -92,9 +92,9 @@ def generate(prompts: DataFrame, table: DataFrame, eos: str | None, max_new: int
         u = LM.uniform(F.col("sample_id"), F.lit(step))
         held = state.join(table, "tail", "left")
         hit = F.try_element_at(F.filter("cands", lambda c: (u >= c["lo"]) & (u < c["hi"])), F.lit(1))["token"]
-        tok = F.when(~F.col("done"), F.coalesce(hit, F.try_element_at("cands", F.lit(-1))["token"]))
+        tok = F.when(~F.col("done"), F.coalesce(hit, F.try_element_at("cands", F.lit(-1))["token"])).alias("_tok")
         ended = F.col("done") | F.col("_tok").isNull() | (F.col("_tok") == F.lit(eos) if eos is not None else F.lit(False))
-        state = held.withColumn("_tok", tok).select(
+        state = held.select("sample_id", "tail", "ctx", "text", "done", "n_new", tok).select(
             "sample_id",
             F.when(F.col("_tok").isNull(), F.col("tail")).otherwise(F.right(F.concat("ctx", "_tok"), F.lit(order))).alias("tail"),
             F.concat("text", F.coalesce("_tok", F.lit(""))).alias("text"),

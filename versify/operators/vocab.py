@@ -103,6 +103,11 @@ class CharCodec:
         point = lambda c: F.ascii(c) - 1 - F.when(F.ascii(c) > _SURROGATES, _SURROGATE_COUNT).otherwise(0)
         return F.transform(F.filter(F.split(F.translate(text, self.plain, self.coded), ""), lambda c: c != ""), point)
 
+    def encode_strict(self, text: Column) -> Column:
+        """J1 strict: ``encode``; a text with a character that the vocabulary lacks fails the job and names it."""
+        rest = self.unknown(text)
+        return F.when(rest == "", self.encode(text)).when(rest.isNotNull(), F.raise_error(F.concat(F.lit("not in the vocabulary: "), rest)).cast("array<int>"))
+
     def decode(self, ids: Column) -> Column:
         """The text of an id array."""
         tokens = F.filter(F.split(F.lit(self.plain), ""), lambda c: c != "")  # folded to one literal array
@@ -152,3 +157,10 @@ def train_val_split(docs: DataFrame, key: str, ratio: float = 0.9, seed: int = S
     return ordered.join(ranks, "_shuf").withColumn(
         "split", F.when(F.col("rank") <= n_train, F.lit("train")).otherwise(F.lit("val"))
     ).drop("_shuf")
+
+
+def hash_split(docs: DataFrame, key: str, ratio: float = 0.9, seed: int = SEED) -> DataFrame:
+    """K6 by buckets: train where the first 32 bits of md5(seed:key) are below ``ratio`` of their range.  A projection, without
+    rank, count or shuffle, and the same for a document whatever others there are; the share is only about ``ratio``."""
+    bits = F.conv(F.substring(shuffle_key(F.col(key), seed), 1, 8), 16, 10).cast("long")
+    return docs.withColumn("split", F.when(bits < int(ratio * (1 << 32)), F.lit("train")).otherwise(F.lit("val")))

@@ -621,6 +621,56 @@ def q_finetune_records(spark, sf_dir):
     return t.select("doc_id", "poem_no", "title", F.md5(rec).alias("record_md5"))
 
 
+def scratch(spark, name):
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def q_hash_split(spark, sf_dir):
+    """K6 by buckets."""
+    return V.hash_split(documents(spark, sf_dir, "doc_id"), "doc_id").select("doc_id", "split")
+
+
+@query
+def q_split_overlap(spark, sf_dir):
+    """K6: how far the exact split and the one by buckets agree, and their shares."""
+    d = documents(spark, sf_dir, "doc_id")
+    exact = V.train_val_split(d, "doc_id").select("doc_id", F.col("split").alias("exact"))
+    both = exact.join(V.hash_split(d, "doc_id"), "doc_id").groupBy("exact", F.col("split").alias("bucket"))
+    return both.agg(F.count(F.lit(1)).cast("long").alias("docs"))
+
+
+@query
+def q_pretrain_quarantine(spark, sf_dir):
+    """S3: rows whose year or word count can't be read go to a sink of their own, with the reason; here some are spoilt."""
+    c = corpus(spark, sf_dir)
+    year = F.when(F.col("doc_id") % 11 == 0, "n.d.").when(F.col("doc_id") % 13 == 0, F.concat(F.lit("c. "), F.col("publication_date").cast("string"))).otherwise(F.col("publication_date").cast("string"))
+    words = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("word_count").cast("string"))
+    raw = c.select("identifier", year.alias("publication_date"), words.alias("word_count"))
+    reason = F.when(F.col("publication_date").try_cast("int").isNull(), "publication_date").when(F.col("word_count").try_cast("int").isNull(), "word_count")
+    good, rejected, counts = IO.write_quarantined(raw, reason, scratch(spark, "quarantine"))
+    rows = good.select("identifier", F.lit("good").alias("sink"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("identifier", F.lit("rejected").alias("sink"), "reason"))
+    return rows.withColumn("in_sink", F.when(F.col("sink") == "good", counts["good"]).otherwise(counts["rejected"]).cast("long"))
+
+
+@query
+def q_page_quarantine(spark, sf_dir):
+    """Pages without verse, or whose verse has no known structure even after repair, kept apart with the reason."""
+    v = page_verses(pages(spark, sf_dir))
+    reason = F.when(F.col("html").isNull(), "no page").when(F.col("n_paragraphs") == 0, "no paragraphs").when(~F.col("is_valid"), "structure")
+    good, rejected, _ = IO.write_quarantined(v.select("page_id", "html", "n_paragraphs", "is_valid"), reason, scratch(spark, "quarantine"))
+    return good.select("page_id", F.lit("good").alias("sink"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("page_id", F.lit("rejected").alias("sink"), "reason"))
+
+
+@query
+def q_container_links(spark, sf_dir):
+    """H1: links of the container with an id, in page order; the pages' menus stand in for it."""
+    html = F.replace(F.replace(F.col("html"), F.lit("<nav>"), F.lit('<div id="post-body"><div class="text">')), F.lit("</nav>"), F.lit("</div></div>"))
+    p = pages(spark, sf_dir).select("page_id", H.links(H.container(html, "post-body")).alias("hrefs"))
+    return p.select("page_id", F.posexplode("hrefs").alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("link_no"), "href")
+
+
 # ---------------------------------------------------------------- 12 pages
 def pages(spark, sf_dir):
     return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
@@ -866,13 +916,18 @@ def q_context_perplexity(spark, sf_dir):
 
 
 def generated(spark, sf_dir):
+    """The samples of this session: the batch and the report read the same."""
+    return trained_once(spark, sf_dir, "samples", lambda: new_samples(spark, sf_dir).checkpoint())
+
+
+def new_samples(spark, sf_dir):
     """L4 + V1: one sample per benchmark item that goes on from its text, EOS = newline, truncated sampling with the corpus's
     variable-order model."""
     m, codec = context_model(spark, sf_dir)
     b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     prompts = b.select(F.col("item_id").alias("sample_id"), F.right(codec.known(F.col("text")), F.lit(CL.ORDER)).alias("tail"))
     table = CL.candidates(m, prompts, TEMPERATURE, TOP_K, TOP_P)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/contexts-{uuid.uuid4().hex}"
+    path = scratch(spark, "contexts")
     table.write.parquet(path)  # a file, so that the planner knows its size and broadcasts it only if it is small
     return CL.generate(prompts, spark.read.schema(table.schema).parquet(path), "\n", MAX_NEW_TOKENS)
 
@@ -913,7 +968,11 @@ def q_stream_budget(spark, sf_dir):
 
 @query
 def q_stream_encode(spark, sf_dir):
-    return ST.stream_encode(spark, sf_dir)
+    poems = verse_view(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    chars = poems.select(X.to_special_chars(tag_rhymes(X.markup(F.col("text")), with_suffix=True)).alias("text"))
+    path = scratch(spark, "vocabulary")
+    V.char_vocab(chars, special_chars=False).write.parquet(path)
+    return ST.stream_encode(spark, sf_dir, path).drop("batch_id")
 
 
 @query

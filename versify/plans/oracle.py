@@ -682,9 +682,9 @@ def visible_text(e: str, sep: str) -> str:
 
 
 def normalize_url(e: str) -> str:
-    t = f"regexp_replace({e}, '[?#].*$', '')"
-    t = f"regexp_replace({t}, '^[A-Za-z][A-Za-z0-9+.-]*://', 'https://')"
-    return f"regexp_replace({t}, '(?i)/_(\\w+).HTM$', '/__\\1.HTM')"
+    bare = f"regexp_replace(split_part(split_part({e}, '#', 1), '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*:', '')"
+    t = f"CASE WHEN starts_with({bare}, '//') THEN 'https:' WHEN {bare} = '' OR starts_with({bare}, '/') THEN 'https://' ELSE 'https:' END || {bare}"
+    return f"regexp_replace({t}, '(?i)/_([\\p{{L}}\\p{{N}}_]+).HTM$', '/__\\1.HTM')"
 
 
 def shown(html: str) -> str:
@@ -964,8 +964,47 @@ def _():
 
 @sql("stream_encode")
 def _():
-    return f"""WITH {SPECIAL_CTES}
-    SELECT doc_id, poem_no, CAST(length(chars) AS BIGINT) AS chars_len, md5(chars) AS chars_md5 FROM sc0"""
+    return f"""WITH {SPECIAL_CTES},
+    ch AS (SELECT doc_id, poem_no, unnest(string_split(chars, '')) AS c, generate_subscripts(string_split(chars, ''), 1) AS i FROM sc0),
+    vo AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT c FROM ch WHERE c <> '' UNION SELECT chr(10))),
+    ids AS (SELECT doc_id, poem_no, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM ch JOIN vo USING (c) GROUP BY ALL)
+    SELECT doc_id, poem_no, CAST(length(chars) AS BIGINT) AS chars_len, md5(chars) AS chars_md5, CAST(coalesce(n, 0) AS BIGINT) AS n_ids,
+           md5(coalesce(ids, '')) AS ids_md5, CAST(0 AS BIGINT) AS n_unknown FROM sc0 LEFT JOIN ids USING (doc_id, poem_no)"""
+
+
+@sql("hash_split")
+def _():
+    return "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) < floor(0.9 * 4294967296) THEN 'train' ELSE 'val' END AS split FROM documents"
+
+
+@sql("split_overlap")
+def _():
+    return """WITH r AS (SELECT md5('42:' || doc_id) AS h, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS rank, count(*) OVER () AS n FROM documents)
+    SELECT CASE WHEN rank <= floor(n * 0.9) THEN 'train' ELSE 'val' END AS exact,
+           CASE WHEN CAST('0x' || substr(h, 1, 8) AS BIGINT) < floor(0.9 * 4294967296) THEN 'train' ELSE 'val' END AS bucket, count(*) AS docs FROM r GROUP BY ALL"""
+
+
+@sql("pretrain_quarantine")
+def _():
+    return f"""WITH {CORPUS_CTE},
+    q AS (SELECT identifier, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'publication_date' WHEN doc_id % 17 = 0 THEN 'word_count' END AS reason FROM cp)
+    SELECT identifier, CASE WHEN reason IS NULL THEN 'good' ELSE 'rejected' END AS sink, reason, count(*) OVER (PARTITION BY reason IS NULL) AS in_sink FROM q"""
+
+
+@sql("page_quarantine")
+def _():
+    return f"""WITH {PAGE_VERSES_CTE},
+    q AS (SELECT page_id, CASE WHEN html IS NULL THEN 'no page' WHEN n_paragraphs = 0 THEN 'no paragraphs' WHEN NOT is_valid THEN 'structure' END AS reason FROM pv)
+    SELECT page_id, CASE WHEN reason IS NULL THEN 'good' ELSE 'rejected' END AS sink, reason FROM q"""
+
+
+@sql("container_links")
+def _():
+    # the stand-in's container is the menu: anchors from its start tag to its end tag
+    return f"""WITH b AS (SELECT page_id, {shown('html')} AS html FROM pages),
+    ar AS (SELECT page_id, split_part(split_part(html, '<nav>', 2), '</nav>', 1) AS part FROM b),
+    a AS (SELECT page_id, unnest((string_split(part, '<a '))[2:]) AS rest, generate_subscripts((string_split(part, '<a '))[2:], 1) AS i FROM ar)
+    SELECT page_id, CAST(i - 1 AS BIGINT) AS link_no, split_part(split_part(split_part(rest, '>', 1), 'href="', 2), '"', 1) AS href FROM a"""
 
 
 @sql("stream_eval")
@@ -1132,23 +1171,23 @@ def history_sql(source: str, key: str) -> str:
 
 
 def context_ctes() -> str:
-    levels = ["""pl0 AS (SELECT ctx, token, n, backoff, direct + backoff / (SELECT count(*) FROM cv) AS p FROM st WHERE length(ctx) = 0)"""]
+    levels = ["""pl0 AS (SELECT ctx, token, n, backoff, direct + backoff / (SELECT count(*) FROM cv) AS p FROM cxst WHERE length(ctx) = 0)"""]
     for k in range(1, CTX_ORDER + 1):
         levels.append(f"""pl{k} AS (SELECT s.ctx, s.token, s.n, s.backoff, s.direct + s.backoff * l.p AS p
-             FROM st s JOIN pl{k - 1} l ON l.ctx = substr(s.ctx, 2) AND l.token = s.token WHERE length(s.ctx) = {k})""")
+             FROM cxst s JOIN pl{k - 1} l ON l.ctx = substr(s.ctx, 2) AND l.token = s.token WHERE length(s.ctx) = {k})""")
     union = " UNION ALL ".join(f"SELECT * FROM pl{k}" for k in range(CTX_ORDER + 1))
-    return f"""hg AS (SELECT history, token, count(*) AS n FROM {history_sql('documents', 'doc_id')} GROUP BY ALL),
-    he AS (SELECT unnest(list_transform(range(0, length(history) + 1), lambda k: substr(history, length(history) - k + 1))) AS ctx, token, n FROM hg),
-    hc AS (SELECT ctx, token, sum(n) AS n FROM he GROUP BY ALL),
-    hs AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS ctx_n, count(*) OVER (PARTITION BY ctx) AS kinds FROM hc),
-    st AS MATERIALIZED (SELECT ctx, token, n, CAST({DISCOUNT} AS DOUBLE) * kinds / ctx_n AS backoff, (n - CAST({DISCOUNT} AS DOUBLE)) / ctx_n AS direct FROM hs),
+    return f"""cxg AS (SELECT history, token, count(*) AS n FROM {history_sql('documents', 'doc_id')} GROUP BY ALL),
+    cxe AS (SELECT unnest(list_transform(range(0, length(history) + 1), lambda k: substr(history, length(history) - k + 1))) AS ctx, token, n FROM cxg),
+    cxc AS (SELECT ctx, token, sum(n) AS n FROM cxe GROUP BY ALL),
+    cxs AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS ctx_n, count(*) OVER (PARTITION BY ctx) AS kinds FROM cxc),
+    cxst AS MATERIALIZED (SELECT ctx, token, n, CAST({DISCOUNT} AS DOUBLE) * kinds / ctx_n AS backoff, (n - CAST({DISCOUNT} AS DOUBLE)) / ctx_n AS direct FROM cxs),
     {', '.join(levels)},
-    cm AS MATERIALIZED ({union})"""
+    cxm AS MATERIALIZED ({union})"""
 
 
 @sql("context_model")
 def _():
-    return f"WITH {DOC_VOCAB}, {context_ctes()} SELECT ctx, token, CAST(n AS BIGINT) AS n, round(p, 6) AS p, round(backoff, 6) AS backoff FROM cm"
+    return f"WITH {DOC_VOCAB}, {context_ctes()} SELECT ctx, token, CAST(n AS BIGINT) AS n, round(p, 6) AS p, round(backoff, 6) AS backoff FROM cxm"
 
 
 @sql("context_perplexity")
@@ -1158,37 +1197,37 @@ def _():
     joins = []
     for k in range(CTX_ORDER + 1):
         cut = f"substr(g.history, length(g.history) - {k} + 1)"
-        joins.append(f"LEFT JOIN cm m{k} ON length(g.history) >= {k} AND m{k}.ctx = {cut} AND m{k}.token = g.token LEFT JOIN bo b{k} ON length(g.history) >= {k} AND b{k}.ctx = {cut}")
+        joins.append(f"LEFT JOIN cxm m{k} ON length(g.history) >= {k} AND m{k}.ctx = {cut} AND m{k}.token = g.token LEFT JOIN cxb b{k} ON length(g.history) >= {k} AND b{k}.ctx = {cut}")
         p = f"coalesce(m{k}.p, coalesce(b{k}.backoff, 1.0) * ({p}))"
-    return f"""WITH {DOC_VOCAB}, {context_ctes()}, bo AS (SELECT DISTINCT ctx, backoff FROM cm),
-    sc AS (SELECT g.item_id, -ln({p}) AS nll FROM {history_sql('benchmark', 'item_id')} g {' '.join(joins)})
-    SELECT item_id, CAST(count(*) AS BIGINT) AS n_chars, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity FROM sc GROUP BY item_id"""
+    return f"""WITH {DOC_VOCAB}, {context_ctes()}, cxb AS (SELECT DISTINCT ctx, backoff FROM cxm),
+    cxp AS (SELECT g.item_id, -ln({p}) AS nll FROM {history_sql('benchmark', 'item_id')} g {' '.join(joins)})
+    SELECT item_id, CAST(count(*) AS BIGINT) AS n_chars, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity FROM cxp GROUP BY item_id"""
 
 
 def generated_sql() -> str:
     """A WITH clause that ends in ``verse``, the generated samples."""
     u = "CAST(('0x' || substr(md5('42:' || CAST(g.sample_id AS VARCHAR) || ':' || CAST(g.step AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
-    truncated = truncated_ctes().replace(LOGITS, "lg AS (SELECT ctx, token, ln(p) AS logit FROM cm)")
+    truncated = truncated_ctes().replace(LOGITS, "lg AS (SELECT ctx, token, ln(p) AS logit FROM cxm)")
     return f"""WITH RECURSIVE {DOC_VOCAB}, {context_ctes()}, {truncated},
-    iv AS MATERIALIZED (SELECT ctx, token, round(hi, 9) AS hi, round(hi - prob, 9) AS lo FROM (
+    cxi AS MATERIALIZED (SELECT ctx, token, round(hi, 9) AS hi, round(hi - prob, 9) AS lo FROM (
              SELECT *, sum(prob) OVER (PARTITION BY ctx ORDER BY logit DESC, token ASC
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM tp)),
-    ct AS MATERIALIZED (SELECT ctx, list(struct_pack(hi := hi, lo := lo, token := token) ORDER BY hi) AS cands FROM iv GROUP BY ctx),
-    pk AS (SELECT item_id, string_agg(token, '' ORDER BY i) AS known FROM (
+    cxt AS MATERIALIZED (SELECT ctx, list(struct_pack(hi := hi, lo := lo, token := token) ORDER BY hi) AS cands FROM cxi GROUP BY ctx),
+    cxk AS (SELECT item_id, string_agg(token, '' ORDER BY i) AS known FROM (
              SELECT item_id, unnest({chars_sql('text')}) AS token, generate_subscripts({chars_sql('text')}, 1) AS i FROM benchmark) JOIN cv USING (token) GROUP BY item_id),
-    pr AS (SELECT item_id AS sample_id, coalesce(substr(known, greatest(length(known) - {CTX_ORDER - 1}, 1)), '') AS tail FROM benchmark LEFT JOIN pk USING (item_id)),
-    gen AS (
-      SELECT sample_id, 0 AS step, tail, '' AS text, false AS done, 0 AS n_new FROM pr
+    cxr AS (SELECT item_id AS sample_id, coalesce(substr(known, greatest(length(known) - {CTX_ORDER - 1}, 1)), '') AS tail FROM benchmark LEFT JOIN cxk USING (item_id)),
+    cxn AS (
+      SELECT sample_id, 0 AS step, tail, '' AS text, false AS done, 0 AS n_new FROM cxr
       UNION ALL
       SELECT sample_id, step + 1, CASE WHEN tok IS NULL THEN tail ELSE substr(ctx || tok, greatest(length(ctx || tok) - {CTX_ORDER - 1}, 1)) END,
              text || coalesce(tok, ''), tok IS NULL OR tok = chr(10), n_new + CASE WHEN tok IS NULL THEN 0 ELSE 1 END
       FROM (SELECT g.sample_id, g.step, g.tail, g.text, g.n_new, c.ctx,
                    coalesce(list_filter(c.cands, lambda x: {u} >= x.lo AND {u} < x.hi)[1].token, c.cands[-1].token) AS tok
             FROM (SELECT sample_id, step, tail, text, n_new, coalesce(c3.ctx, c2.ctx, c1.ctx, '') AS use
-                  FROM gen LEFT JOIN ct c3 ON c3.ctx = tail LEFT JOIN ct c2 ON c2.ctx = right(tail, 2) LEFT JOIN ct c1 ON c1.ctx = right(tail, 1)
-                  WHERE NOT done AND step < {MAX_NEW_TOKENS}) g LEFT JOIN ct c ON c.ctx = g.use)),
-    fin AS (SELECT sample_id, arg_max(text, step) AS text, arg_max(done, step) AS done, arg_max(n_new, step) AS n_new FROM gen GROUP BY sample_id),
-    verse AS (SELECT CAST(sample_id AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS poem_no, 'gen' AS lang, text, n_new, done FROM fin)"""
+                  FROM cxn LEFT JOIN cxt c3 ON c3.ctx = tail LEFT JOIN cxt c2 ON c2.ctx = right(tail, 2) LEFT JOIN cxt c1 ON c1.ctx = right(tail, 1)
+                  WHERE NOT done AND step < {MAX_NEW_TOKENS}) g LEFT JOIN cxt c ON c.ctx = g.use)),
+    cxf AS (SELECT sample_id, arg_max(text, step) AS text, arg_max(done, step) AS done, arg_max(n_new, step) AS n_new FROM cxn GROUP BY sample_id),
+    verse AS (SELECT CAST(sample_id AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS poem_no, 'gen' AS lang, text, n_new, done FROM cxf)"""
 
 
 @sql("generate_batch")

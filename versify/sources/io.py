@@ -6,7 +6,7 @@ path relative to the root); everything else is parquet or JSON lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,3 +134,17 @@ def run_summary(evals: DataFrame, run: str = "user_id") -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """Metadata sinks (S12-S14) as JSON."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_quarantined(df: DataFrame, reason: Column, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Rows without a reason and rejected rows with theirs, to two folders in one pass; and how many went where, counted
+    by the same pass."""
+    spark = df.sparkSession
+    counted = Observation()
+    marked = df.withColumn("reason", reason).withColumn("sink", F.when(F.col("reason").isNull(), "good").otherwise("rejected"))
+    seen = marked.observe(counted, F.count(F.when(F.col("reason").isNull(), 1)).alias("good"), F.count("reason").alias("rejected"))
+    seen.write.partitionBy("sink").parquet(path)
+    kept = T.StructType([f for f in marked.schema.fields if f.name != "sink"])
+    both = spark.read.schema(kept.add("sink", "string")).parquet(path)
+    good = both.where(F.col("sink") == "good").drop("sink", "reason")
+    return good, both.where(F.col("sink") == "rejected").drop("sink"), dict(counted.get)
