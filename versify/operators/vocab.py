@@ -54,11 +54,13 @@ def char_set(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def char_vocab(texts: DataFrame, text_col: str = "text", special_chars: bool = True) -> DataFrame:
     """A7 + W4 + K7: sorted character vocabulary (specials mapped to chars first).
-    The result is a checkpoint of the ranked set, so consumers don't read the texts again."""
+    One pass over the texts; the set, at most one row for each Unicode code point whatever the corpus, is ranked on
+    the driver, which holds it for the codec anyway, so consumers don't read the texts again."""
     src = texts.select(to_special_chars(F.col(text_col)).alias("text")) if special_chars else texts.select(
         F.col(text_col).alias("text")
     )
-    return dense_ids(char_set(src))
+    tokens = sorted(r["token"] for r in char_set(src).collect())  # code points sort as their UTF-8 bytes do
+    return texts.sparkSession.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
 
 
 def syllable_vocab(tokens: DataFrame) -> DataFrame:
