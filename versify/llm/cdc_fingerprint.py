@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ LEAST, NORMAL, LARGEST = 32, 96, 384
 HARD, EASY = 8, 5
 #: Characters of the rows that one task takes in order of their id.
 RANGE_CHARS = 16_000_000
+#: Ranges at most; on larger inputs they hold more characters.
+MOST_RANGES = 50_000
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 Fingerprint = dict[int, int]
@@ -118,7 +120,7 @@ def in_ranges(rows: DataFrame, chars: int) -> tuple[DataFrame, int]:
     later, so the bounds come from the ids alone: quantiles found by Spark, one for each range."""
     if not isinstance(rows.schema["id"].dataType, T.NumericType):
         raise ValueError("the order of the rows needs a numeric id")
-    wanted = int(chars // RANGE_CHARS) + 1
+    wanted = min(int(chars // RANGE_CHARS) + 1, MOST_RANGES)
     if wanted == 1:
         return rows.withColumn("part", F.lit(0).cast("long")), 1
     bounds = sorted(set(rows.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.1 / wanted)))
@@ -135,17 +137,16 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranged, parts = in_ranges(rows, chars)
     # a range's last row needs the first one of the next range that has rows; the last range's that of the first
     head = F.min(F.struct(F.col("id").isNotNull().alias("given"), "id", F.md5("text").alias("body")))
-    heads = sorted(ranged.groupBy("part").agg(head.alias("h")).collect(), key=lambda r: r["part"])  # one short row for each range
-    follow = [(r["part"], heads[k - 1]["part"]) for k, r in enumerate(heads)]  # its head closes the range before
-    id_type = docs.schema[id_col].dataType
-    kind = T.StructType([T.StructField("hid", id_type), T.StructField("body", T.StringType()), T.StructField("to", T.LongType())])
-    found = [(r["h"]["id"], r["h"]["body"], to) for r, (_, to) in zip(heads, follow, strict=True)]
+    heads = ranged.groupBy("part").agg(head.alias("h"))  # one short row for each range, at most MOST_RANGES
+    in_order = Window.orderBy("part")
+    before = F.coalesce(F.lag("part").over(in_order), F.max("part").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     # as a file, whose size the planner knows before it would move the texts for the join
-    closing = keep(docs.sparkSession.createDataFrame(found, kind), "closing")
+    closing = keep(heads.select(F.col("h.id").alias("hid"), F.col("h.body").alias("body"), before.alias("to")), "closing")
+    id_type = docs.schema[id_col].dataType
     ends = ranged.join(closing, F.col("id").eqNullSafe(F.col("hid"))).where(F.md5("text") == F.col("body")).select("id", "text", F.col("to").alias("part"))
     ends = ends.dropDuplicates(["part"])
     both = ranged.select("part", F.lit(0).alias("late"), "id", "text").unionByName(ends.select("part", F.lit(1).alias("late"), "id", "text"))
-    ordered = both.repartition(parts, "part").sortWithinPartitions("part", "late", "id", F.md5("text"))
+    ordered = both.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "late", "id", F.md5("text"))
     schema = T.StructType([T.StructField("doc_id", id_type)])
     schema.add("n_chars", T.LongType()).add("edited_sha256", T.StringType()).add("fingerprint", T.StringType()).add("edited_fingerprint", T.StringType())
     schema.add("near_edited", T.DoubleType()).add("near_next", T.DoubleType())
