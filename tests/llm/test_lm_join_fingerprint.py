@@ -58,6 +58,56 @@ def test_forward_and_expectations_against_enumeration():
         assert np.allclose(got, want)
 
 
+def test_stretches_of_a_long_text_give_the_same_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    share = np.full(hmm_lm.CLASSES + 2, 1 / (hmm_lm.CLASSES + 2))
+    model = hmm_lm.first_states(share)
+    lengths = [900, 1, 450, 449, 7]
+    seq, edge = rng.integers(0, 50, sum(lengths)), np.cumsum([0, *lengths])
+    sums = []
+    for held in (1 << 19, 100):
+        monkeypatch.setattr(hmm_lm, "HELD", held)
+        into = np.zeros(hmm_lm.STATES), np.zeros((hmm_lm.STATES,) * 2), np.zeros(model.emit.shape)
+        hmm_lm.expected(model, seq, edge, into)
+        sums.append(into)
+    assert all(np.allclose(a, b) for a, b in zip(*sums, strict=True))
+    assert abs(sums[0][2].sum() - sum(lengths)) < 1e-6 and abs(sums[0][1].sum() - sum(lengths) + len(lengths)) < 1e-6
+
+
+def test_score_against_enumeration_of_states_and_words(spark, docs):
+    """P(word | state) = E * p(word) / p(class), summed over all paths of states."""
+    rows = [(i, t) for i, t in enumerate(["a b", "b c a", "c", "", "A b c", "d a", "a a a b", "new b"] * 3)]
+    learn = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in learn for w in [*words(t), "\n"])
+    n, v = sum(count.values()), len(count)
+    hashes = next(iter(hmm_lm.tokens(pa.array([" ".join(w for w in count if w != "\n")]))))[2]
+    of = dict(zip([w for w in count if w != "\n"], hmm_lm.classes(hashes).tolist(), strict=True)) | {"\n": hmm_lm.END}
+    share = np.zeros(hmm_lm.CLASSES + 2)
+    for w, c in count.items():
+        share[of[w]] += (c + 1) / (n + v + 1)
+    share[hmm_lm.UNKNOWN] = 1 / (n + v + 1)
+    assert abs(share.sum() - 1) < 1e-12
+    model = hmm_lm.baum_welch(docs(list(enumerate(learn))), hmm_lm.first_states(np.maximum(share, 1e-12)), 2)
+    emit = np.where(share[:, None] > 0, model.emit, 0)
+    emit[hmm_lm.UNKNOWN] = 0
+    emit *= (1 - share[hmm_lm.UNKNOWN]) / emit.sum(0)
+
+    def chance(word, state):
+        if word not in count:
+            return share[hmm_lm.UNKNOWN]
+        return emit[of[word], state] * (count[word] + 1) / (n + v + 1) / share[of[word]]
+
+    for state in range(hmm_lm.STATES):
+        assert abs(sum(chance(w, state) for w in [*count, "never seen"]) - 1) < 1e-9
+    for r in hmm_lm.score_documents(docs(rows), rounds=2).collect():
+        seq = [*words(rows[r["doc_id"]][1]), "\n"]
+        total = 0.0
+        for path in itertools.product(range(hmm_lm.STATES), repeat=len(seq)):
+            p = model.start[path[0]] * math.prod(model.step[a, b] for a, b in zip(path, path[1:], strict=False))
+            total += p * math.prod(chance(w, z) for w, z in zip(seq, path, strict=True))
+        assert abs(r["score"] - math.log10(total)) < 1e-6
+
+
 def test_states_learn(spark, docs):
     rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * j) % 23}" for j in range(1, 40))) for i in range(200)]
     got = [r for r in hmm_lm.score_documents(docs(rows), rounds=4).collect() if r["held_out"]]

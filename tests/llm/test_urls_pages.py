@@ -1,3 +1,4 @@
+import math
 import time
 
 import pytest
@@ -38,11 +39,29 @@ def test_model_learns_characters(spark):
     assert (got[380], got[381]) == ("block", "allow")
 
 
-def test_models_sum_to_one(spark):
-    text = spark.createDataFrame([("^ab",), ("bab",), ("^a",), ("abc",), ("^b",)], "gram string").selectExpr("gram", "2L AS yes", "1L AS no")
-    got = {r["gram"]: r["ratio"] for r in url_filter.markov_log_ratios(text, 2).collect()}
-    assert set(got) == {"a", "b", "c", "^a", "^b", "ab", "bc", "^ab", "bab", "abc"}
-    assert all(abs(x) < 1.0 for x in got.values())  # both classes saw the same grams
+def test_models_against_a_plain_witten_bell(spark):
+    """Every context's probabilities, from the definition; they sum to 1 over the alphabet."""
+    rows = [("^ab", 2, 1), ("bab", 3, 0), ("^a", 1, 4), ("abc", 5, 2), ("^b", 0, 3), ("bcb", 1, 1), ("abb", 0, 2), ("c", 1, 0)]
+    grams = spark.createDataFrame(rows, "gram string, yes long, no long")
+    got = {r["gram"]: r["ratio"] for r in url_filter.markov_log_ratios(grams, 2).collect()}
+
+    def model(of):
+        def chance(context, last):
+            ends = [(g[-1], r[of]) for r in rows for g in [r[0]] if len(g) > len(context) and g[:-1].endswith(context)]
+            n, kinds = sum(c for _, c in ends), len({x for x, c in ends if c})
+            low = chance(context[1:], last) if context else 1 / url_filter.ALPHABET
+            return (sum(c for x, c in ends if x == last) + kinds * low) / (n + kinds) if n else low
+
+        return chance
+
+    yes, no = model(1), model(2)
+    assert got.keys() == {r[0][-k:] for r in rows for k in (1, 2, 3) if len(r[0]) >= k}
+    for gram, ratio in got.items():
+        assert abs(ratio - math.log(yes(gram[:-1], gram[-1]) / no(gram[:-1], gram[-1]))) < 1e-9
+    letters = [chr(33 + i) for i in range(url_filter.ALPHABET)]
+    for chance in (yes, no):
+        for context in ("", "a", "ab", "b", "^", "^a"):
+            assert abs(sum(chance(context, x) for x in letters) - 1) < 1e-9
 
 
 def page(article, boiler="", title="t"):

@@ -24,11 +24,13 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +45,12 @@ ROUNDS = 4
 BLOCK_CHARS = 12_000_000
 GATHER = 2_000_000
 TOGETHER = 4_096
+#: Positions whose states Baum-Welch holds at once.
+HELD = 1 << 19
 #: Fixed value: the end token's identity among word hashes.
 END_HASH = np.uint64(0x454E44)
 #: Pseudo-counts of Baum-Welch for a class and a transition.
 CLASS_PRIOR, STEP_PRIOR = 0.01, 0.1
-SALTS = 16
 
 
 @dataclass
@@ -181,48 +184,67 @@ def forward(model: States, seq: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def expected(model: States, seq: np.ndarray, edge: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Add the expected starts, transitions and emissions of the sequences to ``into``."""
+    """Add the expected starts, transitions and emissions of the sequences to ``into``.
+
+    Positions are read in stretches of at most HELD tokens (or the square root of a longer text).  The way forward
+    keeps the states at the end of each stretch, the way back makes those inside a stretch again."""
     start, step, emit = into
-    lengths = np.diff(edge)
+    lengths, states = np.diff(edge), len(start)
     for group in _side_by_side(lengths):
         begin, length = edge[group], lengths[group]
         most = int(length[0])
-        live = [len(group)] + [int(np.searchsorted(-length, -t, "left")) for t in range(1, most)]
-        alpha, scales = [], []
-        a = model.start * model.emit[seq[begin]]
-        for t in range(most):
-            if t:
-                a = (alpha[-1][: live[t]] @ model.step) * model.emit[seq[begin[: live[t]] + t]]
-            c = a.sum(1)
-            alpha.append(a / c[:, None])
-            scales.append(c)
-        beta = np.ones((live[-1], len(start)))
-        seen, held = [], []
-        for t in range(most - 1, -1, -1):
-            if len(beta) < live[t]:  # texts that end here
-                beta = np.concatenate([beta, np.ones((live[t] - len(beta), len(start)))])
-            seen.append(seq[begin[: live[t]] + t])
-            held.append(alpha[t] * beta)
-            if t:
-                right = model.emit[seen[-1]] * beta / scales[t][:, None]
-                step += model.step * (alpha[t - 1][: live[t]].T @ right)
-                beta = right @ model.step.T
-        start += held[-1].sum(0)
-        of, gamma = np.concatenate(seen), np.concatenate(held)
-        for k in range(len(start)):
-            emit[:, k] += np.bincount(of, weights=gamma[:, k], minlength=len(emit))
-
-
-def baum_welch(docs: DataFrame, model: States, rounds: int = ROUNDS) -> States:
-    """``rounds`` of Baum-Welch over all of (text); a task sends its summed counts in pieces, which are
-    added up under a salt first."""
+        live = np.searchsorted(-length, -np.arange(most), "left")  # texts longer than t come first
+        stride = max(math.isqrt(most) + 1, HELD // len(group))
+        stretches = [(first, min(first + stride, most)) for first in range(0, most, stride)]
+
+        def ahead(a, first: int, last: int, begin=begin, live=live) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+            """Where each position begins, its classes, states and scales; ``a``: the states before ``first``."""
+            cut = [0, *np.cumsum(live[first:last]).tolist()]
+            of, alpha, scale = np.empty(cut[-1], np.int32), np.empty((cut[-1], states)), np.empty((cut[-1], 1))
+            for t, (x, y) in enumerate(zip(cut, cut[1:], strict=False), first):
+                of[x:y] = seq[begin[: y - x] + t]
+                now = alpha[x:y]
+                np.multiply(a[: y - x] @ model.step if t else model.start, model.emit[of[x:y]], out=now)
+                scale[x:y] = now.sum(1, keepdims=True)
+                now /= scale[x:y]
+                a = now
+            return cut, of, alpha, scale
+
+        before: list = [None]
+        for first, last in stretches[:-1]:
+            cut, _, alpha, _ = ahead(before[-1], first, last)
+            before.append(alpha[cut[-2] :].copy())
+        beta = np.ones((int(live[-1]), states))
+        for (first, last), prior in zip(reversed(stretches), reversed(before), strict=True):
+            cut, of, alpha, scale = ahead(prior, first, last)
+            for t in range(last - 1, first - 1, -1):
+                x, y = cut[t - first], cut[t - first + 1]
+                if len(beta) < y - x:  # texts that end here
+                    beta = np.concatenate([beta, np.ones((y - x - len(beta), states))])
+                alpha[x:y] *= beta  # from here on the share of each state
+                if t:
+                    right = model.emit[of[x:y]] * beta / scale[x:y]
+                    left = alpha[cut[t - first - 1] : x] if t > first else prior
+                    step += model.step * (left[: y - x].T @ right)
+                    beta = right @ model.step.T
+            if not first:
+                start += alpha[: cut[1]].sum(0)
+            for k in range(states):
+                emit[:, k] += np.bincount(of, weights=alpha[:, k], minlength=len(emit))
+
+
+def baum_welch(docs: DataFrame, model: States, rounds: int = ROUNDS, width: int = 1) -> States:
+    """``rounds`` of Baum-Welch over all of (text).  A task sends its summed counts in pieces; of each piece
+    ``width`` tasks add up a part of them, then one task adds up these, so with ``width`` the square root of the number
+    of tasks no task reads more than that many rows of bounded size."""
     pieces = np.array_split(np.arange(CLASSES + 2), 8)
     for _ in range(rounds):
         now = model
 
         def counted(batches: Iterator[pa.RecordBatch], now: States = now) -> Iterator[pa.RecordBatch]:
             into = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 2, STATES))
-            salt = 0
+            context = TaskContext.get()
+            salt = context.partitionId() % width if context else 0
             seqs: list[np.ndarray] = []
             many: list[np.ndarray] = []
 
@@ -235,13 +257,12 @@ def baum_welch(docs: DataFrame, model: States, rounds: int = ROUNDS) -> States:
                 for _, _, words, edge in tokens(batch.column(0)):
                     seqs.append(_with_ends(classes(words), edge, END))
                     many.append(np.diff(edge) + 1)
-                    salt += len(words)
                     if sum(map(len, seqs)) >= GATHER:
                         run()
             if seqs:
                 run()
             rows = [into[0], into[1].ravel(), *(into[2][p].ravel() for p in pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([salt % SALTS] * len(rows), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["piece", "salt", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["piece", "salt", "sums"])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -253,9 +274,11 @@ def baum_welch(docs: DataFrame, model: States, rounds: int = ROUNDS) -> States:
                 yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["piece", "salt", "sums"])
 
         kind = "piece int, salt int, sums binary"
-        sums = docs.select("text").mapInArrow(counted, kind).repartition(SALTS, "piece", "salt").mapInArrow(added, kind)
+        sums = docs.select("text").mapInArrow(counted, kind)
+        for tasks in (width * (len(pieces) + 2), len(pieces) + 2):
+            sums = sums.repartition(tasks, "piece", "salt").mapInArrow(added, kind)
         total: dict[int, np.ndarray] = {}
-        for row in sums.collect():  # at most SALTS rows of bounded size for each piece
+        for row in sums.collect():  # a row of bounded size for each piece
             part = np.frombuffer(row["sums"], np.float64)
             total[row["piece"]] = total.get(row["piece"], 0) + part
         if not total:
@@ -350,7 +373,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     end = max(int(share[END]) - 1, 0)
     share[UNKNOWN] = 1
     share /= n + v + 1
-    model = baum_welch(learn, first_states(np.maximum(share, 1e-12)), rounds) if n else first_states(np.maximum(share, 1e-12))
+    model = baum_welch(learn, first_states(np.maximum(share, 1e-12)), rounds, math.isqrt(blocks) + 1) if n else first_states(np.maximum(share, 1e-12))
     emit = model.emit.copy()  # classes of which no word is known give nothing; the unknown word gets its smoothed share
     emit[share == 0] = 0
     emit[UNKNOWN] = 0
