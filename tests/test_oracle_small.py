@@ -9,7 +9,7 @@ from versify.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 FAST = ["clean_text", "rhyme_suffix", "rhyme_tags", "evaluate_documents", "word_budget", "char_vocab",
-        "split_tokens", "top_p", "top_p_hook", "page_verses", "page_links", "chat_template", "best_step", "pretokenize", "bpe_pairs",
+        "split_tokens", "char_streams", "draw", "top_p", "top_p_hook", "page_verses", "page_links", "chat_template", "best_step", "pretokenize", "bpe_pairs",
         "pretrain_files", "text_files", "text_table", "jsonl_records", "finetune_titles", "syllable_count",
         "hash_split", "split_overlap", "pretrain_quarantine", "page_quarantine", "container_links", "url_normalize", "context_perplexity", "unigram_seed"]
 

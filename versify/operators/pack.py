@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versify.operators.corpus import running_total
+from versify.operators.vocab import CharCodec, train_val_split
 
 
 def stream_offsets(docs: DataFrame, rank_col: str = "rank", ids_col: str = "ids") -> DataFrame:
@@ -28,6 +29,26 @@ def stream_tokens(docs: DataFrame, rank_col: str = "rank", ids_col: str = "ids")
     ).select((F.col("start") + F.col("i")).alias("pos"), F.col("id"))
 
 
+def stream_places(lengths: DataFrame, key: str, ratio: float = 0.9) -> DataFrame:
+    """(key, split, first, start) of (key, ln): where each document begins in the stream of its split, in
+    shuffle order, with one separator before every document but the first of a split.  Only keys and lengths move."""
+    ranked = train_val_split(lengths.select(key, "ln"), key, ratio).checkpoint()
+    firsts = [r["first"] for r in ranked.groupBy("split").agg(F.min("rank").alias("first")).collect()]  # a row for each split
+    leads = F.col("rank").isin(firsts)
+    sized = ranked.select(key, "split", "rank", leads.alias("first"), (F.col("ln") + F.when(leads, 0).otherwise(1)).alias("n"))
+    train = sized.agg(F.sum(F.when(F.col("split") == "train", F.col("n")))).first()[0] or 0
+    start = F.col("at") - F.when(F.col("split") == "val", F.lit(train)).otherwise(F.lit(0))
+    return running_total(sized, "rank", "n", "at").select(key, "split", "first", start.cast("long").alias("start"))
+
+
+def encoded_streams(docs: DataFrame, places: DataFrame, key: str, codec: CharCodec, text_col: str = "text") -> DataFrame:
+    """(split, start, key, ids) of (key, text): the texts join their places once and are encoded there, separators in
+    front; a character that the vocabulary lacks fails the job."""
+    text = F.when(F.col("first"), F.col("_t")).otherwise(F.concat(F.lit("\n"), F.col("_t")))
+    joined = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(places, key)
+    return joined.select("split", "start", key, codec.encode_strict(text).alias("ids"))
+
+
 def pack_blocks(tokens: DataFrame, n_tokens: int, batch: int, block: int) -> DataFrame:
     """Batches of ``batch x block`` inputs and their next-token targets.
 

@@ -19,7 +19,7 @@ from versify.functions.text import to_special_chars
 SEED = 42
 
 
-def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0) -> DataFrame:
+def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0, kind: str = "int") -> DataFrame:
     """id = rank in binary order.
 
     The set is never put in one partition: it is range-partitioned, each partition
@@ -37,7 +37,7 @@ def dense_ids(tokens: DataFrame, col: str = "token", first_id: int = 0) -> DataF
     inside = Window.partitionBy("_pid").orderBy(col)
     return (
         ranged.join(offsets, "_pid")
-        .select(col, (F.col("_off") + F.row_number().over(inside) - 1 + first_id).cast("int").alias("id"))
+        .select(col, (F.col("_off") + F.row_number().over(inside) - 1 + first_id).cast(kind).alias("id"))
     )
 
 
@@ -148,17 +148,11 @@ def shuffle_key(key: Column, seed: int = SEED) -> Column:
 def train_val_split(docs: DataFrame, key: str, ratio: float = 0.9, seed: int = SEED) -> DataFrame:
     """K6 exact: rank in md5 order; the first floor(ratio * n) are train."""
     ordered = docs.withColumn("_shuf", shuffle_key(F.col(key), seed))
-    ranks = (
-        dense_ids(ordered.select(F.col("_shuf").alias("token")), "token", first_id=1)
-        .withColumnRenamed("token", "_shuf")
-        .withColumnRenamed("id", "rank")
-        .cache()  # one (hash, rank) row per document, reused by every consumer of the split
-    )
-    n = docs.count()
-    n_train = int(n * ratio)
-    return ordered.join(ranks, "_shuf").withColumn(
-        "split", F.when(F.col("rank") <= n_train, F.lit("train")).otherwise(F.lit("val"))
-    ).drop("_shuf")
+    ranks = dense_ids(ordered.select(F.col("_shuf").alias("token")), "token", first_id=1, kind="long")
+    ranks = ranks.withColumnRenamed("token", "_shuf").withColumnRenamed("id", "rank").checkpoint()  # reused by every consumer
+    n_train = int(ranks.count() * ratio)
+    split = F.when(F.col("rank") <= n_train, F.lit("train")).otherwise(F.lit("val"))
+    return ordered.join(ranks, "_shuf").withColumn("split", split).drop("_shuf")
 
 
 def hash_split(docs: DataFrame, key: str, ratio: float = 0.9, seed: int = SEED) -> DataFrame:

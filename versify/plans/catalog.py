@@ -439,13 +439,27 @@ def doc_split(spark, sf_dir):
 
 @query
 def q_split_tokens(spark, sf_dir):
-    s = doc_split(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    s = V.train_val_split(documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.length("text").alias("ln")), "doc_id")
     return s.groupBy("split").agg(
         F.count(F.lit(1)).cast("long").alias("n_docs"),
-        (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).cast("long").alias("n_tokens"),
+        (F.sum("ln") + F.count(F.lit(1)) - 1).cast("long").alias("n_tokens"),
     )
 
 
+@query
+def q_char_streams(spark, sf_dir):
+    """The corpus as two streams of ids in shuffle order with separators, written and read back."""
+    ensure_checkpoint_dir(spark)
+    codec = V.char_codec(doc_char_vocab(spark, sf_dir))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", X.to_special_chars(F.coalesce("text", F.lit(""))).alias("text"))
+    places = P.stream_places(d.select("doc_id", F.length("text").cast("long").alias("ln")), "doc_id")
+    path = files.folder(spark, "streams")
+    IO.write_streams(P.encoded_streams(d, places, "doc_id", codec), path)
+    back = IO.read_streams(spark, path)
+    return back.select("doc_id", F.col("split").cast("string").alias("split"), "start", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
 # ---------------------------------------------------------------- 8 pack
 def train_placed(spark, sf_dir, split=None):
     """Train-split texts in shuffle order with the separator prefixed and the
@@ -564,13 +578,13 @@ def q_top_p_hook(spark, sf_dir):
 
 @query
 def q_draw(spark, sf_dir):
-    """K4: one draw per benchmark item from the truncated distribution of its first character."""
+    """K4: a draw after each character of each benchmark text, from the truncated distribution of that character."""
     iv = LM.intervals(LM.truncated(logits(spark, sf_dir), TEMPERATURE, TOP_K, TOP_P))
-    b = read_table(spark, sf_dir, "benchmark", "item_id", "text").withColumn("token", F.substring("text", 1, 1))
-    ctx = b.join(doc_char_vocab(spark, sf_dir), "token")
-    samples = ctx.select(F.col("item_id").alias("sample_id"), F.col("id").alias("ctx"), LM.uniform(F.col("item_id"), F.lit(0)).alias("u"))
-    out = LM.draw(samples, iv)
-    return out.select(F.col("sample_id").alias("item_id"), F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"))
+    chars = V.explode_chars(read_table(spark, sf_dir, "benchmark", "item_id", "text"), ["item_id"])
+    samples = chars.join(doc_char_vocab(spark, sf_dir), "token").select(
+        F.struct("item_id", "pos").alias("sample_id"), F.col("id").alias("ctx"), LM.uniform(F.col("item_id"), F.col("pos")).alias("u")
+    )
+    return LM.draw(samples, iv).select("sample_id.item_id", "sample_id.pos", F.col("ctx").cast("int").alias("ctx"), F.col("token").cast("int").alias("token"))
 
 
 # ---------------------------------------------------------------- 11 chat / fine-tune

@@ -504,6 +504,19 @@ def _():
     FROM sp GROUP BY split"""
 
 
+@sql("char_streams")
+def _():
+    return f"""WITH {DOC_VOCAB}, {SPLIT_CTE},
+    pf AS (SELECT doc_id, split, rank, rank = min(rank) OVER (PARTITION BY split) AS lead, {special_chars("coalesce(text, '')")} AS text FROM sp),
+    pt AS (SELECT doc_id, split, rank, CASE WHEN lead THEN text ELSE chr(10) || text END AS t FROM pf),
+    ps AS (SELECT doc_id, split, t, coalesce(sum(length(t)) OVER (PARTITION BY split ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pt),
+    pc AS (SELECT doc_id, unnest(list_filter(string_split(t, ''), lambda c: c <> '')) AS token,
+                  generate_subscripts(list_filter(string_split(t, ''), lambda c: c <> ''), 1) AS i FROM ps),
+    pe AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS s FROM pc JOIN cv USING (token) GROUP BY doc_id)
+    SELECT doc_id, split, CAST(start AS BIGINT) AS start, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, md5(coalesce(s, '')) AS ids_md5
+    FROM ps LEFT JOIN pe USING (doc_id)"""
+
+
 # ---------------------------------------------------------------- 8 pack
 BATCH, BLOCK = 4, 64
 
@@ -619,12 +632,14 @@ def _():
              SELECT *, sum(prob) OVER (PARTITION BY ctx ORDER BY logit DESC, token ASC
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM tp)),
     lastt AS (SELECT ctx, arg_max(token, hi) AS last_token FROM iv GROUP BY ctx),
-    s AS (SELECT b.item_id, cv.id AS ctx,
-                 CAST(('0x' || substr(md5('42:' || CAST(b.item_id AS VARCHAR) || ':0'), 1, 8)) AS BIGINT) / 4294967296.0 AS u
-          FROM benchmark b JOIN cv ON cv.token = substring(b.text, 1, 1)),
-    hit AS (SELECT s.item_id, min(iv.token) AS token FROM s JOIN iv ON s.ctx = iv.ctx AND s.u >= iv.lo AND s.u < iv.hi GROUP BY s.item_id)
-    SELECT s.item_id, CAST(s.ctx AS INTEGER) AS ctx, CAST(coalesce(hit.token, lastt.last_token) AS INTEGER) AS token
-    FROM s LEFT JOIN hit USING (item_id) LEFT JOIN lastt ON s.ctx = lastt.ctx"""
+    bc AS (SELECT item_id, unnest(list_filter(string_split(text, ''), lambda c: c <> '')) AS token,
+                  generate_subscripts(list_filter(string_split(text, ''), lambda c: c <> ''), 1) - 1 AS pos FROM benchmark),
+    s AS (SELECT bc.item_id, bc.pos, cv.id AS ctx,
+                 CAST(('0x' || substr(md5('42:' || CAST(bc.item_id AS VARCHAR) || ':' || CAST(bc.pos AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+          FROM bc JOIN cv USING (token)),
+    hit AS (SELECT s.item_id, s.pos, min(iv.token) AS token FROM s JOIN iv ON s.ctx = iv.ctx AND s.u >= iv.lo AND s.u < iv.hi GROUP BY s.item_id, s.pos)
+    SELECT s.item_id, CAST(s.pos AS INTEGER) AS pos, CAST(s.ctx AS INTEGER) AS ctx, CAST(coalesce(hit.token, lastt.last_token) AS INTEGER) AS token
+    FROM s LEFT JOIN hit USING (item_id, pos) LEFT JOIN lastt ON s.ctx = lastt.ctx"""
 
 
 # ---------------------------------------------------------------- 11 chat / fine-tune

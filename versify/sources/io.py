@@ -95,6 +95,20 @@ def read_tokens(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split).select("pos", "id")
 
 
+def write_streams(streams: DataFrame, path: str) -> None:
+    """S9 by documents: (split, start, ..., ids) rows, a folder for each split; an id outside the unsigned 16-bit
+    range fails the job in the same pass."""
+    outside = (F.array_max("ids") > 0xFFFF) | (F.array_min("ids") < 0)
+    checked = F.when(outside, F.raise_error(F.lit("token id outside the unsigned 16-bit range")).cast("array<int>")).otherwise(F.col("ids"))
+    streams.withColumn("ids", checked).write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_streams(spark: SparkSession, path: str, *splits: str) -> DataFrame:
+    """S10 by documents: the rows of the splits (partition pruning), of all without any."""
+    streams = spark.read.parquet(path)
+    return streams.where(F.col("split").isin(*splits)) if splits else streams
+
+
 def write_vocab(vocab: DataFrame, specials: dict[str, str], path: str) -> None:
     """Vocabulary table; specials as (name, token) rows alongside."""
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
