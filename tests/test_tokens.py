@@ -7,6 +7,7 @@ from versify.operators import context_lm as CL
 from versify.operators import lm as LM
 from versify.operators import pack as P
 from versify.operators import vocab as V
+from versify.sources import io as IO
 
 
 def test_char_codec_small_vocab(spark):
@@ -150,3 +151,22 @@ def test_hash_split_is_of_the_document_alone(spark):
     part = {r.doc_id: r.split for r in V.hash_split(docs.where("doc_id % 3 = 0"), "doc_id").collect()}
     assert all(whole[d] == s for d, s in part.items())
     assert abs(sum(s == "train" for s in whole.values()) / 2000 - 0.9) < 0.03
+
+
+def test_streams_have_no_gaps(spark, tmp_path):
+    texts = {i: "ab" * (i % 4) for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    codec = V.CharCodec(["\n", "a", "b"])
+    places = P.stream_places(docs.select("doc_id", F.length("text").alias("ln")), "doc_id")
+    IO.write_streams(P.encoded_streams(docs, places, "doc_id", codec), str(tmp_path / "s"))
+    for split, many in (("train", 27), ("val", 3)):
+        rows = sorted(IO.read_streams(spark, str(tmp_path / "s"), split).collect(), key=lambda r: (r["start"], len(r["ids"])))
+        at = 0
+        for n, r in enumerate(rows):
+            assert r["start"] == at and r["ids"] == ([0] if n else []) + [1, 2] * (r["doc_id"] % 4)
+            at += len(r["ids"])
+        assert len(rows) == many
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        P.encoded_streams(docs, places, "doc_id", V.CharCodec(["\n", "a"])).collect()
+    with pytest.raises(Exception, match="16-bit"):
+        IO.write_streams(spark.createDataFrame([("train", 0, [70_000])], "split string, start long, ids array<int>"), str(tmp_path / "t"))

@@ -29,16 +29,26 @@ def stream_tokens(docs: DataFrame, rank_col: str = "rank", ids_col: str = "ids")
     ).select((F.col("start") + F.col("i")).alias("pos"), F.col("id"))
 
 
+def stream_order(keys: DataFrame, key: str, ratio: float = 0.9) -> DataFrame:
+    """(key, rank, split, first) of (key): the shuffle order, and whether a row begins its split.  Only keys move."""
+    ranked = train_val_split(keys.select(key), key, ratio).checkpoint()
+    firsts = [r["first"] for r in ranked.groupBy("split").agg(F.min("rank").alias("first")).collect()]  # a row for each split
+    return ranked.select(key, "rank", "split", F.col("rank").isin(firsts).alias("first"))
+
+
+def stream_starts(sized: DataFrame) -> DataFrame:
+    """Adds ``start`` to (rank, split, n): the tokens before a row in the stream of its split."""
+    train = sized.agg(F.sum(F.when(F.col("split") == "train", F.col("n")))).first()[0] or 0  # one scalar
+    start = F.col("at") - F.when(F.col("split") == "val", F.lit(train)).otherwise(F.lit(0))
+    return running_total(sized, "rank", "n", "at").withColumn("start", start.cast("long")).drop("at")
+
+
 def stream_places(lengths: DataFrame, key: str, ratio: float = 0.9) -> DataFrame:
     """(key, split, first, start) of (key, ln): where each document begins in the stream of its split, in
     shuffle order, with one separator before every document but the first of a split.  Only keys and lengths move."""
-    ranked = train_val_split(lengths.select(key, "ln"), key, ratio).checkpoint()
-    firsts = [r["first"] for r in ranked.groupBy("split").agg(F.min("rank").alias("first")).collect()]  # a row for each split
-    leads = F.col("rank").isin(firsts)
-    sized = ranked.select(key, "split", "rank", leads.alias("first"), (F.col("ln") + F.when(leads, 0).otherwise(1)).alias("n"))
-    train = sized.agg(F.sum(F.when(F.col("split") == "train", F.col("n")))).first()[0] or 0
-    start = F.col("at") - F.when(F.col("split") == "val", F.lit(train)).otherwise(F.lit(0))
-    return running_total(sized, "rank", "n", "at").select(key, "split", "first", start.cast("long").alias("start"))
+    ordered = stream_order(lengths, key, ratio).join(lengths.select(key, "ln"), key)
+    sized = ordered.withColumn("n", F.col("ln") + F.when(F.col("first"), 0).otherwise(1))
+    return stream_starts(sized).select(key, "split", "first", "start")
 
 
 def encoded_streams(docs: DataFrame, places: DataFrame, key: str, codec: CharCodec, text_col: str = "text") -> DataFrame:

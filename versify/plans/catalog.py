@@ -1032,6 +1032,26 @@ def q_syllable_encode(spark, sf_dir):
     )
 
 
+@query
+def q_syllable_streams(spark, sf_dir):
+    """The marked-up verse as two streams of syllable ids in shuffle order, a newline before every poem but
+    the first of a split; written, read back and placed by what was written."""
+    voc = syllable_vocabulary(spark, sf_dir)
+    named = F.concat_ws("-", "doc_id", "poem_no").alias("key")
+    poems = verse(spark, sf_dir).select(named, "doc_id", "poem_no", X.markup(F.col("text")).alias("m"))
+    order = P.stream_order(verse(spark, sf_dir).select(named), "key")
+    text = F.when(F.col("first"), F.col("m")).otherwise(F.concat(F.lit("\n"), F.col("m")))
+    told = ["doc_id", "poem_no", "rank", "split"]
+    toks = poems.join(order, "key").select(*told, F.posexplode(Y.syllabify_text(text)).alias("pos", "token"))
+    known = V.encode_join(toks, voc, strict=False)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])  # of one poem, 84 words
+    path = files.folder(spark, "streams")
+    IO.write_streams(known.groupBy(*told).agg(ids.alias("ids")), path)
+    back = IO.read_streams(spark, path)
+    sized = back.select(*told[:3], F.col("split").cast("string").alias("split"), F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    return P.stream_starts(sized).select("doc_id", "poem_no", "split", "start", F.col("n").alias("n_tokens"), "ids_md5")
+
+
 @query
 def q_syllable_tokens_tagged(spark, sf_dir):
     """Y7 + Y8 on tagged text: markers whole, the rhyme suffix a token of its own."""

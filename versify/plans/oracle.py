@@ -1145,6 +1145,26 @@ def _():
     FROM tot LEFT JOIN kn USING (item_id)"""
 
 
+@sql("syllable_streams")
+def _():
+    import re as _re
+
+    yb = syllable_token_ctes("zord")
+    for n in sorted(set(_re.findall(r"\b(y[a-z0-9]*) AS \(", yb)), key=len, reverse=True):
+        yb = _re.sub(rf"\b{n}\b", "b_" + n, yb)
+    return f"""WITH {SYL_VOCAB_CTES},
+    zr AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id || '-' || poem_no)) AS rank, count(*) OVER () AS total FROM mkv),
+    zp AS (SELECT *, CASE WHEN rank <= CAST(floor(0.9 * total) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM zr),
+    zord AS (SELECT doc_id, poem_no, rank, split, CASE WHEN rank = min(rank) OVER (PARTITION BY split) THEN text ELSE chr(10) || text END AS text FROM zp),
+    {yb},
+    zt AS (SELECT doc_id, poem_no, unnest(toks) AS token, generate_subscripts(toks, 1) AS i FROM b_ytoks),
+    ze AS (SELECT doc_id, poem_no, count(*) AS n, string_agg(id, ',' ORDER BY i) AS s FROM zt JOIN sv USING (token) GROUP BY doc_id, poem_no)
+    SELECT doc_id, poem_no, split,
+           CAST(coalesce(sum(n) OVER (PARTITION BY split ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+           CAST(n AS BIGINT) AS n_tokens, md5(s) AS ids_md5
+    FROM zord JOIN ze USING (doc_id, poem_no)"""
+
+
 @sql("syllable_tokens_tagged")
 def _():
     return f"""WITH {SPECIAL_CTES}, tx AS (SELECT doc_id, poem_no, tagged AS text FROM tt), {syllable_token_ctes('tx')}
