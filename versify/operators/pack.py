@@ -37,7 +37,9 @@ def stream_order(keys: DataFrame, key: str, ratio: float = 0.9) -> DataFrame:
 
 
 def stream_starts(sized: DataFrame) -> DataFrame:
-    """Adds ``start`` to (rank, split, n): the tokens before a row in the stream of its split."""
+    """Adds ``start`` to (rank, split, n): the tokens before a row in the stream of its split.  The rows, without their
+    texts, are written once, as their sum and the two passes of the prefix sums each read them."""
+    sized = sized.checkpoint()
     train = sized.agg(F.sum(F.when(F.col("split") == "train", F.col("n")))).first()[0] or 0  # one scalar
     start = F.col("at") - F.when(F.col("split") == "val", F.lit(train)).otherwise(F.lit(0))
     return running_total(sized, "rank", "n", "at").withColumn("start", start.cast("long")).drop("at")
@@ -48,7 +50,7 @@ def stream_places(lengths: DataFrame, key: str, ratio: float = 0.9) -> DataFrame
     shuffle order, with one separator before every document but the first of a split.  Only keys and lengths move."""
     ordered = stream_order(lengths, key, ratio).join(lengths.select(key, "ln"), key)
     sized = ordered.withColumn("n", F.col("ln") + F.when(F.col("first"), 0).otherwise(1))
-    return stream_starts(sized).select(key, "split", "first", "start")
+    return stream_starts(sized.select(key, "rank", "split", "first", "n")).select(key, "split", "first", "start")
 
 
 def encoded_streams(docs: DataFrame, places: DataFrame, key: str, codec: CharCodec, text_col: str = "text") -> DataFrame:
