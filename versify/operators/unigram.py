@@ -4,25 +4,37 @@ Words are whitespace pieces of the newline-encoded text with a ``▁`` word
 mark (user symbols such as ``<NEWLINE>`` and the specials stay atomic).  All
 work is on the table of *distinct* words, in Column expressions:
 
-* a word's lattice is the join of its substrings with the piece table, kept as
-  one array of edges in order of their ends;
+* a word's lattice is one array of edges in order of their ends; the piece table,
+  bounded by ``SEEDS`` and the characters, goes with the tasks that make it;
 * the E-step is a fold over the positions forwards and one backwards (sums of
   logarithms), the M-step one aggregate of the expected counts per piece;
 * between the rounds the table shrinks by ``SHRINK``: pieces go whose loss of
   likelihood is least when their best other segmentation takes their counts;
 * encoding is the same fold with the best instead of the sum, and back-pointers;
 * n-best lists are merged position by position, and a draw takes one of a
-  word's ``N_BEST`` with weight ``p ** alpha`` by a hash-seeded number.
+  word's ``N_BEST`` with weight ``p ** alpha`` by a hash-seeded number;
+* tasks encode and draw whole documents, each word that they meet once.
 
 Pieces have at most ``MAX_LEN`` characters, a parameter of the model; words of any length are used whole.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import accumulate, groupby
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from versify.operators.bpe import SUBWORD_SPECIALS
+from versify.operators.bpe import ROWS, SUBWORD_SPECIALS
 
 WORD_MARK = "▁"
 USER_SYMBOLS = [*SUBWORD_SPECIALS[1:], "<NEWLINE>"]
@@ -35,6 +47,10 @@ SUB_ITERATIONS = 2
 N_BEST = 64
 # An unknown character scores so much below the least piece.
 UNKNOWN_PENALTY = 10.0
+# Words of which a task keeps the segmentations at once.
+CACHED = 100_000
+# Words or pieces of which a task of the training makes the lattices.
+ROWS_OF_TASK = 20_000
 
 
 def unigram_words(text: Column) -> Column:
@@ -74,16 +90,58 @@ def seed_pieces(words: DataFrame, size: int = SEEDS, max_len: int = MAX_LEN) ->
     return chars.unionByName(multi)
 
 
+class Pieces:
+    """The pieces of a model as tasks hold them: at most the seeds, a parameter, and the characters, whatever the corpus."""
+
+    def __init__(self, pieces: DataFrame):
+        held = pieces.where(F.col("lp").isNotNull()).select("piece", "lp", F.coalesce("id", F.lit(0)).cast("int").alias("id")).toArrow()
+        self.columns = [c.combine_chunks() for c in held.columns]  # one buffer a column on its way to the tasks
+        self.unknown = (pc.min(held.column("lp")).as_py() or 0.0) - UNKNOWN_PENALTY
+
+    def table(self) -> dict[str, tuple[float, int]]:
+        piece, lp, id_ = (c.to_pylist() for c in self.columns)
+        return dict(zip(piece, zip(lp, id_, strict=True), strict=True))
+
+
+def word_edges(word: str, table: dict, unknown: float, max_len: int) -> list[tuple[int, int, float, str, int]]:
+    """Edges (e, s, lp, piece, id) of a word in order of e and s."""
+    out = []
+    for e in range(1, len(word) + 1):
+        for s in range(max(0, e - max_len), e):
+            piece = word[s:e]
+            found = table.get(piece)
+            if found is not None:
+                out.append((e, s, found[0], piece, found[1]))
+            elif s + 1 == e:
+                out.append((e, s, unknown, UNK, 0))
+    return out
+
+
+EDGES = "array<struct<e:int,s:int,lp:double,piece:string,id:int>>"
+
+
 def lattices(words: DataFrame, pieces: DataFrame, max_len: int = MAX_LEN, but_whole: bool = False) -> DataFrame:
-    """(word, freq, n, edges) of words with the pieces (piece, lp, id): edges (e, s, lp, piece, id) from position s to e, in
-    order of e.  A character without a piece gets an edge with id 0.  ``but_whole``: without the edge that is the word itself."""
-    least = pieces.agg((F.coalesce(F.min("lp"), F.lit(0.0)) - UNKNOWN_PENALTY).alias("unknown"))
-    spans = substrings(words, max_len)
-    if but_whole:
-        spans = spans.where(F.col("e") - F.col("s") < F.col("n"))
-    found = spans.join(pieces.select("piece", "lp", "id"), "piece", "left").where(F.col("lp").isNotNull() | (F.col("e") - F.col("s") == 1)).join(F.broadcast(least))  # one row of one number
-    edge = F.struct("e", "s", F.coalesce("lp", "unknown").alias("lp"), F.when(F.col("lp").isNull(), UNK).otherwise(F.col("piece")).alias("piece"), F.coalesce("id", F.lit(0)).alias("id"))
-    return found.groupBy("word").agg(F.first("freq").alias("freq"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    """(word, freq, n, edges) of distinct words with the pieces (piece, lp, id): edges (e, s, lp, piece, id) from position s to e, in
+    order of e.  A character without a piece gets an edge with id 0.  ``but_whole``: without the edge that is the word itself.
+    The pieces go with the tasks, so that no substring of a word is ever shuffled."""
+    known = Pieces(pieces)
+    fields = [("e", pa.int32()), ("s", pa.int32()), ("lp", pa.float64()), ("piece", pa.string()), ("id", pa.int32())]
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.table()
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                edges = [word_edges(w, table, known.unknown, max_len) for w in rows.column(0).to_pylist()]
+                if but_whole:
+                    edges = [[x for x in es if x[0] - x[1] < n] for es, n in zip(edges, rows.column(2).to_pylist(), strict=True)]
+                flat = list(zip(*(x for es in edges for x in es), strict=True)) or [[]] * len(fields)
+                struct = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(flat, fields, strict=True)], [name for name, _ in fields])
+                offsets = pa.array(np.cumsum([0, *map(len, edges)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(offsets, struct)], ["word", "freq", "n", "edges"])
+
+    plain = words.select("word", "freq", F.length("word").alias("n")).where(F.col("n") > 0)
+    return plain.mapInArrow(linked, f"word string, freq {plain.schema['freq'].dataType.simpleString()}, n int, edges {EDGES}").where(F.size("edges") > 0)
 
 
 def forward(edges: Column) -> Column:
@@ -163,18 +221,25 @@ def losses(scored: DataFrame) -> DataFrame:
     return summed.select(F.col("word").alias("piece"), "count", loss.alias("loss"))
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table of short rows, written and dealt out by their number: the work on a row is long, so the size of the table says
+    little about the tasks that it takes."""
+    held = table.checkpoint()
+    return held.repartition(held.count() // ROWS_OF_TASK + 1).checkpoint()
+
+
 def train_unigram(docs: DataFrame, vocab_size: int, text_col: str = "text", seeds: int = SEEDS, shrink: float = SHRINK, sub_iterations: int = SUB_ITERATIONS) -> DataFrame:
     """(id, piece, score): the unknown piece and the user symbols first, then pieces by score.  Single characters are never
     dropped, so a vocabulary may be larger than ``vocab_size`` only by them."""
-    words = word_freqs(docs, text_col).where(~F.col("word").isin(*USER_SYMBOLS)).checkpoint()
-    scored = _scored(seed_pieces(words, seeds)).checkpoint()
+    words = dealt(word_freqs(docs, text_col).where(~F.col("word").isin(*USER_SYMBOLS)))
+    scored = dealt(_scored(seed_pieces(words, seeds)))
     chars, several = scored.agg(F.count(F.when(F.length("piece") == 1, 1)), F.count(F.when(F.length("piece") > 1, 1))).first()
     target = max(vocab_size - 1 - len(USER_SYMBOLS) - chars, 0)
     while True:
         for _ in range(sub_iterations):
             counts = expected_counts(lattices(words, scored))
             # a piece that no segmentation needs has gone; characters stay with a small count
-            scored = _scored(counts.withColumn("count", F.greatest("count", F.lit(1e-6)))).checkpoint()
+            scored = dealt(_scored(counts.withColumn("count", F.greatest("count", F.lit(1e-6)))))
         several = scored.where(F.length("piece") > 1).count()
         if several <= target:
             break
@@ -205,8 +270,65 @@ def _occurrences(docs: DataFrame, *key: str) -> DataFrame:
     return docs.select(*key, F.posexplode(unigram_words(F.col("text"))).alias("at", "word")).groupBy(*key, "word").agg(F.collect_list("at").alias("at"))
 
 
+def _once(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and the rest (None: there is none), whose words are taken together."""
+    twice = docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_key")).checkpoint()
+    if twice.isEmpty():
+        return docs, None
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return docs.join(twice, same, "left_anti"), docs.join(twice, same, "left_semi")
+
+
+class WordCache(dict):
+    """What a task has made of words, of which it forgets all when there are many."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = out = self.make(word)
+        return out
+
+
+def best_ids(edges: list[tuple[int, int, float, str, int]], n: int) -> list[int]:
+    """Ids of the best segmentation, by the rule of ``best_path``."""
+    done: list[tuple] = [(0.0, 0, "", 0), *[None] * n]
+    for e, s, lp, piece, id_ in edges:
+        new = (done[s][0] + lp, -s, piece, id_)
+        if done[e] is None or new > done[e]:
+            done[e] = new
+    out, at = [], n
+    while at > 0:
+        out.append(done[at][3])
+        at = -done[at][1]
+    return out[::-1]
+
+
 def encode_ids(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ids) of every document in order; a text without words has no ids.  Unknown characters have id 0."""
+    """(key, ids) of every document in order; a text without words, or a null key, has no ids.  Unknown characters have id 0.
+    The model goes with the tasks, which cut each word that they meet once; only documents that share a key are shuffled."""
+    known = Pieces(plain_pieces(model))
+    users = {r["piece"]: [r["id"]] for r in model.where(F.col("piece").isin(*USER_SYMBOLS)).collect()}
+    alone, together = _once(docs, key)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.table()
+        ids_of = WordCache(lambda w: users[w] if w in users else best_ids(word_edges(w, table, known.unknown, MAX_LEN), len(w)))
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                ids = [[i for w in words or () for i in ids_of[w]] for words in rows.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+
+    words = F.when(F.col(key).isNotNull(), unigram_words(F.col("text")))
+    out = alone.select(key, words.alias("words")).mapInArrow(encoded, T.StructType([docs.schema[key]]).add("ids", T.ArrayType(T.IntegerType())))
+    return out if together is None else out.unionByName(_encode_together(together, model, key))
+
+
+def _encode_together(docs: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """``encode_ids`` of documents that share a key: all their words by place."""
     held = _occurrences(docs, key).checkpoint()
     found = held.join(_word_ids(held.select("word").distinct(), model), "word")
     placed = found.select(key, F.explode("at").alias("at"), "ids").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
@@ -237,8 +359,58 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
+def best_choices(edges: list[tuple[int, int, float, str, int]], top: int) -> list[tuple[float, tuple[int, ...]]]:
+    """Up to ``top`` best segmentations (score, ids), best first, by the rule of ``n_best``."""
+    done = [[(0.0, ())]]
+    for e, group in groupby(edges, key=itemgetter(0)):
+        held = [(score + lp, (*ids, id_)) for _, s, lp, _, id_ in group for score, ids in done[s]]
+        held.sort(reverse=True)
+        done.append(held[:top])
+    return done[-1]
+
+
 def sample_ids(docs: DataFrame, model: DataFrame, n_times: int, alpha: float, key: str = "doc_id", n: int = N_BEST, seed: str = "sample") -> DataFrame:
-    """T9 + J6: (key, rep, ids): every document ``n_times``, each word drawn from its ``n`` best segmentations with weight p ** alpha."""
+    """T9 + J6: (key, rep, ids): every document ``n_times``, each word drawn from its ``n`` best segmentations with weight p ** alpha.
+    The model goes with the tasks, which draw a whole document; only documents that share a key are shuffled."""
+    known = Pieces(plain_pieces(model))
+    users = {r["piece"]: ([(r["id"],)], [0.0, 1.0]) for r in model.where(F.col("piece").isin(*USER_SYMBOLS)).collect()}
+    alone, together = _once(docs, key)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.table()
+
+        def choices(word: str) -> tuple[list[tuple[int, ...]], list[float]]:
+            if word in users:
+                return users[word]
+            best = best_choices(word_edges(word, table, known.unknown, MAX_LEN), n)
+            return [ids for _, ids in best], [0.0, *accumulate(math.exp(float(alpha) * (score - best[0][0])) for score, _ in best)]
+
+        choices_of = WordCache(choices)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name, words = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
+                if not words:
+                    continue
+                held = [choices_of[w] for w in words]
+                start = f"{seed}:" if name is None else f"{seed}:{name}:"
+                ids = []
+                for rep in range(n_times):
+                    one: list[int] = []
+                    for at, (ways, below) in enumerate(held):
+                        u = int.from_bytes(md5(f"{start}{rep}:{at}".encode()).digest()[:4], "big") / float(2**32)
+                        one += ways[bisect_right(below, u * below[-1]) - 1]
+                    ids.append(pa.array(one, pa.int32()))
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                keys = batch.column(0).take(pa.array([row] * n_times))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(range(n_times), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(ids))], [key, "rep", "ids"])
+
+    asked = alone.select(key, F.col(key).cast("string").alias("name"), unigram_words(F.col("text")).alias("words"))
+    out = asked.mapInArrow(drawn, T.StructType([docs.schema[key]]).add("rep", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType())))
+    return out if together is None else out.unionByName(_sample_together(together, model, n_times, alpha, key, n, seed))
+
+
+def _sample_together(docs: DataFrame, model: DataFrame, n_times: int, alpha: float, key: str, n: int, seed: str) -> DataFrame:
+    """``sample_ids`` of documents that share a key: all their words by place."""
     held = _occurrences(docs, key).checkpoint()
     plain = n_best(held.select("word").distinct().where(~F.col("word").isin(*USER_SYMBOLS)), model, n)
     top = F.get("paths", 0)["score"]
