@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from versify.functions import structure as S
 from versify.functions import syllable as Y
 from versify.operators.verse import verse_view
 
@@ -39,3 +40,10 @@ def test_verse_view_cuts_a_text_into_words_once(spark):
     view = verse_view(spark.createDataFrame([(1, "it", text)], "doc_id long, lang string, text string"))
     assert view._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert " ".join(w for r in view.orderBy("poem_no").collect() for w in r["text"].split()) == text
+
+
+def test_blank_lines_are_told_without_a_trimmed_copy(spark):
+    odd = ["", " ", "\t\x0b\f\r", "\u0085", " \u0085", "  ", "<a", " <a", " a ", None]
+    df = spark.createDataFrame([(x,) for x in odd], "t string").select("t", S.eval_lines(F.col("t")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r.x for r in df.collect()] == [[], [], [], ["\u0085"], ["\u0085"], [" "], [], ["<a"], ["a"], None]
