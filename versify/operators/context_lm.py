@@ -13,10 +13,17 @@ known context; what lies before that is forgotten, so the next context is again
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versify.operators import lm as LM
+from versify.operators.bpe import code_points, text_slices
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -27,8 +34,43 @@ def suffixes(history: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(history)), lambda k: F.right(history, k))
 
 
+def counted_grams(texts: list[str], order: int) -> pa.RecordBatch:
+    """(history, token, n) of some texts.  A character and those before it become one number, from the numbers of the
+    characters in these texts; texts of too many different ones are counted in halves, a single one gram by gram."""
+    bits = 64 // (order + 1)
+    points = code_points("".join(texts))
+    alphabet, code = np.unique(points, return_inverse=True)
+    if len(alphabet) + 1 >= 1 << bits and len(texts) > 1:
+        half = len(texts) // 2
+        return pa.concat_batches([counted_grams(texts[:half], order), counted_grams(texts[half:], order)])
+    if len(alphabet) + 1 >= 1 << bits:
+        found = Counter((texts[0][max(0, i - order) : i], c) for i, c in enumerate(texts[0]))
+        columns = [pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.string()), pa.array(found.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["history", "token", "n"])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = code.astype(np.uint64) + np.uint64(1)  # 0: before the text
+    gram = code.copy()
+    for k in range(1, order + 1):
+        gram[k:] |= np.where(place[k:] >= k, code[:-k], np.uint64(0)) << np.uint64(k * bits)
+    gram, n = np.unique(gram, return_counts=True)
+    chars = pa.array(["", *map(chr, alphabet.tolist())], pa.string())
+    part = lambda k: chars.take(pa.array((gram >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)))
+    history = pc.binary_join_element_wise(*(part(k) for k in range(order, 0, -1)), "") if order else pa.array([""] * len(gram), pa.string())
+    return pa.RecordBatch.from_arrays([history, part(0), pa.array(n, pa.int64())], ["history", "token", "n"])
+
+
 def grams(texts: DataFrame, *key: str, order: int = ORDER, text_col: str = "text") -> DataFrame:
-    """(key, history, token, n): the characters with up to ``order`` before them in the same text."""
+    """(key, history, token, n): the characters with up to ``order`` before them in the same text.  Without a key they are
+    counted in slices of the texts before they are grouped."""
+    if not key and order < 8:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows in text_slices(batch, 0):
+                    yield counted_grams([t for t in rows.column(0).to_pylist() if t], order)
+
+        found = texts.select(text_col).mapInArrow(counted, "history string, token string, n long")
+        return found.groupBy("history", "token").agg(F.sum("n").alias("n"))
     chars = texts.select(*key, F.filter(F.split(text_col, ""), lambda c: c != "").alias("chars"))
     one = F.transform(
         F.sequence(F.lit(1), F.size("chars")),
