@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from versify.operators import context_lm as CL
+from versify.operators import vocab as V
 
 
 def test_grams_of_slices_are_those_of_each_text(spark):
@@ -19,3 +22,16 @@ def test_grams_are_counted_before_they_are_exploded(spark):
     docs = spark.createDataFrame([("abab" * 500,)] * 50, "text string").coalesce(1)
     plan = CL.grams(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_codec_of_rows_is_that_of_columns(spark):
+    """Rows are looked up in slices; a lambda for each character is the plain form."""
+    rng = random.Random(9)
+    codec = V.CharCodec(sorted("ab \n\x00é𝒜中"))
+    rows = [(i, "".join(rng.choices("ab \n\x00é𝒜中", k=rng.randint(0, 20)))) for i in range(300)] + [(300, None), (301, ""), (302, "z�😀")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = codec.encode_rows(docs).withColumn("plain", codec.encode(F.col("text"))).collect()
+    assert len(both) == len(rows) and all(r.ids == r.plain for r in both)
+    ids = spark.createDataFrame([(r.doc_id, r.ids) for r in both] + [(400, [0, -1, 99, 2])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.dec for r in codec.decode_rows(ids).collect()}
+    assert got == {r.doc_id: r.t for r in ids.select("doc_id", codec.decode(F.col("ids")).alias("t")).collect()}
