@@ -8,12 +8,24 @@ counts (see ``corpus.running_total``), never from a one-partition window.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versify.operators.corpus import running_total
 from versify.operators.vocab import CharCodec, train_val_split
 
+# Cells cut at once.
+CELLS = 1 << 14
+# Numbers below this are looked up by themselves when they are written out.
+KINDS = 1 << 17
+
 
 def stream_offsets(docs: DataFrame, rank_col: str = "rank", ids_col: str = "ids") -> DataFrame:
     """Adds ``start``: global position of each document's first token."""
@@ -111,8 +123,35 @@ def next_token_pairs(pairs: DataFrame, vocab: DataFrame, keys: tuple[str, ...] =
     return pairs.join(first, "a").join(second, "b").select(*keys, "id", "next_id", "n")
 
 
+def interior_cells(docs: DataFrame, limit: int, block: int, codec: CharCodec | None = None) -> DataFrame:
+    """(c, x, y) of (start, ids): the cells before ``limit`` whose x and y lie in one document, cut many at a time.  With
+    a ``codec``, of (start, text): texts are encoded where they are cut, so that their ids stay in the task."""
+    ids = T.ArrayType(T.IntegerType()) if codec else docs.schema.fields[1].dataType
+    encoder = codec.encoder(docs.columns[1]) if codec else iter
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in encoder(batches):
+            start, lists = batch.column(0).to_numpy().astype(np.int64), batch.column(batch.num_columns - 1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ln = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+            low = -(-start // block)
+            high = np.minimum((start + ln - 1 - block) // block, limit // block - 1)  # y ends one after x
+            many = np.maximum(high - low + 1, 0)
+            before = np.cumsum(many) - many
+            for at in range(0, int(many.sum()), CELLS):
+                cell = np.arange(at, min(at + CELLS, int(many.sum())))
+                row = np.searchsorted(before + many, cell, "right")
+                c = low[row] + cell - before[row]
+                x = ((offsets[row] + c * block - start[row])[:, None] + np.arange(block)).ravel()
+                edges = pa.array(np.arange(len(cell) + 1, dtype=np.int32) * block)
+                parts = [pa.ListArray.from_arrays(edges, lists.values.take(pa.array(i))) for i in (x, x + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c), *parts], ["c", "x", "y"])
+
+    return docs.mapInArrow(cut, T.StructType().add("c", T.LongType()).add("x", ids).add("y", ids))
+
+
 def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids",
-                   edges: DataFrame | None = None) -> DataFrame:
+                   edges: DataFrame | None = None, codec: CharCodec | None = None) -> DataFrame:
     """W9 without exploding tokens: (batch_no, row_no, x array<int>, y array<int>).
 
     Interior cells (x and y inside one document) are two slices of that
@@ -121,35 +160,19 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
     (a bounded group), ordered by position.  Every boundary piece lies in the
     first or last ``block + 1`` ids of its document, so ``edges`` may carry only
     (start, ln, head, tail) id arrays; without it they are sliced from ``docs``.
+    With ``edges`` and a ``codec``, ``ids_col`` may hold texts, encoded as they are cut.
     Rows shuffled ~ documents, not tokens."""
     bt = batch * block
     n_batches = (n_tokens - 1) // bt if n_tokens >= bt + 1 else 0
     limit = n_batches * bt
-    start, ids = F.col("start"), F.col(ids_col)
-    ln = F.size(ids_col).cast("long")
+    start, ln = F.col("start"), F.size(ids_col).cast("long")
 
     def inside(c: F.Column, ln: F.Column) -> F.Column:
         # both the x range [cT, cT+T) and the y range [cT+1, cT+T+1) lie in this document
         return (c * block >= start) & ((c + 1) * block + 1 <= start + ln)
 
     # Interior cells: x and y are two slices of one document's ids, no shuffle.
-    c_lo, c_hi = F.ceil(start / block), F.floor((start + ln - 1 - block) / block)
-    own = F.when((ln > 0) & (c_hi >= c_lo), F.sequence(c_lo.cast("long"), c_hi.cast("long"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    own = F.filter(own, lambda c: (c * block < limit) & inside(c, ln))
-    interior = docs.select(
-        F.explode(
-            F.transform(
-                own,
-                lambda c: F.struct(
-                    c.alias("c"),
-                    F.slice(ids, (c * block - start + 1).cast("int"), block).alias("x"),
-                    F.slice(ids, (c * block - start + 2).cast("int"), block).alias("y"),
-                ),
-            )
-        ).alias("p")
-    ).select("p.c", "p.x", "p.y")
+    interior = interior_cells(docs.select("start", ids_col), limit, block, codec)
 
     # Boundary cells: pieces from the head or the tail of each document.
     if edges is None:
@@ -197,14 +220,44 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
     )
 
 
+def joined_md5(lists: pa.ListArray) -> pa.Array:
+    """The md5 of the numbers of each list joined by commas, as of ``md5(array_join(..., ','))``."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    own = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    numbers = pc.fill_null(own, 0).to_numpy()
+    if 0 <= numbers.min(initial=0) and numbers.max(initial=0) < KINDS:
+        kinds, at = np.arange(numbers.max(initial=0) + 1), numbers
+    else:
+        kinds, at = np.unique(numbers, return_inverse=True)
+    at = np.where(own.is_valid().to_numpy(zero_copy_only=False), at, len(kinds)) if own.null_count else at
+    words = np.array([*(f"{k}," for k in kinds.tolist()), ""], "S")
+    edges = np.r_[0, np.cumsum(np.char.str_len(words).take(at))][offsets - offsets[0]]
+    flat = words.take(at).tobytes().translate(None, b"\0")  # shorter words are filled up with zeros
+    ends = np.maximum(edges[:-1], edges[1:] - 1)  # without the last comma
+    made = [hashlib.md5(flat[a:b], usedforsecurity=False).hexdigest() for a, b in zip(edges[:-1].tolist(), ends.tolist(), strict=True)]
+    return pa.array(made, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+
 def block_digest(blocks: DataFrame) -> DataFrame:
     """Blocks as comparable scalars: md5 of the id lists, first x id, last y id, length."""
-    return blocks.select(
+    plain = blocks.select(
         "batch_no",
         "row_no",
-        F.md5(F.array_join("x", ",")).alias("x_md5"),
-        F.md5(F.array_join("y", ",")).alias("y_md5"),
         F.element_at("x", 1).cast("long").alias("x_first"),
         F.element_at("y", -1).cast("long").alias("y_last"),
         F.size("x").cast("long").alias("block_len"),
+        "x",
+        "y",
     )
+
+    names = plain.columns[:5]
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CELLS):
+                *kept, x, y = batch.slice(at, CELLS).columns
+                yield pa.RecordBatch.from_arrays([*kept, joined_md5(x), joined_md5(y)], [*names, "x_md5", "y_md5"])
+
+    schema = T.StructType([*plain.schema.fields[:5]]).add("x_md5", T.StringType()).add("y_md5", T.StringType())
+    made = plain.mapInArrow(digested, schema)
+    return made.select("batch_no", "row_no", "x_md5", "y_md5", "x_first", "y_last", "block_len")
