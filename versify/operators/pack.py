@@ -123,9 +123,10 @@ def next_token_pairs(pairs: DataFrame, vocab: DataFrame, keys: tuple[str, ...] =
     return pairs.join(first, "a").join(second, "b").select(*keys, "id", "next_id", "n")
 
 
-def interior_cells(docs: DataFrame, limit: int, block: int, codec: CharCodec | None = None) -> DataFrame:
+def interior_cells(docs: DataFrame, limit: int, block: int, codec: CharCodec | None = None, digest: bool = False) -> DataFrame:
     """(c, x, y) of (start, ids): the cells before ``limit`` whose x and y lie in one document, cut many at a time.  With
-    a ``codec``, of (start, text): texts are encoded where they are cut, so that their ids stay in the task."""
+    a ``codec``, of (start, text): texts are encoded where they are cut, with ``digest`` cells leave it as of ``block_digest``: no array leaves the task, and
+    no task chains two Python workers."""
     ids = T.ArrayType(T.IntegerType()) if codec else docs.schema.fields[1].dataType
     encoder = codec.encoder(docs.columns[1]) if codec else iter
 
@@ -145,13 +146,20 @@ def interior_cells(docs: DataFrame, limit: int, block: int, codec: CharCodec | N
                 x = ((offsets[row] + c * block - start[row])[:, None] + np.arange(block)).ravel()
                 edges = pa.array(np.arange(len(cell) + 1, dtype=np.int32) * block)
                 parts = [pa.ListArray.from_arrays(edges, lists.values.take(pa.array(i))) for i in (x, x + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c), *parts], ["c", "x", "y"])
+                if digest:
+                    ends = [lists.values.take(pa.array(i)).cast(pa.int64()) for i in (x[::block], x[block - 1 :: block] + 1)]
+                    parts = [*map(joined_md5, parts), *ends, pa.array(np.full(len(cell), block))]
+                yield pa.RecordBatch.from_arrays([pa.array(c), *parts], names)
 
-    return docs.mapInArrow(cut, T.StructType().add("c", T.LongType()).add("x", ids).add("y", ids))
+    schema = "c long, x_md5 string, y_md5 string, x_first long, y_last long, block_len long"
+    schema = schema if digest else T.StructType().add("c", T.LongType()).add("x", ids).add("y", ids)
+    names = ["c", "x_md5", "y_md5", "x_first", "y_last", "block_len"] if digest else ["c", "x", "y"]
+    return docs.mapInArrow(cut, schema)
 
 
 def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_col: str = "ids",
-                   edges: DataFrame | None = None, codec: CharCodec | None = None) -> DataFrame:
+                   edges: DataFrame | None = None, codec: CharCodec | None = None,
+                   digest: bool = False) -> DataFrame:
     """W9 without exploding tokens: (batch_no, row_no, x array<int>, y array<int>).
 
     Interior cells (x and y inside one document) are two slices of that
@@ -161,6 +169,7 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
     first or last ``block + 1`` ids of its document, so ``edges`` may carry only
     (start, ln, head, tail) id arrays; without it they are sliced from ``docs``.
     With ``edges`` and a ``codec``, ``ids_col`` may hold texts, encoded as they are cut.
+    With ``digest`` the blocks come as of ``block_digest``, interior ones digested as they are cut.
     Rows shuffled ~ documents, not tokens."""
     bt = batch * block
     n_batches = (n_tokens - 1) // bt if n_tokens >= bt + 1 else 0
@@ -172,7 +181,7 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
         return (c * block >= start) & ((c + 1) * block + 1 <= start + ln)
 
     # Interior cells: x and y are two slices of one document's ids, no shuffle.
-    interior = interior_cells(docs.select("start", ids_col), limit, block, codec)
+    interior = interior_cells(docs.select("start", ids_col), limit, block, codec, digest)
 
     # Boundary cells: pieces from the head or the tail of each document.
     if edges is None:
@@ -215,9 +224,14 @@ def pack_from_docs(docs: DataFrame, n_tokens: int, batch: int, block: int, ids_c
         F.max(F.when(F.col("role") == 0, F.col("ids"))).alias("x"),
         F.max(F.when(F.col("role") == 1, F.col("ids"))).alias("y"),
     )
-    return interior.unionByName(gathered).select(
-        (F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no"), "x", "y"
-    )
+
+    def numbered(cells: DataFrame) -> DataFrame:
+        no, row = (F.col("c") / batch).cast("long").alias("batch_no"), (F.col("c") % batch).cast("long").alias("row_no")
+        return cells.select(no, row, *(c for c in cells.columns if c != "c"))
+
+    if digest:
+        return numbered(interior).unionByName(block_digest(numbered(gathered)))
+    return numbered(interior.unionByName(gathered))
 
 
 def joined_md5(lists: pa.ListArray) -> pa.Array:
@@ -240,24 +254,12 @@ def joined_md5(lists: pa.ListArray) -> pa.Array:
 
 def block_digest(blocks: DataFrame) -> DataFrame:
     """Blocks as comparable scalars: md5 of the id lists, first x id, last y id, length."""
-    plain = blocks.select(
+    return blocks.select(
         "batch_no",
         "row_no",
+        F.md5(F.array_join("x", ",")).alias("x_md5"),
+        F.md5(F.array_join("y", ",")).alias("y_md5"),
         F.element_at("x", 1).cast("long").alias("x_first"),
         F.element_at("y", -1).cast("long").alias("y_last"),
         F.size("x").cast("long").alias("block_len"),
-        "x",
-        "y",
     )
-
-    names = plain.columns[:5]
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, CELLS):
-                *kept, x, y = batch.slice(at, CELLS).columns
-                yield pa.RecordBatch.from_arrays([*kept, joined_md5(x), joined_md5(y)], [*names, "x_md5", "y_md5"])
-
-    schema = T.StructType([*plain.schema.fields[:5]]).add("x_md5", T.StringType()).add("y_md5", T.StringType())
-    made = plain.mapInArrow(digested, schema)
-    return made.select("batch_no", "row_no", "x_md5", "y_md5", "x_first", "y_last", "block_len")
