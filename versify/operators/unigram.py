@@ -6,25 +6,24 @@ work is on the table of *distinct* words, in Column expressions:
 
 * a word's lattice is one array of edges in order of their ends; the piece table,
   bounded by ``SEEDS`` and the characters, goes with the tasks that make it;
-* the E-step is a fold over the positions forwards and one backwards (sums of
-  logarithms), the M-step one aggregate of the expected counts per piece;
+* the E-step sums over the positions forwards and backwards (sums of logarithms), many
+  words at a time in ``lattice``, of which the folds here are the reference form; a task
+  sums its expected counts per piece, the M-step is one aggregate of these;
 * between the rounds the table shrinks by ``SHRINK``: pieces go whose loss of
   likelihood is least when their best other segmentation takes their counts;
 * encoding is the same fold with the best instead of the sum, and back-pointers;
 * n-best lists are merged position by position, and a draw takes one of a
   word's ``N_BEST`` with weight ``p ** alpha`` by a hash-seeded number;
-* tasks encode and draw whole documents, each word that they meet once.
+* tasks encode and draw whole documents, the distinct words of many at a time.
 
 Pieces have at most ``MAX_LEN`` characters, a parameter of the model; words of any length are used whole.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import md5
-from itertools import accumulate, groupby
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from versify.operators import lattice as L
 from versify.operators.bpe import ROWS, SUBWORD_SPECIALS
 
 WORD_MARK = "▁"
@@ -47,8 +47,8 @@ SUB_ITERATIONS = 2
 N_BEST = 64
 # An unknown character scores so much below the least piece.
 UNKNOWN_PENALTY = 10.0
-# Words of which a task keeps the segmentations at once.
-CACHED = 100_000
+# Words of documents that are encoded at once, and draws of words.
+WORDS, DRAWS = 1 << 20, 1 << 24
 # Words or pieces of which a task of the training makes the lattices.
 ROWS_OF_TASK = 20_000
 
@@ -83,8 +83,8 @@ def seed_pieces(words: DataFrame, size: int = SEEDS, max_len: int = MAX_LEN) ->
     """(piece, count): all single characters and the substrings that occur twice or more; beyond ``size`` those with the largest
     product of count and length."""
     plain = words.where(~F.col("word").isin(*USER_SYMBOLS))
-    counts = substrings(plain, max_len).groupBy("piece").agg(F.sum("freq").cast("double").alias("count"))
-    chars = counts.where(F.length("piece") == 1)
+    summed = lambda cut: cut.groupBy("piece").agg(F.sum("freq").cast("double").alias("count"))
+    counts, chars = summed(substrings(plain, max_len)), summed(substrings(plain, 1))  # so that no other substrings are made again for the characters
     several = counts.where((F.length("piece") > 1) & (F.col("count") >= 2))
     multi = several.orderBy(F.desc(F.col("count") * F.length("piece")), "piece").limit(size)
     return chars.unionByName(multi)
@@ -103,6 +103,27 @@ class Pieces:
         return dict(zip(piece, zip(lp, id_, strict=True), strict=True))
 
 
+    def lattices(self) -> L.Lattices:
+        return L.Lattices(self.columns[0].to_pylist(), self.columns[1].to_numpy(zero_copy_only=False), self.unknown, MAX_LEN)
+
+
+def word_slices(batch: pa.RecordBatch, column: int, most: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about so many of their words at a time."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def distinct_words(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, place, edges): the distinct words of the lists, the place of each word among them, and where each list begins."""
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 def word_edges(word: str, table: dict, unknown: float, max_len: int) -> list[tuple[int, int, float, str, int]]:
     """Edges (e, s, lp, piece, id) of a word in order of e and s."""
     out = []
@@ -171,6 +192,39 @@ def expected_counts(lattice: DataFrame) -> DataFrame:
     return shares.where(F.col("piece") != UNK).groupBy("piece").agg(F.sum("share").alias("count"))
 
 
+def all_pieces(pieces: DataFrame, max_len: int) -> tuple[L.Lattices, pa.Array, np.ndarray]:
+    """The lattices of (piece, lp, count) as tasks hold them, the pieces and their counts by number."""
+    held = pieces.where(F.col("lp").isNotNull()).select("piece", "lp", "count").toArrow().combine_chunks()
+    piece, lp, count = (held.column(i).combine_chunks() for i in range(3))
+    lp = lp.to_numpy(zero_copy_only=False)
+    return L.Lattices(piece.to_pylist(), lp, lp.min(initial=np.inf if len(lp) else 0.0) - UNKNOWN_PENALTY, max_len), piece, count.to_numpy(zero_copy_only=False)
+
+
+def piece_counts(words: DataFrame, pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """``expected_counts`` of the words' lattices with the pieces (piece, lp, count): a task sums its own, so one row for each of its
+    pieces is shuffled."""
+    known, names, _ = all_pieces(pieces, max_len)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros(known.size), np.zeros(known.size, bool)
+        for batch in batches:
+            freq = batch.column(1).to_numpy(zero_copy_only=False)
+            for rows, codes in L.by_length(batch.column(0).to_pylist(), max_len):
+                edges = known.edges(codes)
+                share, piece = L.shares(known.lp[edges], freq[rows]), (edges >= 0) & (edges < known.size)
+                np.add.at(total, edges[piece], share[piece])
+                met[edges[piece]] = True
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["at", "count"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([names.take(batch.column(0)), batch.column(1)], ["piece", "count"])
+
+    summed = words.select("word", F.col("freq").cast("double")).mapInArrow(counted, "at int, count double").groupBy("at").agg(F.sum("count").alias("count"))
+    return summed.mapInArrow(named, "piece string, count double")
+
+
 def _scored(counts: DataFrame) -> DataFrame:
     """(piece, count, lp, id): logarithms of the shares; ids are not given yet."""
     total = counts.agg(F.sum("count").alias("total"))
@@ -208,17 +262,25 @@ def segmentation(path: Column, n: Column) -> Column:
 def losses(scored: DataFrame) -> DataFrame:
     """(piece, count, loss) of the pieces of several characters: how much likelihood goes if its best other segmentation
     takes a piece's counts.  Null for a piece that is not its own best segmentation, which is dropped first."""
-    several = scored.where(F.length("piece") > 1).select(F.col("piece").alias("word"), F.lit(1).alias("freq"))
-    other = lattices(several, scored, but_whole=True).withColumn("path", best_path(F.col("edges")))
-    parts = other.select("word", F.get("path", F.col("n"))["score"].alias("other_lp"), segmentation(F.col("path"), F.col("n")).alias("parts"))
-    total = scored.agg(F.sum("count").alias("total"))
-    counts = scored.select(F.col("piece").alias("part"), F.col("count").alias("part_count"))
-    own = scored.select(F.col("piece").alias("word"), "count", "lp").join(F.broadcast(total))  # one row of one number
-    grown = parts.select("word", "other_lp", F.size("parts").alias("k"), F.explode(F.col("parts")["piece"]).alias("part")).join(counts, "part").join(own, "word")
-    added = F.log(F.col("part_count") + F.col("count")) - F.log(F.col("total") + F.col("count") * (F.col("k") - 1))
-    summed = grown.groupBy("word").agg(F.first("count").alias("count"), F.first("lp").alias("lp"), F.first("other_lp").alias("other_lp"), F.sum(added).alias("after"))
-    loss = F.when(F.col("lp") >= F.col("other_lp"), F.col("count") * (F.col("lp") - F.col("after")))
-    return summed.select(F.col("word").alias("piece"), "count", loss.alias("loss"))
+    known, _, counts = all_pieces(scored, MAX_LEN)
+    total = counts.sum()
+    part_count = np.array([*counts, np.nan, np.nan])  # the unknown piece, and none
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count, lp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            loss = np.full(batch.num_rows, np.nan)
+            for rows, codes in L.by_length(batch.column(0).to_pylist(), MAX_LEN):
+                edges = known.edges(codes)
+                if len(codes) <= MAX_LEN:
+                    edges[-1, len(codes) - 1] = L.NONE  # the word itself
+                other, parts = L.best_parts(known, edges)
+                own, k = count[rows], (parts != L.NONE).sum(1)
+                added = np.log(part_count[parts] + own[:, None]) - np.log(total + own * (k - 1))[:, None]
+                loss[rows] = np.where(lp[rows] >= other, own * (lp[rows] - np.nansum(added, 1)), np.nan)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(loss, from_pandas=True)], ["piece", "count", "loss"])
+
+    return scored.where(F.length("piece") > 1).select("piece", "count", "lp").mapInArrow(lost, "piece string, count double, loss double")
 
 
 def dealt(table: DataFrame) -> DataFrame:
@@ -232,12 +294,12 @@ def train_unigram(docs: DataFrame, vocab_size: int, text_col: str = "text", seed
     """(id, piece, score): the unknown piece and the user symbols first, then pieces by score.  Single characters are never
     dropped, so a vocabulary may be larger than ``vocab_size`` only by them."""
     words = dealt(word_freqs(docs, text_col).where(~F.col("word").isin(*USER_SYMBOLS)))
-    scored = dealt(_scored(seed_pieces(words, seeds)))
+    scored = dealt(_scored(seed_pieces(words, seeds).checkpoint()))  # written once before their sum
     chars, several = scored.agg(F.count(F.when(F.length("piece") == 1, 1)), F.count(F.when(F.length("piece") > 1, 1))).first()
     target = max(vocab_size - 1 - len(USER_SYMBOLS) - chars, 0)
     while True:
         for _ in range(sub_iterations):
-            counts = expected_counts(lattices(words, scored))
+            counts = piece_counts(words, scored).checkpoint()
             # a piece that no segmentation needs has gone; characters stay with a small count
             scored = dealt(_scored(counts.withColumn("count", F.greatest("count", F.lit(1e-6)))))
         several = scored.where(F.length("piece") > 1).count()
@@ -245,7 +307,7 @@ def train_unigram(docs: DataFrame, vocab_size: int, text_col: str = "text", seed
             break
         room = max(target, int(several * shrink))
         kept = losses(scored).orderBy(F.desc_nulls_last("loss"), "piece").limit(room).select("piece", "count")
-        scored = _scored(kept.unionByName(scored.where(F.length("piece") == 1).select("piece", "count"))).checkpoint()
+        scored = _scored(kept.unionByName(scored.where(F.length("piece") == 1).select("piece", "count")).checkpoint()).checkpoint()
     ordered = scored.select("piece", F.col("lp").alias("score")).orderBy(F.desc("score"), "piece")
     # the vocabulary, of the size asked for, gets its ids in one pass
     rows = [(UNK, 0.0), *((s, 0.0) for s in USER_SYMBOLS), *((r["piece"], r["score"]) for r in ordered.collect())]
@@ -279,33 +341,6 @@ def _once(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     return docs.join(twice, same, "left_anti"), docs.join(twice, same, "left_semi")
 
 
-class WordCache(dict):
-    """What a task has made of words, of which it forgets all when there are many."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = out = self.make(word)
-        return out
-
-
-def best_ids(edges: list[tuple[int, int, float, str, int]], n: int) -> list[int]:
-    """Ids of the best segmentation, by the rule of ``best_path``."""
-    done: list[tuple] = [(0.0, 0, "", 0), *[None] * n]
-    for e, s, lp, piece, id_ in edges:
-        new = (done[s][0] + lp, -s, piece, id_)
-        if done[e] is None or new > done[e]:
-            done[e] = new
-    out, at = [], n
-    while at > 0:
-        out.append(done[at][3])
-        at = -done[at][1]
-    return out[::-1]
-
-
 def encode_ids(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ids) of every document in order; a text without words, or a null key, has no ids.  Unknown characters have id 0.
     The model goes with the tasks, which cut each word that they meet once; only documents that share a key are shuffled."""
@@ -314,13 +349,19 @@ def encode_ids(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFr
     alone, together = _once(docs, key)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.table()
-        ids_of = WordCache(lambda w: users[w] if w in users else best_ids(word_edges(w, table, known.unknown, MAX_LEN), len(w)))
+        lattices, own = known.lattices(), np.array([*known.columns[2].to_pylist(), 0])
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(first, ROWS)
-                ids = [[i for w in words or () for i in ids_of[w]] for words in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+            for rows in word_slices(batch, 1):
+                words, place, edges = distinct_words(rows.column(1))
+                sizes, pieces = L.best_of(lattices, ["" if w in users else w for w in words])
+                ids, at = own[pieces], np.cumsum(sizes) - sizes
+                marks = [i for i, w in enumerate(words) if w in users]
+                sizes[marks], at[marks] = 1, len(ids) + np.arange(len(marks))
+                ids = np.concatenate([ids, [users[words[i]][0] for i in marks]]).astype(np.int32)
+                many = sizes[place]
+                offsets = np.concatenate([[0], np.cumsum(many)])[edges].astype(np.int32)
+                flat = ids[np.repeat(at[place], many) + L.ramp(many)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
 
     words = F.when(F.col(key).isNotNull(), unigram_words(F.col("text")))
     out = alone.select(key, words.alias("words")).mapInArrow(encoded, T.StructType([docs.schema[key]]).add("ids", T.ArrayType(T.IntegerType())))
@@ -369,40 +410,98 @@ def best_choices(edges: list[tuple[int, int, float, str, int]], top: int) -> lis
     return done[-1]
 
 
+def numbers(starts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the md5 of each start followed by 0, 1, ... up to its size."""
+    short = np.array([len(s) + len(str(n)) <= L.BLOCK for s, n in zip(starts, sizes.tolist(), strict=True)], bool)
+    out, own = np.empty(int(sizes.sum()), np.uint32), np.repeat(short, sizes)
+    out[own] = L.numbered_starts([s for s, x in zip(starts, short, strict=True) if x], sizes[short])
+    rest = (s + b"%d" % i for s, n, x in zip(starts, sizes.tolist(), short, strict=True) if not x for i in range(n))
+    out[~own] = np.fromiter((int.from_bytes(md5(s).digest()[:4], "big") for s in rest), np.uint32)
+    return out
+
+
+def chosen(score: np.ndarray, alpha: float, u: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of the path that each number u in [0, 1) draws from a word's, best first, with weight p ** alpha."""
+    there = np.isfinite(score)
+    weight = np.where(there, np.exp(alpha * np.where(there, score - score[:, :1], 0.0)), 0.0)
+    below = np.full((len(score), 1 << (score.shape[1] - 1).bit_length()), np.inf)
+    below[:, : score.shape[1]] = np.cumsum(weight, axis=1)
+    mark, held, base = u * below[:, score.shape[1] - 1][word], below.reshape(-1), word * below.shape[1]
+    out, step = np.zeros(u.shape, np.int64), below.shape[1] // 2
+    while step:
+        out += step * (held[base + (out + (step - 1))] <= mark)
+        step //= 2
+    return out
+
+
+class Drawn:
+    """The paths that the words of some documents draw: of a word only those that are drawn, one after the other."""
+
+    def __init__(self, draws: np.ndarray, place: np.ndarray, n_words: int):
+        self.draws, self.order, self.many = draws, np.argsort(place, kind="stable"), np.bincount(place, minlength=n_words)
+        self.begin, self.path, self.held, self.paths = np.cumsum(self.many) - self.many, np.empty(draws.shape, np.int32), [], 0
+
+    def occurrences(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the words, and of which of them each is."""
+        many = self.many[words]
+        return self.order[np.repeat(self.begin[words], many) + L.ramp(many)], np.repeat(np.arange(len(words)), many)
+
+    def add(self, at: np.ndarray, path: np.ndarray, paths: tuple[np.ndarray, np.ndarray]) -> None:
+        """``paths``: (sizes, ids) of the paths that the draws at the places number."""
+        self.path[:, at] = path + self.paths
+        self.held.append(paths)
+        self.paths += len(paths[0])
+
+    def ids(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ends, ids) of all words for each repetition."""
+        size, flat = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        start = np.cumsum(size) - size
+        for path in self.path:
+            many = size[path]
+            yield np.concatenate([[0], np.cumsum(many)]).astype(np.int32), flat[np.repeat(start[path], many) + L.ramp(many)]
+
+
 def sample_ids(docs: DataFrame, model: DataFrame, n_times: int, alpha: float, key: str = "doc_id", n: int = N_BEST, seed: str = "sample") -> DataFrame:
     """T9 + J6: (key, rep, ids): every document ``n_times``, each word drawn from its ``n`` best segmentations with weight p ** alpha.
     The model goes with the tasks, which draw a whole document; only documents that share a key are shuffled."""
     known = Pieces(plain_pieces(model))
-    users = {r["piece"]: ([(r["id"],)], [0.0, 1.0]) for r in model.where(F.col("piece").isin(*USER_SYMBOLS)).collect()}
+    users = {r["piece"]: r["id"] for r in model.where(F.col("piece").isin(*USER_SYMBOLS)).collect()}
     alone, together = _once(docs, key)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.table()
-
-        def choices(word: str) -> tuple[list[tuple[int, ...]], list[float]]:
-            if word in users:
-                return users[word]
-            best = best_choices(word_edges(word, table, known.unknown, MAX_LEN), n)
-            return [ids for _, ids in best], [0.0, *accumulate(math.exp(float(alpha) * (score - best[0][0])) for score, _ in best)]
+        lattices, table, own = known.lattices(), known.table(), np.array([*known.columns[2].to_pylist(), 0, 0], np.int32)
+
+        def draw(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            words, place, edges = distinct_words(rows.column(2))
+            sizes = np.diff(edges)
+            full = np.flatnonzero(sizes)  # a document without words is not drawn
+            if not len(full):
+                return
+            starts = [f"{seed}:" if x is None else f"{seed}:{x}:" for x in rows.column(1).take(pa.array(full)).to_pylist()]
+            out = Drawn(np.stack([numbers([f"{s}{rep}:".encode() for s in starts], sizes[full]) for rep in range(n_times)]), place, len(words))
+            marks = [i for i, w in enumerate(words) if w in users]
+            at, word = out.occurrences(np.array(marks, np.int64))
+            out.add(at, word, (np.ones(len(marks), np.int64), np.array([users[words[i]] for i in marks], np.int32)))
+            for group, codes in L.by_length(["" if w in users else w for w in words], MAX_LEN):
+                several = L.Several(lattices, lattices.edges(codes), own, n)
+                at, word = out.occurrences(group)
+                pick = word * n + chosen(several.last, float(alpha), out.draws[:, at] / float(2**32), word)
+                used = np.zeros(len(group) * n, bool)
+                used[pick] = True
+                path = np.flatnonzero(used)
+                parts = several.paths(path % n, path // n)
+                ids, there = own[parts], parts != L.NONE
+                for i in np.flatnonzero(several.odd[path // n]):
+                    ways = best_choices(word_edges(words[group[path[i] // n]], table, known.unknown, MAX_LEN), n)[path[i] % n][1]
+                    ids[i, : len(ways)], there[i] = ways, np.arange(ids.shape[1]) < len(ways)
+                out.add(at, (np.cumsum(used) - 1)[pick], (there.sum(1), ids[there]))
+            keys, ends = rows.column(0).take(pa.array(full)), np.append(edges[full], edges[-1])
+            for rep, (end, ids) in enumerate(out.ids()):
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(full), rep, np.int32)), pa.ListArray.from_arrays(pa.array(end[ends]), pa.array(ids))], [key, "rep", "ids"])
 
-        choices_of = WordCache(choices)
         for batch in batches:
-            for row in range(batch.num_rows):
-                name, words = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-                if not words:
-                    continue
-                held = [choices_of[w] for w in words]
-                start = f"{seed}:" if name is None else f"{seed}:{name}:"
-                ids = []
-                for rep in range(n_times):
-                    one: list[int] = []
-                    for at, (ways, below) in enumerate(held):
-                        u = int.from_bytes(md5(f"{start}{rep}:{at}".encode()).digest()[:4], "big") / float(2**32)
-                        one += ways[bisect_right(below, u * below[-1]) - 1]
-                    ids.append(pa.array(one, pa.int32()))
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                keys = batch.column(0).take(pa.array([row] * n_times))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(range(n_times), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(ids))], [key, "rep", "ids"])
+            for rows in word_slices(batch, 2, max(1, DRAWS // n_times)):
+                yield from draw(rows)
 
     asked = alone.select(key, F.col(key).cast("string").alias("name"), unigram_words(F.col("text")).alias("words"))
     out = asked.mapInArrow(drawn, T.StructType([docs.schema[key]]).add("rep", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType())))
